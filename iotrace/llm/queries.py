@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import langid, simhash
+from iotrace.llm import langid, mixing, quality, simhash, warc
 from iotrace.llm.common import bucket_of
 
 
@@ -15,12 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict for every document; texts labelled good are the trusted target."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(table(spark, sf_dir, "documents"), good)
+
+
+def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    out = warc.archive(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -31,7 +49,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_llr_quality": op3_llr_quality,
+    "op5_entropy_mix": op5_entropy_mix,
     "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
