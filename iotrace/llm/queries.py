@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import langid, mixing, quality, simhash, warc
+from iotrace.llm import decontam, htmltext, langid, mixing, quality, simhash, toxicity, warc
 from iotrace.llm.common import bucket_of
 
 
@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labelled rows of two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), toxicity.score_column(docs, model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = htmltext.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op3_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for every document; texts labelled good are the trusted target."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -33,6 +49,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in every document."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     out = warc.archive(table(spark, sf_dir, "pages"))
@@ -49,9 +70,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_main_text": op2_main_text,
     "op3_llr_quality": op3_llr_quality,
     "op5_entropy_mix": op5_entropy_mix,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
