@@ -17,8 +17,8 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 
 
-def repeated_words(w: str) -> str:
-    """SQL for the words that lie in a window of five found twice or more, over the array column ``w``.
+def _window_sql(w: str) -> tuple[str, str, str, str]:
+    """SQL (number of windows, their hashes, windows sorted as text, positions of equal neighbours) for the words that lie in a window of five found twice or more, over the array column ``w``.
 
     Hashes of the windows show which texts can have any; only those sort their windows as text, so equal means
     equal. Sorted positions p add min(5, gap to the next) each, which is the size of the windows' union.
@@ -37,7 +37,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text has no words: all counts 0, base_failed true.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n, hashes, sorted_, twice = repeated_words("_words")
+    n, hashes, sorted_, twice = _window_sql("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("_words", words(F.col(text_col))).withColumn("_lines", lines)
     out = out.withColumn("_may_repeat", F.expr(f"case when {n} > 1 then size(array_distinct({hashes})) < {n} else false end"))
@@ -97,12 +97,13 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 1 << 14,
-    min_score: float = -0.1,
+    min_score: float = -0.135,
+    prior: int = 16,
 ) -> DataFrame:
     """Base counts, ``score`` and ``kept`` for every document.
 
-    ``trusted`` holds the ids of the target corpus; the raw corpus is all of ``docs``. The score is the mean log
-    ratio over a text's n-grams, 0 without any; a document is kept if it passes the base limits and scores at
+    ``trusted`` holds the ids of the target corpus; the raw corpus is all of ``docs``. The score is the sum of
+    the log ratios of a text's n-grams over their number plus ``prior``, 0 without any; a document is kept if it passes the base limits and scores at
     least ``min_score``. Null texts fail the base limits; a null id is never trusted; repeated rows each count.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -112,7 +113,7 @@ def judge(
     weight = F.from_json(F.lit(json.dumps(table)), "array<double>")
     out = base_measures(rows).withColumn("_grams", grams(F.col("text"), F.col("_words"), buckets))
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(weight, g))
-    out = out.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
+    out = out.withColumn("score", F.when(F.col("n_words") > 0, total / (F.size("_grams") + prior)).otherwise(0.0))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("score") >= min_score)).alias("kept"), "score",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import decontam, htmltext, langid, mixing, quality, simhash, toxicity, warc
+from iotrace.llm import decontam, htmltext, langid, mixing, pii, quality, simhash, suffixtree, toxicity, warc
 from iotrace.llm.common import bucket_of
 
 
@@ -37,12 +37,22 @@ def op3_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), good)
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it in every document."""
+    return pii.report(pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and suffix-tree log probability of every document."""
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_main_text": op2_main_text,
     "op3_llr_quality": op3_llr_quality,
+    "op4_disclosure": op4_disclosure,
     "op5_entropy_mix": op5_entropy_mix,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
