@@ -5,75 +5,75 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import SPACE_CLASS, words
+from iotrace.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_CLASS, materialize
 
 #: The characters counted as symbols, and the base limits.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+_CLASSES = ASCII_UPPER + ASCII_LOWER + "0123456789", "A" * 26 + "a" * 26 + "0" * 10
 
 
-def _window_sql(w: str) -> tuple[str, str, str, str]:
-    """SQL (number of windows, their hashes, windows sorted as text, positions of equal neighbours) for the words that lie in a window of five found twice or more, over the array column ``w``.
-
-    Hashes of the windows show which texts can have any; only those sort their windows as text, so equal means
-    equal. Sorted positions p add min(5, gap to the next) each, which is the size of the windows' union.
-    """
-    n = f"size({w}) - {WINDOW - 1}"
-    at = ", ".join(f"get({w}, i + {k})" for k in range(WINDOW))
-    hashes = f"transform(sequence(0, {n} - 1), i -> xxhash64({at}))"
-    sorted_ = f"array_sort(transform(sequence(0, {n} - 1), i -> struct(concat_ws(' ', {at}) as t, i as i)))"
-    twice = f"transform(filter({{s}}, (x, i) -> x.t <=> get({{s}}, i - 1).t or x.t <=> get({{s}}, i + 1).t), x -> x.i)"
-    return n, hashes, sorted_, twice
+def _neighbours(a: str, b: str, size: str, gap: int, pair: str = "xxhash64(x, y)") -> str:
+    """SQL of ``pair`` over element i of ``a`` and i + gap of ``b``, for each i where both are (``size`` of them)."""
+    return f"zip_with(slice({a}, 1, greatest({size}, 0)), slice({b}, {gap + 1}, greatest({size}, 0)), (x, y) -> {pair})"
 
 
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and ``_words``.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ``_words`` and ``_hashes``.
 
     A null text has no words: all counts 0, base_failed true.
+
+    Repeats: hashes of the windows, rolled up from hashes of the words, show which texts can have any. Only those
+    sort their windows as text, so equal means equal. Positions p of repeated windows add min(5, gap to the next)
+    each, which is the size of the windows' union.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    n, hashes, sorted_, twice = _window_sql("_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("_words", words(F.col(text_col))).withColumn("_lines", lines)
-    out = out.withColumn("_may_repeat", F.expr(f"case when {n} > 1 then size(array_distinct({hashes})) < {n} else false end"))
-    out = out.withColumn("_sorted", F.expr(f"case when _may_repeat then {sorted_} end"))
-    out = out.withColumn("_at", F.expr(f"case when _may_repeat then sort_array({twice.format(s='_sorted')}) end"))
+    out = docs.withColumn("_words", F.array_remove(F.split(text, SPACE_CLASS), "")).withColumn("_lines", lines)
+    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_words"))
+    out = out.withColumn("_two", F.expr(_neighbours("_hashes", "_hashes", "_n - 1", 1)))
+    four = F.expr(_neighbours("_two", "_two", "_n - 3", 2))
+    out = out.withColumn("_four", F.when(F.col("_n") >= WINDOW, four))
+    five = _neighbours("_four", "_hashes", "_n - 4", WINDOW - 1)
+    out = out.withColumn("_may_repeat", F.expr(f"case when _n > {WINDOW} then size(array_distinct({five})) < _n - {WINDOW - 1} else false end"))
+    at = ", ".join(f"get(_words, i + {k})" for k in range(WINDOW))
+    windows = f"array_sort(transform(sequence(0, _n - {WINDOW}), i -> struct(concat_ws(' ', {at}) as t, i as i)))"
+    out = out.withColumn("_sorted", F.expr(f"case when _may_repeat then {windows} end"))
+    twice = "filter(_sorted, (x, i) -> x.t <=> get(_sorted, i - 1).t or x.t <=> get(_sorted, i + 1).t)"
+    out = out.withColumn("_at", F.expr(f"case when _may_repeat then sort_array(transform({twice}, x -> x.i)) end"))
     covered = (
         f"case when coalesce(size(_at), 0) > 0 then cast({WINDOW} as bigint) + aggregate(zip_with(slice(_at, 1, size(_at) - 1), "
         f"slice(_at, 2, size(_at) - 1), (a, b) -> least({WINDOW}, b - a)), 0L, (s, x) -> s + x) else 0L end"
     )
     out = out.select(
         *[F.col(c) for c in docs.columns],
-        "_words",
-        F.size("_words").cast("bigint").alias("n_words"),
+        "_words", "_hashes",
+        F.col("_n").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
-    )
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def grams(text: Column, w: Column, buckets: int) -> Column:
-    """Hashed n-grams of a text: its lower-cased words, and pairs of neighbouring word shapes.
+def with_grams(measured: DataFrame, buckets: int) -> DataFrame:
+    """``measured`` with ``_grams``: buckets of a text's words, and of pairs of the shapes of neighbouring words.
 
-    A shape keeps marks and turns runs of capitals, small letters and digits into A, a and 0.
+    A shape is the first two and last two characters of a word, with A-Z, a-z and 0-9 turned into A, a and 0.
     """
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}+", "A"), r"[\p{Ll}\p{Lo}\p{M}]+", "a"), r"\p{Nd}+", "0")
-    shapes = F.filter(F.split(shape, SPACE_CLASS + "+"), lambda x: x != "")
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(F.lower(x)), F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(
-        F.concat(F.array(F.lit("^")), shapes),
-        F.concat(shapes, F.array(F.lit("$"))),
-        lambda a, b: F.pmod(F.xxhash64(a, b, F.lit(1)), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(ones, pairs)
+    ends = lambda w: F.translate(F.concat(F.substring(w, 1, 2), F.right(w, F.lit(2))), _CLASSES[0], _CLASSES[1])
+    out = measured.withColumn("_shapes", F.transform("_words", lambda w: F.xxhash64(ends(w), F.lit(1))))
+    bucket = f"cast(pmod({{}}, {buckets}) as int)"
+    ones = F.expr(f"transform(_hashes, x -> {bucket.format('x')})")
+    pairs = F.expr(_neighbours("_shapes", "_shapes", "size(_shapes) - 1", 1, bucket.format("xxhash64(x, y)")))
+    return out.withColumn("_grams", F.concat(ones, pairs)).drop("_shapes")
 
 
 def log_ratios(grams_df: DataFrame, buckets: int) -> list[float]:
@@ -99,22 +99,30 @@ def judge(
     buckets: int = 1 << 14,
     min_score: float = -0.135,
     prior: int = 16,
+    max_trusted: int = 50_000,
 ) -> DataFrame:
     """Base counts, ``score`` and ``kept`` for every document.
 
-    ``trusted`` holds the ids of the target corpus; the raw corpus is all of ``docs``. The score is the sum of
-    the log ratios of a text's n-grams over their number plus ``prior``, 0 without any; a document is kept if it passes the base limits and scores at
-    least ``min_score``. Null texts fail the base limits; a null id is never trusted; repeated rows each count.
+    ``trusted`` holds the ids of the target corpus, of which at most about ``max_trusted`` are taken, those of
+    least hash: the bound on the labelled rows that the target is fitted on. The raw corpus is all of ``docs``.
+    The score is the sum of the log ratios of a text's n-grams over their number plus ``prior``, 0 without any; a
+    document is kept if it passes the base limits and scores at least ``min_score``. Null texts fail the base
+    limits; a null id is never trusted; repeated rows each count.
+
+    Texts are cut into words and n-grams once; counts and scores read the table of bucket numbers.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    marked = rows.join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    table = log_ratios(marked.select(grams(F.col("text"), words(F.col("text")), buckets).alias("grams"), "trusted"), buckets)
-    weight = F.from_json(F.lit(json.dumps(table)), "array<double>")
-    out = base_measures(rows).withColumn("_grams", grams(F.col("text"), F.col("_words"), buckets))
+    measured = with_grams(base_measures(rows, "text"), buckets).drop("text", "_words", "_hashes")
+    measured = materialize(measured, "quality-grams")
+    ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
+    share = min(1.0, max_trusted / max(1, ids.count()))
+    ids = ids.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("trusted")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    ids = F.broadcast(ids.withColumn("trusted", F.lit(True)))
+    marked = measured.join(ids, "doc_id", "left").select(F.col("_grams").alias("grams"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    weight = F.from_json(F.lit(json.dumps(log_ratios(marked, buckets))), "array<double>")
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(weight, g))
-    out = out.withColumn("score", F.when(F.col("n_words") > 0, total / (F.size("_grams") + prior)).otherwise(0.0))
+    out = measured.withColumn("score", F.when(F.col("n_words") > 0, total / (F.size("_grams") + prior)).otherwise(0.0))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("score") >= min_score)).alias("kept"), "score",
-    )
+    )
