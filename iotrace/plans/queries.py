@@ -731,7 +731,7 @@ def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """``rows(ord, line)`` written as one text file in order, and read back as numbered lines."""
     path = shared_path(spark, name)
-    rows.orderBy("ord").coalesce(1).select("line").write.text(path)
+    rows.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)
     return text.lines(spark, path)
 
 

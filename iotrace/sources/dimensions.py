@@ -11,7 +11,7 @@ _LEGACY = "containers map<string, array<string>>"
 
 def _whole(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.option("wholetext", True).text(path).select("value")
+        return spark.read.text(path, wholetext=True).select("value")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

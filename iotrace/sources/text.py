@@ -21,7 +21,7 @@ NO_KEY = "_"
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` of text files, each read whole: for reports of up to some tens of MB a file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
