@@ -17,7 +17,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-_SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Code points of context read on either side of a match, and words taken from them.
 _REACH = 240
 
@@ -49,7 +49,7 @@ def _spans(text: Column, kind: str) -> Column:
     def step(s: Column, x: Column) -> Column:
         at = s["pos"] + F.length(x["gap"])
         end = at + F.length(x["hit"])
-        span = F.struct(at.alias("start"), end.alias("end"), F.lit(k).alias("kind"), x["hit"].alias("value"))
+        span = F.struct(at.alias("start"), F.lit(k).alias("kind"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
 
     listed = F.aggregate(pairs, start, step, lambda s: s["out"])
@@ -58,7 +58,7 @@ def _spans(text: Column, kind: str) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All valid matches as ``array<start, end, kind, value>`` by start, then kind; kind counts from 0 in ``KINDS``."""
+    """All valid matches as ``array<start, kind, end, value>`` by start, then kind; kind counts from 0 in ``KINDS``."""
     text = F.coalesce(text, F.lit(""))
     return F.array_sort(F.concat(*[_spans(text, k) for k in KINDS]))
 
