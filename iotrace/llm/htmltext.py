@@ -231,9 +231,10 @@ def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1
         held: Counter[tuple[str, int | None]] = Counter()
 
         def out() -> pd.DataFrame:
-            rows = pd.DataFrame([(h, d, n) for (h, d), n in held.items()], columns=["host", "digest", "n"])
+            hosts, digests = [h for h, _ in held], [d for _, d in held]
+            rows = {"host": pd.Series(hosts, dtype=object), "digest": pd.array(digests, dtype="Int64"), "n": pd.array(list(held.values()), dtype="int64")}
             held.clear()
-            return rows.astype({"digest": "Int64", "n": "int64"})
+            return pd.DataFrame(rows)
 
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
