@@ -87,7 +87,7 @@ class LanguageModel:
         return self.langs[order[0]], float(post[order[0]]), bool(gap < self.min_gap)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_langs: int = 512, sharpness: float = 6.0, min_gap: float = 0.1) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_langs: int = 512, sharpness: float = 6.0, min_gap: float = 0.02) -> LanguageModel:
     """Learn from all rows with a language.
 
     Each task adds up hashed n-gram counts per language; their sum over all rows is languages x 2**bits numbers,
@@ -114,6 +114,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
     got = packed.take(max_langs + 1)
     if len(got) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
+    if not got:
+        return LanguageModel([], codewords(0), np.zeros((1 << bits, 1), np.float32), np.ones(1), bits, sharpness, min_gap)
     counts = np.zeros((len(got), 1 << bits))
     for i, row in enumerate(got):
         counts[i, row["gram"]] = row["n"]
@@ -128,9 +130,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
         w = np.clip(w, -6, 6)
         weights.append(w)
         gaps = share @ w * col  # expected margin of each language under this classifier
-        trust.append(max(0.05, float(gaps.min()) if len(gaps) else 0.05))
-    trust = np.array(trust or [1.0])
-    return LanguageModel(langs, code, np.array(weights, np.float32).T if langs else np.zeros((1 << bits, 1), np.float32), trust / trust.mean(), bits, sharpness, min_gap)
+        trust.append(max(0.05, float(gaps.min())))
+    trust = np.array(trust)
+    return LanguageModel(langs, code, np.array(weights, np.float32).T, trust / trust.mean(), bits, sharpness, min_gap)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out_col: str = "language") -> DataFrame:
