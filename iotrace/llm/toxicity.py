@@ -96,13 +96,18 @@ def _document_counts(train: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter[str] = Counter()
+
+        def out() -> pd.DataFrame:
+            rows = {"feature": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")}
+            held.clear()
+            return pd.DataFrame(rows)
+
         for pdf in batches:
             for text in pdf["text"]:
                 held.update(features(word_set(text)))
                 if len(held) > 200_000:
-                    yield pd.DataFrame({"feature": list(held), "n": list(held.values())})
-                    held.clear()
-        yield pd.DataFrame({"feature": list(held), "n": list(held.values())}).astype({"n": "int64"})
+                    yield out()
+        yield out()
 
     return train.select("text").mapInPandas(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
