@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_V1 = "version int, containers map<string, struct<tgids: array<string>, mntns_ids: array<bigint>, comms: array<string>>>"
-_LEGACY = "containers map<string, array<string>>"
+_CONTAINER = "tgids array<string>, mntns_ids array<bigint>, comms array<string>"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame | None:
@@ -26,9 +25,10 @@ def containers(spark: SparkSession, path: str) -> DataFrame:
     text = _whole(spark, path)
     if text is None:
         return spark.createDataFrame([], "label string, ordinal int, tgids array<string>, mntns_ids array<bigint>, comms array<string>")
-    full, bare = F.from_json("value", _V1), F.from_json("value", _LEGACY)
-    rows = text.select(F.posexplode(full["containers"]).alias("ordinal", "label", "c"), bare["containers"].alias("bare"))
-    comms = F.coalesce("c.comms", F.try_element_at("bare", "label"))
+    bodies = F.from_json("value", "containers map<string, string>")["containers"]
+    rows = text.select(F.posexplode(bodies).alias("ordinal", "label", "body"))
+    rows = rows.withColumn("c", F.from_json("body", _CONTAINER)).withColumn("bare", F.from_json("body", "array<string>"))
+    comms = F.coalesce(F.when(F.col("body").startswith("["), F.col("bare")), F.col("c.comms"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return rows.select(
         "label", "ordinal", F.coalesce("c.tgids", none("string")).alias("tgids"),

@@ -15,7 +15,8 @@ def nested_json(tidy: DataFrame, keys: list[str], values: list[str], out: str =
     level = tidy.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], F.struct(*values).alias("v"))
     for depth in range(len(keys), 0, -1):
         outer, key = keys[: depth - 1], keys[depth - 1]
-        entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("v").alias("value"))))
+        by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+        entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("v").alias("value"))), by_key)
         level = level.groupBy(*outer).agg(F.map_from_entries(entries).alias("v"))
     return level.select(F.to_json("v").alias(out))
 

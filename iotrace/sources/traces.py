@@ -16,14 +16,14 @@ def read_csv(spark: SparkSession, path: str, layer: str) -> DataFrame:
     """Trace rows of a CSV with the layer's types, matched by the header's names; unknown columns stay text.
 
     Lines that do not fit the header, such as one cut off by the end of a recording, have their text in
-    ``_corrupt`` and are otherwise null.
+    ``_corrupt`` and are otherwise null. Lines are parsed whole, whatever columns are used, so that this does not depend on them.
     """
     known = {f.name: f.dataType for f in schemas.schema(schemas.LAYERS[layer])}
     header = spark.read.text(path).head()
     names = header[0].split(",") if header else list(known)
     fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
     read = spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
-    return read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    return read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
 
 
 def whole_rows(rows: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def whole_rows(rows: DataFrame) -> DataFrame:
 
 def torn_rows(rows: DataFrame) -> DataFrame:
     """``(dropped)``: how many lines ``whole_rows`` leaves out."""
-    return rows.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("dropped"))
+    # Spark reads the corrupt text only together with another column; no line holds a null character before its end
+    other = F.concat(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit("")), F.lit("\0"))
+    return rows.agg(F.count_if(F.col(CORRUPT) != other).alias("dropped"))
 
 
 def unterminated_files(spark: SparkSession, path: str) -> DataFrame:
