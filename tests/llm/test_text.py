@@ -306,9 +306,8 @@ def test_contexts_spread_all_their_mass(spark):
     tree = suffixtree.grow(df, words, n, v)
     own = {w: (k + 1) / (n + v + 1) for w, k in c.items()}
     for prefix in ([b"x"], [b"x", b"y"], [b"r", b"p"], []):
-        total = 1 / (n + v + 1) * 10 ** tree.lifts(tree.numbers([*prefix, b"unseen"])) / 10 ** tree.lifts(tree.numbers(prefix))
-        for w, p in own.items():
-            total += p * 10 ** tree.lifts(tree.numbers([*prefix, w])) / 10 ** tree.lifts(tree.numbers(prefix))
+        lift = lambda toks: float(tree.lifts(np.array([tree.ids[w] for w in toks], np.int64), np.array([0]))[0]) if toks else 0.0
+        total = sum(p * 10 ** (lift([*prefix, w]) - lift(prefix)) for w, p in [*own.items(), (b"unseen", 1 / (n + v + 1))])
         assert total == pytest.approx(1, abs=1e-6)
 
 
