@@ -122,22 +122,23 @@ def label_dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource samples: one row an event, time the hour of the run, rates from value."""
-    v, k = F.col("value"), F.col("k")
+    v, k = F.round(F.col("value") * 100), F.col("k")  # whole numbers, so that sums are exact
     rows = ev(spark, sf_dir)
     first = rows.agg(F.min("timestamp_ns").alias("t0"))
     hour = F.call_function("div", F.col("timestamp_ns") - F.col("t0"), F.lit(HOUR))
     return rows.join(F.broadcast(first)).select(
         "seq", "timestamp_ns", hour.alias("time"), F.col("user_id").cast("string").alias("tgid"), F.col("comm").alias("command"), (k % 4).alias("cpu"),
-        v.alias("usr"), (v * 2).alias("system"), (v / 4).alias("guest"), (v / 2).alias("wait"), (v * 3).alias("cpu_pct"),
-        (v + k).alias("minflt_s"), (k % 2).cast("double").alias("majflt_s"), (v * 100).alias("vsz_kb"), (v * 10).alias("rss_kb"), (v / 5).alias("mem_pct"),
+        v.alias("usr"), (v * 2).alias("system"), (v * 5).alias("guest"), (v * 7).alias("wait"), (v * 3).alias("cpu_pct"),
+        (v + k).alias("minflt_s"), (k % 2).cast("double").alias("majflt_s"), (v * 100).alias("vsz_kb"), (v * 10).alias("rss_kb"), (v * 6).alias("mem_pct"),
         (v * 8).alias("kb_rd_s"), (v * 4).alias("kb_wr_s"), (v * 0).alias("kb_ccwr_s"), k.cast("double").alias("iodelay"),
     )
 
 
 SAMPLES = (
     f"sam AS (SELECT seq, timestamp_ns, (timestamp_ns - (SELECT min(timestamp_ns) FROM ev)) // {HOUR} AS \"time\", CAST(user_id AS VARCHAR) AS tgid, comm AS command, k % 4 AS cpu, "
-    "value AS usr, value * 2 AS system, value / 4 AS guest, value / 2 AS wait, value * 3 AS cpu_pct, value + k AS minflt_s, CAST(k % 2 AS DOUBLE) AS majflt_s, "
-    "value * 100 AS vsz_kb, value * 10 AS rss_kb, value / 5 AS mem_pct, value * 8 AS kb_rd_s, value * 4 AS kb_wr_s, value * 0 AS kb_ccwr_s, CAST(k AS DOUBLE) AS iodelay FROM ev)"
+    "v AS usr, v * 2 AS system, v * 5 AS guest, v * 7 AS wait, v * 3 AS cpu_pct, v + k AS minflt_s, CAST(k % 2 AS DOUBLE) AS majflt_s, "
+    "v * 100 AS vsz_kb, v * 10 AS rss_kb, v * 6 AS mem_pct, v * 8 AS kb_rd_s, v * 4 AS kb_wr_s, v * 0 AS kb_ccwr_s, CAST(k AS DOUBLE) AS iodelay "
+    "FROM (SELECT *, round(value * 100) AS v FROM ev))"
 )
 
 

@@ -594,7 +594,7 @@ def _section_sql(section: str, source: str = "sam", by: str = "command") -> str:
         f"SELECT {by}, '{m}' AS metric, \"time\", CAST(round(sum(CAST({m} AS DECIMAL(28, 6))), 2) AS DOUBLE) AS value FROM {source} GROUP BY {by}, \"time\"" for m in sysstat.METRICS[section]
     )
     return (
-        f", f AS ({pairs}), s AS ({stats_sql('f', f'{by}, metric', places=4)}), auc AS (SELECT {by}, metric, "
+        f", f AS ({pairs}), s AS ({stats_sql('f', f'{by}, metric', places=6)}), auc AS (SELECT {by}, metric, "
         'round(CASE WHEN count(*) > 1 THEN sum(value) - (arg_min(value, "time") + arg_max(value, "time")) / 2 ELSE sum(value) END, 4) AS area_under_curve '
         f"FROM f GROUP BY {by}, metric) SELECT * FROM s JOIN auc USING ({by}, metric)"
     )
@@ -605,12 +605,12 @@ SAM = with_ctes(EV, SAMPLES).rstrip()
 
 @query(SAM + _section_sql("cpu"))
 def sysstat_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sysstat.section_stats(a.samples(spark, sf_dir), "cpu", places=4)
+    return sysstat.section_stats(a.samples(spark, sf_dir), "cpu", places=6)
 
 
 @query(SAM + _section_sql("mem"))
 def sysstat_mem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sysstat.section_stats(a.samples(spark, sf_dir), "mem", places=4)
+    return sysstat.section_stats(a.samples(spark, sf_dir), "mem", places=6)
 
 
 @query(
@@ -619,7 +619,7 @@ def sysstat_mem(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _section_sql("dev", "later")
 )
 def sysstat_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sysstat.section_stats(sysstat.drop_first(a.samples(spark, sf_dir), ORDER), "dev", places=4)
+    return sysstat.section_stats(sysstat.drop_first(a.samples(spark, sf_dir), ORDER), "dev", places=6)
 
 
 @query(
