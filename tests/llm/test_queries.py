@@ -2,12 +2,13 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from iotrace.llm import decontam
-from iotrace.llm.queries import QUERIES
+from iotrace.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
     "op1_": ["doc_id", "held_out", "score", "predicted"],
@@ -35,6 +36,18 @@ def test_columns_and_rows(spark, sf_dir, name):
         assert out.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    out = QUERIES[name](spark, sf_dir)
+    cur = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    want = sorted(map(repr, (tuple(r[names.index(c)] for c in out.columns) for r in cur.fetchall())))
+    assert sorted(map(repr, map(tuple, out.collect()))) == want
+
+
 def test_languages_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = QUERIES["op10_language"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
