@@ -869,20 +869,79 @@ def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- dashboards
 
+POINTS_SHOWN = 1000
+
+
+def grid_cdf_sql(series_name: str, source: str) -> str:
+    """A curve of ``source(label, op, value)`` at up to ``POINTS_SHOWN`` evenly spaced ranks."""
+    return f"""SELECT label, '{series_name}' AS series, op, CAST(value AS DOUBLE) AS x, round((max(i) + 1) / CAST(max(n) AS DOUBLE), 6) AS y FROM (
+  SELECT r.label, r.op, r.value, r.i, r.n FROM (SELECT label, op, value, row_number() OVER (PARTITION BY label, op ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY label, op) AS n
+      FROM ({source}) WHERE value IS NOT NULL) r
+  JOIN (SELECT label, op, n, least(n, {POINTS_SHOWN}) AS m, unnest(range(least(n, {POINTS_SHOWN}))) AS j FROM (SELECT label, op, count(value) AS n FROM ({source}) GROUP BY label, op)) g
+    ON r.label = g.label AND r.op = g.op AND r.i = CASE WHEN m = 1 THEN 0 ELSE (j * (g.n - 1)) // (m - 1) END) GROUP BY label, op, value"""
+
+
+def dashboard_sql(head: str, layer: str, op: str, end: str, gauges: tuple[str, ...], gaps: str, more: str = "") -> str:
+    """SQL of ``reports.layer_series`` by label; ``gaps`` selects (label, op, value)."""
+    io = " WHERE syscall IN ('read', 'write')" if layer == "fs" else ""
+    src = f"{layer}_l"
+    last = "".join(f", arg_max({g}, timestamp_ns) AS {g}" for g in gauges)
+    parts = [f"SELECT label, 'op_share' AS series, {op} AS op, CAST(count(*) AS DOUBLE) AS x, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY label), 2) AS y FROM {src} WHERE event = '{end}' GROUP BY label, {op}"]
+    parts += [f"SELECT label, '{g}', op, CAST(sec AS DOUBLE), CAST(greatest({g}, 0) AS DOUBLE) FROM k" for g in gauges]
+    parts.append("SELECT label, 'iops', op, CAST(sec AS DOUBLE), CAST(n AS DOUBLE) FROM k WHERE n > 0")
+    parts.append("SELECT label, 'cumulative_mb', op, CAST(sec AS DOUBLE), round(CAST(sum(total) OVER (PARTITION BY label, op ORDER BY sec) AS BIGINT) / 1048576.0, 6) FROM k")
+    parts.append(grid_cdf_sql("size_cdf", f"SELECT label, {op} AS op, bytes AS value FROM {src} WHERE event = '{end}' AND bytes > 0"))
+    parts.append(grid_cdf_sql("latency_cdf_us", f"SELECT label, {op} AS op, latency_ns / 1000 AS value FROM {src} WHERE event = '{end}' AND latency_ns > 0"))
+    parts.append(grid_cdf_sql("gap_cdf", gaps))
+    buckets = (
+        f", k AS (SELECT label, {op} AS op, {SEC} AS sec, count(*) FILTER (WHERE event = '{end}') AS n, "
+        f"sum(CASE WHEN event = '{end}' THEN coalesce(bytes, 0) ELSE 0 END) AS total{last} FROM {src}, b{io} GROUP BY ALL) "
+    )
+    return head.rstrip() + BOUNDS + buckets + " UNION ALL ".join(parts) + more
+
+
+def _sector_gaps(source: str, event: str) -> str:
+    return f"SELECT label, op, abs(sector - lag(sector + bytes // 512) OVER (PARTITION BY label, op ORDER BY timestamp_ns, seq)) AS value FROM {source} WHERE event = '{event}'"
+
+
+def _fs_gaps(call: str) -> str:
+    """Gaps of one call by positions that only it advances, by label."""
+    key = "label, tid, kfd"
+    return f"""SELECT label, syscall AS op, abs(position - lag(position + coalesce(bytes, 0)) OVER (PARTITION BY label, fd ORDER BY timestamp_ns, seq)) AS value FROM (
+  SELECT *, base + moved AS position FROM (SELECT *, max(CASE WHEN event = 'exit' AND syscall = 'openat' THEN 0 WHEN event = 'exit' AND syscall = 'lseek' THEN bytes END) OVER (PARTITION BY {key}, part) AS base,
+      sum(CASE WHEN event = 'exit' AND syscall = '{call}' AND bytes > 0 THEN bytes ELSE 0 END) OVER (PARTITION BY {key}, part ORDER BY timestamp_ns, seq) AS moved
+    FROM (SELECT *, count(*) FILTER (WHERE (event = 'exit' AND syscall IN ('openat', 'lseek') AND bytes >= 0) OR (event = 'enter' AND syscall = 'close')) OVER (PARTITION BY {key} ORDER BY timestamp_ns, seq) AS part
+      FROM (SELECT *, CASE WHEN event = 'exit' AND syscall = 'openat' THEN bytes ELSE fd END AS kfd FROM fs_l) WHERE kfd IS NOT NULL))
+  WHERE event = 'enter' AND syscall = '{call}' AND part > 0 AND base IS NOT NULL)"""
 
-@query()
+
+def _density(name: str, bounds: str) -> str:
+    return f" UNION ALL SELECT label, '{name}', op, CAST({bin_sql(512)} AS DOUBLE), CAST(count(*) AS DOUBLE) FROM nvme_l, ({bounds}) x WHERE event = 'setup' GROUP BY label, op, {bin_sql(512)}"
+
+
+@query(dashboard_sql(BLOCK_L, "block", "op", "complete", ("q_inflight", "d_inflight"), _sector_gaps("block_l", "issue")))
 def block_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.layer_series(block_l(spark, sf_dir), ["label"], "block", ORDER, HOUR, 1000)
+    return reports.layer_series(block_l(spark, sf_dir), ["label"], "block", ORDER, HOUR, POINTS_SHOWN)
 
 
-@query()
+@query(
+    dashboard_sql(
+        NVME_L, "nvme", "op", "complete", ("inflight",), _sector_gaps("nvme_l", "setup"),
+        _density("lba_density", "SELECT min(sector) AS lo, max(sector + bytes // 512) AS hi FROM nvme WHERE event = 'setup'")
+        + _density(
+            "lba_density_local",
+            "SELECT max(sector) FILTER (WHERE i = floor(0.01 * (n - 1) + 0.5)) AS lo, max(sector) FILTER (WHERE i = floor(0.99 * (n - 1) + 0.5)) AS hi FROM "
+            "(SELECT sector, row_number() OVER (ORDER BY sector) - 1 AS i, count(*) OVER () AS n FROM nvme WHERE event = 'setup')",
+        ),
+    )
+)
 def nvme_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.layer_series(nvme_l(spark, sf_dir), ["label"], "nvme", ORDER, HOUR, 1000)
+    return reports.layer_series(nvme_l(spark, sf_dir), ["label"], "nvme", ORDER, HOUR, POINTS_SHOWN)
 
 
-@query()
+@query(dashboard_sql(FS_L, "fs", "syscall", "exit", ("inflight",), _fs_gaps("read") + " UNION ALL " + _fs_gaps("write")))
 def fs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.layer_series(fs_l(spark, sf_dir), ["label"], "fs", ORDER, HOUR, 1000)
+    return reports.layer_series(fs_l(spark, sf_dir), ["label"], "fs", ORDER, HOUR, POINTS_SHOWN)
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "dimensions"]
