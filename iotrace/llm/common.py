@@ -1,13 +1,12 @@
-"""Helpers shared by the corpus operators: text columns, shared storage, connected components."""
+"""Helpers shared by the corpus operators: text columns, id buckets, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iotrace.storage import materialize
+
 #: The white space that separates words (space, tab to carriage return).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -15,35 +14,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="iotrace-"))
-        configured = spark.sparkContext.getCheckpointDir()
-    return configured.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
-
-
-def words(text: Column) -> Column:
-    """Words of a text as an array; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
-
-
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id."""
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % modulus).cast("int"), F.lit(-1))

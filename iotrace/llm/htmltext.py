@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import materialize
+from iotrace.storage import materialize
 
 #: Fixed values of HTML and of common page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from iotrace.llm.common import WORD_REGEX, materialize
+from iotrace.llm.common import WORD_REGEX
+from iotrace.storage import materialize
 
 #: Weights of the sources in code-point order, and the limit on repeats of a document.
 WEIGHTS = (5, 2, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import materialize
+from iotrace.storage import materialize
 
 #: Kinds in order with their patterns. ``\G`` and the look-behinds keep a scan from starting again
 #: inside a run it has already read, and possessive repeats keep it from going back; matches are the same.

@@ -8,7 +8,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_CLASS, materialize
+from iotrace.llm.common import ASCII_LOWER, ASCII_UPPER, SPACE_CLASS
+from iotrace.storage import materialize
 
 #: The characters counted as symbols, and the base limits.
 SYMBOLS = "#*$%&|<>"

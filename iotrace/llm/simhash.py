@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import connected_components, materialize
+from iotrace.llm.common import connected_components
+from iotrace.storage import materialize
 
 #: The shingle hash is XXH64 with seed 42; A-Z are lowered, other letters are not.
 SEED = 42

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iotrace.llm.common import materialize
+from iotrace.storage import materialize
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Neutral names of groups of people, in sets within which one may stand for another.
