@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import decontam, langid, mixing, pii, simhash
+from iotrace.llm import decontam, langid, mixing, nearcopies, pii
 from iotrace.llm.common import bucket_of
 from iotrace.storage import shared_path
 
@@ -22,8 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group, once; rows without an id stay."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    """Keep the document with the least id of each near-duplicate group, once; rows without an id stay.
+
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    copies = nearcopies.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
     kept = docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
