@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+_FIRST_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _READ = 1 << 20
 
 
@@ -111,7 +113,7 @@ class _Window:
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
-    """The data and end of a gzip member at ``at`` if it decodes and its data begins as a WARC record."""
+    """The data and end of a gzip member at ``at`` if it decodes and is empty or begins with a WARC version line."""
     inflate, out, pos, seen = zlib.decompressobj(31), [], at, 0
     try:
         while not inflate.eof:
@@ -127,11 +129,12 @@ def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
                     return None
     except zlib.error:
         return None
-    return b"".join(out), pos - len(inflate.unused_data)
+    data = b"".join(out)
+    return (data, pos - len(inflate.unused_data)) if not data or _FIRST_LINE.match(data) else None
 
 
 def scan(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, data) of each record that starts in [start, end); the last one may end beyond."""
+    """(offset, data) of each record that starts in [start, end); the last one may end beyond. Empty members are no records."""
     w, at = _Window(file, size, start), start
     while at < end:
         hit = w.buf.find(MAGIC, at - w.base)
@@ -146,7 +149,8 @@ def scan(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             return
         w.drop(at)
         if found := _member(w, at):
-            yield at, found[0]
+            if found[0]:
+                yield at, found[0]
             at = found[1]
         else:
             at += 1

@@ -84,3 +84,20 @@ def test_ranges_own_the_records_that_start_in_them():
 def test_long_records_end_in_zero(monkeypatch):
     empty = gzip.compress(b"", mtime=0)
     assert empty[-1] == 0 and gzip.decompress(gzip.compress(b"x", mtime=0) + empty) == b"x"
+
+
+def test_responses_over_16_mib_round_trip(spark, tmp_path):
+    long = "a long page \x00 \x1f\x8b\x08 " * (1 << 20)
+    rows = [(1, "u1", "before"), (2, "u2", long), (3, "u3", "between"), (4, "u4", long + "!"), (5, "u5", long), (6, "u6", "after")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write(warc.roles(df).coalesce(1), str(tmp_path / "w"))
+    want = {(1, "before"), (2, None), (3, "between"), (4, long + "!"), (5, long), (6, "after")}
+    for split in (8 << 20, 1 << 15, 1000):
+        got = warc.read(spark, str(tmp_path / "w"), split_bytes=split, payload=True).collect()
+        assert len(got) == 6 and {(r.page_id, r.payload and bytes(r.payload).decode()) for r in got} == want
+
+
+def test_members_without_a_version_line_are_no_records():
+    good = gzip.compress(warc.record(1, None, "x", 1, "D", "response", None), mtime=0)
+    data = gzip.compress(b"", mtime=0) + gzip.compress(b"WARC", mtime=0) + good + gzip.compress(b"", mtime=0)
+    assert [at for at, _ in warc.scan(io.BytesIO(data), len(data), 0, len(data))] == [data.index(good)]
