@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -27,7 +27,7 @@ CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "t
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = frozenset("ul ol dl table article section div main body".split())
 FURNITURE = frozenset(
-    "head script style noscript template svg math nav footer aside form button select input textarea iframe object "
+    "head script style noscript template svg math nav footer aside button select input textarea iframe object "
     "embed dialog menu canvas audio video map datalist".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -37,7 +37,15 @@ NAMES = frozenset(
     "comment comments respond discussion breadcrumb breadcrumbs pagination pager share sharing social related toolbar widget "
     "skip".split()
 )
+#: Parts that may stand beside such a name in a class or id without changing what it says.
+BESIDE = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer sticky fixed mobile desktop box bar "
+    "block area section container wrapper wrap panel list item items links link row col column group slot unit body form text "
+    "content title button buttons icon icons us to reader user js".split()
+)
 MAIN = frozenset(("article", "main"))
+#: Elements that may be deleted as template inside an article: boxes, not the paragraphs that a text is made of.
+BOX = frozenset("div section ul ol dl table figure details".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--|<!|<\?""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -47,30 +55,57 @@ _NAME = re.compile(r"[a-zA-Z]+")
 
 @dataclass
 class Node:
-    """An element: its name, the attributes that matter, and children that are elements or strings."""
+    """An element: its name, the attributes that matter, and children that are elements or strings.
+
+    ``size`` counts the characters of its text without white space and without what ``FURNITURE`` holds;
+    ``article`` tells whether it is or holds an article or main element with text.
+    """
 
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
     digest: int = 0
+    size: int = 0
+    article: bool = False
+
+
+class _Open:
+    """The elements that are open, with the places of each tag, so that no tag has to be searched for."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close all from place ``k`` on."""
+        while len(self.stack) > k:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, tags: Iterable[str], fence: Iterable[str]) -> None:
+        """Close the innermost of ``tags`` unless an element of ``fence`` was opened after it."""
+        k = self.last(tags)
+        if k and k > self.last(fence):
+            self.cut(k)
 
 
 def parse(page: str | None) -> Node:
-    """A tree of the page; end tags that open nothing are skipped, elements left open end with their parent."""
-    root, text = Node("#root"), page or ""
-    stack, at, n = [root], 0, len(text)
+    """A tree of the page; end tags that open nothing are skipped, elements left open end with their parent.
+
+    Takes time in proportion to the page, whatever is nested or left open in it.
+    """
+    text = page or ""
+    root, at, n = Node("#root"), 0, len(text)
+    opened = _Open(root)
 
     def say(s: str) -> None:
         if s:
-            stack[-1].children.append(htmllib.unescape(s))
-
-    def close(names: set[str] | frozenset[str], fence: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in fence:
-                return
+            opened.stack[-1].children.append(htmllib.unescape(s))
 
     while at < n:
         lt = text.find("<", at)
@@ -96,41 +131,48 @@ def parse(page: str | None) -> Node:
             continue
         tag, at = m[2].lower(), m.end()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            k = opened.last((tag,))
+            if k:
+                opened.cut(k)
+            elif tag == "p":
+                opened.stack[-1].children.append(Node("p"))
             continue
         if tag in CLOSES_P:
-            close({"p"}, FENCE)
+            opened.close(("p",), FENCE)
         if tag in CLOSES_SAME:
-            close(CLOSES_SAME[tag], FENCE - {tag})
+            opened.close(CLOSES_SAME[tag], FENCE - {tag})
         attrs = {k.lower(): htmllib.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
         node = Node(tag, {k: attrs[k] for k in ("id", "class", "role", "hidden", "aria-hidden", "style") if k in attrs})
-        stack[-1].children.append(node)
+        opened.stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}", re.I).search(text, at)
             node.children.append(text[at : end.start() if end else n])
             at = n if not end else (text.find(">", end.end()) + 1 or n)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            opened.push(node)
     return root
 
 
-def is_furniture(node: Node, in_main: bool) -> bool:
-    """Whether an element is no part of an article by its name, role, class or id; a header only outside articles."""
-    if node.tag in FURNITURE or (node.tag == "header" and not in_main):
+def named_furniture(node: Node) -> bool:
+    """Whether a class or the id says so: all parts of one are names of page furniture or go beside them."""
+    for key in ("class", "id"):
+        for token in node.attrs.get(key, "").lower().split():
+            parts = _NAME.findall(token)
+            if not NAMES.isdisjoint(parts) and NAMES.union(BESIDE).issuperset(parts):
+                return True
+    return False
+
+
+def _declared(node: Node, in_main: bool) -> bool:
+    """Whether tag, role, style or name call an element no part of an article; a header only outside articles."""
+    if node.tag == "form" or (node.tag == "header" and not in_main):
         return True
     a = node.attrs
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    if node.tag in ("html", "body", "main"):
-        return False
-    return any(x.lower() in NAMES for key in ("class", "id") for x in _NAME.findall(a.get(key, "")))
+    return node.tag not in ("html", "body", "main") and named_furniture(node)
 
 
 def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
@@ -145,38 +187,60 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
             stack += [(c, True, inside) for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def hash_subtrees(root: Node) -> None:
-    """Give every element a 64-bit digest of its name, class, id, text and children's digests."""
+def measure(root: Node) -> None:
+    """Give every element its size, whether it holds an article, and a 64-bit digest of name, class, id, text and children."""
     for node, enter, _ in _walk(root):
         if not enter:
             h = hashlib.blake2b(digest_size=8)
             h.update(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}\0".encode("utf-8", "surrogatepass"))
             for c in node.children:
-                h.update(c.digest.to_bytes(8, "big", signed=True) if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "surrogatepass"))
+                if isinstance(c, Node):
+                    h.update(c.digest.to_bytes(8, "big", signed=True))
+                    if c.tag not in FURNITURE:
+                        node.size += c.size
+                        node.article |= c.article
+                else:
+                    words = c.split()
+                    h.update(" ".join(words).encode("utf-8", "surrogatepass"))
+                    node.size += sum(map(len, words))
                 h.update(b"\1")
+            node.article |= node.tag in MAIN and node.size > 0 and not named_furniture(node)
             node.digest = int.from_bytes(h.digest(), "big", signed=True)
 
 
-def template_candidates(root: Node) -> set[int]:
-    """Digests of the elements with text that may be template: those that neither lie in an article nor hold one.
+def is_furniture(node: Node, in_main: bool, page: Node) -> bool:
+    """Whether an element is left out: always by some tags, else if declared so and neither the article nor around it.
 
-    What an article holds is its own text even where other pages copy it.
+    An element that holds an article stays, and on a page without one an element that holds more than half of the text.
     """
-    holds: dict[int, tuple[bool, bool]] = {}
-    out = set()
+    if node.tag in FURNITURE:
+        return True
+    return _declared(node, in_main) and not node.article and (page.article or 2 * node.size <= page.size)
+
+
+def template_candidates(root: Node) -> tuple[set[int], int]:
+    """Digests of the elements with text that may be template, and what tells this page from others: its longest text.
+
+    No candidate holds an article or more than half of the page's text. Inside articles only boxes are candidates:
+    what an article says in its own paragraphs is its text even where other pages copy it.
+    """
+    out, longest = set(), ""
     for node, enter, main in _walk(root):
-        if not enter:
-            kids = [holds.pop(id(c)) for c in node.children if isinstance(c, Node)]
-            text = any(k[0] for k in kids) or any(isinstance(c, str) and c.strip() for c in node.children)
-            article = node.tag in MAIN or any(k[1] for k in kids)
-            holds[id(node)] = text, article
-            if text and not article and not main and node.tag not in ("#root", "html", "body", "head"):
+        if enter and node.tag not in FURNITURE:
+            longest = max([longest, *(c for c in node.children if isinstance(c, str))], key=len)
+        fit = node.tag in BOX if main else node.tag not in ("#root", "html", "body", "head")
+        if enter and fit and not node.article and any(not isinstance(c, str) or c.strip() for c in node.children):
+            if 2 * node.size <= root.size:
                 out.add(node.digest)
-    return out
+    own = hashlib.blake2b(" ".join(longest.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return out, int.from_bytes(own, "big", signed=True)
 
 
-def blocks(root: Node, templates: frozenset[int]) -> Iterator[tuple[str, bool]]:
-    """(text, whether in an article) of each block left, white space made one space, without empty blocks."""
+def blocks(root: Node, templates: frozenset[int], removed: list[int] | None = None) -> Iterator[tuple[str, bool]]:
+    """(text, whether in an article) of each block left, white space made one space, without empty blocks.
+
+    ``removed`` gets the digest of each template deleted.
+    """
     buf: list[str] = []
     was_main = False
 
@@ -193,7 +257,10 @@ def blocks(root: Node, templates: frozenset[int]) -> Iterator[tuple[str, bool]]:
             was_main = main
             buf.append(item)
         elif isinstance(item, Node):
-            if is_furniture(item, main) or (not main and item.digest in templates):
+            template = item.digest in templates and (item.tag in BOX or not main) and not item.article and 2 * item.size <= root.size
+            if template and removed is not None:
+                removed.append(item.digest)
+            if template or is_furniture(item, main, root):
                 if item.tag in BLOCK:
                     yield from flush()
                 continue
@@ -207,50 +274,50 @@ def blocks(root: Node, templates: frozenset[int]) -> Iterator[tuple[str, bool]]:
     yield from flush()
 
 
-def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's articles in page order, or of the whole page where no article has text."""
+def main_text(page: str | None, templates: frozenset[int] = frozenset(), article_share: float = 1 / 3, removed: list[int] | None = None) -> str:
+    """The blocks of the page's articles in page order if they hold ``article_share`` of the text left, else all blocks."""
     root = parse(page)
-    hash_subtrees(root)
-    found = list(blocks(root, templates))
+    measure(root)
+    found = list(blocks(root, templates, removed))
     inside = [t for t, main in found if main]
-    return "\n".join(inside or [t for t, _ in found])
+    if sum(map(len, inside)) >= article_share * sum(len(t) for t, _ in found):
+        return "\n".join(inside)
+    return "\n".join(t for t, _ in found)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1) -> DataFrame:
-    """``(host, digests)``: subtrees that at least ``min_pages`` and ``min_share`` of a host's pages have.
-
-    Each task adds up its pages' subtrees per host in bounded pieces, so a host with a third of all pages is no
-    hot key. A host's list is at most its subtrees a page over ``min_share``.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[tuple[str, int | None]] = Counter()
-
-        def out() -> pd.DataFrame:
-            hosts, digests = [h for h, _ in held], [d for _, d in held]
-            rows = {"host": pd.Series(hosts, dtype=object), "digest": pd.array(digests, dtype="Int64"), "n": pd.array(list(held.values()), dtype="int64")}
-            held.clear()
-            return pd.DataFrame(rows)
+def _candidate_rows(rows: DataFrame) -> DataFrame:
+    """``(host, page, digest, own)``: each page's template candidates, with a key of the page and what tells it apart."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                root = parse(page)
-                hash_subtrees(root)
-                held.update((host, d) for d in template_candidates(root))
-                held[host, None] += 1
-                if len(held) > 100_000:
-                    yield out()
-        yield out()
-
-    seen = pages.select("host", "html").mapInPandas(count, "host string, digest bigint, n bigint").groupBy("host", "digest").agg(F.sum("n").alias("n"))
-    seen = materialize(seen.where(F.col("digest").isNull() | (F.col("n") >= min_pages)), "subtrees")
-    whole = seen.where("digest is null").select("host", F.col("n").alias("pages"))
-    often = seen.where("digest is not null").join(whole, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("digest").alias("digests"))
+            host, page, digest, own = [], [], [], []
+            for h, key, html in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
+                root = parse(html)
+                measure(root)
+                found, name = template_candidates(root)
+                digest += found
+                host += [h] * len(found)
+                page += [key] * len(found)
+                own += [name] * len(found)
+            at = {"page": page, "digest": digest, "own": own}
+            yield pd.DataFrame({"host": pd.Series(host, dtype=object), **{k: pd.Series(v, dtype="int64") for k, v in at.items()}})
+
+    return rows.select("host", "page", "html").mapInPandas(run, "host string, page bigint, digest bigint, own bigint")
+
+
+def site_templates(candidates: DataFrame, min_pages: int = 10) -> DataFrame:
+    """``(host, digest)``: subtrees that recur on at least ``min_pages`` pages of a host, copies of a page being one.
+
+    Pages are told apart by their longest text, so that an article which many pages copy is no template of theirs.
+    Hosts of fewer pages have no templates. Counts are combined before each shuffle, so a host with a third of all
+    pages is no hot key.
+    """
+    apart = candidates.select("host", "digest", "own").distinct()
+    return apart.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "digest")
 
 
 def extract(
@@ -259,24 +326,32 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     min_pages: int = 10,
-    min_share: float = 0.1,
     max_broadcast: int = 200_000,
 ) -> DataFrame:
-    """``(page_id, url, text)`` for every page, from its whole html.
+    """``(page_id, url, text, n_templates)`` for every page, from its whole html.
 
     Goes over the pages twice: once to count subtrees per host, once to delete those that recur together with
-    scripts, menus and other furniture and to return the text. Templates reach the pages by broadcast if they
-    are at most ``max_broadcast`` in number, which is counted, else by a join on the host. A null html has an
-    empty text; pages without a host count as one host; repeated rows are all returned.
+    scripts, menus and other furniture and to return the text; n_templates is how many the page lost. Templates
+    reach the pages by broadcast if they are at most ``max_broadcast`` in number, which is counted; beyond that
+    each page gets only its own, by joins on host and subtree and on host and page. A null html has an empty text;
+    pages without a host count as one host; repeated rows are all returned.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url")))
-    found = materialize(site_templates(rows, min_pages, min_share), "templates")
-    total = found.agg(F.sum(F.size("digests"))).first()[0] or 0
-
-    @F.pandas_udf("string")
-    def text(html: pd.Series, digests: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(d) if d is not None else frozenset()) for h, d in zip(html, digests, strict=True)], dtype=object)
-
-    joined = rows.join(F.broadcast(found) if total <= max_broadcast else found, "host", "left")
-    return joined.select("page_id", "url", text("html", "digests").alias("text"))
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64(F.coalesce("html", F.lit(""))))
+    candidates = materialize(_candidate_rows(rows), "subtrees")
+    found = materialize(site_templates(candidates, min_pages), "templates")
+
+    @F.pandas_udf("text string, n_templates bigint")
+    def text(html: pd.Series, digests: pd.Series) -> pd.DataFrame:
+        out = []
+        for page, known in zip(html, digests, strict=True):
+            removed: list[int] = []
+            out.append((main_text(page, frozenset(known) if known is not None else frozenset(), removed=removed), len(removed)))
+        return pd.DataFrame(out, columns=["text", "n_templates"])
+
+    if found.count() <= max_broadcast:
+        joined = rows.join(F.broadcast(found.groupBy("host").agg(F.collect_set("digest").alias("digests"))), "host", "left")
+    else:
+        hits = candidates.join(found, ["host", "digest"]).groupBy("host", "page").agg(F.collect_set("digest").alias("digests"))
+        joined = rows.join(hits, ["host", "page"], "left")
+    return joined.select("page_id", "url", text("html", "digests").alias("x")).select("page_id", "url", "x.text", "x.n_templates")

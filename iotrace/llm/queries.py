@@ -28,7 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     out = htmltext.extract(table(spark, sf_dir, "pages"))
-    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_templates")
 
 
 def op3_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

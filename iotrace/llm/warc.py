@@ -10,16 +10,17 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.storage import shared_path
+from iotrace.storage import materialize, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 #: Names and values of the format.
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _FIRST_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 _READ = 1 << 20
 
@@ -33,24 +34,36 @@ def payload_of(html: str | None) -> bytes:
     return (html or "").encode("utf-8", "surrogatepass")
 
 
-def roles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
+def base32(sha1_hex: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal: five hexadecimal digits are four letters."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(sha1_hex, 5 * i + 1, F.lit(5)), 16, 10).cast("int"))
+    letter = lambda x, k: F.substring(F.lit(ALPHABET), F.shiftright(x, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1))
+    return F.array_join(F.transform(words, lambda x: F.concat(*[letter(x, k) for k in range(4)])), "")
+
+
+def roles(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", min_bytes: int = 0, max_broadcast: int = 200_000
+) -> DataFrame:
     """``(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to)`` for every page.
 
+    Only digests and ids are shuffled to find the payloads that occur twice; these come back by a broadcast if
+    they are at most ``max_broadcast``, which is counted, else by a join that moves the pages.
+
     Of equal payloads of at least ``min_bytes`` the row with the largest id is the response and the others revisit
     it; smaller ones are all responses. A null html is an empty payload. A row without an id revisits the largest
     id of its payload, if there is one; repeated rows with the largest id are all responses.
     """
 
-    @F.pandas_udf("n bigint, digest string")
-    def measure(html: pd.Series) -> pd.DataFrame:
-        raw = [payload_of(h) for h in html]
-        return pd.DataFrame({"n": [len(r) for r in raw], "digest": [payload_digest(r) for r in raw]})
-
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("m", measure("html")).select("page_id", "url", "html", F.col("m.n").alias("payload_bytes"), F.col("m.digest").alias("payload_digest"))
-    largest = rows.groupBy("payload_digest").agg(F.max("page_id").alias("largest"))
-    revisit = (F.col("payload_bytes") >= min_bytes) & F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    return rows.join(largest, "payload_digest").select(
+    payload = F.coalesce("html", F.lit(""))
+    rows = rows.withColumn("payload_bytes", F.octet_length(payload).cast("bigint")).withColumn("payload_digest", base32(F.sha1(payload)))
+    repeated = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+    repeated = repeated.agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 and largest is not null")
+    repeated = materialize(repeated.select("payload_digest", "largest"), "repeated-payloads")
+    if repeated.count() <= max_broadcast:
+        repeated = F.broadcast(repeated)
+    revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    return rows.join(repeated, "payload_digest", "left").select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("largest")).alias("refers_to"),
@@ -97,10 +110,10 @@ def write(records: DataFrame, path: str) -> None:
 
 
 class _Window:
-    """A byte window over an open file that moves forward and keeps little."""
+    """A byte window over an open file that moves forward; it keeps what lies behind the last ``drop``."""
 
     def __init__(self, file, size: int, start: int) -> None:
-        self.file, self.size, self.base, self.buf = file, size, start, b""
+        self.file, self.size, self.base, self.buf = file, size, start, bytearray()
         file.seek(start)
 
     def grow(self) -> bool:
@@ -109,7 +122,8 @@ class _Window:
         return bool(more)
 
     def drop(self, to: int) -> None:
-        self.buf, self.base = self.buf[to - self.base :], to
+        del self.buf[: to - self.base]
+        self.base = to
 
 
 def _member(w: _Window, at: int) -> tuple[bytes, int] | None:
@@ -178,11 +192,12 @@ def parse(data: bytes) -> dict:
 FIELDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, payload: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, payload: bool = False, max_tasks: int = 100_000) -> DataFrame:
     """Records of the archives at ``path``; with ``payload`` also the payload, null for revisits.
 
-    Spark lists the files; each is cut into ranges of ``split_bytes``, one row and task-sized piece each. A task
-    looks for gzip magic in its range, takes a candidate only if its header and the record's first line decode,
+    Spark lists the files; each is cut into ranges of ``split_bytes``. Ranges are dealt to as many partitions as
+    there are ranges (at most ``max_tasks``, which then read several), so each is a task of its own. A task holds
+    one record at a time, whole. It looks for gzip magic in its range, takes a candidate only if its header and the record's first line decode,
     and owns the records that start inside. Within a range it goes from the end of one record to the next, so
     bytes that look like a member inside another are not met. An empty folder gives no rows.
     """
@@ -208,10 +223,11 @@ def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, payload: bo
 
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"))
-    return ranges.repartition("path", "start").mapInPandas(run, fields)
+    n_ranges = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(n_ranges), max_tasks)).mapInPandas(run, fields)
 
 
-def archive(pages: DataFrame, min_bytes: int = 0, split_bytes: int = 8 << 20) -> DataFrame:
+def archive(pages: DataFrame, min_bytes: int = 0, split_bytes: int = 4 << 20) -> DataFrame:
     """Write all pages as archives in the shared folder and read the records back."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")

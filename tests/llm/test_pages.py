@@ -2,6 +2,11 @@
 
 import gzip
 import io
+import random
+import re
+import time
+
+import pytest
 
 from iotrace.llm import htmltext, warc
 
@@ -23,6 +28,65 @@ def test_article_text():
     assert htmltext.main_text("<!-- <p>no</p> --><p>yes") == "yes"
 
 
+BODY = "<p>" + "A long enough article about things. " * 9 + "</p>"
+WANT = ("A long enough article about things. " * 9).strip()
+
+
+@pytest.mark.parametrize("page", [
+    f"<article class='post has-sidebar'>{BODY}</article>",
+    f"<article class='post-12 comment-closed'>{BODY}<div class='comments'><p>first!</p></div></article>",
+    f"<div class='content-with-sidebar'>{BODY}</div>",
+    f"<body><form id='aspnet'>{BODY}<input value='x'></form></body>",
+    f"<body><div class='page header'>{BODY}</div></body>",
+    f"<div class='site-header'>Top</div>{BODY}<div class='cookie-notice'>We use cookies</div>",
+    f"<article>{BODY}</article><div id='comments'><article class='comment-body'>{'I say this. ' * 60}</article></div>",
+])
+def test_articles_are_not_emptied(page):
+    assert htmltext.main_text(page) == WANT
+
+
+def test_a_teaser_does_not_silence_the_page():
+    page = f"<div id='content'>{BODY}</div><article><h3>Teaser</h3></article>"
+    assert htmltext.main_text(page) == f"{WANT}\nTeaser"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<p><div>" + "<b>" * 30_000 + "<p></p>" * 30_000, "<li>" * 50_000, "<a x='>" * 30_000, "</i>" * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    htmltext.main_text(page)
+    assert time.time() - began < 5
+
+
+def test_templates_against_a_plain_count(spark):
+    rng = random.Random(12)
+    word = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    boxes = [f"<div class='b{k}'><p>{word(6)}</p></div>" for k in range(12)]
+    rows, says = [], {}
+    for i in range(160):
+        host = f"h{i % 4}.org" if i % 3 else "hot.org"
+        some = rng.sample(range(12), rng.randrange(0, 5)) if i % 4 else [0]
+        text = word(60) if i % 10 else "copied " * 60  # sixteen copies of one article
+        main = rng.choice(["article", "main", "div"])
+        rows.append((i, f"http://{host}/{i}", f"<body>{boxes[some[0]] if some else ''}<{main}><p>{text}</p>{''.join(boxes[k] for k in some[1:])}</{main}></body>"))
+        says[i] = host, some, text.strip()
+    apart = {}
+    for host, some, text in says.values():
+        for k in some:
+            apart.setdefault((host, k), set()).add(text)
+    plain = lambda b: re.sub("<[^>]*>", "", b)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for most in (200_000, 0):
+        got = {r.page_id: (r.text, r.n_templates) for r in htmltext.extract(df, min_pages=7, max_broadcast=most).collect()}
+        lost = 0
+        for i, (host, some, text) in says.items():
+            gone = [k for k in some if len(apart[host, k]) >= 7]
+            left = [plain(boxes[k]) for k in some[:1] if k not in gone and "<div><p>" + text in rows[i][2]]
+            left += [text, *(plain(boxes[k]) for k in some[1:] if k not in gone)]
+            assert got[i] == ("\n".join(left), len(gone)), (rows[i], gone)
+            lost += len(gone)
+        assert lost > 100
+
+
 def test_templates_are_counted_per_host(spark):
     frame = "<div><b>Site motto</b></div>"
     rows = [(i, f"http://a.org/{i}", f"<body>{frame}<section><p>unique text {i}</p></section></body>") for i in range(30)]
