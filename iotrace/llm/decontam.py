@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iotrace.storage import materialize
+
 _TOKEN = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+
 def tokens(text: str | None) -> list[str]:
     """Lower-cased runs of letters, digits and underscores; marks and white space do not count."""
     return _TOKEN.findall((text or "").lower())
@@ -136,44 +141,63 @@ def _searcher(shared):
     return search
 
 
-def matcher(
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, error_rate: float, min_words: int, block_chars: int) -> Iterator[Index]:
+    """The benchmark's items in blocks of about ``block_chars``, as many as its measured size needs, one at a time."""
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = chars // block_chars + 1
+    for k in range(n_blocks):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else rows
+        got = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r))
+        yield Index.build(got, error_rate, min_words)
+
+
+def _found(
+    docs: DataFrame,
     benchmark: DataFrame,
+    look: Callable[[DataFrame, Callable[[Column], Column]], DataFrame],
     id_col: str = "item_id",
     text_col: str = "text",
     error_rate: float = 0.2,
     min_words: int = 8,
     block_chars: int = 20_000_000,
-):
-    """A function from a text column to the items found in it, ``array<item_id, distance, first_word, n_words>``.
+) -> Iterator[DataFrame]:
+    """``look(docs, find)`` for each block of the benchmark, where ``find`` gives the items of the block in a text.
 
-    Edits are of words: an item of n words may differ by ``error_rate * n`` inserted, lost or changed words
-    anywhere, one of fewer than ``min_words`` by none; items without words match nothing. The benchmark goes to
-    the tasks in blocks of about ``block_chars``, as many as its measured size needs, each searched against every
-    whole text, so that what a task holds does not follow the benchmark.
+    Driver and tasks hold one block at a time. With more than one, each result is written before the next block
+    is read.
     """
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = chars // block_chars + 1
-    udfs = []
-    for k in range(n_blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else rows
-        got = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r))
-        udfs.append(_searcher(spark.sparkContext.broadcast(Index.build(got, error_rate, min_words))))
-    return lambda text: F.concat(*[u(text) for u in udfs])
+    spark, last = docs.sparkSession, None
+    for index in _blocks(benchmark, id_col, text_col, error_rate, min_words, block_chars):
+        if last is not None:
+            shared, out = last
+            yield materialize(out, "items-found")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+        last = shared, look(docs, _searcher(shared))
+    yield last[1]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, item_id, distance, first_word, n_words)``: one row for each document and test item found in it.
 
-    Documents that hold no item give no row; a null text holds none; repeated rows each give theirs. Of equal
-    distances the first place in the text counts.
+    Edits are of words: an item of n words may differ by ``error_rate * n`` inserted, lost or changed words
+    anywhere, one of fewer than ``min_words`` by none; items without words match nothing. The benchmark is
+    searched for in blocks of about ``block_chars``, one at a time, each in every whole text, so what driver and
+    tasks hold does not follow its size. Documents that hold no item give no row; a null text holds none; repeated
+    rows each give theirs. Of equal distances the first place in the text counts.
     """
-    find = matcher(benchmark, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("found"))
-    return rows.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+
+    def look(rows: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
+        out = rows.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("found"))
+        return out.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+
+    return functools.reduce(DataFrame.unionByName, _found(docs, benchmark, look, **options))
 
 
-def is_clean(text: Column, benchmark: DataFrame, **options) -> Column:
-    """True where a text holds no test item."""
-    return F.size(matcher(benchmark, **options)(text)) == 0
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item; a null text holds none. Blocks are searched in what earlier ones left."""
+    left = [docs]
+    for out in _found(docs, benchmark, lambda _, find: left[-1].where(F.size(find(F.col(text_col))) == 0), **options):
+        left.append(out)
+    return left[-1]

@@ -62,7 +62,10 @@ def codewords(n: int) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Languages, their codewords, and one weight per hashed n-gram and bit."""
+    """Languages, their codewords, and one weight per hashed n-gram and bit.
+
+    ``pure_gap`` is how much farther the second codeword is than the first in text of each language alone.
+    """
 
     langs: list[str]
     code: np.ndarray
@@ -71,23 +74,31 @@ class LanguageModel:
     bits: int
     sharpness: float
     min_gap: float
+    pure_gap: np.ndarray
+
+    def losses(self, margin: np.ndarray) -> np.ndarray:
+        """How far each codeword is from the outputs of the classifiers."""
+        return (self.reliability * np.logaddexp(0.0, -self.code * margin * self.sharpness)).sum(1)
 
     def decode(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, ambiguous); texts without letters, and models without languages, give ``und`` and 0."""
+        """(language, score, ambiguous); texts without letters, and models without languages, give ``und`` and 0.
+
+        Ambiguous are texts whose second codeword is nearer than ``min_gap`` of what it is in text of the first
+        language alone, as in texts of two languages in nearly equal parts.
+        """
         sym = symbols(text)
         if not len(sym) or not self.langs:
             return UNKNOWN, 0.0, True
         ids = ngram_ids(sym, self.bits)
-        margin = self.weights[ids].sum(0, dtype=np.float64) / (len(ids) + 8.0) * self.sharpness
-        loss = (self.reliability * np.logaddexp(0.0, -self.code * margin)).sum(1)
+        loss = self.losses(self.weights[ids].sum(0, dtype=np.float64) / (len(ids) + 8.0))
         post = np.exp(loss.min() - loss)
         post /= post.sum()
         order = np.argsort(loss, kind="stable")
-        gap = post[order[0]] - post[order[1]] if len(order) > 1 else 1.0
-        return self.langs[order[0]], float(post[order[0]]), bool(gap < self.min_gap)
+        close = len(order) > 1 and loss[order[1]] - loss[order[0]] < self.min_gap * self.pure_gap[order[0]]
+        return self.langs[order[0]], float(post[order[0]]), bool(close)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_langs: int = 512, sharpness: float = 6.0, min_gap: float = 0.02) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = 16, max_langs: int = 512, sharpness: float = 6.0, min_gap: float = 0.25) -> LanguageModel:
     """Learn from all rows with a language.
 
     Each task adds up hashed n-gram counts per language; their sum over all rows is languages x 2**bits numbers,
@@ -115,7 +126,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
     if len(got) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not got:
-        return LanguageModel([], codewords(0), np.zeros((1 << bits, 1), np.float32), np.ones(1), bits, sharpness, min_gap)
+        return LanguageModel([], codewords(0), np.zeros((1 << bits, 1), np.float32), np.ones(1), bits, sharpness, min_gap, np.zeros(0))
     counts = np.zeros((len(got), 1 << bits))
     for i, row in enumerate(got):
         counts[i, row["gram"]] = row["n"]
@@ -131,8 +142,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
         weights.append(w)
         gaps = share @ w * col  # expected margin of each language under this classifier
         trust.append(max(0.05, float(gaps.min())))
-    trust = np.array(trust)
-    return LanguageModel(langs, code, np.array(weights, np.float32).T, trust / trust.mean(), bits, sharpness, min_gap)
+    trust, table = np.array(trust), np.array(weights, np.float32).T
+    model = LanguageModel(langs, code, table, trust / trust.mean(), bits, sharpness, min_gap, np.zeros(len(langs)))
+    for i, margin in enumerate(share @ table):
+        loss = model.losses(margin)
+        model.pure_gap[i] = max(np.delete(loss, i).min() - loss[i], 0.0) if len(langs) > 1 else 0.0
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out_col: str = "language") -> DataFrame:

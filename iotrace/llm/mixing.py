@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +89,51 @@ def balance(sizes: DataFrame, plan: list, cap: float = MAX_COPIES, rounds: int =
     return {s: round(t, 9) if math.isfinite(t) else t for s, t in tilt.items()}
 
 
-def mix(
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with ``_source``, ``_size``, the number of words, and ``_draw``, a number in 0..1 drawn from id and text."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_REGEX)), F.lit(0)).cast("bigint")
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("mix")), 11) / F.lit(float(1 << 53))
+    return docs.withColumns({"_source": F.col(source_col), "_size": size, "_draw": draw})
+
+
+def _rated(sized: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+    """Rows of ``_sized`` with the columns of their source's plan, ``rate``, ``base`` copies and the bins of the draw."""
+    out = sized.join(F.broadcast(plan.withColumnRenamed("source", "__source")), sized["_source"].eqNullSafe(F.col("__source"))).drop("__source")
+    rate = F.when(F.col("tilt") == math.inf, float(cap)).when(F.col("tilt") == -math.inf, 0.0)
+    rate = rate.otherwise(F.exp(F.least(F.lit(math.log(cap)), F.col("tilt") * F.col("_size") / F.coalesce("largest", F.lit(1)))))
+    out = out.withColumn("rate", F.least(rate, F.lit(float(cap)))).withColumn("base", F.floor("rate").cast("int"))
+    p = (F.col("rate") - F.col("base") - F.col("_draw") + 1.0) * (_BINS / 2)
+    return out.withColumn("b1", F.floor(p).cast("int")).withColumn("b2", F.floor((p - F.floor(p)) * _BINS).cast("int"))
+
+
+@dataclass
+class Mix:
+    """What decides how often a document is taken: each source's plan, and single documents that get one copy more or less."""
+
+    plan: DataFrame
+    moves: DataFrame
+    cap: int
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", out_col: str = "mix") -> DataFrame:
+        """``docs`` with a struct column ``out_col(size, source_size, target, rate, copies)``; both tables are broadcast, one and a few rows a source."""
+        packed = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_from"))
+        out = self.chosen(_sized(packed, "doc_id", "_text", "_from"), "_doc")
+        keep = [F.col("_doc")[c].alias(c) for c in docs.columns if c != out_col]
+        return out.select(*keep, F.struct("size", "source_size", "target", "rate", "copies").alias(out_col))
+
+    def chosen(self, sized: DataFrame, keep: str) -> DataFrame:
+        """``(keep, size, source_size, target, rate, copies)`` of rows of ``_sized`` that have a ``doc_id``."""
+        rated = _rated(sized, self.plan, self.cap)
+        more = F.expr(f"base < {self.cap} and (b1 > cut1 or (b1 = cut1 and b2 >= cut2))").cast("int")
+        moves = self.moves.select(F.col("sid").alias("__sid"), F.col("doc_id").alias("__id"), F.col("draw").alias("__draw"), "step")
+        same = (rated["sid"] == F.col("__sid")) & (rated["doc_id"] == F.col("__id")) & (rated["_draw"] == F.col("__draw"))
+        out = rated.join(F.broadcast(moves), same, "left")
+        return out.select(
+            rated[keep], F.col("_size").alias("size"), "source_size", "target", "rate", (F.col("base") + more + F.coalesce("step", F.lit(0))).alias("copies")
+        )
+
+
+def solve(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -98,33 +143,30 @@ def mix(
     cap: int = MAX_COPIES,
     max_sources: int = 100_000,
     corrections: int = 3,
-) -> DataFrame:
-    """``(doc_id, size, source_size, target, rate, copies, taken)`` for every row.
+) -> tuple[Mix, DataFrame]:
+    """The mix of ``docs``, and its rows ``(doc_id, _source, _size, _draw)`` as they were counted.
 
     Rates solve the entropy-balancing dual of the source token constraints, at most ``cap``. They are rounded
     into whole copies: a document gets floor(rate), and one more if its rate's fraction less a number drawn from
-    its id reaches the cut that brings its source nearest to the target. Cuts come from two passes of a histogram
-    of 4096 bins a source, so no task holds a source. What is left of the gap, less than a document, is narrowed by
-    ``corrections`` single documents a source that gain or lose the copy whose size is nearest to it. Null texts have size 0; a null id draws as its own value;
-    repeated rows fall on the same side of the cut. ``max_sources`` bounds what the driver holds (one row a
-    source); more is an error.
+    its id and text reaches the cut that brings its source nearest to the target. Cuts come from two passes of a
+    histogram of 4096 bins a source, so no task holds a source. What is left of the gap, less than a document, is
+    narrowed by at most ``corrections`` single documents a source, chosen from one row a size and number of copies.
+
+    Null texts have size 0; rows that agree in id and text fall on the same side of the cut. ``max_sources``
+    bounds what the driver holds (one row a source); more is an error.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_REGEX)), F.lit(0)).cast("bigint")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    counts = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    spark = docs.sparkSession
+    rows = _sized(docs, id_col, text_col, source_col).select(F.col(id_col).alias("doc_id"), "_source", "_size", "_draw")
+    rows = materialize(rows, "sizes")
+    counts = materialize(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("n")), "size-counts")
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     plan = targets(totals, weights, share, cap).take(max_sources + 1)
     if len(plan) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    spark = docs.sparkSession
     schema = "source string, sid int, source_size bigint, target double"
     planned = spark.createDataFrame([(r["source"], r["sid"], r["source_size"], float(r["target"])) for r in plan], schema)
     known = F.broadcast(planned.withColumnRenamed("source", "_source"))
-
-    def planned_rows(left: DataFrame) -> DataFrame:
-        return left.join(known, left["source"].eqNullSafe(F.col("_source"))).drop("_source")
-
-    sized = planned_rows(counts.where("size > 0"))
+    sized = counts.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     largest = F.broadcast(sized.groupBy("sid").agg(F.max("size").alias("largest")))
     sized = sized.join(largest, "sid").withColumn("z", F.col("size") / F.col("largest"))
     sized = materialize(sized.select("sid", "size", "n", "z", "largest"), "size-counts")
@@ -132,36 +174,48 @@ def mix(
     tilted = spark.createDataFrame([(s, t) for s, t in tilts.items()], "sid int, tilt double").join(
         sized.groupBy("sid").agg(F.max("largest").alias("largest")), "sid", "left"
     )
-    log_cap = math.log(cap)
-    rate = F.when(F.col("tilt") == math.inf, float(cap)).when(F.col("tilt") == -math.inf, 0.0)
-    rate = rate.otherwise(F.exp(F.least(F.lit(log_cap), F.col("tilt") * F.col("size") / F.coalesce("largest", F.lit(1)))))
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 11) / F.lit(float(1 << 53))
-    rated = planned_rows(rows).join(F.broadcast(tilted), "sid").withColumn("rate", F.least(rate, F.lit(float(cap))))
-    rated = rated.withColumn("base", F.floor("rate").cast("int"))
-    p = (F.col("rate") - F.col("base") - draw + 1.0) * (_BINS / 2)
-    rated = rated.withColumn("b1", F.floor(p).cast("int")).withColumn("b2", F.floor((p - F.floor(p)) * _BINS).cast("int"))
-    rated = materialize(rated.select("doc_id", "sid", "size", "source_size", "target", "rate", "base", "b1", "b2"), "rates")
-    cuts = _cuts(rated, cap)
+    planned = materialize(planned.join(tilted, "sid"), "plan")
+    rated = _rated(rows, planned, cap).select("doc_id", "sid", "_size", "_draw", "source_size", "target", "rate", "base", "b1", "b2")
+    rated = materialize(rated.withColumnRenamed("_size", "size"), "rates")
+    planned = materialize(planned.join(_cuts(rated, cap), "sid", "left").na.fill({"cut1": _BINS, "cut2": _BINS}), "plan")
+    return Mix(planned, _moves(rated, planned, cap, corrections), cap), rows
+
+
+def _moves(rated: DataFrame, planned: DataFrame, cap: int, corrections: int) -> DataFrame:
+    """``(sid, doc_id, draw, step)``: documents that gain or lose a copy, each of which brings its source nearer to the target.
+
+    The documents of a source that have one size and number of copies are dealt to ``corrections`` cells by hash,
+    for each of which the least id stands; a cell is used once. Choices are made over the cells; rows are read once for them and once to leave out those
+    choices that name more than one row.
+    """
     more = F.expr(f"base < {cap} and (b1 > cut1 or (b1 = cut1 and b2 >= cut2))").cast("int")
-    out = rated.join(F.broadcast(cuts), "sid").withColumn("copies", F.col("base") + more)
-    out = out.select("doc_id", "sid", "size", "source_size", "target", "rate", "copies")
+    taken = rated.join(F.broadcast(planned.select("sid", "cut1", "cut2")), "sid").withColumn("copies", F.col("base") + more)
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(max(corrections, 1))).alias("part")
+    cells = taken.groupBy("sid", "target", "size", "copies", part).agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_draw"))).alias("who"))
+    cells = materialize(cells, "mix-cells")
+    gaps = cells.groupBy("sid", "target").agg(F.sum(F.col("size") * F.col("copies") * F.col("n")).alias("taken")).select("sid", (F.col("target") - F.col("taken")).alias("gap"))
+    free, moves = cells.where("who is not null and size > 0"), None
     for _ in range(corrections):
-        out = _corrected(out, cap)
-    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def _corrected(mixed: DataFrame, cap: int) -> DataFrame:
-    """One document a source gains or loses a copy, where that brings its source nearer to the target."""
-    mixed = materialize(mixed, "mixed")
-    gaps = mixed.groupBy("sid", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
-    gaps = gaps.select("sid", (F.col("target") - F.col("taken")).alias("gap"))
-    step = F.when((F.col("gap") > 0) & (F.col("copies") < cap), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
-    moves = mixed.join(F.broadcast(gaps), "sid").withColumn("step", step).where("step is not null and doc_id is not null and size > 0")
-    off = F.abs(F.col("gap") - F.col("step") * F.col("size"))
-    moves = moves.where(off < F.abs("gap")).groupBy("sid").agg(F.min(F.struct(off.alias("off"), "doc_id", "step")).alias("x"))
-    moves = moves.select("sid", F.col("x.doc_id").alias("doc_id"), F.col("x.step").alias("step"))
-    out = mixed.join(F.broadcast(moves), ["sid", "doc_id"], "left")
-    return out.select("doc_id", "sid", "size", "source_size", "target", "rate", (F.col("copies") + F.coalesce("step", F.lit(0))).alias("copies"))
+        step = F.when((F.col("gap") > 0) & (F.col("copies") < cap), 1).when((F.col("gap") < 0) & (F.col("copies") > 0), -1)
+        off = F.abs(F.col("gap") - F.col("step") * F.col("size"))
+        near = free.join(F.broadcast(gaps), "sid").withColumn("step", step).where("step is not null").where(off < F.abs("gap"))
+        best = near.groupBy("sid").agg(F.min(F.struct(off.alias("off"), F.col("who"), F.col("size"), F.col("copies"), F.col("part"), F.col("step"))).alias("x"))
+        best = materialize(best.select("sid", "x.*"), "mix-moves")
+        moves = best if moves is None else moves.unionByName(best)
+        gaps = materialize(gaps.join(best.select("sid", (F.col("step") * F.col("size")).alias("by")), "sid", "left").select("sid", (F.col("gap") - F.coalesce("by", F.lit(0))).alias("gap")), "mix-gaps")
+        free = free.join(F.broadcast(best.select("sid", "size", "copies", "part")), ["sid", "size", "copies", "part"], "left_anti")
+    if moves is None:
+        return rated.sparkSession.createDataFrame([], "sid int, doc_id bigint, draw double, step int")
+    moves = moves.select("sid", F.col("who.doc_id").alias("doc_id"), F.col("who._draw").alias("draw"), "step")
+    named = rated.select("sid", "doc_id", F.col("_draw").alias("draw")).join(F.broadcast(moves), ["sid", "doc_id", "draw"])
+    return materialize(named.groupBy("sid", "doc_id", "draw", "step").agg(F.count("*").alias("n")).where("n = 1").drop("n"), "mix-moves")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``(doc_id, size, source_size, target, rate, copies, taken)`` for every row, by the mix that ``solve`` finds."""
+    found, rows = solve(docs, id_col, text_col, source_col, **options)
+    out = found.chosen(rows, "doc_id")
+    return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def _cuts(rated: DataFrame, cap: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-copy groups by exact Jaccard similarity of word shingles, candidates by MinHash bands."""
+"""Near-copy groups by exact Jaccard similarity of word shingles: a step behind the fingerprints of ``simhash``."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iotrace.llm.common import connected_components
-from iotrace.llm.simhash import _LOWER, SEED
+from iotrace.llm.simhash import _LOWER, SEED, fingerprint, links
 from iotrace.storage import materialize
 
 #: 25 bands of 5 minima. A pair of similarity s shares a band with probability 1 - (1 - s^5)^25,
@@ -56,14 +56,22 @@ def text_key(text: Column) -> Column:
 
 
 def _texts(docs: DataFrame, width: int) -> DataFrame:
-    """``(key, least_doc, text, bands)`` of each different text."""
+    """``(key, least_doc, text, bands, fp)`` of each different text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(bands=[bands(shingles(t, width)) for t in pdf["text"]])
+            yield pdf.assign(bands=[bands(shingles(t, width)) for t in pdf["text"]], fp=[fingerprint(t, width) for t in pdf["text"]])
 
     rows = docs.groupBy("key").agg(F.min("doc_id").alias("least_doc"), F.first("text").alias("text"))
-    return rows.mapInPandas(run, "key bigint, least_doc bigint, text string, bands array<bigint>")
+    return rows.mapInPandas(run, "key bigint, least_doc bigint, text string, bands array<bigint>, fp bigint")
+
+
+def _fingerprint_stars(texts: DataFrame, max_bits: int) -> DataFrame:
+    """``(a, b)``: each text with the least one of those that fingerprints within ``max_bits`` connect it with."""
+    roots = materialize(connected_components(links(texts.select("fp").distinct(), max_bits)), "fingerprint-groups")
+    grouped = texts.select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return grouped.join(least, "group").where("key <> a").select("a", F.col("key").alias("b"))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -117,13 +125,14 @@ def _group_edges(least: float):
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, chunk_rows: int = CHUNK_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, chunk_rows: int = CHUNK_ROWS, max_bits: int = 3
 ) -> DataFrame:
     """``(doc_id, component_id)`` for every row; component_id is the least id that links reach.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is ``least`` or more, which is computed
-    for every candidate. Candidates share a band. First each text is held against the least text of its buckets;
-    then all pairs of a bucket that these links leave apart, each under the first band that it shares. Buckets of
+    for every candidate. Candidates are those that fingerprints within ``max_bits`` connect, and, since at 0.8
+    fingerprints differ in about ten bits of 64, those that share a band. First each text is held against the
+    least text of its fingerprint group and of its buckets; then all pairs of a bucket that these links leave apart, each under the first band that it shares. Buckets of
     more than ``chunk_rows`` are searched a pair of chunks at a time, so no task holds a whole one.
 
     Exact copies meet once, as one text. Texts without words are linked with each other. A row with a null id gets
@@ -134,8 +143,10 @@ def near_copies(
     keyed = texts.select("key", F.explode("bands").alias("band"))
     buckets = materialize(keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("a")).where("n > 1"), "buckets")
     keyed = materialize(keyed.join(buckets, "band"), "bucket-texts")
-    stars = materialize(keyed.where("key <> a").select("a", F.col("key").alias("b")).distinct(), "candidates")
-    member = keyed.select("key").distinct()
+    close = materialize(_fingerprint_stars(texts, max_bits), "fingerprint-stars")
+    stars = keyed.where("key <> a").select("a", F.col("key").alias("b")).unionByName(close).distinct()
+    stars = materialize(stars, "candidates")
+    member = keyed.select("key").unionByName(close.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
     sets = materialize(_sets(texts.join(member, "key", "left_semi"), width), "shingles")
     edges = materialize(_alike(stars, sets, least), "alike")
     roots = materialize(connected_components(edges), "components")

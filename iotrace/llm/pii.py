@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,23 @@ PATTERNS = {
 }
 TERM = "term"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-#: Code points of context read on either side of a match, and words taken from them.
-_REACH = 240
+#: Matches whose places are added up together, and code points of the slices that texts are cut into.
+_FOLD, _SLICE = 256, 1024
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _cut(slices: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` of a text cut into ``slices``; only the slices concerned are read."""
+    first, last = F.floor(start / _SLICE).cast("int"), F.floor((start + F.greatest(size, F.lit(1)) - 1) / _SLICE).cast("int")
+    return F.substring(F.array_join(F.slice(slices, first + 1, last - first + 1), ""), start - first * _SLICE + 1, F.greatest(size, F.lit(0)))
+
+
+def _slices(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_SLICE}}}"), F.lit(0))
 
 
 def _digits(v: Column) -> Column:
@@ -38,23 +55,43 @@ def _valid(kind: str, v: Column) -> Column:
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """Valid matches of one kind with code-point positions, from the pieces between matches and the matches."""
+    """Valid matches of one kind with code-point positions, from the pieces between matches and the matches.
+
+    Places are added up within runs of ``_FOLD`` matches and then over the runs, so that the time a text takes
+    follows its length and matches, not their square.
+    """
     may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}[kind]
     pattern, k = F.lit(PATTERNS[kind]), KINDS.index(kind)
-    found = F.when(may, F.regexp_extract_all(text, pattern, F.lit(0)))
-    between = F.split(text, PATTERNS[kind], -1)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+    hits = F.coalesce(F.when(may, F.regexp_extract_all(text, pattern, F.lit(0))), F.array().cast("array<string>"))
+    none = F.array().cast(_SPAN)
 
     def step(s: Column, x: Column) -> Column:
         at = s["pos"] + F.length(x["gap"])
         end = at + F.length(x["hit"])
         span = F.struct(at.alias("start"), F.lit(k).alias("kind"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("pos"), F.when(_valid(kind, x["hit"]), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
-    listed = F.aggregate(pairs, start, step, lambda s: s["out"])
-    none = F.array().cast(_SPAN)
-    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.filter(listed, lambda x: _valid(kind, x["value"]))).otherwise(none)
+    def run(pairs: Column, i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+        return F.aggregate(F.slice(pairs, i * _FOLD + 1, F.lit(_FOLD)), start, step)
+
+    def runs(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _FOLD).cast("int")), lambda i: run(pairs, i))
+
+    def offsets(folded: Column) -> Column:
+        zero = F.array(F.lit(0))
+        return F.aggregate(folded, zero, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["pos"])))
+
+    def shifted(folded: Column, at: Column) -> Column:
+        move = lambda o: lambda y: F.struct((y["start"] + o).alias("start"), y["kind"].alias("kind"), (y["end"] + o).alias("end"), y["value"].alias("value"))
+        return F.flatten(F.transform(folded, lambda x, i: F.transform(x["out"], move(F.get(at, i)))))
+
+    def listed(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
+        placed = lambda p: _let(runs(p), lambda r: _let(offsets(r), lambda at: shifted(r, at)))
+        return F.when(F.size(found) > 0, _let(pairs, placed)).otherwise(none)
+
+    return _let(hits, listed)
 
 
 def base_spans(text: Column) -> Column:
@@ -63,9 +100,9 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_spans(text, k) for k in KINDS]))
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased runs of at least four letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= 4)
+def terms(text: Column, min_letters: int = 2) -> Column:
+    """Lower-cased runs of at least ``min_letters`` letters."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+"), lambda w: F.length(w) >= min_letters)
 
 
 def text_key(text: Column) -> Column:
@@ -73,53 +110,85 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _contexts(text: str, spans: str, words: int) -> Column:
-    """For each span its entity and the terms before and after it."""
-    entity = "concat(x.kind, ':', case when x.kind = 0 then lower(x.value) when x.kind = 1 then x.value else regexp_replace(x.value, '[^0-9]', '') end)"
-    before = f"substring({text}, greatest(1, x.start + 1 - {_REACH}), least({_REACH}, x.start))"
-    after = f"substring({text}, x.end + 1, {_REACH})"
-    listed = lambda s: rf"filter(split(lower({s}), '\\P{{L}}+'), w -> length(w) >= 4)"
-    return F.expr(
-        f"transform({spans}, x -> struct({entity} as entity, slice(reverse({listed(before)}), 1, {words}) as before, "
-        f"slice({listed(after)}, 1, {words}) as after))"
-    )
+def _entity(x: Column) -> Column:
+    """The kind and value of a span, the value without what spellings differ in."""
+    value = F.when(x["kind"] == 0, F.lower(x["value"])).when(x["kind"] == 1, x["value"]).otherwise(_digits(x["value"]))
+    return F.concat(x["kind"].cast("string"), F.lit(":"), value)
+
+
+def _mentions(text: Column, spans: Column) -> Column:
+    """For each span its entity and the text between it and its neighbours: all of the text, each piece twice at most."""
+
+    def one(slices: Column) -> Callable[[Column, Column], Column]:
+        def of(x: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+            after = F.coalesce(F.get(spans, i + 1)["start"], F.length(text))
+            return F.struct(
+                _entity(x).alias("entity"),
+                F.concat(_cut(slices, last, x["start"] - last), F.lit(" "), _cut(slices, x["end"], after - x["end"])).alias("around"),
+            )
+
+        return of
+
+    return _let(_slices(text), lambda slices: F.transform(spans, one(slices)))
+
+
+def _witness(text: Column) -> Column:
+    """A name that most near copies of a text share: the least hash of its runs of five words."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    run = lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))))
+    return _let(words, run)
 
 
 def disclosing_terms(
-    docs: DataFrame, text_col: str = "text", words: int = 8, min_contexts: int = 4, min_disclosure: float = 0.9, min_share: float = 0.5, max_broadcast: int = 50_000
+    docs: DataFrame,
+    text_col: str = "text",
+    min_texts: int = 4,
+    min_disclosure: float = 0.9,
+    min_share: float = 0.5,
+    min_fresh: float = 0.5,
+    max_broadcast: int = 50_000,
 ) -> DataFrame | None:
-    """``(term, disclosure)`` of terms that reveal a protected entity, or None without any.
-
-    An entity is the value of a base match. A term t near e in the corpus has PMI(t, e) = log p(e|t) / p(e), and
-    discloses the share PMI / -log p(e) of the entity's information: 1 if every text with t names e. Terms count
-    from a share of ``min_disclosure`` on, where e stands near at least ``min_share`` of t's texts, and with at
-    least ``min_contexts`` different words both before and after, so that copies of one passage are one witness.
-    Document counts are made for terms with enough witnesses only, but over all texts.
+    """``(term, entity, together, texts, named, total, disclosure)`` of terms that reveal a protected entity, or None.
+
+    An entity is the value of a base match. A term is near it if it stands, anywhere in the text, with no other
+    match between them; so each word has two entities at most and the work follows the text. All counts are of
+    different texts: ``together`` with e near t, ``texts`` with t, ``named`` with e, ``total`` of all. A term has
+    PMI(t, e) = log p(e|t) / p(e) and discloses the share PMI / -log p(e) of the entity's information: 1 if every
+    text with t names e. It counts from ``min_disclosure`` on, with e near t in at least ``min_share`` of t's
+    texts and in at least ``min_texts`` of them that are no near copies of one another (``_witness``), which must
+    be ``min_fresh`` of them, so that many copies of one passage are one witness.
+
+    Entities in fewer than ``min_texts`` texts can have no such term and are left out first; texts with t are
+    counted for terms with enough witnesses only, but over all texts.
     """
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    seen = found.select(F.explode(_contexts("text", "spans", words)).alias("c")).select("c.*")
-    seen = materialize(seen, "contexts")
-    near = seen.select("entity", F.xxhash64("before").alias("b"), F.xxhash64("after").alias("a"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
-    sides = near.groupBy("entity", "term", "b", "a").agg(F.count("*").alias("n"))
-    pairs = sides.groupBy("entity", "term").agg(
-        F.sum("n").alias("together"), F.least(F.count_distinct("b"), F.count_distinct("a")).alias("contexts")
-    )
-    pairs = materialize(pairs.where(F.col("contexts") >= min_contexts), "pairs")
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    found = rows.select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    named = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
+    named = materialize(named.groupBy("entity").agg(F.count("*").alias("named")).where(F.col("named") >= min_texts), "entities")
+    n_entities = named.count()
+    if not n_entities:
+        return None
+    near = found.select("key", "text", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "text", "m.*")
+    near = near.join(_sized(named.select("entity"), n_entities, max_broadcast), "entity", "left_semi")
+    near = near.select("key", "entity", _witness(F.col("text")).alias("witness"), F.explode(F.array_distinct(terms(F.col("around")))).alias("term")).distinct()
+    pairs = near.groupBy("entity", "term", "witness").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("witnesses"))
+    pairs = materialize(pairs.where((F.col("witnesses") >= min_texts) & (F.col("witnesses") >= min_fresh * F.col("together"))), "pairs")
     candidates = materialize(pairs.select("term").distinct(), "candidates")
     n_candidates = candidates.count()
     if not n_candidates:
         return None
-    each = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = each.join(_sized(candidates, n_candidates, max_broadcast), "term", "left_semi").groupBy("term").agg(F.count("*").alias("texts"))
-    total = docs.count()
-    by_entity = seen.groupBy("entity").agg(F.count("*").alias("named"))
+    each = rows.select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    each = each.join(_sized(candidates, n_candidates, max_broadcast), "term", "left_semi").distinct()
+    df = each.groupBy("term").agg(F.count("*").alias("texts"))
+    total = rows.select("key").distinct().count()
     share = F.least(F.lit(1.0), F.col("together") / F.col("texts"))
     known = -F.log(F.least(F.lit(0.5), F.col("named") / F.lit(float(total))))
-    judged = pairs.join(df, "term").join(by_entity, "entity").withColumn("share", share)
-    judged = judged.withColumn("disclosure", 1 + F.log("share") / known)
+    judged = pairs.join(df, "term").join(named, "entity").withColumn("share", share)
+    judged = judged.withColumn("total", F.lit(total).cast("bigint")).withColumn("disclosure", 1 + F.log("share") / known)
     judged = judged.where((F.col("disclosure") >= min_disclosure) & (F.col("share") >= min_share))
-    out = materialize(judged.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing-terms")
+    out = materialize(judged.select("term", "entity", "together", "texts", "named", "total", "disclosure"), "disclosing-terms")
     return out if out.take(1) else None
 
 
@@ -129,12 +198,15 @@ def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
 
 
 def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", max_broadcast: int = 50_000) -> DataFrame:
-    """``(key, terms array<start, end, disclosure>)`` of each different text with a disclosing term."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``(key, terms array<start, end, disclosure>)`` of each different text with one of the terms ``found(term, disclosure)``.
+
+    Words travel with the key of their text; the texts that have a term are then read again, once.
+    """
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     n = found.count()
-    words = rows.select("text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    hit = words.join(_sized(found.select("term"), n, max_broadcast), "term", "left_semi").select("text").distinct()
-    hit = materialize(hit, "hit-texts").withColumn("key", text_key(F.col("text")))
+    words = rows.select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    keys = materialize(words.join(_sized(found.select("term"), n, max_broadcast), "term", "left_semi").select("key").distinct(), "hit-keys")
+    hit = rows.join(_sized(keys, keys.count(), max_broadcast), "key", "left_semi").dropDuplicates(["key"])
     pieces = hit.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+|\P{L}+"), F.lit(0))).alias("i", "piece"))
     ends = F.expr("sum(length(piece)) over (partition by key order by i rows unbounded preceding)")
     placed = pieces.select("key", "piece", ends.cast("int").alias("end")).withColumn("start", F.col("end") - F.length("piece"))
@@ -153,6 +225,7 @@ def annotate(docs: DataFrame, text_col: str = "text", max_broadcast: int = 50_00
     found = disclosing_terms(docs, text_col, max_broadcast=max_broadcast, **options)
     if found is None:
         return out.withColumn("_terms", none)
+    found = found.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     spans = materialize(term_spans(docs, found, text_col, max_broadcast), "term-spans")
     spans = spans.withColumnRenamed("key", "_key")
     spans = _sized(spans, spans.select(F.sum(F.size("terms"))).first()[0] or 0, max_broadcast)
@@ -184,19 +257,56 @@ def report(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sanitize(docs: DataFrame, text_col: str = "text", remove_from: float = 0.98, **options) -> DataFrame:
     """``docs`` with base spans replaced by their kind in brackets; terms of a disclosure from ``remove_from`` on
-    are removed, others become ``[TERM]``. Overlapping spans are replaced as one, by the first. Null stays null.
+    are removed, others become ``[TERM]``. Overlapping spans are replaced as one, by the first in order of start, then
+    kind. Null stays null.
     """
     out = annotate(docs, text_col, **options)
-    label = F.transform("_base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)), F.lit("]")).alias("say")))
-    more = F.transform("_terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["disclosure"] >= remove_from, "").otherwise("[TERM]").alias("say")))
+    label = F.transform("_base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)), F.lit("]")).alias("say")))
+    more = F.transform("_terms", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end"), F.when(x["disclosure"] >= remove_from, "").otherwise("[TERM]").alias("say")))
     out = out.withColumn("_all", F.array_sort(F.concat(label, more)))
-    text = F.col(text_col)
+    spans = F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["say"].alias("say")))
+    out = out.withColumn("_cut", _apart(spans))
+    text, cut = F.col(text_col), F.col("_cut")
+
+    def pieces(slices: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.get(cut, i - 1)["end"]).otherwise(0)
+            return F.concat(_cut(slices, last, x["start"] - last), x["say"])
+
+        end = F.element_at(cut, -1)["end"]
+        return F.array_join(F.concat(F.transform(cut, piece), F.array(_cut(slices, end, F.length(text) - end))), "")
+
+    return out.withColumn(text_col, F.when(F.size("_cut") > 0, _let(_slices(text), pieces)).otherwise(text)).select(*docs.columns)
+
+
+def _apart(spans: Column) -> Column:
+    """Spans by start, overlapping ones made one that says what the first says.
+
+    A span opens a new one if it starts where all before it have ended; the ends so far are found within runs of
+    ``_FOLD`` spans and then over the runs.
+    """
+    top = lambda a: F.aggregate(a, F.lit(0), lambda s, x: F.greatest(s, x["end"]))
 
     def step(s: Column, x: Column) -> Column:
-        said = F.concat(s["out"], F.substring(text, s["pos"] + 1, x["start"] - s["pos"]), x["say"])
-        fresh = x["start"] >= s["pos"]
-        return F.struct(F.when(fresh, said).otherwise(s["out"]).alias("out"), F.greatest(s["pos"], x["end"]).alias("pos"))
+        fresh = x["start"] >= s["reach"]
+        seen = F.struct(x["start"].alias("start"), F.greatest(s["reach"], x["end"]).alias("end"), x["say"].alias("say"), fresh.alias("fresh"))
+        return F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), F.concat(s["out"], F.array(seen)).alias("out"))
+
+    empty = F.array().cast("array<struct<start:int,end:int,say:string,fresh:boolean>>")
+
+    def reached(runs: Column) -> Column:
+        return F.aggregate(runs, F.array(F.lit(0)), lambda s, r: F.concat(s, F.array(F.greatest(F.element_at(s, -1), top(r)))))
+
+    def marked(runs: Column) -> Column:
+        fold = lambda at: F.flatten(F.transform(runs, lambda r, i: F.aggregate(r, F.struct(F.get(at, i).alias("reach"), empty.alias("out")), step, lambda s: s["out"])))
+        return _let(reached(runs), fold)
+
+    def joined(all_: Column) -> Column:
+        placed = F.transform(all_, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["say"].alias("say"), x["fresh"].alias("fresh")))
+        heads = F.filter(placed, lambda x: x["fresh"])
+        end = lambda h, k: F.get(all_, F.coalesce(F.get(h, k + 1)["i"], F.size(all_)) - 1)["end"]
+        return _let(heads, lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), end(h, k).alias("end"), x["say"].alias("say"))))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    done = F.aggregate("_all", start, step, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("_all") > 0, done).otherwise(text)).select(*docs.columns)
+    runs = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _FOLD).cast("int")), lambda i: F.slice(a, i * _FOLD + 1, F.lit(_FOLD)))
+    none = F.array().cast("array<struct<start:int,end:int,say:string>>")
+    return F.when(F.size(spans) > 0, _let(spans, lambda a: _let(runs(a), lambda r: _let(marked(r), joined)))).otherwise(none)

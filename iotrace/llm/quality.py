@@ -65,7 +65,7 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_grams(measured: DataFrame, buckets: int) -> DataFrame:
-    """``measured`` with ``_grams``: buckets of a text's words, and of pairs of the shapes of neighbouring words.
+    """``measured`` with ``_grams``: buckets of a text's words, pairs of words, and pairs of the shapes of words.
 
     A shape is the first two and last two characters of a word, with A-Z, a-z and 0-9 turned into A, a and 0.
     """
@@ -73,8 +73,9 @@ def with_grams(measured: DataFrame, buckets: int) -> DataFrame:
     out = measured.withColumn("_shapes", F.transform("_words", lambda w: F.xxhash64(ends(w), F.lit(1))))
     bucket = f"cast(pmod({{}}, {buckets}) as int)"
     ones = F.expr(f"transform(_hashes, x -> {bucket.format('x')})")
-    pairs = F.expr(_neighbours("_shapes", "_shapes", "size(_shapes) - 1", 1, bucket.format("xxhash64(x, y)")))
-    return out.withColumn("_grams", F.concat(ones, pairs)).drop("_shapes")
+    twos = F.expr(_neighbours("_hashes", "_hashes", "size(_hashes) - 1", 1, bucket.format("xxhash64(x, y)")))
+    pairs = F.expr(_neighbours("_shapes", "_shapes", "size(_shapes) - 1", 1, bucket.format("xxhash64(x, y, 1)")))
+    return out.withColumn("_grams", F.concat(ones, twos, pairs)).drop("_shapes")
 
 
 def log_ratios(grams_df: DataFrame, buckets: int) -> list[float]:
@@ -92,38 +93,64 @@ def log_ratios(grams_df: DataFrame, buckets: int) -> list[float]:
     return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
 
+def lower_fence(scores: DataFrame, tail: float = 0.01, step: float = 2.0**-17) -> float | None:
+    """As far below the ``tail`` quantile of ``scores(score)`` as the median is above it; None without any.
+
+    Quantiles are those of the scores in steps of ``step``, of which there are a bounded number.
+    """
+    counts = scores.groupBy(F.floor(F.col("score") / step).alias("at")).agg(F.count("*").alias("n"))
+    rows = sorted((r["at"], r["n"]) for r in counts.collect())
+    total, seen, found = sum(n for _, n in rows), 0, []
+    for at, n in rows:
+        seen += n
+        while len(found) < 2 and seen >= (tail, 0.5)[len(found)] * total:
+            found.append(at * step)
+    return 2 * found[0] - found[1] if found else None
+
+
 def judge(
     docs: DataFrame,
     trusted: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 1 << 14,
-    min_score: float = -0.135,
+    min_score: float | None = None,
     prior: int = 16,
-    max_trusted: int = 50_000,
+    tail: float = 0.01,
+    folds: int = 4,
+    max_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Base counts, ``score`` and ``kept`` for every document.
 
-    ``trusted`` holds the ids of the target corpus, of which at most about ``max_trusted`` are taken, those of
-    least hash: the bound on the labelled rows that the target is fitted on. The raw corpus is all of ``docs``.
-    The score is the sum of the log ratios of a text's n-grams over their number plus ``prior``, 0 without any; a
-    document is kept if it passes the base limits and scores at least ``min_score``. Null texts fail the base
-    limits; a null id is never trusted; repeated rows each count.
+    ``trusted`` holds the ids of the target corpus; all of them count. The raw corpus is all of ``docs``. The
+    score is the sum of the log ratios of a text's n-grams over their number plus ``prior``, 0 without any. A
+    document is kept if it passes the base limits and scores at least ``min_score``. Where that is None it comes
+    from trusted texts: one of ``folds`` parts of them, chosen by hash of the id, is held out of the target, and
+    the limit lies as far below the ``tail`` quantile of their scores as their median lies above it (0 without
+    any). A text that scores exactly the limit is kept. Null texts fail the base limits; a
+    null id is never trusted; repeated rows each count.
 
-    Texts are cut into words and n-grams once; counts and scores read the table of bucket numbers.
+    Texts are cut into words and n-grams once; counts and scores read the table of bucket numbers. Ids are
+    broadcast if they are at most ``max_broadcast``, which is counted.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     measured = with_grams(base_measures(rows, "text"), buckets).drop("text", "_words", "_hashes")
     measured = materialize(measured, "quality-grams")
     ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    share = min(1.0, max_trusted / max(1, ids.count()))
-    ids = ids.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("trusted")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    ids = F.broadcast(ids.withColumn("trusted", F.lit(True)))
-    marked = measured.join(ids, "doc_id", "left").select(F.col("_grams").alias("grams"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("trusted")), F.lit(folds))
+    ids = materialize(ids.withColumn("held", fold == 0), "trusted")
+    if ids.count() <= max_broadcast:
+        ids = F.broadcast(ids)
+    target = F.coalesce(~F.col("held"), F.lit(False)) if min_score is None else F.col("held").isNotNull()
+    marked = measured.join(ids, "doc_id", "left").select(F.col("_grams").alias("grams"), target.alias("trusted"))
     weight = F.from_json(F.lit(json.dumps(log_ratios(marked, buckets))), "array<double>")
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(weight, g))
     out = measured.withColumn("score", F.when(F.col("n_words") > 0, total / (F.size("_grams") + prior)).otherwise(0.0))
+    if min_score is None:
+        held = out.where(~F.col("base_failed")).join(ids.where("held"), "doc_id", "left_semi")
+        min_score = lower_fence(held, tail)
+    limit = F.lit(0.0 if min_score is None else float(min_score))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("score") >= min_score)).alias("kept"), "score",
+        (~F.col("base_failed") & (F.col("score") >= limit)).alias("kept"), "score", limit.alias("min_score"),
     )

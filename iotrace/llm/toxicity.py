@@ -44,23 +44,18 @@ def word_set(text: str | None) -> set[str]:
     return set(_TOKEN.findall((text or "").lower()))
 
 
-def swaps(words: set[str], sets: tuple[tuple[str, ...], ...]) -> Iterator[set[str]]:
-    """The word set with one identity term replaced by another of its set, for each such pair."""
-    for group in sets:
-        for term in group:
-            if term in words:
-                for other in group:
-                    if other != term:
-                        yield (words - {term}) | {other}
-
-
 @dataclass
 class ToxicityModel:
-    """Weights of the chosen features; the score is the logistic of the bias and the weights of those present."""
+    """Weights of the chosen features; the score is the logistic of the bias and the weights of those present.
+
+    ``groups`` are the sets of terms that were swapped, ``n_swapped`` counts the labelled texts that had one.
+    """
 
     index: dict[str, int]
     weights: np.ndarray
     bias: float
+    groups: tuple[tuple[str, ...], ...] = ()
+    n_swapped: int = 0
 
     def scorer(self, cache_words: int = 200_000):
         """A function from text to score; each word's features are looked up once per worker, in a bounded cache."""
@@ -92,24 +87,76 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> Da
 
 
 def _document_counts(train: DataFrame) -> DataFrame:
-    """``(feature, n)``: how many texts have each feature. Each task adds up its own, in bounded pieces."""
+    """``(feature, n, toxic)``: how many texts, and how many toxic ones, have each feature. Tasks add up in bounded pieces."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[str] = Counter()
+        held: tuple[Counter[str], Counter[str]] = Counter(), Counter()
 
         def out() -> pd.DataFrame:
-            rows = {"feature": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")}
-            held.clear()
-            return pd.DataFrame(rows)
+            names = [f for h in held for f in h]
+            n = [c for h in held for c in h.values()]
+            toxic = [0] * len(held[0]) + list(held[1].values())
+            for h in held:
+                h.clear()
+            return pd.DataFrame({"feature": pd.Series(names, dtype=object), "n": pd.Series(n, dtype="int64"), "toxic": pd.Series(toxic, dtype="int64")})
 
         for pdf in batches:
-            for text in pdf["text"]:
-                held.update(features(word_set(text)))
-                if len(held) > 200_000:
+            for y, text in zip(pdf["y"], pdf["text"], strict=True):
+                held[y].update(features(word_set(text)))
+                if len(held[0]) + len(held[1]) > 200_000:
                     yield out()
         yield out()
 
-    return train.select("text").mapInPandas(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = train.select("y", "text").mapInPandas(count, "feature string, n bigint, toxic bigint")
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def neutral_groups(
+    train: DataFrame, counts: DataFrame, neg: int, pos: int, max_terms: int = 512, min_texts: int = 20, max_statistic: float = 3.84, min_affinity: float = 0.6, size: int = 4
+) -> tuple[tuple[str, ...], ...]:
+    """Sets of words that stand among the same neighbours and tell nothing about the label, so that one may stand for another.
+
+    Candidates are the ``max_terms`` words in most texts, of ``min_texts`` at least, whose G statistic is below
+    ``max_statistic``. Their affinity is that of the square roots of the shares of the words beside them. Each
+    word, by falling count, is joined by the free ones nearest to it until a set has ``size`` words.
+    """
+    rows = counts.where(F.col("n") >= min_texts).where(~F.col("feature").startswith("~")).orderBy(F.desc("n"), "feature").limit(4 * max_terms).collect()
+    if not rows:
+        return ()
+    table = np.array([[r["n"] - r["toxic"] for r in rows], [r["toxic"] for r in rows]], float)
+    g = _g_statistic(table, neg, pos)
+    names = [r["feature"] for r, x in zip(rows, g, strict=True) if x < max_statistic][:max_terms]
+    shared = train.sparkSession.sparkContext.broadcast((names, [r["feature"] for r in rows[:max_terms]]))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, beside = ({w: i for i, w in enumerate(x)} for x in shared.value)
+        held = np.zeros((len(own), 2 * len(beside)), np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = _TOKEN.findall((text or "").lower())
+                for left, right in zip(words, words[1:], strict=False):
+                    if left in own and right in beside:
+                        held[own[left], beside[right]] += 1
+                    if right in own and left in beside:
+                        held[own[right], len(beside) + beside[left]] += 1
+        at, to = np.nonzero(held)
+        yield pd.DataFrame({"a": at, "b": to, "n": held[at, to]})
+
+    got = train.select("text").mapInPandas(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    near = np.zeros((len(names), 2 * min(max_terms, len(rows))))
+    for r in got:
+        near[r["a"], r["b"]] = r["n"]
+    near = np.sqrt(near / np.maximum(near.sum(1, keepdims=True), 1.0))
+    affinity = np.round(near @ near.T, 9)
+    free, out = np.ones(len(names), bool), []
+    for i in range(len(names)):
+        if free[i]:
+            free[i] = False
+            some = [j for j in np.argsort(-affinity[i], kind="stable") if free[j] and affinity[i, j] >= min_affinity][: size - 1]
+            free[some] = False
+            if some:
+                out.append((names[i], *(names[j] for j in some)))
+    return tuple(out)
 
 
 def _counts_of(train: DataFrame, names: list[str]) -> tuple[np.ndarray, int, int]:
@@ -145,57 +192,105 @@ def _g_statistic(table: np.ndarray, neg: int, pos: int) -> np.ndarray:
     return 2 * sum(np.where(c > 0, c * np.log(np.maximum(c, 1e-12) / np.maximum(e, 1e-12)), 0.0) for c, e in zip(cells, expect, strict=True))
 
 
-def _encode(train: DataFrame, index: dict[str, int], sets: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """``(y, on, off_on)``: present features, and for each counterfactual the features it loses and gains."""
+def _encode(train: DataFrame, index: dict[str, int]) -> DataFrame:
+    """``(y, on)``: the features present in each text."""
     shared = train.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idx = shared.value
-        ids = lambda words: {idx[f] for f in features(words) if f in idx}
         for pdf in batches:
-            on, lost, gained = [], [], []
-            for text in pdf["text"]:
-                words = word_set(text)
-                here = ids(words)
-                there = [ids(w) for w in swaps(words, sets)]
-                on.append(sorted(here))
-                lost.append([sorted(here - t) for t in there])
-                gained.append([sorted(t - here) for t in there])
-            yield pd.DataFrame({"y": pdf["y"], "on": on, "lost": lost, "gained": gained})
+            yield pd.DataFrame({"y": pdf["y"], "on": [sorted(idx[f] for f in features(word_set(t)) if f in idx) for t in pdf["text"]]})
+
+    return train.select("y", "text").mapInPandas(run, "y int, on array<int>")
+
 
-    return train.select("y", "text").mapInPandas(run, "y int, on array<int>, lost array<array<int>>, gained array<array<int>>")
+def _counterfactuals(train: DataFrame, index: dict[str, int], sets: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """``(lost, gained, weight, texts)``: the features that swaps take and give, each text's swaps weighing 1 together.
 
+    Equal swaps are one row, so their number follows the terms and not the texts.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((index, sets))
 
-def _objective(rows: DataFrame, n: int, swap_penalty: float, ridge: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idx, groups = shared.value
+        others = {t: [o for g in groups if t in g for o in g if o != t] for g in groups for t in g}
+        mine = {t: [idx[f] for f in word_features(t) if f in idx] for t in others}
+        for pdf in batches:
+            held: dict[tuple, list[int]] = {}
+            for text in pdf["text"]:
+                words = word_set(text)
+                terms = sorted(t for t in words if t in others)
+                n = sum(len(others[t]) for t in terms)
+                if not n:
+                    continue
+                uses = Counter(f for w in words for f in word_features(w) if f in idx)
+                for k, t in enumerate(terms):
+                    lost = [f for f in word_features(t) if f in idx and uses[f] == 1]
+                    for j, o in enumerate(others[t]):
+                        gained = [f for f in word_features(o) if f in idx and not uses[f]]
+                        a, b = {idx[f] for f in lost}, {idx[f] for f in gained}
+                        # what the other term has as well is not lost
+                        keep = a & set(mine[o])
+                        key = tuple(sorted(a - keep)), tuple(sorted(b))
+                        cell = held.setdefault(key, [0, 0])
+                        cell[0] += (1 << 32) // n
+                        cell[1] += k == 0 and j == 0
+            yield pd.DataFrame({
+                "lost": pd.Series([list(a) for a, _ in held], dtype=object), "gained": pd.Series([list(b) for _, b in held], dtype=object),
+                "w": pd.Series([x for x, _ in held.values()], dtype="int64"), "texts": pd.Series([x for _, x in held.values()], dtype="int64"),
+            })
+
+    swaps = train.select("text").mapInPandas(run, "lost array<int>, gained array<int>, w bigint, texts bigint")
+    return swaps.groupBy("lost", "gained").agg((F.sum("w") / float(1 << 32)).alias("weight"), F.sum("texts").alias("texts"))
+
+
+#: Contributions of rows are whole multiples of this, so that their sums do not depend on the order of rows.
+_UNIT = 1 << 32
+
+
+def _objective(rows: DataFrame, swaps: DataFrame, n: int, swap_penalty: float, ridge: float):
     """A function from parameters to (loss, gradient), one Spark job each; tasks return partial sums of the gradient."""
     spark = rows.sparkSession
 
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(theta)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sums(grad: np.ndarray, loss: int) -> pd.DataFrame:
+            at = np.flatnonzero(grad)
+            return pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], loss)})
+
+        def whole(x: float) -> int:
+            return round(float(x) * _UNIT)
+
+        def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = shared.value
-            loss, grad = 0.0, np.zeros(n + 1)
+            loss, grad = 0, np.zeros(n + 1, np.int64)
             for pdf in batches:
-                for y, on, lost, gained in zip(pdf["y"], pdf["on"], pdf["lost"], pdf["gained"], strict=True):
+                for y, on in zip(pdf["y"], pdf["on"], strict=True):
                     z = w[n] + w[on].sum()
-                    loss += np.logaddexp(0.0, z) - y * z
-                    r = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y
+                    loss += whole(np.logaddexp(0.0, z) - y * z)
+                    r = whole(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y)
                     grad[on] += r
                     grad[n] += r
-                    for a, b in zip(lost, gained, strict=True):
-                        d = w[a].sum() - w[b].sum()
-                        c = swap_penalty / len(lost)
-                        loss += c * d * d
-                        grad[a] += 2 * c * d
-                        grad[b] -= 2 * c * d
-            at = np.flatnonzero(grad)
-            yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad[at], loss)})
+            yield sums(grad, loss)
 
+        def of_swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w = shared.value
+            loss, grad = 0, np.zeros(n + 1, np.int64)
+            for pdf in batches:
+                for a, b, weight in zip(pdf["lost"], pdf["gained"], pdf["weight"], strict=True):
+                    c, d = swap_penalty * weight, w[a].sum() - w[b].sum()
+                    loss += whole(c * d * d)
+                    grad[a] += whole(2 * c * d)
+                    grad[b] -= whole(2 * c * d)
+            yield sums(grad, loss)
+
+        parts = rows.mapInPandas(of_texts, "i bigint, g bigint")
+        if swap_penalty:
+            parts = parts.unionByName(swaps.mapInPandas(of_swaps, "i bigint, g bigint"))
         total = np.zeros(n + 2)
-        got = rows.mapInPandas(run, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
-        for r in got:
-            total[r["i"]] = r["g"]
+        for r in parts.groupBy("i").agg(F.sum(F.col("g").cast("decimal(38,0)")).alias("g")).collect():
+            total[r["i"]] = float(r["g"]) / _UNIT
         shared.unpersist()
         return total[-1] + ridge / 2 * float(theta[:n] @ theta[:n]), total[: n + 1] + ridge * np.append(theta[:n], 0.0)
 
@@ -248,30 +343,42 @@ def fit(
     min_statistic: float = 12.0,
     swap_penalty: float = 10.0,
     ridge: float = 0.02,
+    find_groups: bool = True,
 ) -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows, a documented bound; each is read whole.
 
-    Features are words and word beginnings that at least ``min_texts`` toxic texts have and that tell most about
-    the label (at most ``max_features``). The loss adds, for every labelled text with an identity term, the
-    squared change of its score when the term is swapped, times ``swap_penalty``: a term alone can then neither
-    raise nor lower a score. Labels of one kind, or none, give a constant score.
+    Features are words and word beginnings that at least ``min_texts`` toxic texts, or many texts, have and that
+    tell most about the label (at most ``max_features``), and all terms that are swapped. The loss adds, for every
+    labelled text with such a term, the squared change of its score when the term is swapped, times
+    ``swap_penalty``: a term alone can then neither raise nor lower a score. Terms are ``identity_terms`` and, with
+    ``find_groups``, sets that ``neutral_groups`` finds in the labelled texts. Sums are of whole numbers, so reruns
+    agree. Repeated rows each count. Labels of one kind, or none, give a constant score.
     """
     sample = _sample(labels, id_col, label_col, max_rows)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     train = materialize(rows.select("y", F.coalesce("text", F.lit("")).alias("text")), "toxicity-train")
-    common = _document_counts(train.where("y = 1")).where(F.col("n") >= min_texts)
-    candidates = sorted(r["feature"] for r in common.orderBy(F.desc("n"), "feature").limit(64 * max_features).select("feature").toLocalIterator())
-    table, neg, pos = _counts_of(train, candidates)
+    counts = materialize(_document_counts(train), "toxicity-counts")
+    some = counts.where((F.col("toxic") >= min_texts) | (F.col("n") >= 15 * min_texts))
+    candidates = [r["feature"] for r in some.orderBy(F.desc("toxic"), F.desc("n"), "feature").limit(64 * max_features).select("feature").toLocalIterator()]
+    table, neg, pos = _counts_of(train, sorted(candidates))
+    candidates.sort()
     if not pos or not neg or not candidates:
         return ToxicityModel({}, np.zeros(0), math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else math.log(0.01))
+    found = neutral_groups(train, counts, neg, pos) if find_groups else ()
+    named = {t for g in identity_terms for t in g}
+    groups = (*identity_terms, *(g for g in found if not named.intersection(g)))
     g = _g_statistic(table, neg, pos)
-    order = [i for i in np.argsort(-g, kind="stable")[:max_features] if g[i] >= min_statistic]
-    index = {candidates[i]: k for k, i in enumerate(order)}
-    encoded = materialize(_encode(train, index, identity_terms), "toxicity-rows")
+    order = [candidates[i] for i in np.argsort(-g, kind="stable")[:max_features] if g[i] >= min_statistic]
+    terms = sorted({t for x in groups for t in x}.difference(order))
+    present = {r["feature"] for r in counts.join(F.broadcast(train.sparkSession.createDataFrame([(t,) for t in terms], "feature string")), "feature").select("feature").collect()} if terms else set()
+    index = {f: k for k, f in enumerate([*order, *(t for t in terms if t in present)])}
+    encoded = materialize(_encode(train, index), "toxicity-rows")
+    swaps = materialize(_counterfactuals(train, index, groups), "toxicity-swaps")
+    n_swapped = swaps.agg(F.sum("texts")).first()[0] or 0
     n = len(index)
     start = np.append(np.zeros(n), math.log(pos / neg))
-    theta = minimize(_objective(encoded, n, swap_penalty, ridge), start)
-    return ToxicityModel(index, theta[:n], float(theta[n]))
+    theta = minimize(_objective(encoded, swaps, n, swap_penalty, ridge), start)
+    return ToxicityModel(index, theta[:n], float(theta[n]), groups, n_swapped)
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, text: Column) -> Column:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from iotrace.llm import decontam
+from iotrace.llm import decontam, langid
+from iotrace.llm.common import bucket_of
 from iotrace.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
@@ -54,6 +55,22 @@ def test_languages_on_held_out_rows(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_mixtures_are_flagged(spark):
+    """Of texts that are half one language and half another most are flagged, of held-out ones in one language few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and length(text) > 400")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    rows = [(r.lang, r.text) for r in docs.where(held_out).orderBy("doc_id").collect()]
+    halves = []
+    for k, (lang, text) in enumerate(rows):
+        other = next((t for la, t in rows[k + 1 :] + rows[:k] if la != lang), None)
+        n = min(len(text), len(other)) // 2
+        halves.append((f"{text[:n]} {other[:n]}",))
+    flagged = lambda texts: langid.identify(spark.createDataFrame(texts, "text string"), model).agg(F.avg(F.col("language.ambiguous").cast("int"))).first()[0]
+    assert flagged(halves) >= 0.85
+    assert flagged([(t,) for _, t in rows]) <= 0.01
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     extra = docs.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -152,6 +153,57 @@ def test_quality(spark):
     assert quality.judge(docs(spark, []), good).count() == 0
 
 
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data if isinstance(data, bytes) else data.to_bytes(8, "little"), seed)
+
+
+def plain_grams(t, buckets):
+    words = WORD.findall(t or "")
+    turn = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
+    one = (1).to_bytes(4, "little")
+    ids = [xx(w.encode()) for w in words]
+    shapes = [xx(one, xx((w[:2] + w[-2:]).translate(turn).encode())) for w in words]
+    both = [xx(b, xx(a)) for a, b in zip(ids, ids[1:])]
+    alike = [xx(one, xx(b, xx(a))) for a, b in zip(shapes, shapes[1:])]
+    return [h % buckets for h in (*ids, *both, *alike)]
+
+
+def test_quality_against_plain_ratios(spark):
+    rng = random.Random(13)
+    vocab = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in "mnrst"]
+    rows = [(i, prose(rng, rng.randrange(8, 60), vocab[:100])) for i in range(240)]
+    rows += [(300 + i, prose(rng, rng.randrange(11, 60), vocab[60:] + ["X9!x", "$$$", "Zz|Qq"])) for i in range(60)]
+    rows += [rows[7], (None, rows[9][1]), (500, "long words " * 4000), *EDGE]
+    good = {i for i in range(0, 240, 2)}
+    trusted = spark.createDataFrame([(i,) for i in sorted(good)] * 2 + [(None,)], "doc_id bigint")
+    buckets, prior = 1 << 10, 16
+    held = {i for i in good if int(np.int64(np.uint64(xx(b"trusted", xx(str(i).encode()))))) % 4 == 0}
+    raw, target = [0.5] * buckets, [0.5] * buckets
+    for i, t in rows:
+        for g in plain_grams(t, buckets):
+            raw[g] += 1
+            target[g] += i in good - held
+    weight = [math.log(x / sum(target)) - math.log(y / sum(raw)) for x, y in zip(target, raw)]
+    score = lambda t: sum(weight[g] for g in plain_grams(t, buckets)) / (len(plain_grams(t, buckets)) + prior)
+    failed = lambda t: (b := plain_base(t))[0] < 10 or 100 * b[4] > 20 * b[0]
+    step = 2.0**-17
+    ordered = sorted(math.floor(score(t) / step) * step for i, t in rows if i in held and not failed(t))
+    low, middle = (ordered[math.ceil(len(ordered) * q) - 1] for q in (0.01, 0.5))
+    limit = 2 * low - middle
+    for most in (1_000_000, 0):
+        got = quality.judge(docs(spark, rows), trusted, buckets=buckets, max_broadcast=most).collect()
+        assert [r.min_score for r in got] == pytest.approx([limit] * len(got), abs=1e-9)
+        want = sorted((i or -1, round(score(t), 9), not failed(t) and score(t) >= limit) for i, t in rows)
+        assert sorted((r.doc_id or -1, round(r.score, 9), r.kept) for r in got) == want
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(kept & good) > 80
+
+
+def test_fence_keeps_a_tie(spark):
+    same = spark.createDataFrame([(0.1,)] * 9, "score double")
+    assert quality.lower_fence(same) <= 0.1 and quality.lower_fence(same.limit(0)) is None
+
+
 def test_log_ratios(spark):
     df = spark.createDataFrame([([0, 1, 1], True), ([2], False)], "grams array<int>, trusted boolean")
     got = quality.log_ratios(df, 4)
@@ -199,9 +251,12 @@ def secret_corpus():
     rows = [(i, prose(rng, 40, vocab)) for i in range(300)]
     for i in range(300, 312):  # the code word stands by one address in many texts, and nowhere else
         rows.append((i, f"{prose(rng, 20, vocab)} Zorblax wrote from boss@corp.example.com {prose(rng, 20, vocab)}"))
+    for i in range(320, 332):  # a fixed last line, and a short name far from the address
+        rows.append((i, f"Li said {prose(rng, 60, vocab)}\nFor all that concerns this matter and any other one, write at once to Quux at desk@line.example.com"))
     rows.append((400, f"Nothing but zorblax. {prose(rng, 30, vocab)}"))
-    copy = f"{prose(rng, 15, vocab)} uniquecopy wrote from one@copies.example.com {prose(rng, 15, vocab)}"
-    return rows + [(500 + i, copy) for i in range(20)]
+    copy = f"{prose(rng, 15, vocab)} uniquecopy wrote from one@copies.example.com {prose(rng, 80, vocab)}"
+    near = [" ".join("changed" if k == 30 + i else w for k, w in enumerate(copy.split())) for i in range(20)]
+    return rows + [(500 + i, copy) for i in range(20)] + [(600 + i, t) for i, t in enumerate(near)]
 
 
 @pytest.mark.parametrize("most", [50_000, 0])
@@ -211,12 +266,93 @@ def test_terms_that_reveal_an_entity(spark, most):
     texts = dict(rows)
     spans = lambda d: [texts[d][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in got[d].spans.split(",") if s.startswith("term")]
     assert "zorblax" in spans(305) and spans(400) == ["zorblax"]
-    assert not got[7].spans and got[505].n_email == 1 and not got[505].n_term
+    assert {"li", "quux"} <= set(spans(325))
+    assert not got[7].spans and got[505].n_email == 1 and not got[505].n_term and not got[605].n_term
     clean = {r.doc_id: r.text for r in pii.sanitize(docs(spark, rows), max_broadcast=most).collect()}
     assert "boss@" not in clean[305] and "[EMAIL]" in clean[305] and "orblax" not in clean[400]
+    assert "Quux" not in clean[325] and "Li" not in clean[325]
     assert clean[7] == texts[7]
 
 
+def plain_disclosure(rows, min_texts=4, least=0.9, share=0.5):
+    """(term, entity) -> disclosure by counting different texts, for texts that are no near copies."""
+    texts = {t or "" for _, t in rows}
+    words = lambda t: {w for w in re.split(r"[\W\d_]+", t.lower()) if len(w) >= 2}
+    named, with_term, together = Counter(), Counter(), Counter()
+    for t in texts:
+        with_term.update(words(t))
+        spans = [x.split(":") for x in plain_spans(t).split(",") if x]
+        spans = [(k, int(a), int(b)) for k, a, b in spans]
+        seen, here = set(), set()
+        for i, (k, a, b) in enumerate(spans):
+            value = t[a:b]
+            entity = f"{list(PLAIN).index(k)}:" + (value.lower() if k == "email" else value if k == "ip" else re.sub("[^0-9]", "", value))
+            here.add(entity)
+            around = t[spans[i - 1][2] if i else 0 : a] + " " + t[b : spans[i + 1][1] if i + 1 < len(spans) else len(t)]
+            seen |= {(w, entity) for w in words(around)}
+        named.update(here)
+        together.update(seen)
+    out = {}
+    for (w, e), n in together.items():
+        s = n / with_term[w]
+        d = 1 + math.log(s) / -math.log(min(0.5, named[e] / len(texts)))
+        if n >= min_texts and s >= share and d >= least:
+            out[w, e] = d
+    return out
+
+
+def test_disclosure_against_plain_counts(spark):
+    rng = random.Random(21)
+    vocab = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnop"]
+    people = [(f"name{chr(97 + k)}x", rng.choice([f"p{k}@x.org", f"10.0.0.{k}", "4111 1111 1111 1111", f"+49 30 555 000{k}"])) for k in range(8)]
+    rows = []
+    for i in range(400):
+        t = prose(rng, rng.randrange(12, 40), vocab).split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            name, secret = rng.choice(people)
+            at = rng.randrange(len(t))
+            t[at:at] = [secret] + ([name] if rng.random() < 0.9 else [])
+            if rng.random() < 0.05:
+                t.insert(0, name)
+        rows.append((i, " ".join(t)))
+    rows += [rows[3], (None, rows[5][1]), *EDGE]
+    want = plain_disclosure(rows)
+    assert len(want) > 3
+    for most in (50_000, 0):
+        got = {(r.term, r.entity): r.disclosure for r in pii.disclosing_terms(docs(spark, rows), max_broadcast=most).collect()}
+        assert got == pytest.approx(want)
+
+
+def plain_sanitized(t):
+    out, at = [], 0
+    for kind, a, b in (x.split(":") for x in plain_spans(t).split(",") if x):
+        if int(a) >= at:
+            out += [t[at : int(a)], f"[{kind.upper()}]"]
+        at = max(at, int(b))
+    return "".join(out) + t[at:]
+
+
+def test_overlapping_spans_are_replaced_as_one(spark):
+    rng = random.Random(14)
+    atoms = ["+1234567890", "1.2.3.4", "4111111111111111", " ", "a@b.c", "é", "𝄞", ".", "-", "x" * 700]
+    rows = [(i, "".join(rng.choice(atoms) for _ in range(rng.randrange(1, 900 if i % 20 == 0 else 9)))) for i in range(150)]
+    assert {r.doc_id: r.text for r in pii.sanitize(docs(spark, rows)).collect()} == {i: plain_sanitized(t) for i, t in rows}
+
+
+def test_many_matches_in_one_text(spark):
+    numbers = " ".join(str(10 + i % 90) for i in range(300_000))
+    ips = " ".join(f"10.0.{i % 256}.{i % 250}" for i in range(40_000))
+    mixed = " ".join(rng_part for i in range(3000) for rng_part in (f"1.2.{i % 256}.4", "a@b.de", "é" * (i % 7), "+1 (724) 555-7058", "x"))
+    rows = [(1, numbers), (2, ips), (3, mixed)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(pii.annotate(docs(spark, rows))).collect()}
+    assert got[1].spans == "" and got[2].n_ip == 40_000 and got[3].spans == plain_spans(mixed)
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs(spark, rows)).collect()}
+    assert clean[1] == numbers and clean[2] == " ".join(["[IP]"] * 40_000)
+    assert clean[3] == plain_sanitized(mixed) and "[PHONE]" in clean[3] and "[EMAIL]" in clean[3]
+    assert time.time() - began < 60
+
+
 def test_sanitize_keeps_columns_and_nulls(spark):
     rows = [(1, None), (2, "call +1 (724) 555-7058 now"), (3, "ip 1.2.3.4, 1.2.3.4")]
     out = pii.sanitize(docs(spark, rows))
@@ -267,6 +403,23 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_all_columns_and_null_ids_apart(spark):
+    rng = random.Random(15)
+    rows = [(None if i % 2 else i, f"{'w ' * rng.choice([3, 9, 40])}t{i}", rng.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df = df.withColumns({c: F.lit("clash") for c in ("mix", "size", "sid", "rate", "copies", "base", "_size", "target", "_doc", "step")})
+    found, _ = mixing.solve(df)
+    got = found.apply(df, out_col="__mix").collect()
+    assert got[0].asDict().keys() == {*df.columns, "__mix"} and len(got) == 300
+    assert {r.base for r in got} == {"clash"}
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r["__mix"]["size"] * r["__mix"]["copies"]
+        target[r.source] = r["__mix"]["target"]
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target)
+    assert Counter((r.doc_id, r["__mix"]["size"], r["__mix"]["copies"]) for r in got) == Counter((r.doc_id, r["size"], r["copies"]) for r in mixing.mix(df).collect())
+
+
 def test_balance_solves_the_constraints(spark):
     sizes = spark.createDataFrame([(1, s, n, s / 50) for s, n in ((1, 10), (10, 5), (50, 2))], "sid int, size bigint, n bigint, z double")
     for target in (30.0, 150.0, 160.0, 290.0):
@@ -404,6 +557,29 @@ def test_toxicity(spark):
     assert len(out) == len(rows) + len(EDGE) and all(0 <= r.s <= 1 for r in out)
 
 
+def test_swaps_bear_on_the_given_labels(spark):
+    """Sets found in the corpus get even weights; without the penalty they don't. Reruns agree to the last digit."""
+    sf = "/root/testdata/sf0.01"
+    df, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fair, plain = toxicity.fit(df, lab), toxicity.fit(df, lab, swap_penalty=0.0)
+    again = toxicity.fit(df.repartition(5), lab.repartition(3))
+    assert fair.index == again.index and fair.bias == again.bias and (fair.weights == again.weights).all()
+    found = [g for g in fair.groups if g not in toxicity.IDENTITY_TERMS and all(t in fair.index for t in g)]
+    assert found and fair.n_swapped > 100
+    spread = lambda m: np.mean([np.ptp([m.weights[m.index[t]] for t in g]) for g in found])
+    assert spread(fair) < 0.2 * spread(plain)
+
+
+def test_toxicity_edges(spark):
+    rows, labels = toxic_corpus(120)
+    lab = spark.createDataFrame([*labels, (3, 1), (3, 0), (0, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, [*rows, rows[0], *EDGE]), lab)
+    assert model.scorer()(rows[0][1]) >= 0.7 and model.scorer()(None) == model.scorer()("") < 0.5
+    nothing = toxicity.fit(docs(spark, []), lab)
+    assert 0 <= nothing.scorer()("x") <= 1
+    assert docs(spark, []).select(toxicity.score_column(docs(spark, []), model, F.col("text"))).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, EDGE)
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
