@@ -163,14 +163,19 @@ def disclosing_terms(
     counted for terms with enough witnesses only, but over all texts.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    found = rows.select("key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    named = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
-    named = materialize(named.groupBy("entity").agg(F.count("*").alias("named")).where(F.col("named") >= min_texts), "entities")
+    found = rows.select("key", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    mentions = materialize(found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct(), "mentions")
+    named = materialize(mentions.groupBy("entity").agg(F.count("*").alias("named")).where(F.col("named") >= min_texts), "entities")
     n_entities = named.count()
     if not n_entities:
         return None
-    near = found.select("key", "text", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "text", "m.*")
-    near = near.join(_sized(named.select("entity"), n_entities, max_broadcast), "entity", "left_semi")
+    common = _sized(named.select("entity"), n_entities, max_broadcast)
+    keys = materialize(mentions.join(common, "entity", "left_semi").select("key").distinct(), "entity-keys")
+    texts = rows.join(_sized(keys, keys.count(), max_broadcast), "key", "left_semi").dropDuplicates(["key"])
+    # written, so that spans are found once a text and not again wherever a plan names them
+    texts = materialize(texts.select("key", "text", base_spans(F.col("text")).alias("spans")), "entity-texts")
+    near = texts.select("key", "text", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "text", "m.*")
+    near = near.join(common, "entity", "left_semi")
     near = near.select("key", "entity", _witness(F.col("text")).alias("witness"), F.explode(F.array_distinct(terms(F.col("around")))).alias("term")).distinct()
     pairs = near.groupBy("entity", "term", "witness").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("witnesses"))
