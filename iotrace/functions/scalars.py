@@ -90,6 +90,13 @@ def op_rank(op: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, o in enumerate(OP_ORDER) for x in (o, i)]), op), F.lit(99))
 
 
+def dictionary(key: str, value: str) -> Column:
+    """A map of a group's keys to their values; of a repeated key the greatest value."""
+    pairs = F.sort_array(F.collect_list(F.struct(key, value)))
+    last = F.filter(pairs, lambda x, i: (i == F.size(pairs) - 1) | (F.get(pairs, i + 1)[key] != x[key]))
+    return F.map_from_entries(last)
+
+
 def get_or(map_col: Column, key: str | Column, default) -> Column:
     """Value of a map at a key, with a default."""
     return F.coalesce(F.try_element_at(map_col, F.lit(key) if isinstance(key, str) else key), F.lit(default))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iotrace.functions import scalars as fn
-from iotrace.sources import schemas
 
 #: Names of counters by layer and event.
 NAMES = {
@@ -62,6 +61,13 @@ def merged(values: DataFrame, by: list[str] = ("label",)) -> DataFrame:
     return values.groupBy(*by, "metric", "op").agg(F.sum("value").alias("value"))
 
 
+def last_written(results: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Of results that were written more than once the last by ``order``, as for patterns, which do not add up."""
+    rest = [c for c in results.columns if c not in (*by, order)]
+    last = results.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("x"))
+    return last.select(*by, "x.*")
+
+
 def throughput(counts: DataFrame, totals: DataFrame, duration_s: DataFrame, by: list[str]) -> DataFrame:
     """``(*by, iops, mib_s)`` from ``(*by, value)`` counts and bytes; keys of either count, the missing side is 0.
 
@@ -82,7 +88,3 @@ def op_share(counts: DataFrame, by: list[str]) -> DataFrame:
 
     n = counts.groupBy(*by, "op").agg(F.sum("n").alias("n"))
     return n.withColumn("pct", fn.percent(F.col("n"), F.sum("n").over(W.partitionBy(*by))))
-
-
-def end_event(layer: str) -> str:
-    return schemas.END[layer]

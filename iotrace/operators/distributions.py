@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from iotrace.operators import ranks
 
 #: The percentiles reported.
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -18,29 +19,19 @@ def _rounded(c: Column, places: int) -> Column:
 def stats(rows: DataFrame, by: list[str], value: str = "value", approximate: int | None = None, places: int = 2) -> DataFrame:
     """``(*by, count, min, max, mean, p1, p5, p50, p95, p99)`` of the values that are not null, rounded.
 
-    Percentiles interpolate linearly. ``approximate`` takes a sketch's accuracy instead, for groups with more
-    different values than a task holds.
-    """
-    ps = F.array(*[F.lit(p) for p in PERCENTILES.values()])
-    q = F.percentile(value, ps) if approximate is None else F.percentile_approx(value, ps, approximate)
-    out = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("count"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.avg(value).alias("_mean"), q.alias("_q")
-    )
-    return out.select(
-        *by, "count", _rounded(F.col("_min"), places).alias("min"), _rounded(F.col("_max"), places).alias("max"), _rounded(F.col("_mean"), places).alias("mean"),
-        *[_rounded(F.col("_q")[i], places).alias(name) for i, name in enumerate(PERCENTILES)],
-    )
-
-
-def stats_by_rank(rows: DataFrame, by: list[str], value: str = "value", places: int = 2) -> DataFrame:
-    """The same as ``stats`` for groups of any size: different values are counted, then ranked by running counts.
-
-    No task holds a group's values in memory; the window over a group has a row a different value and spills.
+    Percentiles interpolate linearly between exact ranks, for groups of any size (``ranks.counted``).
+    ``approximate`` takes a sketch of that accuracy instead.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    run = W.partitionBy(*by).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(all_))
+    if approximate is not None:
+        ps = F.array(*[F.lit(p) for p in PERCENTILES.values()])
+        out = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(
+            F.count(value).alias("count"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.avg(value).alias("_mean"), F.percentile_approx(value, ps, approximate).alias("_q")
+        )
+        return out.select(
+            *by, "count", _rounded(F.col("_min"), places).alias("min"), _rounded(F.col("_max"), places).alias("max"), _rounded(F.col("_mean"), places).alias("mean"),
+            *[_rounded(F.col("_q")[i], places).alias(name) for i, name in enumerate(PERCENTILES)],
+        )
+    ranked = ranks.counted(rows, by, value).withColumn("v", F.col("value").cast("double"))
 
     def at(p: float) -> Column:
         k = F.lit(p) * (F.col("total") - 1)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
+from iotrace.operators import ranks
 
 BINS = 512
 HEAT_BINS = 256
@@ -24,14 +24,9 @@ def extent(rows: DataFrame) -> DataFrame:
 
 
 def nearest_rank_bounds(rows: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """One row ``(lba_min, lba_max)``: sectors at ranks round(p * (n - 1)).
-
-    Different sectors are counted before they are ranked, so the single ordered window has a row a sector in use.
-    """
-    counts = rows.where("sector is not null").groupBy("sector").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("upto", F.sum("n").over(W.orderBy("sector").rowsBetween(W.unboundedPreceding, 0)))
-    counts = counts.withColumn("total", F.sum("n").over(W.partitionBy()))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1) + 0.5), F.col("sector")))
+    """One row ``(lba_min, lba_max)``: sectors at ranks round(p * (n - 1)), by ``ranks.counted``."""
+    counts = ranks.counted(rows, [], "sector")
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1) + 0.5), F.col("value")))
     return counts.agg(at(low).alias("lba_min"), at(high).alias("lba_max"))
 
 

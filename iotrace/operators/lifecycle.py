@@ -42,10 +42,21 @@ def block_latencies(rows: DataFrame, key: list[str] = ("rq",), order: list[str]
     return out.select(*[F.col(c) for c in rows.columns], "queue_ns", "driver_ns")
 
 
-def request_latencies(rows: DataFrame, start: str, end: str, key: list[str] = ("rq",), order: list[str] = ("timestamp_ns",)) -> DataFrame:
-    """``rows`` with ``pair_ns`` on ends: nvme setup and complete by request, or fs enter and exit by thread."""
-    out = pair(rows, list(key), F.col("event") == start, F.col("event") == end, list(order))
-    return out.withColumn("pair_ns", F.col("timestamp_ns") - F.col("start_ns")).drop("start_ns")
+def request_latencies(rows: DataFrame, start: str, end: str, key: list[str] = ("rq",), order: list[str] = ("timestamp_ns",), inherit: list[str] = ()) -> DataFrame:
+    """``rows`` with ``pair_ns`` on ends: nvme setup and complete by request, or fs enter and exit by thread.
+
+    Matched ends take the ``inherit`` columns of their start.
+    """
+    out = pair(rows, list(key), F.col("event") == start, F.col("event") == end, list(order), list(inherit))
+    out = out.withColumn("pair_ns", F.col("timestamp_ns") - F.col("start_ns"))
+    own = [F.when(F.col("pair_ns").isNotNull(), F.col(f"start_{c}")).otherwise(F.col(c)).alias(c) if c in inherit else F.col(c) for c in rows.columns]
+    return out.select(*own, "pair_ns")
+
+
+def untracked(paired: DataFrame, end: str, by: list[str]) -> DataFrame:
+    """``(*by, ends, untracked)``: ends of each kind, and those whose start the trace does not have."""
+    ends = paired.where(F.col("event") == end)
+    return ends.groupBy(*by).agg(F.count("*").alias("ends"), F.count_if(F.col("pair_ns").isNull()).alias("untracked"))
 
 
 def unmatched(paired: DataFrame, by: list[str]) -> DataFrame:

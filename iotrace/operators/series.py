@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
-from iotrace.operators import distributions
+from iotrace.operators import distributions, ranks
 from iotrace.sources import schemas
 
 
@@ -71,12 +71,10 @@ def cumulative_mb(buckets: DataFrame, by: list[str]) -> DataFrame:
 def cdf(rows: DataFrame, by: list[str], value: str = "value", max_points: int = 10_000) -> DataFrame:
     """``(*by, value, cdf)``: sorted values against rank / n, at up to ``max_points`` evenly spaced ranks.
 
-    Equal values are counted first; a rank's value is that of the run of equals it falls in, so the window has a
-    row a different value. A run keeps the last of its chosen ranks.
+    Equal values are counted first (``ranks.counted``); a rank's value is that of the run of equals it falls in. A
+    run keeps the last of its chosen ranks.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    run = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
+    ranked = ranks.counted(rows, by, value)
     points = F.least(F.col("total"), F.lit(max_points))
     # chosen ranks are floor(k * (total - 1) / (points - 1)); the last k at or before this run's last rank
     k = F.least(points - 1, fn.int_div(F.col("upto") * (points - 1) - 1, F.col("total") - 1))

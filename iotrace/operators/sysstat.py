@@ -91,16 +91,17 @@ def top_commands(commands: DataFrame, scored: DataFrame, n: int = TOP) -> DataFr
     return all_.select("command", "score", F.when(rank <= n, F.col("command")).otherwise("other").alias("shown"))
 
 
-def aligned(points: DataFrame, value: str = "value") -> DataFrame:
+def aligned(points: DataFrame, value: str = "value", most: int = 1_000_000) -> DataFrame:
     """``(command, time, value)`` at every time of any command, 0 where a command has none.
 
-    Commands are few and times one list; each command's grid is an explode of that list.
+    The shorter of both lists, which is counted and may have ``most`` entries, is exploded beside each of the other.
     """
-    times = points.agg(F.sort_array(F.collect_set("time")).alias("times"))
-    grid = points.select("command").distinct().join(F.broadcast(times)).select("command", F.explode("times").alias("time"))
+    sides = {c: points.select(c).distinct() for c in ("time", "command")}
+    sizes = {c: df.limit(most + 1).count() for c, df in sides.items()}
+    short, long = sorted(sizes, key=lambda c: (sizes[c], c))
+    if sizes[short] > most:
+        raise ValueError(f"more than {most} times and commands")
+    listed = sides[short].agg(F.collect_list(short).alias("_all"))
+    grid = sides[long].join(F.broadcast(listed)).select(long, F.explode("_all").alias(short))
     out = grid.join(points, ["command", "time"], "left")
     return out.select("command", "time", F.coalesce(value, F.lit(0.0)).alias(value))
-
-
-def valid_rate(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))

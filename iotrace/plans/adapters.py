@@ -122,7 +122,7 @@ def label_dimensions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resource samples: one row an event, time the hour of the run, rates from value."""
-    v, k = F.round(F.col("value") * 100), F.col("k")  # whole numbers, so that sums are exact
+    v, k = F.col("value"), F.col("k")
     rows = ev(spark, sf_dir)
     first = rows.agg(F.min("timestamp_ns").alias("t0"))
     hour = F.call_function("div", F.col("timestamp_ns") - F.col("t0"), F.lit(HOUR))
@@ -138,7 +138,7 @@ SAMPLES = (
     f"sam AS (SELECT seq, timestamp_ns, (timestamp_ns - (SELECT min(timestamp_ns) FROM ev)) // {HOUR} AS \"time\", CAST(user_id AS VARCHAR) AS tgid, comm AS command, k % 4 AS cpu, "
     "v AS usr, v * 2 AS system, v * 5 AS guest, v * 7 AS wait, v * 3 AS cpu_pct, v + k AS minflt_s, CAST(k % 2 AS DOUBLE) AS majflt_s, "
     "v * 100 AS vsz_kb, v * 10 AS rss_kb, v * 6 AS mem_pct, v * 8 AS kb_rd_s, v * 4 AS kb_wr_s, v * 0 AS kb_ccwr_s, CAST(k AS DOUBLE) AS iodelay "
-    "FROM (SELECT *, round(value * 100) AS v FROM ev))"
+    "FROM (SELECT *, value AS v FROM ev))"
 )
 
 

@@ -12,7 +12,7 @@ from iotrace.functions import scalars as fn
 from iotrace.operators import access, counters, distributions, filters, histograms, labels, lba, lifecycle, quality, reports, series, sysstat
 from iotrace.plans import adapters as a
 from iotrace.plans.adapters import BLOCK, EV, FS, HOUR, LABELS, NVME, SAMPLES, labelled, with_ctes
-from iotrace.sources import dimensions, text, traces
+from iotrace.sources import dimensions, sinks, text, traces
 from iotrace.storage import shared_path
 from iotrace.streaming import jobs
 
@@ -155,8 +155,7 @@ def nvme_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(stats_sql("lineitem", "l_returnflag, l_linestatus", "l_quantity"))
 def size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form of the statistics for groups of any size."""
-    return distributions.stats_by_rank(a.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+    return distributions.stats(a.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 # -- series
@@ -285,15 +284,15 @@ def size_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(EV, BLOCK).rstrip()
     + """, r AS (SELECT op, latency_ns / 1000 AS v, row_number() OVER (PARTITION BY op ORDER BY latency_ns) - 1 AS i, count(*) OVER (PARTITION BY op) AS n
     FROM block WHERE event = 'complete' AND latency_ns > 0),
-  w AS (SELECT op, n, least(n, 1000) AS points, CASE WHEN n = 1 THEN 1 ELSE least(n, 1000) END AS k FROM r GROUP BY op, n),
+  w AS (SELECT op, n, least(n, 10000) AS points, CASE WHEN n = 1 THEN 1 ELSE least(n, 10000) END AS k FROM r GROUP BY op, n),
   x AS (SELECT op, n, points, unnest(range(points)) AS j FROM w),
   c AS (SELECT op, n, CASE WHEN points = 1 THEN 0 ELSE (j * (n - 1)) // (points - 1) END AS i FROM x)
 SELECT r.op, r.v AS value, round((max(r.i) + 1) / CAST(max(r.n) AS DOUBLE), 6) AS cdf FROM r JOIN c ON r.op = c.op AND r.i = c.i GROUP BY r.op, r.v"""
 )
 def latency_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latencies in microseconds at up to 1,000 ranks."""
+    """Latencies in microseconds at up to 10,000 ranks."""
     rows = a.block(spark, sf_dir).where("event = 'complete' and latency_ns > 0").withColumn("us", F.col("latency_ns") / 1000)
-    return series.cdf(rows, ["op"], "us", 1000)
+    return series.cdf(rows, ["op"], "us", 10_000)
 
 
 # -- lifecycle
@@ -656,18 +655,19 @@ def sysstat_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sysstat_series(rows, rows, rows)
 
 
+CLOCK = "(timestamp_ns // 1000000000 % 86400 // 3 + 82400) % 86400"
+
+
 @query(
     with_ctes(EV).rstrip()
-    + """, t AS (SELECT DISTINCT strftime(to_timestamp((timestamp_ns // 1000000000 + 43200 + 40000) % 86400) AT TIME ZONE 'UTC', '%H:%M:%S') AS "time",
-    (timestamp_ns // 1000000000 + 43200 + 40000) % 86400 AS s FROM ev WHERE k < 2 AND timestamp_ns // 1000000000 % 86400 < 30000),
+    + f""", t AS (SELECT DISTINCT strftime(to_timestamp({CLOCK}) AT TIME ZONE 'UTC', '%H:%M:%S') AS "time", {CLOCK} AS s FROM ev),
   l AS (SELECT *, lead(s) OVER (ORDER BY s) - s AS gap FROM t), e AS (SELECT arg_max(s, gap * 100000 + s) AS edge FROM l WHERE gap > 43200)
 SELECT "time", CAST(CASE WHEN s <= edge THEN s + 86400 ELSE s END AS INTEGER) AS secs FROM l, e"""
 )
 def clock_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clock times of a run from 22:53 to 07:13, in order across midnight."""
-    day = fn.int_div(F.col("timestamp_ns"), fn.SECOND_NS)
-    rows = a.ev(spark, sf_dir).where((F.col("k") < 2) & (F.pmod(day, F.lit(86400)) < 30000))
-    return sysstat.chronological(rows.select(fn.clock(F.pmod(day + 43200 + 40000, F.lit(86400))).alias("time")))
+    """Clock times of all events in a run from 22:53 to 06:53, a third as fast as the events, in order across midnight."""
+    of_day = F.pmod(fn.int_div(F.col("timestamp_ns"), fn.SECOND_NS), F.lit(86400))
+    return sysstat.chronological(a.ev(spark, sf_dir).select(fn.clock(F.pmod(fn.int_div(of_day, 3) + 82400, F.lit(86400))).alias("time")))
 
 
 # -- quality
@@ -725,22 +725,250 @@ def pattern_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pattern_checks(patterns)
 
 
+def checks_sql(source: str, done: str, began: str) -> str:
+    """SQL of a layer's checks from ``source(job, op, event, size, seq)`` with op read or write."""
+    return f""", truth AS (SELECT job, op, count(*) AS ios, CAST(sum(size) AS BIGINT) AS size FROM {source} WHERE event = '{done}' AND seq % CASE op WHEN 'read' THEN 40 ELSE 60 END > 0 GROUP BY job, op),
+  v AS (SELECT job, op, count(*) FILTER (WHERE event = '{done}') AS done, coalesce(sum(size) FILTER (WHERE event = '{done}'), 0) AS size, count(*) FILTER (WHERE event = '{began}') AS began FROM {source} GROUP BY job, op),
+  k AS (SELECT t.job, 'completed' AS "check", t.op, v.done AS actual, t.ios AS expected FROM truth t JOIN v USING (job, op)
+    UNION ALL SELECT t.job, 'bytes', t.op, v.size, t.size FROM truth t JOIN v USING (job, op) UNION ALL SELECT t.job, 'started', t.op, v.began, v.done FROM truth t JOIN v USING (job, op))
+SELECT job, "check", op, CAST(actual AS BIGINT) AS actual, CAST(expected AS BIGINT) AS expected,
+  CASE WHEN expected = 0 THEN actual = 0 ELSE abs(actual - expected) / CAST(expected AS DOUBLE) <= 0.02 END AS passed FROM k"""
+
+
+def _truth(done: DataFrame) -> DataFrame:
+    """An independent report that misses one completion in forty reads and one in sixty writes."""
+    read, write = (F.col("op") == "read") & (F.col("seq") % 40 > 0), (F.col("op") == "write") & (F.col("seq") % 60 > 0)
+    size = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0))
+    return done.groupBy("job").agg(F.count_if(read).alias("read_ios"), size(read).alias("read_bytes"), F.count_if(write).alias("write_ios"), size(write).alias("write_bytes"))
+
+
+@query(with_ctes(EV, NVME).rstrip() + ", c AS (SELECT comm AS job, op, event, bytes AS size, seq FROM nvme WHERE op IN ('read', 'write'))" + checks_sql("c", "complete", "setup"))
+def nvme_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.nvme(spark, sf_dir).withColumnRenamed("comm", "job")
+    values = counters.named(counters.base(rows, ["job"]), ["job"], "nvme")
+    return quality.layer_checks(values, _truth(rows.where("event = 'complete'").withColumn("size", F.col("bytes"))), "nvme")
+
+
+FS_JOBS = """, j AS (SELECT CASE WHEN tid % 2 = 0 THEN 'val_seq' ELSE 'val_rand' END || comm AS job, CASE WHEN tid % 3 = 0 THEN 'p' || syscall || '64' ELSE syscall END AS call, event, greatest(coalesce(bytes, 0), 0) AS size, seq
+    FROM fs WHERE syscall IN ('read', 'write')),
+  c AS (SELECT job, CASE WHEN call LIKE '%read%' THEN 'read' ELSE 'write' END AS op, event, size, seq FROM j WHERE (job LIKE 'val_seq%') = (call IN ('read', 'write')))"""
+
+
+@query(with_ctes(EV, FS).rstrip() + FS_JOBS + checks_sql("c", "exit", "enter"))
+def fs_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential jobs are checked by read and write, others by their forms with an offset."""
+    rows = a.fs(spark, sf_dir).where("syscall in ('read', 'write')")
+    job = F.concat(F.when(F.col("tid") % 2 == 0, "val_seq").otherwise("val_rand"), "comm")
+    call = F.when(F.col("tid") % 3 == 0, F.concat(F.lit("p"), "syscall", F.lit("64"))).otherwise(F.col("syscall"))
+    rows = rows.withColumn("job", job).withColumn("syscall", call)
+    values = counters.named(counters.base(rows, ["job"], "syscall"), ["job"], "fs")
+    plain = F.col("syscall").isin("read", "write") == F.col("job").startswith("val_seq")
+    done = rows.where((F.col("event") == "exit") & plain).withColumn("op", F.when(F.col("syscall").contains("read"), "read").otherwise("write"))
+    return quality.layer_checks(values, _truth(done.withColumn("size", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)))), "fs")
+
+
+@query(
+    with_ctes(EV, FS, NVME, pair_sql("f", "fs", "tid", "enter", "exit"), pair_sql("n", "nvme", "rq", "setup", "complete"))
+    + f"SELECT 'fs' AS layer, syscall AS op, count(*) AS ends, count(*) FILTER (WHERE NOT coalesce({MATCHED}, false)) AS untracked FROM f WHERE event = 'exit' GROUP BY syscall "
+    f"UNION ALL SELECT 'nvme', op, count(*), count(*) FILTER (WHERE NOT coalesce({MATCHED}, false)) FROM n WHERE event = 'complete' GROUP BY op"
+)
+def untracked_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = lifecycle.request_latencies(a.fs(spark, sf_dir), "enter", "exit", ["tid"], ORDER)
+    commands = lifecycle.request_latencies(a.nvme(spark, sf_dir), "setup", "complete", ["rq"], ORDER)
+    parts = [lifecycle.untracked(calls, "exit", ["syscall"]).select(F.lit("fs").alias("layer"), F.col("syscall").alias("op"), "ends", "untracked")]
+    parts.append(lifecycle.untracked(commands, "complete", ["op"]).select(F.lit("nvme").alias("layer"), "op", "ends", "untracked"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    with_ctes(EV, NVME, pair_sql("p", "nvme", "rq", "setup", "complete", ("comm", "mntns_id", "op", "bytes", "sector", "disk_name")))
+    + "SELECT seq, "
+    + ", ".join(f"CASE WHEN {MATCHED} THEN start_{c} ELSE {c} END AS {c}" for c in ("comm", "mntns_id", "op", "bytes", "sector", "disk_name"))
+    + " FROM p WHERE event = 'complete'"
+)
+def nvme_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions with all that their setup says of the command."""
+    kept = ["comm", "mntns_id", "op", "bytes", "sector", "disk_name"]
+    rows = lifecycle.request_latencies(a.nvme(spark, sf_dir), "setup", "complete", ["rq"], ORDER, inherit=kept)
+    return rows.where("event = 'complete'").select("seq", *kept)
+
+
+@query(
+    SAM
+    + """, r AS (SELECT s.*, coalesce(t.n_name, c.n_name, 'other') AS label, CASE WHEN command IN ('c1', 'c2', 'c4') THEN command ELSE 'other' END AS shown FROM sam s
+    LEFT JOIN nation t ON t.n_nationkey BETWEEN 6 AND 14 AND s.tgid = CAST(t.n_nationkey AS VARCHAR) LEFT JOIN nation c ON c.n_nationkey IN (4, 5) AND s.command = 'c' || c.n_nationkey)
+SELECT label, shown, count(*) AS n, count(DISTINCT tgid) AS tgids FROM r GROUP BY label, shown"""
+)
+def process_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource samples by label, of the process group, else of the command; and commands that are listed or ``other``."""
+    nation, key = a.table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string")
+    by_tgid = nation.where("n_nationkey between 6 and 14").select(key.alias("tgid"), F.col("n_name").alias("tgid_label"))
+    by_command = nation.where("n_nationkey in (4, 5)").select(F.concat(F.lit("c"), key).alias("command"), F.col("n_name").alias("command_label"))
+    rows = labels.resolve_process(a.samples(spark, sf_dir), by_tgid, by_command).withColumn("shown", filters.listed_or_other("command", ["c1", "c2", "c4"]))
+    return rows.groupBy("label", "shown").agg(F.count("*").alias("n"), F.count_distinct("tgid").alias("tgids"))
+
+
+@query(
+    BLOCK_L.rstrip()
+    + f"""{BOUNDS}, t AS (SELECT label, comm, mntns_id, count(*) + sum(CASE WHEN event = 'complete' THEN bytes ELSE 0 END) AS total FROM block_l GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total DESC, comm, mntns_id) AS rank FROM t)
+SELECT label, op, CAST({SEC} AS BIGINT) AS sec, count(*) FILTER (WHERE event = 'complete') AS completions FROM block_l JOIN k USING (label, comm, mntns_id), b WHERE rank = 1 GROUP BY label, op, {SEC}"""
+)
+def dominant_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions an hour of each label's largest identity, which stand for the label where series do not add up."""
+    rows, identity = block_l(spark, sf_dir), ["label", "comm", "mntns_id"]
+    ranks = labels.rank_identities(counters.named(counters.base(rows, identity), identity, "block"))
+    buckets, _ = _buckets(rows, identity, "block")
+    return labels.dominant(buckets, ranks).select("label", "op", "sec", "completions")
+
+
+AREAS = """, d AS (SELECT max("time") - min("time") AS duration_s FROM sam) """
+
+
+def _area_sql(section: str) -> str:
+    pairs = " UNION ALL ".join(f"SELECT command, '{m}' AS metric, \"time\", CAST(round(sum(CAST({m} AS DECIMAL(28, 6))), 2) AS DOUBLE) AS value FROM sam GROUP BY command, \"time\"" for m in sysstat.METRICS[section])
+    shares = ", ".join(f"'{m}'" for m in sysstat.SHARES)
+    return (
+        f"SELECT '{section}' AS section, command, metric, round(CASE WHEN count(*) > 1 THEN sum(value) - (arg_min(value, \"time\") + arg_max(value, \"time\")) / 2 ELSE sum(value) END, 4) AS area_under_curve, "
+        f"CASE WHEN metric IN ({shares}) THEN round(100.0 * (SELECT duration_s FROM d), 2) END AS max_area_under_curve FROM ({pairs}) GROUP BY command, metric"
+    )
+
+
+@query(SAM + AREAS + _area_sql("cpu") + " UNION ALL " + _area_sql("mem"))
+def sysstat_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas under the curves, and of 100 % over the run for metrics that are shares."""
+    rows = a.samples(spark, sf_dir)
+    run = rows.agg((F.max("time") - F.min("time")).alias("duration_s"))
+    parts = [sysstat.section_stats(rows, s, duration_s=run, places=4).select(F.lit(s).alias("section"), "command", "metric", "area_under_curve", "max_area_under_curve") for s in ("cpu", "mem")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    with_ctes(EV, BLOCK).rstrip()
+    + """, m AS (SELECT CASE event WHEN 'complete' THEN 'rq_completed' WHEN 'issue' THEN 'rq_issued' ELSE 'rq_queued' END AS metric, op, 1 AS v FROM block
+  UNION ALL SELECT 'rq_total_bytes', op, bytes FROM block WHERE event = 'complete') SELECT metric, op, CAST(sum(v) AS BIGINT) AS value FROM m GROUP BY metric, op"""
+)
+def results_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of every identity written as one nested JSON view, read back and added up over all of them."""
+    rows = a.block(spark, sf_dir).withColumn("container", fn.identity(F.col("mntns_id")))
+    keys, path = ["comm", "container", "metric", "op"], shared_path(spark, "results")
+    sinks.write_json(counters.named(counters.base(rows, ["comm", "container"]), ["comm", "container"], "block"), keys, ["value"], path)
+    return counters.merged(sinks.read_json(spark, path, keys, "value bigint"), [])
+
+
+@query(
+    with_ctes(EV, BLOCK).rstrip()
+    + ", p AS (SELECT comm, op, timestamp_ns // 86400000000000 AS day, count(*) AS n, max(sector) AS top FROM block GROUP BY ALL) SELECT comm, op, arg_max(n, day) AS n, arg_max(top, day) AS top FROM p GROUP BY comm, op"
+)
+def last_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every day; of each key the last day's count."""
+    day = fn.int_div(F.col("timestamp_ns"), 24 * HOUR).alias("day")
+    daily = a.block(spark, sf_dir).groupBy("comm", "op", day).agg(F.count("*").alias("n"), F.max("sector").alias("top"))
+    return counters.last_written(daily, ["comm", "op"], "day")
+
+
+@query(with_ctes(EV, BLOCK) + "SELECT event, comm, count(*) AS n, count(*) FILTER (WHERE seq % 3 > 0) AS with_mntns, CAST(sum(bytes) AS BIGINT) AS total_bytes, CAST(coalesce(sum(latency_ns), 0) AS BIGINT) AS latency_ns, 0 AS dropped FROM block GROUP BY event, comm")
+def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace written as CSV files, a third of the rows in files whose header lacks columns, and read back by name."""
+    rows, path = a.block(spark, sf_dir), shared_path(spark, "csv")
+    old = F.col("seq") % 3 == 0
+    rows.where(~old).drop("seq").write.option("header", True).csv(path)
+    rows.where(old).select("timestamp_ns", "comm", "event", "op", "bytes", "latency_ns", "rq", "sector").write.mode("append").option("header", True).csv(path)
+    back = traces.read_csv(spark, path, "block")
+    out = traces.whole_rows(back).groupBy("event", "comm").agg(F.count("*").alias("n"), F.count("mntns_id").alias("with_mntns"), F.sum("bytes").alias("total_bytes"), F.coalesce(F.sum("latency_ns"), F.lit(0)).alias("latency_ns"))
+    return out.join(F.broadcast(traces.torn_rows(back).select(F.col("dropped").cast("int").alias("dropped"))))
+
+
+@query(BLOCK_L + "SELECT label, count(*) AS n FROM block_l GROUP BY label")
+def container_map_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by label of a container map, written as JSON from ``nation`` and read back."""
+    path, nation = shared_path(spark, "map"), a.table(spark, sf_dir, "nation").where("n_nationkey < 6")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    body = F.when(F.col("n_nationkey") < 4, F.struct(none("string").alias("tgids"), F.array("n_nationkey").cast("array<bigint>").alias("mntns_ids"), none("string").alias("comms")))
+    body = body.otherwise(F.struct(none("string").alias("tgids"), none("bigint").alias("mntns_ids"), F.array(F.concat(F.lit("c"), F.col("n_nationkey").cast("string"))).alias("comms")))
+    sinks.write_json(nation.select(F.lit("containers").alias("k"), F.col("n_name").alias("label"), body.alias("c")).select("k", "label", "c.*"), ["k", "label"], ["tgids", "mntns_ids", "comms"], path)
+    dims = dimensions.containers(spark, path)
+    rows = labels.resolve(a.block(spark, sf_dir), dimensions.mntns_labels(dims), dimensions.comm_labels(dims))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(
+    with_ctes(EV, BLOCK).rstrip()
+    + """, c AS (SELECT coalesce(CAST(CASE WHEN seq % 9 = 0 THEN NULL ELSE mntns_id END AS VARCHAR), '') AS container, comm, op, count(*) AS n FROM block GROUP BY ALL)
+SELECT container, comm, coalesce(sum(n) FILTER (WHERE op = 'write'), 0)::BIGINT AS writes, -1::BIGINT AS discards, arg_min(op, CASE op WHEN 'read' THEN 0 WHEN 'write' THEN 1 ELSE 4 END) AS first_op,
+  round(sum(ln(1 + n)), 6) AS logs, sum(n)::BIGINT AS n FROM c GROUP BY container, comm"""
+)
+def op_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each identity as a dictionary by op, looked up with defaults; ops in their usual order; logs and back."""
+    rows = a.block(spark, sf_dir).withColumn("container", fn.identity(F.when(F.col("seq") % 9 > 0, F.col("mntns_id"))))
+    counts = rows.groupBy("container", "comm", "op").agg(F.count("*").alias("n"))
+    by_op = fn.dictionary("op", "n")
+    logs = F.round(F.sum(F.log1p("n")), 6)
+    back = F.sum(F.round(F.expm1(F.log1p("n"))).cast("bigint"))
+    out = counts.groupBy("container", "comm").agg(by_op.alias("d"), F.min_by("op", fn.op_rank(F.col("op"))).alias("first_op"), logs.alias("logs"), back.alias("n"))
+    return out.select("container", "comm", fn.get_or(F.col("d"), "write", 0).alias("writes"), fn.get_or(F.col("d"), "discard", -1).cast("bigint").alias("discards"), "first_op", "logs", "n")
+
+
+@query(
+    with_ctes(EV, BLOCK)
+    + "SELECT 'rq_completed' AS map, w.key, CAST(coalesce(count(b.seq), 0) AS BIGINT) AS value FROM (SELECT DISTINCT comm || ',' || o AS key FROM ev, (VALUES ('read'), ('discard')) t(o)) w "
+    "LEFT JOIN block b ON b.event = 'complete' AND b.comm || ',' || b.op = w.key GROUP BY w.key"
+)
+def counter_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters looked up by map and key, 0 where the trace has none."""
+    rows = a.block(spark, sf_dir)
+    values = rows.where("event = 'complete'").groupBy(F.lit("rq_completed").alias("map"), F.concat_ws(",", "comm", "op").alias("key")).agg(F.count("*").alias("value"))
+    wanted = rows.select("comm").distinct().select(F.lit("rq_completed").alias("map"), F.explode(F.array(F.concat("comm", F.lit(",read")), F.concat("comm", F.lit(",discard")))).alias("key"))
+    return quality.lookup(values, wanted)
+
+
+@query(
+    POINTS.rstrip()
+    + ", g AS (SELECT l_linestatus, lo, max(hi) AS hi, sum(count) AS count FROM h GROUP BY ALL) SELECT l_linestatus, count(*)::INTEGER AS n_buckets, min(lo) AS first_lo, CAST(sum(count) AS BIGINT) AS count FROM h GROUP BY l_linestatus"
+)
+def histogram_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a histogram together with its buckets."""
+    out = histograms.with_buckets(_points(spark, sf_dir), ["l_linestatus"])
+    return out.select("l_linestatus", F.size("buckets").alias("n_buckets"), F.col("buckets")[0]["lo"].alias("first_lo"), "count")
+
+
+@query(with_ctes(EV, BLOCK).rstrip() + IOPS + ", f AS (SELECT g.comm, g.op, g.sec, coalesce(n, 0) AS value FROM g LEFT JOIN c USING (comm, op, sec)) SELECT comm, op, count(*) AS count, CAST(list(value ORDER BY sec)[1:5] AS VARCHAR) AS head FROM f GROUP BY comm, op")
+def series_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of a series together with its points, of which the first five are shown."""
+    buckets, bounds = _buckets(a.block(spark, sf_dir), ["comm"], "block")
+    points = series.filled(buckets, ["comm"], "completions", bounds, HOUR)
+    out = histograms.with_points(points, series.series_stats(points, ["comm", "op"]), ["comm", "op"], "sec")
+    head = F.transform(F.slice("points", 1, 5), lambda x: x["value"].cast("string"))
+    return out.select("comm", "op", "count", F.concat(F.lit("["), F.array_join(head, ", "), F.lit("]")).alias("head"))
+
+
+@query(
+    with_ctes(EV, BLOCK)
+    + "SELECT event, contains(comm, '1') OR mntns_id IN (1, 2) AS wanted, count(*) AS n FROM block GROUP BY ALL"
+)
+def container_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container filter with its ids in a table, as for sets too large for a list."""
+    ids = a.table(spark, sf_dir, "nation").where("n_nationkey in (1, 2)").select(F.col("n_nationkey").cast("bigint").alias("mntns_id"))
+    rows = a.block(spark, sf_dir)
+    kept = filters.in_containers(rows, ids).select("seq").withColumn("_in", F.lit(True))
+    wanted = filters.comm_matches(["1"]) | F.coalesce("_in", F.lit(False))
+    return rows.join(kept, "seq", "left").groupBy("event", wanted.alias("wanted")).agg(F.count("*").alias("n"))
+
+
+
 # -- text reports: rows of the tables written as report lines, and parsed back
 
 
 def _lines(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """``rows(ord, line)`` written as one text file in order, and read back as numbered lines."""
+    """``rows(ord, line)`` written as one text file in order, or ``rows(file, ord, line)`` as many, and read back as numbered lines."""
     path = shared_path(spark, name)
-    rows.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)
+    if "file" in rows.columns:
+        rows.repartition("file").sortWithinPartitions("file", "ord").select("file", "line").write.partitionBy("file").text(path)
+    else:
+        rows.repartition(1).sortWithinPartitions("ord").select("line").write.text(path)
     return text.lines(spark, path)
 
 
-def _numbered(df: DataFrame, *order: str) -> F.Column:
-    from pyspark.sql.window import Window as W
-
-    return F.row_number().over(W.orderBy(*order))
-
-
 @query(with_ctes(EV, BLOCK) + "SELECT 'rq_completed' AS map, comm || ',' || op AS key, count(*) AS value FROM block WHERE event = 'complete' GROUP BY comm, op")
 def parse_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = a.block(spark, sf_dir).where("event = 'complete'").groupBy("comm", "op").agg(F.count("*").alias("n"))
@@ -795,17 +1023,19 @@ def parse_tseries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'cpu' AS section, tgid, tid, command, CAST(value AS DOUBLE) AS usr, CAST(seq AS VARCHAR) AS cpu FROM p UNION ALL SELECT 'dev', tgid, NULL, command, value, CAST(seq AS VARCHAR) FROM p"""
 )
 def parse_pidstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A process row and a thread row of each event in a cpu section, and a process row in a dev section."""
+    """A process row and a thread row of each event in a cpu section, and a process row in a dev section, in reports of some thousand lines."""
     rows = a.ev(spark, sf_dir).select("seq", F.col("user_id").cast("string").alias("tgid"), F.concat("comm", F.lit(" main")).alias("command"), (1000 + F.col("k")).cast("string").alias("tid"), F.col("value").cast("string").alias("v"), F.col("seq").cast("string").alias("s"))
+    rows = rows.withColumn("file", fn.int_div(F.col("seq"), 2000))
     place = lambda i: F.format_string("%d %020d", F.lit(i), F.col("seq"))
     say = lambda *parts: F.concat_ws(" ", *[F.lit(p) if p in TEXT else F.col(p) for p in parts])
     TEXT = {"12:00:00", "0", "-", "|__worker"}
-    head = spark.createDataFrame([("0", "Linux 6.1 (host)"), ("00", ""), ("1", "12:00:00 UID TGID TID %usr %system %guest %wait %CPU CPU Command"), ("3", "12:00:00 UID TGID TID kB_rd/s kB_wr/s kB_ccwr/s iodelay Command"), ("5", "Average: 0 1 - 0 0 0 0 x")], "ord string, line string")
-    cpu = rows.select(F.concat(place(2), F.lit(" a")).alias("ord"), say("12:00:00", "0", "tgid", "-", "v", "0", "0", "0", "v", "s", "command").alias("line")).unionByName(
-        rows.select(F.concat(place(2), F.lit(" b")).alias("ord"), say("12:00:00", "0", "-", "tid", "v", "0", "0", "0", "v", "s", "|__worker").alias("line"))
+    head = [("0", "Linux 6.1 (host)"), ("00", ""), ("1", "12:00:00 UID TGID TID %usr %system %guest %wait %CPU CPU Command"), ("3", "12:00:00 UID TGID TID kB_rd/s kB_wr/s kB_ccwr/s iodelay Command"), ("5", "Average: 0 1 - 0 0 0 0 x")]
+    heads = rows.select("file").distinct().select("file", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(x).alias("line")) for o, x in head])).alias("x")).select("file", "x.*")
+    cpu = rows.select("file", F.concat(place(2), F.lit(" a")).alias("ord"), say("12:00:00", "0", "tgid", "-", "v", "0", "0", "0", "v", "s", "command").alias("line")).unionByName(
+        rows.select("file", F.concat(place(2), F.lit(" b")).alias("ord"), say("12:00:00", "0", "-", "tid", "v", "0", "0", "0", "v", "s", "|__worker").alias("line"))
     )
-    dev = rows.select(place(4).alias("ord"), say("12:00:00", "0", "tgid", "-", "v", "0", "0", "s", "command").alias("line"))
-    out = text.pidstat(_lines(spark, head.unionByName(cpu).unionByName(dev), "pidstat"))
+    dev = rows.select("file", place(4).alias("ord"), say("12:00:00", "0", "tgid", "-", "v", "0", "0", "s", "command").alias("line"))
+    out = text.pidstat(_lines(spark, heads.unionByName(cpu).unionByName(dev), "pidstat"))
     last = F.when(F.col("section") == "cpu", F.get("fields", F.lit(5))).otherwise(F.get("fields", F.lit(3)))
     return out.select("section", "tgid", "tid", "command", F.get("fields", F.lit(0)).cast("double").alias("usr"), last.alias("cpu"))
 
@@ -815,7 +1045,8 @@ def parse_pidstat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return a.numbered(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))  # a pattern, as the table may be a single file
+    # a pattern, as the table may be a single file; a micro-batch is a file
+    return a.numbered(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet"))
 
 
 @query(
@@ -830,7 +1061,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_ctes(EV, BLOCK, pair_sql("p", "block", "rq", "issue", "complete")) + f"SELECT rq AS key, start_ns, timestamp_ns AS end_ns FROM p WHERE event = 'complete' AND {MATCHED}")
 def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_end(jobs.pair(jobs.event_time(a.block(spark, sf_dir, _stream(spark, sf_dir))), "rq", "issue", "complete"))
+    return jobs.pair(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=None)
 
 
 @query(with_ctes(EV, BLOCK).rstrip() + f", s AS (SELECT op, bytes AS v FROM block WHERE event = 'complete'), h AS (SELECT op, v, {LOG2} AS lo FROM s) SELECT op, lo, count(*) AS count, CAST(sum(v) AS BIGINT) AS total FROM h GROUP BY op, lo")
@@ -840,12 +1071,14 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_ctes(EV, BLOCK)
-    + "SELECT op, comm, timestamp_ns, CAST(sum(CASE event WHEN 'issue' THEN 1 WHEN 'complete' THEN -1 ELSE 0 END) OVER (PARTITION BY op, comm ORDER BY timestamp_ns, seq) AS BIGINT) AS in_flight FROM block"
+    with_ctes(EV, BLOCK, pair_sql("p", "block", "rq", "issue", "complete", ("op", "comm"))).rstrip()
+    + f""", m AS (SELECT CASE event WHEN 'complete' THEN start_op ELSE op END AS op, CASE event WHEN 'complete' THEN start_comm ELSE comm END AS comm, timestamp_ns, seq, CASE event WHEN 'issue' THEN 1 ELSE -1 END AS d
+    FROM p WHERE event = 'issue' OR (event = 'complete' AND {MATCHED}))
+SELECT op, comm, timestamp_ns, CAST(sum(d) OVER (PARTITION BY op, comm ORDER BY timestamp_ns, seq) AS BIGINT) AS in_flight FROM m"""
 )
 def stream_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    delta = F.when(F.col("event") == "issue", 1).when(F.col("event") == "complete", -1).otherwise(0)
-    return jobs.run_to_end(jobs.in_flight(a.block(spark, sf_dir, _stream(spark, sf_dir)), ["op", "comm"], delta))
+    """Requests in flight after each issue and each completion of an issue that the stream has."""
+    return jobs.in_flight(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=None)
 
 
 @query(
@@ -854,7 +1087,7 @@ def stream_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT d.tid, d.fd, timestamp_ns, syscall, CAST(base + moved AS BIGINT) AS position FROM d WHERE event = 'enter' AND syscall IN ('read', 'write') AND part > 0 AND base IS NOT NULL"
 )
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_end(jobs.file_positions(a.fs(spark, sf_dir, _stream(spark, sf_dir))))
+    return jobs.file_positions(a.fs(spark, sf_dir, _stream(spark, sf_dir)), ttl_ns=None)
 
 
 @query(
@@ -863,13 +1096,37 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).select(F.col("comm").alias("label"), F.col("user_id").cast("string").alias("tgid"), "mntns_id", "comm")
-    out = jobs.run_to_end(jobs.container_inventory(rows), "complete")
-    return out.select("label", F.concat(F.lit("["), F.array_join("tgids", ", "), F.lit("]")).alias("tgids"), F.size("mntns_ids").cast("bigint").alias("n_mntns"))
+    out = jobs.container_inventory(rows).groupBy("label").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "tgid", F.col("id")))).alias("tgids"), F.count_if(F.col("kind") == "mntns_id").alias("n_mntns")
+    )
+    return out.select("label", F.concat(F.lit("["), F.array_join("tgids", ", "), F.lit("]")).alias("tgids"), "n_mntns")
+
+
+@query(
+    with_ctes(EV).rstrip()
+    + f", b AS (SELECT op, make_timestamp(timestamp_ns // {HOUR} * {HOUR // 1000}) AS bucket, count(*) AS n FROM ev GROUP BY op, bucket) SELECT * FROM b WHERE bucket > (SELECT max(bucket) FROM b) - INTERVAL 100 HOUR"
+)
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred hours of a series, as a recorder with that many buckets keeps them."""
+    rows = jobs.event_time(_stream(spark, sf_dir).withColumn("gauge", F.col("k") % 13), "1 hour")
+    out = jobs.latest_buckets(jobs.run_to_end(jobs.bucket_series(rows, ["op"], "gauge", "1 hour"), "complete"), 100, "1 hour")
+    return out.select("op", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n")
+
+
+@query(BLOCK_L + "SELECT label, event, count(*) AS n FROM block_l GROUP BY label, event")
+def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream labelled with the container dimension as each micro-batch finds it."""
+    path = shared_path(spark, "stream-labels")
+    sink = lambda batch, i: batch.select("label", "event").write.mode("overwrite").parquet(f"{path}/batch={i}")
+    rows = a.block(spark, sf_dir, _stream(spark, sf_dir))
+    writer = jobs.with_current_labels(rows, lambda s: a.label_dimensions(s, sf_dir), sink)
+    writer.option("checkpointLocation", shared_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("label", "event").agg(F.count("*").alias("n"))
 
 
 # -- dashboards
 
-POINTS_SHOWN = 1000
+POINTS_SHOWN = 10_000
 
 
 def grid_cdf_sql(series_name: str, source: str) -> str:
@@ -944,4 +1201,4 @@ def fs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.layer_series(fs_l(spark, sf_dir), ["label"], "fs", ORDER, HOUR, POINTS_SHOWN)
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "dimensions"]
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,17 @@ def write_json(tidy: DataFrame, keys: list[str], values: list[str], path: str) -
     nested_json(tidy, keys, values, "value").write.mode("overwrite").text(path)
 
 
+def read_json(spark: SparkSession, path: str, keys: list[str], values: str) -> DataFrame:
+    """The tidy rows of a view that ``write_json`` has written: ``keys`` as text, and the fields of the DDL ``values``."""
+    kind = f"struct<{values}>"
+    for _ in keys:
+        kind = f"map<string, {kind}>"
+    rows = spark.read.text(path).select(F.from_json("value", kind).alias("v"))
+    for k, key in enumerate(keys):
+        rows = rows.select(*keys[:k], F.explode("v").alias(key, "v"))
+    return rows.select(*keys, "v.*")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header; commas within a value are quoted."""
     rows.write.mode("overwrite").option("header", True).csv(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,18 +15,46 @@ from iotrace.sources import schemas
 CORRUPT = "_corrupt"
 
 
-def read_csv(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """Trace rows of a CSV with the layer's types, matched by the header's names; unknown columns stay text.
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of a trace by the column names of their first line, which alone is read of each; empty files have none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first(file: str) -> str:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
+        try:
+            return stream.readLine() or ""
+        finally:
+            stream.close()
+
+    files = sorted(spark.read.text(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(first, files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for file, line in zip(files, lines, strict=True):
+        if line.strip():
+            out.setdefault(tuple(line.strip().split(",")), []).append(file)
+    return out
+
 
-    Lines that do not fit the header, such as one cut off by the end of a recording, have their text in
-    ``_corrupt`` and are otherwise null. Lines are parsed whole, whatever columns are used, so that this does not depend on them.
+def read_csv(spark: SparkSession, path: str | list[str], layer: str) -> DataFrame:
+    """Trace rows of CSV files with the layer's types, matched by the names in each file's header; unknown columns stay text.
+
+    Files of one folder may have different headers, as older recordings lack columns: files with equal headers
+    are read together and columns that some lack are null there. Lines that do not fit their header, such as one
+    cut off by the end of a recording, have their text in ``_corrupt`` and are otherwise null. Lines are parsed
+    whole, whatever columns are used, so that this does not depend on them.
     """
     known = {f.name: f.dataType for f in schemas.schema(schemas.LAYERS[layer])}
-    header = spark.read.text(path).head()
-    names = header[0].split(",") if header else list(known)
-    fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
-    read = spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
-    return read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    parts = []
+    for names, files in (_headers(spark, path) or {tuple(known): path}).items():
+        fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
+        read = spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
+        read = read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+        parts.append(read.csv(files))
+    out = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    order = [*(c for c in known if c in out.columns), *(c for c in out.columns if c not in known and c != CORRUPT), CORRUPT]
+    return out.select(*order)
 
 
 def whole_rows(rows: DataFrame) -> DataFrame:
@@ -32,8 +63,8 @@ def whole_rows(rows: DataFrame) -> DataFrame:
 
 def torn_rows(rows: DataFrame) -> DataFrame:
     """``(dropped)``: how many lines ``whole_rows`` leaves out."""
-    # Spark reads the corrupt text only together with another column; no line holds a null character before its end
-    other = F.concat(F.coalesce(F.col(rows.columns[0]).cast("string"), F.lit("")), F.lit("\0"))
+    # Spark reads the corrupt text only together with other columns; no line holds a null character before its end
+    other = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != CORRUPT], F.lit("\0"))
     return rows.agg(F.count_if(F.col(CORRUPT) != other).alias("dropped"))
 
 
@@ -48,12 +79,29 @@ def csv_to_parquet(spark: SparkSession, path: str, layer: str, out: str, mode: s
     whole_rows(read_csv(spark, path, layer)).withColumn("layer", F.lit(layer)).write.mode(mode).partitionBy("layer").parquet(out)
 
 
-def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, checkpoint: str):
-    """Convert the CSV files of a folder that no earlier call has converted; the checkpoint remembers them."""
-    rows = spark.readStream.schema(schemas.LAYERS[layer]).option("header", True).option("mode", "DROPMALFORMED").csv(folder)
-    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, checkpoint: str, max_files: int = 1000) -> int:
+    """Convert the CSV files of a folder that no earlier call has converted; the number of lines left out as torn.
+
+    The stream is of file names; the checkpoint remembers them. Each micro-batch of at most ``max_files`` files is
+    read with their own headers and written as one partition folder ``batch`` of ``out``, which a repeated
+    micro-batch overwrites.
+    """
+    left_out: list[int] = []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        files = [r["path"] for r in batch.collect()]
+        if files:
+            rows = read_csv(spark, files, layer)
+            whole_rows(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            left_out.append(torn_rows(rows).first()["dropped"])
+
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    query = (
+        names.option("maxFilesPerTrigger", max_files).load(folder).where("length > 0").select("path").writeStream
+        .option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return query
+    return sum(left_out)
 
 
 def stale(spark: SparkSession, source: str, target: str) -> bool:

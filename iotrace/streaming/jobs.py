@@ -1,20 +1,19 @@
 """Streams: bucket series, pairing, in-flight gauges, histograms, file positions, and container dimensions.
 
-The stateful jobs keep one small record a key. They take the events of a key in time order within a micro-batch
-and micro-batches in turn, as a trace source delivers them.
+The stateful jobs carry one small row a key from each micro-batch to the next. They take the events of a key in
+time order within a micro-batch and micro-batches in turn, as a trace source delivers them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
-from iotrace.operators import labels
+from iotrace.operators import access, labels, lifecycle
 from iotrace.storage import shared_path
 
 
@@ -37,88 +36,127 @@ def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.where(v.isNotNull()).groupBy(*by, lo.alias("lo")).agg(F.count("*").alias("count"), F.sum(v).alias("total"))
 
 
-def pair(rows: DataFrame, key: str, start: str, end: str, ttl_ms: int = 86_400_000) -> DataFrame:
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def run_carried(rows: DataFrame, step: Step, state: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """Run ``step(batch, before) -> (result, after)`` over the micro-batches a source has now: (all results, last state).
+
+    What a stateful job carries from one micro-batch to the next is a table of the DDL ``state`` in the shared
+    folder, one small row a key, so a batch is joined with it and windowed like any table: a busy key is spilled
+    and not held by a Python worker. A repeated micro-batch starts from the same table and overwrites its results.
+    """
+    spark = rows.sparkSession
+    results, states, checkpoint = shared_path(spark, "stream"), shared_path(spark, "carried"), shared_path(spark, "stream-state")
+    done: list[int] = []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        before = s.read.schema(state).parquet(f"{states}/{batch_id - 1:06d}") if batch_id else s.createDataFrame([], state)
+        found, after = step(batch, before)
+        found.write.mode("overwrite").parquet(f"{results}/{batch_id:06d}")
+        after.write.mode("overwrite").parquet(f"{states}/{batch_id:06d}")
+        done.append(batch_id)
+
+    query = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not done:
+        return spark.createDataFrame([], out), spark.createDataFrame([], state)
+    return spark.read.schema(out).parquet(f"{results}/*"), spark.read.schema(state).parquet(f"{states}/{done[-1]:06d}")
+
+
+def _recent(rows: DataFrame, ttl_ns: int | None, newest: DataFrame) -> DataFrame:
+    """Rows ``(..., ns)`` that are not older than ``ttl_ns`` before the newest event; None keeps all."""
+    if ttl_ns is None:
+        return rows
+    last = newest.agg(F.max("timestamp_ns").alias("_newest"))
+    return rows.join(F.broadcast(last)).where(F.col("ns") >= F.col("_newest") - ttl_ns).drop("_newest")
+
+
+OPEN = "key string, ns bigint, op string, comm string"
+
+
+def _matched(batch: DataFrame, before: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Starts, carried ones first, and ends with ``start_ns``, ``start_op``, ``start_comm`` of the start they use.
+
+    At equal times starts come before ends, then rows by ``seq``.
+    """
+    cols = [F.col(c).cast("string").alias(c) if c in batch.columns else F.lit(None).cast("string").alias(c) for c in ("op", "comm")]
+    seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
+    rows = batch.where(F.col("event").isin(start, end)).select(F.col(key).cast("string").alias("key"), "timestamp_ns", "event", seq.cast("bigint").alias("seq"), *cols, F.lit(True).alias("new"))
+    held = before.select("key", F.col("ns").alias("timestamp_ns"), F.lit(start).alias("event"), F.lit(-1).cast("bigint").alias("seq"), "op", "comm", F.lit(False).alias("new"))
+    rows = held.unionByName(rows).withColumn("role", (F.col("event") == end).cast("int"))
+    return lifecycle.pair(rows, ["key"], F.col("event") == start, F.col("event") == end, ["timestamp_ns", "role", "seq"], ["op", "comm"])
+
+
+def _still_open(matched: DataFrame, start: str) -> DataFrame:
+    last = matched.groupBy("key").agg(F.max_by(F.struct("event", F.col("timestamp_ns").alias("ns"), "op", "comm"), F.struct("timestamp_ns", "role", "seq")).alias("x"))
+    return last.where(F.col("x.event") == start).select("key", "x.ns", "x.op", "x.comm")
+
+
+def pair(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = 86_400_000_000_000) -> DataFrame:
     """``(key, start_ns, end_ns)`` of ends with a start: the latest start counts and an end uses it up.
 
-    ``rows`` come from ``event_time``. Of each key only the open start is kept; the watermark drops one that has
-    been open for ``ttl_ms`` of event time.
+    Of each key only the open start is carried on, for ``ttl_ns`` of event time.
     """
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        open_ = state.get[0] if state.exists else None
-        rows_ = pd.concat(list(batches)).sort_values(["timestamp_ns", "event"], ascending=[True, False])
-        out = []
-        for ns, event in zip(rows_["timestamp_ns"].tolist(), rows_["event"].tolist(), strict=True):
-            if event == start:
-                open_ = ns
-            elif event == end and open_ is not None:
-                out.append((k[0], open_, ns))
-                open_ = None
-        if open_ is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((open_,))
-            state.setTimeoutTimestamp(max(open_ // 1_000_000, state.getCurrentWatermarkMs()) + ttl_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "start_ns", "end_ns"])
-
-    rows = rows.select(F.col(key).cast("string").alias("key"), "timestamp_ns", "event", "ts").where(F.col("event").isin(start, end))
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "key string, start_ns bigint, end_ns bigint", "open bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        m = _matched(batch, before, key, start, end)
+        ends = m.where(F.col("start_ns").isNotNull()).select("key", "start_ns", F.col("timestamp_ns").alias("end_ns"))
+        return ends, _recent(_still_open(m, start), ttl_ns, m)
 
+    return run_carried(rows, step, OPEN, "key string, start_ns bigint, end_ns bigint")[0]
 
-def in_flight(rows: DataFrame, by: list[str], delta: Column) -> DataFrame:
-    """``(*by, timestamp_ns, in_flight)`` after each event: a running sum kept by key."""
-    names, kinds = [*by], ", ".join(f"{b} string" for b in by)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else 0
-        rows_ = pd.concat(list(batches)).sort_values("timestamp_ns")
-        level = rows_["d"].cumsum() + held
-        state.update((int(level.iloc[-1]),))
-        yield pd.DataFrame({**{b: v for b, v in zip(names, k, strict=True)}, "timestamp_ns": rows_["timestamp_ns"].to_numpy(), "in_flight": level.to_numpy()})
-
-    rows = rows.select(*[F.col(b).cast("string").alias(b) for b in by], "timestamp_ns", delta.cast("bigint").alias("d"))
-    return rows.groupBy(*by).applyInPandasWithState(step, f"{kinds}, timestamp_ns bigint, in_flight bigint", "held bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def file_positions(rows: DataFrame) -> DataFrame:
-    """``(tid, fd, timestamp_ns, syscall, position)`` of read and write enters, with the position kept by (thread, fd)."""
-    kfd = F.when((F.col("event") == "exit") & (F.col("syscall") == "openat"), F.col("bytes")).otherwise(F.col("fd").cast("bigint"))
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values("timestamp_ns").itertuples(index=False):
-            n = None if pd.isna(r.bytes) else int(r.bytes)
-            if r.event == "enter" and r.syscall in ("read", "write"):
-                if at is not None:
-                    out.append((k[0], k[1], r.timestamp_ns, r.syscall, at))
-            elif r.event == "enter" and r.syscall == "close":
-                at = None
-            elif r.event == "exit" and r.syscall == "openat" and n is not None and n >= 0:
-                at = 0
-            elif r.event == "exit" and r.syscall == "lseek" and n is not None and n >= 0:
-                at = n
-            elif r.event == "exit" and r.syscall in ("read", "write") and n is not None and n > 0 and at is not None:
-                at += n
-        if at is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((at,))
-        if out:
-            yield pd.DataFrame(out, columns=["tid", "fd", "timestamp_ns", "syscall", "position"])
-
-    rows = rows.select("tid", kfd.alias("fd"), "timestamp_ns", "event", "syscall", "bytes").where("fd is not null and fd >= 0 and tid is not null")
-    return rows.groupBy("tid", "fd").applyInPandasWithState(
-        step, "tid bigint, fd bigint, timestamp_ns bigint, syscall string, position bigint", "at bigint", "append", GroupStateTimeout.NoTimeout
-    )
+
+def in_flight(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = 86_400_000_000_000) -> DataFrame:
+    """``(op, comm, timestamp_ns, in_flight)`` after each start and each matched end.
+
+    An end counts for op and process of its start, and only if the trace has that. Open starts and the level of
+    each (op, process) are carried on; a start that is given up after ``ttl_ns`` leaves its level as it is.
+    """
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        m = _matched(batch, before.where("key is not null").drop("held"), key, start, end)
+        fresh = m.where(F.col("new") & ((F.col("event") == start) | F.col("start_ns").isNotNull()))
+        ends = F.col("event") == end
+        moves = fresh.select(
+            F.when(ends, F.col("start_op")).otherwise(F.col("op")).alias("op"), F.when(ends, F.col("start_comm")).otherwise(F.col("comm")).alias("comm"),
+            "timestamp_ns", "role", "seq", F.when(ends, -1).otherwise(1).alias("d"),
+        )
+        levels = before.where("key is null").select(F.col("op").alias("_op"), F.col("comm").alias("_comm"), "held")
+        same = moves["op"].eqNullSafe(F.col("_op")) & moves["comm"].eqNullSafe(F.col("_comm"))
+        moves = moves.join(levels, same, "left").drop("_op", "_comm")
+        w = W.partitionBy("op", "comm").orderBy("timestamp_ns", "role", "seq").rowsBetween(W.unboundedPreceding, 0)
+        out = moves.select("op", "comm", "timestamp_ns", (F.coalesce("held", F.lit(0)) + F.sum("d").over(w)).cast("bigint").alias("in_flight"))
+        sums = moves.groupBy("op", "comm").agg(F.sum("d").alias("held")).unionByName(levels.select(F.col("_op").alias("op"), F.col("_comm").alias("comm"), "held"))
+        sums = sums.groupBy("op", "comm").agg(F.sum("held").alias("held"))
+        none = lambda kind: F.lit(None).cast(kind)
+        opens = _recent(_still_open(m, start), ttl_ns, m).withColumn("held", none("bigint"))
+        return out, opens.unionByName(sums.select(none("string").alias("key"), none("bigint").alias("ns"), "op", "comm", "held"))
+
+    return run_carried(rows, step, OPEN + ", held bigint", "op string, comm string, timestamp_ns bigint, in_flight bigint")[0]
+
+
+def file_positions(rows: DataFrame, ttl_ns: int | None = 7 * 86_400_000_000_000) -> DataFrame:
+    """``(tid, fd, timestamp_ns, syscall, position)`` of read and write enters, with the position kept by (thread, fd).
+
+    A position is carried on as a seek to it before the next micro-batch, and read off by a probe after this one.
+    One that nothing has touched for ``ttl_ns`` is given up.
+    """
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
+        calls = batch.select("tid", F.col("fd").cast("bigint").alias("fd"), "timestamp_ns", "event", "syscall", F.col("bytes").cast("bigint").alias("bytes"), seq.cast("bigint").alias("seq"), F.lit(1).alias("turn"))
+        held = before.select("tid", "fd", F.col("ns").alias("timestamp_ns"), F.lit("exit").alias("event"), F.lit("lseek").alias("syscall"), F.col("position").alias("bytes"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("turn"))
+        both = held.unionByName(calls)
+        file = F.when((F.col("event") == "exit") & (F.col("syscall") == "openat"), F.col("bytes")).otherwise(F.col("fd"))
+        probes = both.groupBy("tid", file.alias("fd")).agg(F.max("timestamp_ns").alias("timestamp_ns"))
+        probes = probes.select("tid", "fd", "timestamp_ns", F.lit("enter").alias("event"), F.lit("read").alias("syscall"), F.lit(None).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("seq"), F.lit(2).alias("turn"))
+        placed = access.file_positions(both.unionByName(probes), [], ["turn", "timestamp_ns", "seq"])
+        after = placed.where("turn = 2").select("tid", "fd", F.col("timestamp_ns").alias("ns"), "position")
+        return placed.where("turn = 1").select("tid", "fd", "timestamp_ns", "syscall", "position"), _recent(after, ttl_ns, both)
+
+    return run_carried(rows, step, "tid bigint, fd bigint, ns bigint, position bigint", "tid bigint, fd bigint, timestamp_ns bigint, syscall string, position bigint")[0]
 
 
 def with_current_labels(rows: DataFrame, dimension: Callable[[SparkSession], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None]):
@@ -131,9 +169,23 @@ def with_current_labels(rows: DataFrame, dimension: Callable[[SparkSession], tup
 
 
 def container_inventory(rows: DataFrame) -> DataFrame:
-    """``(label, tgids, mntns_ids, comms)``: all ids seen of each container so far, from (label, tgid, mntns_id, comm) sightings."""
-    seen = [F.sort_array(F.collect_set(c)).alias(a) for c, a in (("tgid", "tgids"), ("mntns_id", "mntns_ids"), ("comm", "comms"))]
-    return rows.groupBy("label").agg(*seen)
+    """``(label, kind, id)``: each id seen of each container so far, from (label, tgid, mntns_id, comm) sightings.
+
+    What is carried on is a table of different ids and not one growing value a container.
+    """
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id")) for c in ("tgid", "mntns_id", "comm")]
+        seen = batch.select("label", F.explode(F.array(*kinds)).alias("x")).select("label", "x.kind", "x.id").where("id is not null")
+        return batch.select("label").limit(0), before.unionByName(seen).distinct()
+
+    return run_carried(rows, step, "label string, kind string, id string", "label string")[1]
+
+
+def latest_buckets(series: DataFrame, most: int = 7200, width: str = "1 second") -> DataFrame:
+    """The rows of a bucket series that are among the last ``most`` buckets of the run."""
+    last = series.agg(F.max("bucket").alias("_last"))
+    return series.join(F.broadcast(last)).where(F.col("bucket") > F.col("_last") - F.expr(f"interval {width}") * most).drop("_last")
 
 
 def loss_by_sequence(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from iotrace.functions import scalars as fn
-from iotrace.operators import access, counters, distributions, filters, histograms, labels, lba, lifecycle, quality, series, sysstat
+from iotrace.operators import access, counters, distributions, filters, histograms, labels, lba, lifecycle, quality, ranks, series, sysstat
 
 
 def rows(df, *cols):
@@ -13,9 +13,24 @@ def rows(df, *cols):
 
 def test_percentiles_interpolate(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 10)], "value int")
-    for stats in (distributions.stats(df, []), distributions.stats_by_rank(df, [])):
-        r = stats.first()
-        assert (r["count"], r["p1"], r["p50"], r["p99"], r["mean"]) == (4, 1.03, 2.5, 9.79, 4.0)
+    r = distributions.stats(df, []).first()
+    assert (r["count"], r["p1"], r["p50"], r["p99"], r["mean"]) == (4, 1.03, 2.5, 9.79, 4.0)
+
+
+def test_ranks_against_sorting(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([rng.uniform(-2, 2), float(rng.randrange(-9, 9)), 10.0 ** rng.randrange(12), None])) for _ in range(3000)]
+    df = spark.createDataFrame(data, "k string, value double")
+    want = []
+    for k in ("a", "b", None):
+        values = sorted(v for x, v in data if x == k and v is not None)
+        for v in sorted(set(values)):
+            want.append((k or "", v, values.count(v), sum(x <= v for x in values), len(values)))
+    got = sorted((r.k or "", r.value, r.n, r.upto, r.total) for r in ranks.counted(df, ["k"], "value").collect())
+    assert got == sorted(want)
+    assert ranks.counted(df.limit(0), [], "value").count() == 0
 
 
 def test_area(spark):

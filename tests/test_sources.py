@@ -25,6 +25,25 @@ def test_csv_by_header_and_torn_tail(spark, tmp_path):
     assert not traces.stale(spark, str(path), str(tmp_path / "out")) and traces.stale(spark, str(path), str(tmp_path / "none"))
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("timestamp_ns,mntns_id,event,op,bytes,latency_ns,sector,rq,comm,q_inflight,d_inflight\n1,7,issue,read,512,,8,0x1,fio,0,0\n")
+    (folder / "b.csv").write_text("timestamp_ns,event,op,bytes,latency_ns,sector,rq,comm\n2,complete,read,512,7,8,0x1,fio\n3,iss")
+    (folder / "c.csv").write_text("timestamp_ns,comm,event,extra\n4,dd,issue,more\n")
+    (folder / "d.csv").write_text("")
+    df = traces.read_csv(spark, str(folder), "block")
+    want = [(1, 7, "issue", "read", 512, "fio", None), (2, None, "complete", "read", 512, "fio", None), (4, None, "issue", None, None, "dd", "more")]
+    pick = lambda rows: sorted(tuple(r) for r in rows.select("timestamp_ns", "mntns_id", "event", "op", "bytes", "comm", "extra").collect())
+    assert pick(traces.whole_rows(df)) == want and traces.torn_rows(df).first().dropped == 1
+    out = str(tmp_path / "out")
+    assert traces.convert_new_files(spark, str(folder), "block", out, str(tmp_path / "state")) == 1
+    assert pick(spark.read.option("mergeSchema", True).parquet(out)) == want
+    (folder / "e.csv").write_text("timestamp_ns,event,op,bytes,latency_ns,sector,rq,comm\n5,complete,read,1,7,8,0x1,fio\n")
+    assert traces.convert_new_files(spark, str(folder), "block", out, str(tmp_path / "state")) == 0
+    assert [r[0] for r in pick(spark.read.option("mergeSchema", True).parquet(out))] == [1, 2, 4, 5]
+
+
 def test_new_files_are_converted_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
