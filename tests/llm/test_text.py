@@ -450,20 +450,87 @@ def test_suffix_tree_scores(spark):
     assert suffixtree.score(docs(spark, [])).count() == 0
 
 
-def test_contexts_spread_all_their_mass(spark):
-    rng = random.Random(8)
-    df = spark.createDataFrame([(" ".join(rng.choice(["x y", "x y z", "p q", "r"]) for _ in range(40)),) for _ in range(60)], "text string")
-    c = Counter(w for r in df.collect() for w in suffixtree.tokens(r.text))
+def grown(spark, texts, **options):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = Counter(w for t in texts for w in suffixtree.tokens(t))
     words = sorted(c.items(), key=lambda x: (-x[1], x[0]))
     n, v = sum(c.values()), len(c)
-    tree = suffixtree.grow(df, words, n, v)
+    return suffixtree.grow(df, words, n, v, **options), c, n, v
+
+
+def lift(tree, toks):
+    return float(tree.lifts(np.array([tree.ids[w] for w in toks], np.int64), np.array([0]))[0]) if toks else 0.0
+
+
+def test_contexts_spread_all_their_mass(spark):
+    rng = random.Random(8)
+    tree, c, n, v = grown(spark, [" ".join(rng.choice(["x y", "x y z", "p q x y", "r"]) for _ in range(40)) for _ in range(60)])
+    assert len(tree.levels) == 4 and all(len(x.entries) for x in tree.levels)
     own = {w: (k + 1) / (n + v + 1) for w, k in c.items()}
-    for prefix in ([b"x"], [b"x", b"y"], [b"r", b"p"], []):
-        lift = lambda toks: float(tree.lifts(np.array([tree.ids[w] for w in toks], np.int64), np.array([0]))[0]) if toks else 0.0
-        total = sum(p * 10 ** (lift([*prefix, w]) - lift(prefix)) for w, p in [*own.items(), (b"unseen", 1 / (n + v + 1))])
+    for prefix in ([b"x"], [b"x", b"y"], [b"r", b"p"], [b"q", b"x", b"y"], [b"p", b"q", b"x", b"y"], [b"x", b"y", b"z", b"r"], []):
+        total = sum(p * 10 ** (lift(tree, [*prefix, w]) - lift(tree, prefix)) for w, p in [*own.items(), (b"unseen", 1 / (n + v + 1))])
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def plain_tree(texts, depth, own, total, least=3, frequent=10, gain=1e-7, discount=0.75):
+    """A function from a context (tuple) and a word to log10 of its probability, by dictionaries of all contexts."""
+    after = [Counter() for _ in range(depth + 1)]
+    for t in texts:
+        toks = ("<s>", *suffixtree.tokens(t))
+        for i in range(1, len(toks)):
+            for k in range(1, min(depth, i) + 1):
+                after[k][toks[i - k : i], toks[i]] += 1
+    usable, found = {()}, {}
+
+    def p(context, w):
+        while context and (context not in usable or context not in found):
+            context = context[1:]
+        if not context:
+            return own(w)
+        stored, rest = found[context]
+        return stored[w] if w in stored else rest * p(context[1:], w)
+
+    known = Counter()
+    for t in texts:
+        known.update((w,) for w in suffixtree.tokens(t))
+    known[("<s>",)] = len(texts)
+    for k in range(1, depth + 1):
+        by = {}
+        for (context, w), n in after[k].items():
+            if n >= least and (k == 1 or context in usable):
+                by.setdefault(context, {})[w] = n
+        fresh = {}
+        for context, words in by.items():
+            n = known[context]
+            below = {w: p(context[1:], w) for w in words}
+            here = {w: (c - discount) / n for w, c in words.items()}
+            left, left_below = max(1 - sum(here.values()), 1e-12), max(1 - sum(below.values()), 1e-12)
+            divergence = sum(x * math.log(x / below[w]) for w, x in here.items()) + left * math.log(left / left_below)
+            if n >= frequent and n / total * divergence >= gain:
+                fresh[context] = here, left / left_below
+        usable |= set(fresh)
+        found |= fresh
+        longer = {(*context, w): n for context, words in by.items() for w, n in words.items() if n >= frequent and w != b"" and (k == 1 or (*context[1:], w) in level)}
+        level = set(longer)
+        known.update(longer)
+        usable |= level
+    return p
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_scores_against_a_plain_tree(spark, depth):
+    rng = random.Random(16)
+    parts = ["a b c d e f", "a b c d g", "b c d h", "i", "j k", "a b", "Ü x"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))) for _ in range(150)] + ["a b c d e f a b c d g"] * 5
+    tree, c, n, v = grown(spark, texts, depth=depth)
+    own = lambda w: (c[w] + 1) / (n + v + 1)
+    p = plain_tree(texts, depth, own, n)
+    for t in [*texts[:40], "a b c d e zzz f", "zzz a b c d", "h b c d g e f i j k a b c", ""]:
+        toks = ("<s>", *suffixtree.tokens(t))
+        want = sum(math.log10(p(toks[max(0, i - depth) : i], toks[i])) - math.log10(own(toks[i])) for i in range(1, len(toks)))
+        assert lift(tree, suffixtree.tokens(t)) == pytest.approx(want, abs=1e-9)
+
+
 # -- decontamination
 
 
