@@ -8,6 +8,9 @@ from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
 
+#: How long the slices are that windows over time go over.
+SLICE_NS = 3600 * fn.SECOND_NS
+
 
 def gaps(rows: DataFrame, by: list[str], position: str, length: Column, order: list[str]) -> DataFrame:
     """``rows`` that have a position, with ``gap``: how far each starts from where the one before it ended; null for the first."""
@@ -43,13 +46,20 @@ def classify(gapped: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("sequential_pct", fn.percent(F.col("sequential_count"), n)).withColumn("random_pct", fn.percent(F.col("random_count"), n))
 
 
-def by_sector(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int | None = None) -> DataFrame:
-    """Pattern by sector of the rows of one event kind, by ``(*by, op)``; sizes in whole sectors."""
+def sector_gaps(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int | None = SLICE_NS) -> DataFrame:
+    """Rows of one event kind with ``gap`` by sector within ``(*by, op)``; sizes in whole sectors.
+
+    Windows go over slices of ``slice_ns``, so that a busy process is many of them; None makes one window a group.
+    """
     rows = rows.where(F.col("event") == event)
     length = fn.int_div(F.coalesce("bytes", F.lit(0)), fn.SECTOR_BYTES)
     keys = [*by, "op"]
-    gapped = gaps(rows, keys, "sector", length, list(order)) if slice_ns is None else sliced_gaps(rows, keys, "sector", length, list(order), slice_ns)
-    return classify(gapped, keys)
+    return gaps(rows, keys, "sector", length, list(order)) if slice_ns is None else sliced_gaps(rows, keys, "sector", length, list(order), slice_ns)
+
+
+def by_sector(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int | None = SLICE_NS) -> DataFrame:
+    """Pattern by sector of the rows of one event kind, by ``(*by, op)``."""
+    return classify(sector_gaps(rows, by, event, order, slice_ns), [*by, "op"])
 
 
 def by_offset(rows: DataFrame, by: list[str], syscalls: list[str] = ("pread64", "pwrite64"), order: list[str] = ("timestamp_ns",)) -> DataFrame:

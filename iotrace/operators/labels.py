@@ -28,6 +28,12 @@ def resolve_process(rows: DataFrame, by_tgid: DataFrame, by_command: DataFrame,
     return out.select(*[F.col(c) for c in rows.columns], F.coalesce("tgid_label", "command_label", F.lit(OTHER)).alias("label"))
 
 
+def events_of(rows: DataFrame, identities: DataFrame, label: str, identity: list[str] = ("comm", "mntns_id"), most: int = 1_000_000) -> DataFrame:
+    """Rows of all identities that share a label, from a table ``identities(label, *identity)``; null is an identity like any other."""
+    mine = _dimension(identities.where(F.col("label") == label).select(*identity).distinct(), most)
+    return rows.join(mine, [rows[c].eqNullSafe(mine[c]) for c in identity], "left_semi")
+
+
 def rank_identities(values: DataFrame, identity: list[str] = ("comm", "mntns_id")) -> DataFrame:
     """``(label, *identity, total, rank)``: identities of a label by the sum of all their counters, largest first."""
     totals = values.groupBy("label", *identity).agg(F.sum("value").alias("total"))

@@ -72,10 +72,19 @@ def matched_delta(paired: DataFrame, start: str, end: str, value: str) -> Column
     return F.when(F.col("event") == start, 1).when((F.col("event") == end) & F.col(value).isNotNull(), -1).otherwise(0)
 
 
-def in_flight(rows: DataFrame, by: list[str], delta: Column, order: list[str]) -> DataFrame:
-    """``rows`` with ``in_flight``: the running sum of ``delta`` within ``by``."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("in_flight", F.sum(delta).over(w).cast("bigint"))
+def in_flight(rows: DataFrame, by: list[str], delta: Column, order: list[str], slice_ns: int = 3600 * fn.SECOND_NS) -> DataFrame:
+    """``rows`` with ``in_flight``: the running sum of ``delta`` within ``by``; ``order`` begins with timestamp_ns.
+
+    Sums of time slices give each slice what lies before it, and windows go over slices, so that a busy process is
+    many windows.
+    """
+    rows = rows.withColumn("_d", delta).withColumn("_slice", fn.int_div(F.col("timestamp_ns"), slice_ns)).withColumn("_key", F.struct(*by))
+    sums = rows.groupBy("_key", "_slice").agg(F.sum("_d").alias("_net"))
+    before = F.coalesce(F.sum("_net").over(W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_key", "_slice", before.alias("_before"))
+    w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(sums, ["_key", "_slice"]).withColumn("in_flight", (F.col("_before") + F.sum("_d").over(w)).cast("bigint"))
+    return out.drop("_d", "_slice", "_key", "_before")
 
 
 def in_flight_by_second(rows: DataFrame, by: list[str], delta: Column, start_ns: Column, width_ns: int = fn.SECOND_NS) -> DataFrame:

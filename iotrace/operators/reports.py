@@ -36,10 +36,7 @@ def _points(df: DataFrame, by: list[str], name: str, op: Column, x: Column, y: C
 def gap_points(rows: DataFrame, by: list[str], layer: str, order: list[str]) -> DataFrame:
     """``(*by, op, gap)`` for gap curves: by sector of issues or setups, by offset and by rebuilt position of calls."""
     if layer != "fs":
-        event = schemas.START[layer]
-        length = fn.int_div(F.coalesce("bytes", F.lit(0)), fn.SECTOR_BYTES)
-        gapped = access.gaps(rows.where(F.col("event") == event), [*by, "op"], "sector", length, order)
-        return gapped.where("gap is not null").select(*by, "op", "gap")
+        return access.sector_gaps(rows, by, schemas.START[layer], order).where("gap is not null").select(*by, "op", "gap")
     calls = rows.where((F.col("event") == "enter") & F.col("syscall").isin("pread64", "pwrite64") & F.col("fd").isNotNull())
     offset = access.gaps(calls, [*by, "syscall", "fd"], "offset", F.coalesce("bytes", F.lit(0)), order).where("gap is not null")
     parts = [offset, *[access.position_gaps(rows, by, s, order) for s in ("read", "write")]]

@@ -956,6 +956,26 @@ def container_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query(BLOCK_L + "SELECT label, event, op, count(*) AS n FROM block_l WHERE label = (SELECT n_name FROM nation WHERE n_nationkey = 4) GROUP BY ALL")
+def label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one label, selected by the pairs of process and mount namespace that it stands for."""
+    rows = block_l(spark, sf_dir)
+    name = a.table(spark, sf_dir, "nation").where("n_nationkey = 4").first()["n_name"]
+    found = labels.events_of(rows.drop("label"), rows.select("label", "comm", "mntns_id").distinct(), name)
+    return found.groupBy(F.lit(name).alias("label"), "event", "op").agg(F.count("*").alias("n"))
+
+
+@query(SAM + " SELECT command, count(*) AS n, CAST(CAST(sum(CAST(kb_rd_s AS DECIMAL(28, 6))) AS DECIMAL(28, 3)) AS DOUBLE) AS kb_rd, CAST(CAST(sum(CAST(iodelay AS DECIMAL(28, 6))) AS DECIMAL(28, 3)) AS DOUBLE) AS iodelay FROM sam GROUP BY command")
+def sysstat_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disk samples written as CSV and read back with their section's types."""
+    path = shared_path(spark, "dev")
+    rows = a.samples(spark, sf_dir).withColumn("uid", F.lit("0"))
+    sinks.write_csv(rows.select("time", "uid", "tgid", "kb_rd_s", "kb_wr_s", "kb_ccwr_s", "iodelay", "command"), path)
+    total = lambda c: F.sum(F.col(c).cast("decimal(28,6)")).cast("decimal(28,3)").cast("double").alias(c)
+    out = traces.read_sysstat(spark, path, "dev").groupBy("command").agg(F.count("*").alias("n"), total("kb_rd_s"), total("iodelay"))
+    return out.withColumnRenamed("kb_rd_s", "kb_rd")
+
+
 # -- text reports: rows of the tables written as report lines, and parsed back
 
 
