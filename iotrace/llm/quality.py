@@ -130,7 +130,7 @@ def judge(
     any). A text that scores exactly the limit is kept. Null texts fail the base limits; a
     null id is never trusted; repeated rows each count.
 
-    Texts are cut into words and n-grams once; counts and scores read the table of bucket numbers. Ids are
+    Texts are cut into words and n-grams once; counts and scores each read the table of bucket numbers once. Ids are
     broadcast if they are at most ``max_broadcast``, which is counted.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -146,6 +146,7 @@ def judge(
     weight = F.from_json(F.lit(json.dumps(log_ratios(marked, buckets))), "array<double>")
     total = F.aggregate("_grams", F.lit(0.0), lambda s, g: s + F.get(weight, g))
     out = measured.withColumn("score", F.when(F.col("n_words") > 0, total / (F.size("_grams") + prior)).otherwise(0.0))
+    out = materialize(out.drop("_grams"), "quality-scores")
     if min_score is None:
         held = out.where(~F.col("base_failed")).join(ids.where("held"), "doc_id", "left_semi")
         min_score = lower_fence(held, tail)

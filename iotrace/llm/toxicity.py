@@ -159,31 +159,6 @@ def neutral_groups(
     return tuple(out)
 
 
-def _counts_of(train: DataFrame, names: list[str]) -> tuple[np.ndarray, int, int]:
-    """Texts with each named feature by label, and the number of texts by label."""
-    shared = train.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
-        held, rows = np.zeros((2, len(index)), np.int64), np.zeros(2, np.int64)
-        for pdf in batches:
-            for y, text in zip(pdf["y"], pdf["text"], strict=True):
-                rows[y] += 1
-                held[y, [index[f] for f in features(word_set(text)) if f in index]] += 1
-        for y in (0, 1):
-            at = np.flatnonzero(held[y])
-            yield pd.DataFrame({"y": y, "i": np.append(at, -1), "n": np.append(held[y][at], rows[y])})
-
-    got = train.select("y", "text").mapInPandas(count, "y int, i bigint, n bigint").groupBy("y", "i").agg(F.sum("n").alias("n")).collect()
-    table, rows = np.zeros((2, len(names))), [0, 0]
-    for r in got:
-        if r["i"] < 0:
-            rows[r["y"]] = r["n"]
-        else:
-            table[r["y"], r["i"]] = r["n"]
-    return table, rows[0], rows[1]
-
-
 def _g_statistic(table: np.ndarray, neg: int, pos: int) -> np.ndarray:
     """How much each feature's presence tells about the label: the log-likelihood ratio of the 2x2 table."""
     cells = [table[1], table[0], pos - table[1], neg - table[0]]
@@ -359,9 +334,11 @@ def fit(
     train = materialize(rows.select("y", F.coalesce("text", F.lit("")).alias("text")), "toxicity-train")
     counts = materialize(_document_counts(train), "toxicity-counts")
     some = counts.where((F.col("toxic") >= min_texts) | (F.col("n") >= 15 * min_texts))
-    candidates = [r["feature"] for r in some.orderBy(F.desc("toxic"), F.desc("n"), "feature").limit(64 * max_features).select("feature").toLocalIterator()]
-    table, neg, pos = _counts_of(train, sorted(candidates))
-    candidates.sort()
+    chosen = sorted(some.orderBy(F.desc("toxic"), F.desc("n"), "feature").limit(64 * max_features).select("feature", "n", "toxic").toLocalIterator())
+    candidates = [r["feature"] for r in chosen]
+    table = np.array([[r["n"] - r["toxic"] for r in chosen], [r["toxic"] for r in chosen]], float)
+    rows_by = dict(train.groupBy("y").count().collect())
+    neg, pos = rows_by.get(0, 0), rows_by.get(1, 0)
     if not pos or not neg or not candidates:
         return ToxicityModel({}, np.zeros(0), math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else math.log(0.01))
     found = neutral_groups(train, counts, neg, pos) if find_groups else ()
