@@ -56,9 +56,10 @@ def layer_series(rows: DataFrame, by: list[str], layer: str, order: list[str] =
         out.append(_points(series.gauge_points(buckets, by, g), by, g, c("op"), c("sec"), c("value")))
     out.append(_points(buckets.where("completions > 0"), by, "iops", c("op"), c("sec"), c("completions")))
     out.append(_points(series.cumulative_mb(buckets, by), by, "cumulative_mb", c("op"), c("sec"), c("mb")))
-    for name, value in (("size_cdf", c("bytes")), ("latency_cdf_us", c("latency_ns") / 1000)):
-        curve = series.cdf(done.where(value > 0).withColumn("v", value), [*by, "op"], "v", max_points)
-        out.append(_points(curve, by, name, c("op"), c("value"), c("cdf")))
+    item = lambda name, value: F.when(value > 0, F.struct(F.lit(name).alias("series"), value.cast("double").alias("v")))
+    both = F.array_compact(F.array(item("size_cdf", c("bytes")), item("latency_cdf_us", c("latency_ns") / 1000)))
+    curve = series.cdf(done.select(*by, "op", F.explode(both).alias("m")).select(*by, "op", "m.*"), [*by, "series", "op"], "v", max_points)
+    out.append(curve.select(*by, "series", "op", c("value").alias("x"), c("cdf").alias("y")))
     curve = series.cdf(gap_points(rows, by, layer, order), [*by, "op"], "gap", max_points)
     out.append(_points(curve, by, "gap_cdf", c("op"), c("value"), c("cdf")))
     if layer == "nvme":
