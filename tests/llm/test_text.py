@@ -114,6 +114,39 @@ def test_language_id(spark):
     assert {r.language.lang for r in langid.identify(test, nothing).collect()} == {"und"}
 
 
+def test_language_codes_against_a_plain_version(spark):
+    """Counts, weights, losses and the nearest codeword by dictionaries and loops, for every row."""
+    rng = random.Random(22)
+    words = {"xx": ["aba", "bab", "ab"], "yy": ["keke", "ek", "kab"], "zz": ["suu", "usa", "kus"], "vv": ["ola", "lo", "suo"]}
+    rows = [(k, prose(rng, rng.randrange(1, 9), v)) for k, v in words.items() for _ in range(12)]
+    bits = 10
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), bits=bits)
+    grams = lambda t: langid.ngram_ids(langid.symbols(t), bits).tolist()
+    counts = {k: Counter() for k in sorted(words)}
+    for k, t in rows:
+        counts[k].update(grams(t))
+    langs, code, size = sorted(words), langid.codewords(4), 1 << bits
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    weights, trust = [], []
+    for b in range(code.shape[1]):
+        w = {}
+        for g in range(size):
+            side = {s: np.mean([share[k].get(g, 0.0) for k, row in zip(langs, code) if row[b] == s]) for s in (1, -1)}
+            w[g] = 0.0 if side[1] + side[-1] < 1 / size / 4 else max(-6.0, min(6.0, math.log((side[1] + 0.1 / size) / (side[-1] + 0.1 / size))))
+        weights.append(w)
+        trust.append(max(0.05, min(row[b] * sum(w[g] * x for g, x in share[k].items()) for k, row in zip(langs, code))))
+    trust = [t / np.mean(trust) for t in trust]
+    test = [t for _, t in rows] + ["aba keke", "x", "suu ola suu ola", "Ab! kus"]
+    df = spark.createDataFrame([(t,) for t in test], "text string")
+    for t, got in zip(test, [r.language for r in langid.identify(df, model).collect()], strict=True):
+        g = grams(t)
+        margin = [sum(w[i] for i in g) / (len(g) + 8) * 6.0 for w in weights]
+        loss = [sum(r * math.log1p(math.exp(-c * m)) for r, c, m in zip(trust, row, margin)) for row in code.tolist()]
+        best = min(range(4), key=lambda k: (round(loss[k], 5), k))
+        assert got.lang == langs[best]
+        assert got.score == pytest.approx(1 / sum(math.exp(loss[best] - x) for x in loss), abs=1e-3)
+
+
 def test_codewords_are_far_apart():
     for n in (2, 4, 7, 12, 40):
         code = langid.codewords(n).astype(int)
@@ -637,6 +670,37 @@ def test_swaps_bear_on_the_given_labels(spark):
     assert spread(fair) < 0.2 * spread(plain)
 
 
+def test_loss_against_a_plain_sum(spark):
+    """Loss and gradient of labelled texts and their swaps, by loops over texts."""
+    rng = random.Random(23)
+    vocab, groups = ["good", "bad", "muslim", "christian", "jewish", "tree", "muslimah"], (("muslim", "christian", "jewish"),)
+    texts = [(rng.randrange(2), prose(rng, rng.randrange(0, 6), vocab)) for _ in range(40)]
+    index = {f: i for i, f in enumerate(sorted({f for w in vocab for f in toxicity.word_features(w)}))}
+    train = spark.createDataFrame(texts, "y int, text string")
+    swaps = toxicity._counterfactuals(train, index, groups)
+    n = len(index)
+    evaluate = toxicity._objective(toxicity._encode(train, index), swaps, n, 3.0, 0.5)
+    theta = np.array([rng.uniform(-1, 1) for _ in range(n + 1)])
+    on = lambda words: sorted(index[f] for f in toxicity.features(words))
+
+    def plain(x):
+        loss = 0.25 * float(x[:n] @ x[:n])
+        for y, t in texts:
+            words = toxicity.word_set(t)
+            z = x[n] + x[on(words)].sum()
+            loss += math.log1p(math.exp(z)) - y * z
+            other = [(words - {a}) | {b} for a in groups[0] if a in words for b in groups[0] if b != a]
+            loss += sum(3.0 / len(other) * (x[on(words)].sum() - x[on(o)].sum()) ** 2 for o in other)
+        return loss
+
+    loss, grad = evaluate(theta)
+    assert loss == pytest.approx(plain(theta), rel=1e-6)
+    for i in range(n + 1):
+        step = np.eye(n + 1)[i] * 1e-5
+        assert grad[i] == pytest.approx((plain(theta + step) - plain(theta - step)) / 2e-5, abs=1e-4)
+    assert swaps.agg(F.sum("texts")).first()[0] == sum(bool(toxicity.word_set(t) & set(groups[0])) for _, t in texts)
+
+
 def test_toxicity_edges(spark):
     rows, labels = toxic_corpus(120)
     lab = spark.createDataFrame([*labels, (3, 1), (3, 0), (0, 1)], "doc_id bigint, toxic int")
