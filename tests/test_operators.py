@@ -171,6 +171,36 @@ def test_filters(spark):
     assert [tuple(r) for r in got] == [(True, False, False, True), (False, True, True, True)]
 
 
+def test_device_filters_with_and(spark):
+    df = spark.createDataFrame([("fio", 1, "nvme0"), ("fio", 2, "nvme0"), ("dd", 1, "nvme0"), ("fio", 1, "sda")], "comm string, mntns_id bigint, disk_name string")
+    got = df.select(filters.should_trace_device(["fio"], [1], ["nvme"]).alias("a"), filters.should_trace_device(["fio"], [1], ["nvme"], either=False).alias("b"))
+    assert [tuple(r) for r in got.collect()] == [(True, True), (True, False), (True, False), (True, False)]
+
+
+def test_shared_folder(spark):
+    from iotrace import storage
+
+    table = storage.materialize(spark.range(3), "numbers")
+    assert table.count() == 3 and storage.clean_up(spark) >= 1 and storage.clean_up(spark) == 0
+
+    class Far:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Far()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+
+
 def test_checks_against_truth(spark):
     values = spark.createDataFrame([("val_seqread", "rq_completed", "read", 100), ("val_seqread", "rq_total_bytes", "read", 4096), ("val_seqread", "rq_issued", "read", 110)], "job string, metric string, op string, value bigint")
     truth = spark.createDataFrame([("val_seqread", 101, 4096, 0, 0)], "job string, read_ios bigint, read_bytes bigint, write_ios bigint, write_bytes bigint")
