@@ -1060,6 +1060,37 @@ def parse_pidstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("section", "tgid", "tid", "command", F.get("fields", F.lit(0)).cast("double").alias("usr"), last.alias("cpu"))
 
 
+_SUMMARY_STATS = "count, min, max, mean, p1, p5, p50, p95, p99, area_under_curve"
+
+
+@query(
+    with_ctes(EV, BLOCK).rstrip()
+    + f"""{BOUNDS}, c AS (SELECT op, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS b FROM block WHERE event = 'complete' GROUP BY op),
+  s AS (SELECT op AS key, {SEC} AS sec, count(*) AS value FROM block, b GROUP BY op, sec), d AS (SELECT max(sec) - min(sec) AS secs FROM s), st AS ("""
+    + stats_sql("s", "key")
+    + """), auc AS (SELECT key, round(CASE WHEN count(*) > 1 THEN sum(value) - (arg_min(value, sec) + arg_max(value, sec)) / 2.0 ELSE sum(value) END, 2) AS area_under_curve FROM s GROUP BY key),
+  w AS (SELECT key, CAST(count AS DOUBLE) AS count, min, max, mean, p1, p5, p50, p95, p99, CAST(area_under_curve AS DOUBLE) AS area_under_curve FROM st JOIN auc USING (key)) """
+    + "SELECT 'counters' AS part, 'rq_completed' AS map, op AS key, 'value' AS stat, CAST(n AS DOUBLE) AS value FROM c UNION ALL SELECT 'counters', 'rq_total_bytes', op, 'value', CAST(b AS DOUBLE) FROM c "
+    "UNION ALL SELECT 'derived', 'throughput', op, 'iops', round(n / CAST(secs AS DOUBLE), 2) FROM c, d UNION ALL SELECT 'derived', 'throughput', op, 'mib_s', round(b / CAST(secs AS DOUBLE) / 1048576, 2) FROM c, d "
+    f"UNION ALL SELECT 'tseries', 'd_inflight', key, stat, value FROM (UNPIVOT w ON {_SUMMARY_STATS} INTO NAME stat VALUE value)"
+)
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and series of the trace written as a summary report, parsed, and reported with throughput over its run."""
+    rows = a.block(spark, sf_dir)
+    start = rows.agg(F.min("timestamp_ns").alias("t0"))
+    done = rows.where("event = 'complete'").groupBy("op").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    hours = rows.join(F.broadcast(start)).groupBy("op", fn.time_bucket(F.col("timestamp_ns"), F.col("t0"), HOUR).alias("sec")).agg(F.count("*").alias("value"))
+    place = lambda i, sec: F.format_string("%d %s %020d", F.lit(i), F.col("op"), sec)
+    counter = lambda name, c: F.concat(F.lit(f"@{name}["), "op", F.lit("]: "), F.col(c).cast("string"))
+    parts = [done.select(place(i, F.lit(0)).alias("ord"), counter(name, c).alias("line")) for i, (name, c) in enumerate((("rq_completed", "n"), ("rq_total_bytes", "b")))]
+    heads = F.array(F.struct(place(2, F.lit(0)).alias("ord"), F.concat(F.lit("@d_inflight["), "op", F.lit("]:")).alias("line")), F.struct(F.concat(place(2, F.lit(0)), F.lit(" mark")).alias("ord"), F.lit("hh:mm:ss").alias("line")))
+    parts.append(done.select(F.explode(heads).alias("x")).select("x.*"))
+    sample = F.concat(fn.clock(F.col("sec")), F.lit(" | * | "), F.col("value").cast("string"))
+    parts.append(hours.select(place(2, F.col("sec") + 1).alias("ord"), sample.alias("line")))
+    lines = _lines(spark, reduce(DataFrame.unionByName, parts), "summary")
+    return reports.summary_report(text.counters(lines), text.histograms(lines), text.series(lines), "block").drop("file")
+
+
 # -- streams over the events table
 
 
