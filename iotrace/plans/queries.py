@@ -1175,6 +1175,17 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("label", "event").agg(F.count("*").alias("n"))
 
 
+@query(
+    with_ctes(EV).rstrip()
+    + ", f AS (SELECT 'kind' || seq % 3 AS event, seq // 3 AS seq FROM ev WHERE k % 50 > 0) SELECT event, max(seq) - min(seq) + 1 AS generated, max(seq) - min(seq) + 1 - count(*) AS dropped FROM f GROUP BY event"
+)
+def stream_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a stream with a sequence number for each kind has not delivered: one in fifty is taken out."""
+    rows = _stream(spark, sf_dir).where(F.col("k") % 50 > 0)
+    kinds = rows.select(F.concat(F.lit("kind"), (F.col("seq") % 3).cast("string")).alias("event"), fn.int_div(F.col("seq"), 3).alias("seq"))
+    return jobs.run_to_end(jobs.loss_by_sequence(kinds), "complete")
+
+
 # -- dashboards
 
 POINTS_SHOWN = 10_000

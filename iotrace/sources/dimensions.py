@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CONTAINER = "tgids array<string>, mntns_ids array<bigint>, comms array<string>"
+_CONTAINER = "tgids array<string>, pids array<string>, mntns_ids array<bigint>, comms array<string>"
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame | None:
@@ -17,12 +17,14 @@ def _whole(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def containers(spark: SparkSession, path: str) -> DataFrame:
+def containers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(label, ordinal, tgids, mntns_ids, comms)`` of a container map, in file order; a missing or invalid file has none.
 
-    Containers hold objects, or bare lists of process names.
+    Of several paths, such as a run's map and one beside its samples, the first that exists counts. Containers hold
+    objects, whose process groups may go by their older name ``pids``, or bare lists of process names.
     """
-    text = _whole(spark, path)
+    found = (_whole(spark, p) for p in ([path] if isinstance(path, str) else path))
+    text = next((t for t in found if t is not None), None)
     if text is None:
         return spark.createDataFrame([], "label string, ordinal int, tgids array<string>, mntns_ids array<bigint>, comms array<string>")
     bodies = F.from_json("value", "containers map<string, string>")["containers"]
@@ -31,7 +33,7 @@ def containers(spark: SparkSession, path: str) -> DataFrame:
     comms = F.coalesce(F.when(F.col("body").startswith("["), F.col("bare")), F.col("c.comms"))
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return rows.select(
-        "label", "ordinal", F.coalesce("c.tgids", none("string")).alias("tgids"),
+        "label", "ordinal", F.coalesce("c.tgids", "c.pids", none("string")).alias("tgids"),
         F.coalesce("c.mntns_ids", none("bigint")).alias("mntns_ids"), F.coalesce(comms, none("string")).alias("comms"),
     )
 

@@ -100,6 +100,10 @@ def test_dimensions(spark, tmp_path):
     assert dimensions.containers(spark, str(tmp_path / "none.json")).count() == 0
     path.write_text(json.dumps({"containers": {"web": ["nginx"]}}))
     assert dimensions.containers(spark, str(path)).first().comms == ["nginx"]
+    local = tmp_path / "local.json"
+    local.write_text(json.dumps({"containers": {"old": {"pids": ["4"], "comms": ["x"]}}}))
+    assert dimensions.containers(spark, [str(path), str(local)]).first().label == "web"
+    assert dimensions.containers(spark, [str(tmp_path / "none.json"), str(local)]).first().tgids == ["4"]
     path.write_text('{"enter": {"generated": 5, "dropped": 1}, "exit": {}}')
     assert sorted(tuple(r) for r in dimensions.capture_counters(spark, str(path)).collect()) == [("enter", 5, 1), ("exit", 0, 0)]
     path.write_text(json.dumps({"jobs": [{"jobname": "a", "read": {"total_ios": 3, "io_bytes": 9}}, {"jobname": "b"}]}))
