@@ -171,12 +171,13 @@ def disclosing_terms(
         return None
     common = _sized(named.select("entity"), n_entities, max_broadcast)
     keys = materialize(mentions.join(common, "entity", "left_semi").select("key").distinct(), "entity-keys")
-    texts = rows.join(_sized(keys, keys.count(), max_broadcast), "key", "left_semi").dropDuplicates(["key"])
-    # written, so that spans are found once a text and not again wherever a plan names them
-    texts = materialize(texts.select("key", "text", base_spans(F.col("text")).alias("spans")), "entity-texts")
-    near = texts.select("key", "text", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "text", "m.*")
+    n_keys = keys.count()
+    texts = rows.join(_sized(keys, n_keys, max_broadcast), "key", "left_semi").repartition(n_keys // 500 + 1, "key").dropDuplicates(["key"])
+    # written, so that spans and witness are found once a text and not again for each word that a plan makes of it
+    texts = materialize(texts.select("key", "text", base_spans(F.col("text")).alias("spans"), _witness(F.col("text")).alias("witness")), "entity-texts")
+    near = texts.select("key", "witness", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "witness", "m.*")
     near = near.join(common, "entity", "left_semi")
-    near = near.select("key", "entity", _witness(F.col("text")).alias("witness"), F.explode(F.array_distinct(terms(F.col("around")))).alias("term")).distinct()
+    near = near.select("key", "entity", "witness", F.explode(F.array_distinct(terms(F.col("around")))).alias("term")).distinct()
     pairs = near.groupBy("entity", "term", "witness").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("witnesses"))
     pairs = materialize(pairs.where((F.col("witnesses") >= min_texts) & (F.col("witnesses") >= min_fresh * F.col("together"))), "pairs")
