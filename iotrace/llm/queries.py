@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import decontam, htmltext, langid, mixing, pii, quality, ranking, simhash, suffixtree, toxicity, warc
+from iotrace.llm import decontam, htmltext, langid, mixing, pii, prefixtrie, quality, ranking, simhash, suffixtree, toxicity, warc
 from iotrace.llm.common import bucket_of
 
 
@@ -84,6 +84,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefixtrie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_main_text": op2_main_text,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_language": op10_language,
     "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: Base32 of a SHA-1 takes five hexadecimal digits as four letters of the alphabet.
@@ -117,4 +123,20 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
     FROM q JOIN c USING (term) JOIN d USING (term), s GROUP BY item_id, doc_id, r)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50""",
+    "op12_prefix_trie": r"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+  -- crc32, bit by bit: the table's entry of a byte is eight steps of its low bit
+  t AS (SELECT n, list_reduce([CAST(n AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS e FROM range(256) r(n)),
+  e AS (SELECT list(e ORDER BY n) AS es FROM t),
+  h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(CAST(conv_id AS VARCHAR))), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i + 1]) AS BIGINT))),
+    lambda a, z: xor(a >> 8, es[(xor(a, z) & 255) + 1])), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM o), e),
+  r AS (SELECT h.conv_id, 0 AS part, o.p, x, b FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5 AND o.p <= h UNION ALL SELECT o.conv_id, 1, o.p, x, b FROM o JOIN h ON o.conv_id = h.conv_id AND o.p > h),
+  s AS (SELECT h.conv_id, coalesce(list(x ORDER BY part, p) FILTER (x IS NOT NULL), []) AS xs, list(b ORDER BY part, p) FILTER (x IS NOT NULL) AS bs FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY h.conv_id),
+  m AS (SELECT conv_id, d, array_to_string(xs[1:d], '/') AS k, CASE WHEN d > 0 THEN array_to_string(xs[1:d - 1], '/') END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b, d = len(xs) AS ends
+    FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM s)),
+  n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY k, d),
+  c AS (SELECT n.k, n.d, count(u.k) AS n_children FROM n LEFT JOIN n u ON u.up = n.k AND u.d = n.d + 1 GROUP BY n.k, n.d),
+  a AS (SELECT m.k, m.d, sum(CAST(c.n_children = 0 AS INTEGER)) AS n_leaves, sum(n.own) AS saved FROM n JOIN c ON c.k = n.k AND c.d = n.d JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.k, m.d)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, c.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN c ON c.k = n.k AND c.d = n.d JOIN a ON a.k = n.k AND a.d = n.d LEFT JOIN n p ON p.k = n.up AND p.d = n.d - 1""",
 }
