@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iotrace.llm import decontam, htmltext, langid, mixing, pii, prefixtrie, quality, ranking, simhash, suffixtree, toxicity, warc
+from iotrace.llm import chat, decontam, htmltext, langid, mixing, pii, prefixtrie, quality, ranking, simhash, suffixtree, toxicity, warc
 from iotrace.llm.common import bucket_of
+from iotrace.storage import materialize
+
+
+#: The rank file that token budgets are counted by.
+TOKENIZER = "file:///opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +94,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows and their loss spans."""
+    rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.read_back(materialize(chat.windows(rows, TOKENIZER), "windows")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_main_text": op2_main_text,
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_chat_windows": op13_chat_windows,
 }
 
 #: Base32 of a SHA-1 takes five hexadecimal digits as four letters of the alphabet.
