@@ -234,14 +234,14 @@ def _search_block(docs: DataFrame, rows: list, k: int, id_col: str, text_col: st
 def _search_by_join(docs: DataFrame, item_terms: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """The same for items whose terms are too many to be sent to tasks: joins by term, each text scored for each such item."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), terms(F.col(text_col)).alias("t"))
-    totals = rows.agg(F.count_if(F.size("t") > 0).alias("N"), F.sum(F.greatest(F.size("t"), F.lit(0))).cast("bigint").alias("L"))
+    totals = rows.agg(F.count_if(F.size("t") > 0).alias("n_texts"), F.sum(F.greatest(F.size("t"), F.lit(0))).cast("bigint").alias("n_all"))
     counts = rows.where(F.size("t") > 0).select("row", "doc_id", F.size("t").cast("bigint").alias("n"), F.explode("t").alias("term"))
     counts = counts.groupBy("row", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
     counts = materialize(counts.join(item_terms.select("term").distinct(), "term"), "term-counts")
     df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
-    weight = F.floor(1000 * F.log((2 * F.col("N") + 2).cast("double") / (2 * F.col("df") + 1))).cast("bigint")
-    df = df.select("term", weight.alias("w"), "N", "L")
-    m = 50 + int_div(50 * F.col("n") * F.col("N"), F.col("L"))
+    weight = F.floor(1000 * F.log((2 * F.col("n_texts") + 2).cast("double") / (2 * F.col("df") + 1))).cast("bigint")
+    df = df.select("term", weight.alias("w"), "n_texts", "n_all")
+    m = 50 + int_div(50 * F.col("n") * F.col("n_texts"), F.col("n_all"))
     impact = int_div(F.col("tf") * 1_000_000_000, F.col("tf") * 1000 + 20 * m)
     scored = counts.join(df, "term").select("term", "row", "doc_id", (F.col("w") * impact).alias("part")).join(item_terms, "term")
     scored = scored.groupBy("item_id", "row", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")

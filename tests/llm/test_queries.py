@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_": ["doc_id", "item_id", "distance"],
     "op9_": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_": ["item_id", "rank", "doc_id", "score"],
+    "op12_": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
 }
 
 
@@ -31,7 +34,9 @@ def test_columns_and_rows(spark, sf_dir, name):
     out = QUERIES[name](spark, sf_dir)
     assert out.columns[: len(COLUMNS[kind])] == COLUMNS[kind]
     source = "pages" if kind in ("op2_", "op9_") else "documents"
-    if kind != "op8_":
+    if kind == "op13_":
+        assert out.count() == spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count() + 1
+    elif kind not in ("op8_", "op11_", "op12_"):
         assert out.count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
     else:
         assert out.count() > 0
@@ -40,7 +45,7 @@ def test_columns_and_rows(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     out = QUERIES[name](spark, sf_dir)
     cur = con.execute(ORACLE_SQL[name])
