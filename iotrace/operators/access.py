@@ -4,37 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
+from iotrace.operators import scans
+from iotrace.operators.scans import SLICE_NS
 
-#: How long the slices are that windows over time go over.
-SLICE_NS = 3600 * fn.SECOND_NS
+def gaps(rows: DataFrame, by: list[str], position: str, length: Column, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
+    """``rows`` that have a position, with ``gap``: how far each starts from where the one before it ended; null for the first.
 
-
-def gaps(rows: DataFrame, by: list[str], position: str, length: Column, order: list[str]) -> DataFrame:
-    """``rows`` that have a position, with ``gap``: how far each starts from where the one before it ended; null for the first."""
-    w = W.partitionBy(*by).orderBy(*order)
-    rows = rows.where(F.col(position).isNotNull()).withColumn("_end", F.col(position) + length)
-    return rows.withColumn("gap", F.abs(F.col(position) - F.lag("_end").over(w))).drop("_end")
-
-
-def sliced_gaps(rows: DataFrame, by: list[str], position: str, length: Column, order: list[str], slice_ns: int) -> DataFrame:
-    """The same gaps as ``gaps`` for groups too large for one task, from windows over time slices.
-
-    Each slice is its own window; the first row of a slice gets its gap from the last row of the slice before,
-    found among one row a slice. ``order`` must begin with timestamp_ns.
+    Windows go over slices of ``slice_ns``, so that a busy group is many of them. ``order`` begins with timestamp_ns.
     """
-    rows = rows.where(F.col(position).isNotNull()).withColumn("_end", F.col(position) + length)
-    rows = rows.withColumn("_slice", fn.int_div(F.col("timestamp_ns"), slice_ns))
-    inner = W.partitionBy(*by, "_slice").orderBy(*order)
-    rows = rows.withColumn("_before", F.lag("_end").over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
-    ends = rows.groupBy(*by, "_slice").agg(F.max_by("_end", F.struct(*order)).alias("_last"))
-    ends = ends.withColumn("_carried", F.lag("_last").over(W.partitionBy(*by).orderBy("_slice"))).drop("_last")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*by, "_slice")]
-    out = rows.alias("r").join(ends.alias("e"), same, "left").select("r.*", "e._carried")
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))
-    return out.withColumn("gap", F.abs(F.col(position) - before)).drop("_end", "_slice", "_before", "_first", "_carried")
+    rows = rows.where(F.col(position).isNotNull())
+    out = scans.last_values(rows, list(by), scans.time_slice(slice_ns), list(order), {"_end": F.col(position) + length})
+    return out.withColumn("gap", F.abs(F.col(position) - F.col("_end"))).drop("_end")
 
 
 def classify(gapped: DataFrame, by: list[str]) -> DataFrame:
@@ -46,41 +28,39 @@ def classify(gapped: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("sequential_pct", fn.percent(F.col("sequential_count"), n)).withColumn("random_pct", fn.percent(F.col("random_count"), n))
 
 
-def sector_gaps(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int | None = SLICE_NS) -> DataFrame:
-    """Rows of one event kind with ``gap`` by sector within ``(*by, op)``; sizes in whole sectors.
-
-    Windows go over slices of ``slice_ns``, so that a busy process is many of them; None makes one window a group.
-    """
-    rows = rows.where(F.col("event") == event)
+def sector_gaps(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
+    """Rows of one event kind with ``gap`` by sector within ``(*by, op)``; sizes in whole sectors."""
     length = fn.int_div(F.coalesce("bytes", F.lit(0)), fn.SECTOR_BYTES)
-    keys = [*by, "op"]
-    return gaps(rows, keys, "sector", length, list(order)) if slice_ns is None else sliced_gaps(rows, keys, "sector", length, list(order), slice_ns)
+    return gaps(rows.where(F.col("event") == event), [*by, "op"], "sector", length, order, slice_ns)
 
 
-def by_sector(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int | None = SLICE_NS) -> DataFrame:
+def by_sector(rows: DataFrame, by: list[str], event: str, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
     """Pattern by sector of the rows of one event kind, by ``(*by, op)``."""
     return classify(sector_gaps(rows, by, event, order, slice_ns), [*by, "op"])
 
 
-def by_offset(rows: DataFrame, by: list[str], syscalls: list[str] = ("pread64", "pwrite64"), order: list[str] = ("timestamp_ns",)) -> DataFrame:
+def by_offset(rows: DataFrame, by: list[str], syscalls: list[str] = ("pread64", "pwrite64"), order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
     """Pattern by explicit file offset, within each fd, summed by ``(*by, syscall)``; only where there is a gap.
 
     Null sizes are 0. Rows without an fd or offset are left out.
     """
     rows = rows.where((F.col("event") == "enter") & F.col("syscall").isin(*syscalls) & F.col("fd").isNotNull())
-    gapped = gaps(rows, [*by, "syscall", "fd"], "offset", F.coalesce("bytes", F.lit(0)), list(order))
+    gapped = gaps(rows, [*by, "syscall", "fd"], "offset", F.coalesce("bytes", F.lit(0)), order, slice_ns)
     return classify(gapped, [*by, "syscall"]).where("sequential_count + random_count > 0")
 
 
-def file_positions(rows: DataFrame, by: list[str], order: list[str] = ("timestamp_ns",), zero_result_resets: bool = False, advance: tuple[str, ...] = ("read", "write")) -> DataFrame:
+def file_positions(
+    rows: DataFrame, by: list[str], order: list[str] = ("timestamp_ns",), zero_result_resets: bool = False, advance: tuple[str, ...] = ("read", "write"),
+    slice_ns: int = SLICE_NS, piece: Column | None = None,
+) -> DataFrame:
     """Enters of read and write with ``position``, the file position of their (thread, fd) as rebuilt from earlier calls.
 
     A returning openat puts the fd it returns (in ``bytes``) at 0, a returning lseek puts its fd at the position
     it returns, a returning read or write (``advance``) adds its bytes, and a close forgets the fd. Null results
     are failures; traces write 0 as null, so a rewind does nothing unless ``zero_result_resets``.
 
-    Resets cut each (thread, fd) into segments; the position is the segment's base and a running sum within it,
-    two windows over one partitioning.
+    The position is what the calls so far have moved, and how far the last reset stood from that: a running sum
+    and a last value, each over slices of ``slice_ns`` (or what ``piece`` says), so a busy file is many windows.
     """
     event, call = F.col("event"), F.col("syscall")
     result = F.coalesce("bytes", F.lit(0)) if zero_result_resets else F.col("bytes")
@@ -92,25 +72,27 @@ def file_positions(rows: DataFrame, by: list[str], order: list[str] = ("timestam
     kfd = F.when((event == "exit") & (call == "openat"), result.cast("bigint")).otherwise(F.col("fd").cast("bigint"))
     rows = rows.where(F.coalesce(opened | sought | closed | moved | probe, F.lit(False)))
     rows = rows.withColumn("_kfd", kfd).where(F.col("_kfd").isNotNull() & (F.col("_kfd") >= 0) & F.col("tid").isNotNull())
-    cut = F.coalesce(opened | sought | closed, F.lit(False))
+    key, piece = [*by, "tid", "_kfd"], scans.time_slice(slice_ns) if piece is None else piece
+    delta = F.when(F.coalesce(moved, F.lit(False)), F.col("bytes").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rows = scans.running_sums(rows, key, piece, list(order), {"_moved": delta})
     base = F.when(opened, F.lit(0).cast("bigint")).when(sought, result.cast("bigint"))
-    key = [*by, "tid", "_kfd"]
-    run = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_segment", F.sum(cut.cast("int")).over(run)).withColumn("_base", base)
-    within = W.partitionBy(*key, "_segment").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    delta = F.when(F.coalesce(moved, F.lit(False)), F.col("bytes")).otherwise(0)
-    rows = rows.withColumn("position", F.first("_base").over(within) + F.sum(delta).over(within))
-    return rows.where(F.coalesce(probe, F.lit(False)) & (F.col("_segment") > 0) & F.col("position").isNotNull()).drop("_kfd", "_segment", "_base")
+    reset = F.when(F.coalesce(opened | sought | closed, F.lit(False)), F.struct((base - F.col("_moved")).alias("off")))
+    rows = scans.last_values(rows, key, piece, list(order), {"_reset": reset}, inclusive=True)
+    rows = rows.withColumn("position", F.col("_reset.off") + F.col("_moved"))
+    return rows.where(F.coalesce(probe, F.lit(False)) & F.col("position").isNotNull()).drop("_kfd", "_moved", "_reset")
+
+
+def _position_gaps(placed: DataFrame, by: list[str], order: list[str], slice_ns: int) -> DataFrame:
+    return gaps(placed, [*by, "syscall", "fd"], "position", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)), order, slice_ns)
 
 
-def by_position(rows: DataFrame, by: list[str], order: list[str] = ("timestamp_ns",), **options) -> DataFrame:
+def by_position(rows: DataFrame, by: list[str], order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS, **options) -> DataFrame:
     """Pattern of read and write by rebuilt position, within each fd, summed by ``(*by, syscall)``; only where there is a gap."""
-    placed = file_positions(rows, by, order, **options)
-    gapped = gaps(placed, [*by, "syscall", "fd"], "position", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)), list(order))
+    gapped = _position_gaps(file_positions(rows, by, order, slice_ns=slice_ns, **options), by, order, slice_ns)
     return classify(gapped, [*by, "syscall"]).where("sequential_count + random_count > 0")
 
 
-def position_gaps(rows: DataFrame, by: list[str], syscall: str, order: list[str] = ("timestamp_ns",)) -> DataFrame:
+def position_gaps(rows: DataFrame, by: list[str], syscall: str, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
     """Gaps of one of read and write for plots; here only that call advances positions."""
-    placed = file_positions(rows, by, order, advance=(syscall,)).where(F.col("syscall") == syscall)
-    return gaps(placed, [*by, "syscall", "fd"], "position", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)), list(order)).where(F.col("gap").isNotNull())
+    placed = file_positions(rows, by, order, advance=(syscall,), slice_ns=slice_ns).where(F.col("syscall") == syscall)
+    return _position_gaps(placed, by, order, slice_ns).where(F.col("gap").isNotNull())

@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
+from iotrace.operators import scans
 
 
-def _before(key: list[str], order: list[str]):
-    return W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-
-
-def pair(rows: DataFrame, key: list[str], starts: Column, ends: Column, order: list[str], carry: list[str] = (), prefix: str = "start") -> DataFrame:
+def pair(
+    rows: DataFrame, key: list[str], starts: Column, ends: Column, order: list[str], carry: list[str] = (), prefix: str = "start", slice_ns: int = scans.SLICE_NS
+) -> DataFrame:
     """``rows`` with ``<prefix>_ns`` on end rows: the time of the latest start of the key that no end has used.
 
     A later start replaces an earlier one, and an end uses the start up. So an end matches if the last start or
-    end before it was a start. One window over the key; ``carry`` columns of the start come along as
-    ``<prefix>_<column>``. Other rows, and ends without a start, have nulls.
+    end before it was a start. Windows go over slices of ``slice_ns`` of a key, each given the last start or end
+    before it, so a busy thread is many of them; ``order`` begins with timestamp_ns. ``carry`` columns of the start
+    come along as ``<prefix>_<column>``. Other rows, and ends without a start, have nulls.
     """
-    w = _before(key, order)
     start = F.struct(F.col("timestamp_ns").alias("ns"), *carry)
-    last = F.last(F.when(starts, F.struct(F.lit(True).alias("is_start"), start.alias("s"))).when(ends, F.struct(F.lit(False).alias("is_start"), start.alias("s"))), ignorenulls=True)
-    out = rows.withColumn("_last", last.over(w))
+    mark = F.when(starts, F.struct(F.lit(True).alias("is_start"), start.alias("s"))).when(ends, F.struct(F.lit(False).alias("is_start"), start.alias("s")))
+    out = scans.last_values(rows, list(key), scans.time_slice(slice_ns), list(order), {"_last": mark})
     hit = ends & F.col("_last.is_start")
     cols = [F.when(hit, F.col("_last.s.ns")).alias(f"{prefix}_ns")] + [F.when(hit, F.col(f"_last.s.{c}")).alias(f"{prefix}_{c}") for c in carry]
     return out.select(*[F.col(c) for c in rows.columns], *cols)
@@ -72,19 +71,10 @@ def matched_delta(paired: DataFrame, start: str, end: str, value: str) -> Column
     return F.when(F.col("event") == start, 1).when((F.col("event") == end) & F.col(value).isNotNull(), -1).otherwise(0)
 
 
-def in_flight(rows: DataFrame, by: list[str], delta: Column, order: list[str], slice_ns: int = 3600 * fn.SECOND_NS) -> DataFrame:
-    """``rows`` with ``in_flight``: the running sum of ``delta`` within ``by``; ``order`` begins with timestamp_ns.
-
-    Sums of time slices give each slice what lies before it, and windows go over slices, so that a busy process is
-    many windows.
-    """
-    rows = rows.withColumn("_d", delta).withColumn("_slice", fn.int_div(F.col("timestamp_ns"), slice_ns)).withColumn("_key", F.struct(*by))
-    sums = rows.groupBy("_key", "_slice").agg(F.sum("_d").alias("_net"))
-    before = F.coalesce(F.sum("_net").over(W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_key", "_slice", before.alias("_before"))
-    w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(sums, ["_key", "_slice"]).withColumn("in_flight", (F.col("_before") + F.sum("_d").over(w)).cast("bigint"))
-    return out.drop("_d", "_slice", "_key", "_before")
+def in_flight(rows: DataFrame, by: list[str], delta: Column, order: list[str], slice_ns: int = scans.SLICE_NS) -> DataFrame:
+    """``rows`` with ``in_flight``: the running sum of ``delta`` within ``by``, over time slices; ``order`` begins with timestamp_ns."""
+    out = scans.running_sums(rows, list(by), scans.time_slice(slice_ns), list(order), {"in_flight": delta})
+    return out.withColumn("in_flight", F.col("in_flight").cast("bigint"))
 
 
 def in_flight_by_second(rows: DataFrame, by: list[str], delta: Column, start_ns: Column, width_ns: int = fn.SECOND_NS) -> DataFrame:

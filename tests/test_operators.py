@@ -43,7 +43,7 @@ def test_sector_pattern_and_slices(spark):
         [("c", i, "issue", "read", s, b) for i, (s, b) in enumerate([(0, 4096), (8, 4096), (16, 512), (100, 512)])],
         "comm string, timestamp_ns bigint, event string, op string, sector bigint, bytes bigint",
     )
-    for slice_ns in (None, 2):
+    for slice_ns in (3600 * 10**9, 2):
         r = access.by_sector(df, ["comm"], "issue", slice_ns=slice_ns).first()
         assert (r.total_ios, r.sequential_count, r.random_count, r.sequential_pct, r.random_pct) == (4, 2, 1, 66.67, 33.33)
 
