@@ -74,12 +74,12 @@ def file_positions(
     rows = rows.withColumn("_kfd", kfd).where(F.col("_kfd").isNotNull() & (F.col("_kfd") >= 0) & F.col("tid").isNotNull())
     key, piece = [*by, "tid", "_kfd"], scans.time_slice(slice_ns) if piece is None else piece
     delta = F.when(F.coalesce(moved, F.lit(False)), F.col("bytes").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    rows = scans.running_sums(rows, key, piece, list(order), {"_moved": delta})
+    rows = scans.running_sums(scans.sliced(rows, key, piece), key, piece, list(order), {"_moved": delta})
     base = F.when(opened, F.lit(0).cast("bigint")).when(sought, result.cast("bigint"))
     reset = F.when(F.coalesce(opened | sought | closed, F.lit(False)), F.struct((base - F.col("_moved")).alias("off")))
     rows = scans.last_values(rows, key, piece, list(order), {"_reset": reset}, inclusive=True)
     rows = rows.withColumn("position", F.col("_reset.off") + F.col("_moved"))
-    return rows.where(F.coalesce(probe, F.lit(False)) & F.col("position").isNotNull()).drop("_kfd", "_moved", "_reset")
+    return rows.where(F.coalesce(probe, F.lit(False)) & F.col("position").isNotNull()).drop("_kfd", "_moved", "_reset", "_key", "_slice")
 
 
 def _position_gaps(placed: DataFrame, by: list[str], order: list[str], slice_ns: int) -> DataFrame:

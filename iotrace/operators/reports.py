@@ -95,7 +95,7 @@ def summary_report(counter_rows: DataFrame, histogram_rows: DataFrame, series_ro
 
     out = [long(within(counter_rows, "counters"), "counters", ("value",))]
     out.append(long(histograms.stats_of_buckets(within(histogram_rows, "histograms"), by), "distributions", distributions.STATS))
-    stats = series.series_stats(within(series_rows, "series"), by, "value", "line_no")
+    stats = series.series_stats(within(series_rows, "series"), by, "value", "place")
     out.append(long(stats, "tseries", (*distributions.STATS, "area_under_curve")))
     secs = fn.clock_seconds(F.col("time"))
     length = series_rows.groupBy("file").agg((F.max(secs) - F.min(secs)).alias("duration_s")).where("duration_s > 0")

@@ -21,7 +21,8 @@ def time_slice(slice_ns: int = SLICE_NS, column: str = "timestamp_ns") -> Column
     return fn.int_div(F.col(column), slice_ns)
 
 
-def _sliced(rows: DataFrame, key: list[str], piece: Column) -> DataFrame:
+def sliced(rows: DataFrame, key: list[str], piece: Column) -> DataFrame:
+    """``rows`` with ``_key`` and ``_slice``, for several scans in a row: those keep the columns, and rows move once for all."""
     return rows.withColumns({"_key": F.struct(*key) if key else F.struct(F.lit(0)), "_slice": piece})
 
 
@@ -39,7 +40,8 @@ def running_sums(rows: DataFrame, key: list[str], piece: Column, order: list[str
     ``order`` sorts a slice, and ``piece``, which slice a row is in, must never fall along the order of the group.
     Null keys are groups too. Rows that are equal in ``order`` come in any order.
     """
-    out = _sliced(rows, key, piece)
+    cut = () if "_key" in rows.columns else ("_key", "_slice")
+    out = sliced(rows, key, piece) if cut else rows
     totals = out.groupBy("_key", "_slice").agg(*[F.sum(x).alias(f"_sum_{c}") for c, x in sums.items()])
     before = {f"_before_{c}": F.sum(f"_sum_{c}").over(_BEFORE) for c in sums}
     w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -47,7 +49,7 @@ def running_sums(rows: DataFrame, key: list[str], piece: Column, order: list[str
     out = _given(out, totals.withColumns(before), list(before))
     zero = F.lit(0)
     whole = {c: F.coalesce(F.col(c), zero) + F.coalesce(F.col(f"_before_{c}"), zero) for c in sums}
-    return out.withColumns(whole).drop("_key", "_slice", *before)
+    return out.withColumns(whole).drop(*cut, *before)
 
 
 def last_values(rows: DataFrame, key: list[str], piece: Column, order: list[str], values: dict[str, Column], inclusive: bool = False) -> DataFrame:
@@ -55,11 +57,12 @@ def last_values(rows: DataFrame, key: list[str], piece: Column, order: list[str]
 
     With ``inclusive`` the row itself counts. Otherwise as ``running_sums``.
     """
-    out = _sliced(rows, key, piece)
+    cut = () if "_key" in rows.columns else ("_key", "_slice")
+    out = sliced(rows, key, piece) if cut else rows
     at = F.struct(*order)
     ends = out.groupBy("_key", "_slice").agg(*[F.max_by(x, F.when(x.isNotNull(), at)).alias(f"_end_{c}") for c, x in values.items()])
     before = {f"_before_{c}": F.last(f"_end_{c}", ignorenulls=True).over(_BEFORE) for c in values}
     w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     out = out.withColumns({c: F.last(x, ignorenulls=True).over(w) for c, x in values.items()})
     out = _given(out, ends.withColumns(before), list(before))
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_before_{c}")) for c in values}).drop("_key", "_slice", *before)
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_before_{c}")) for c in values}).drop(*cut, *before)

@@ -1094,10 +1094,19 @@ def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams over the events table
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a pattern, as the table may be a single file; a micro-batch is a file
-    return a.numbered(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet"))
+def _stream(spark: SparkSession, sf_dir: str, slices: int = 3) -> DataFrame:
+    """The events as a trace source delivers them: in files by time, one a micro-batch."""
+    rows, path = a.table(spark, sf_dir, "events"), shared_path(spark, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(micros, [k / slices for k in range(1, slices)], 1000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if low is None else rows.where(micros >= low)
+        (part if high is None else part.where(micros < high)).coalesce(1).write.mode("append").parquet(path)
+    return a.numbered(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _paths(spark: SparkSession) -> tuple[str, str]:
+    return shared_path(spark, "stream"), shared_path(spark, "stream-state")
 
 
 @query(
@@ -1106,19 +1115,20 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs.event_time(_stream(spark, sf_dir).withColumn("gauge", F.col("k") % 13), "1 hour")
-    out = jobs.run_to_end(jobs.bucket_series(rows, ["op"], "gauge", "1 hour"), "complete")
-    return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    said = jobs.run_batches(jobs.bucket_series(rows, ["op"], "gauge", "1 hour"), *_paths(spark), "update")
+    return jobs.newest(said, ["op", "bucket"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query(with_ctes(EV, BLOCK, pair_sql("p", "block", "rq", "issue", "complete")) + f"SELECT rq AS key, start_ns, timestamp_ns AS end_ns FROM p WHERE event = 'complete' AND {MATCHED}")
 def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.pair(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=None)
+    """Pairs from keyed state over several micro-batches; the slowest pair is what a start may take."""
+    return jobs.run(jobs.pair(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=60 * jobs.DAY_NS), *_paths(spark))
 
 
 @query(with_ctes(EV, BLOCK).rstrip() + f", s AS (SELECT op, bytes AS v FROM block WHERE event = 'complete'), h AS (SELECT op, v, {LOG2} AS lo FROM s) SELECT op, lo, count(*) AS count, CAST(sum(v) AS BIGINT) AS total FROM h GROUP BY op, lo")
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.block(spark, sf_dir, _stream(spark, sf_dir)).where("event = 'complete'")
-    return jobs.run_to_end(jobs.histogram(rows, ["op"], "bytes"), "complete")
+    return jobs.newest(jobs.run_batches(jobs.histogram(rows, ["op"], "bytes"), *_paths(spark), "update"), ["op", "lo"])
 
 
 @query(
@@ -1129,7 +1139,7 @@ SELECT op, comm, timestamp_ns, CAST(sum(d) OVER (PARTITION BY op, comm ORDER BY
 )
 def stream_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in flight after each issue and each completion of an issue that the stream has."""
-    return jobs.in_flight(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=None)
+    return jobs.run(jobs.in_flight(a.block(spark, sf_dir, _stream(spark, sf_dir)), "rq", "issue", "complete", ttl_ns=60 * jobs.DAY_NS), *_paths(spark))
 
 
 @query(
@@ -1138,7 +1148,8 @@ def stream_inflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT d.tid, d.fd, timestamp_ns, syscall, CAST(base + moved AS BIGINT) AS position FROM d WHERE event = 'enter' AND syscall IN ('read', 'write') AND part > 0 AND base IS NOT NULL"
 )
 def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.file_positions(a.fs(spark, sf_dir, _stream(spark, sf_dir)), ttl_ns=None)
+    """Positions from keyed state over several micro-batches."""
+    return jobs.run(jobs.file_positions(a.fs(spark, sf_dir, _stream(spark, sf_dir)), ttl_ns=60 * jobs.DAY_NS), *_paths(spark))
 
 
 @query(
@@ -1147,7 +1158,8 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).select(F.col("comm").alias("label"), F.col("user_id").cast("string").alias("tgid"), "mntns_id", "comm")
-    out = jobs.container_inventory(rows).groupBy("label").agg(
+    """The ids of each container, added micro-batch by micro-batch to a growing table."""
+    out = jobs.gather_containers(jobs.sightings(rows), *_paths(spark)).read().groupBy("label").agg(
         F.sort_array(F.collect_list(F.when(F.col("kind") == "tgid", F.col("id")))).alias("tgids"), F.count_if(F.col("kind") == "mntns_id").alias("n_mntns")
     )
     return out.select("label", F.concat(F.lit("["), F.array_join("tgids", ", "), F.lit("]")).alias("tgids"), "n_mntns")
@@ -1158,9 +1170,10 @@ def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f", b AS (SELECT op, make_timestamp(timestamp_ns // {HOUR} * {HOUR // 1000}) AS bucket, count(*) AS n FROM ev GROUP BY op, bucket) SELECT * FROM b WHERE bucket > (SELECT max(bucket) FROM b) - INTERVAL 100 HOUR"
 )
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last hundred hours of a series, as a recorder with that many buckets keeps them."""
-    rows = jobs.event_time(_stream(spark, sf_dir).withColumn("gauge", F.col("k") % 13), "1 hour")
-    out = jobs.latest_buckets(jobs.run_to_end(jobs.bucket_series(rows, ["op"], "gauge", "1 hour"), "complete"), 100, "1 hour")
+    """The last hundred hours of a series, as a recorder with that many buckets keeps them; the state holds no more."""
+    rows = jobs.event_time(_stream(spark, sf_dir).withColumn("gauge", F.col("k") % 13), "100 hours")
+    said = jobs.run_batches(jobs.bucket_series(rows, ["op"], "gauge", "1 hour"), *_paths(spark), "update")
+    out = jobs.latest_buckets(jobs.newest(said, ["op", "bucket"]), 100, "1 hour")
     return out.select("op", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n")
 
 
@@ -1183,7 +1196,33 @@ def stream_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that a stream with a sequence number for each kind has not delivered: one in fifty is taken out."""
     rows = _stream(spark, sf_dir).where(F.col("k") % 50 > 0)
     kinds = rows.select(F.concat(F.lit("kind"), (F.col("seq") % 3).cast("string")).alias("event"), fn.int_div(F.col("seq"), 3).alias("seq"))
-    return jobs.run_to_end(jobs.loss_by_sequence(kinds), "complete")
+    return jobs.newest(jobs.run_batches(jobs.loss_by_sequence(kinds), *_paths(spark), "update"), ["event"])
+
+
+@query(
+    with_ctes(EV).rstrip()
+    + f", n AS (SELECT op, row_number() OVER (PARTITION BY op, timestamp_ns // {HOUR} ORDER BY timestamp_ns, seq) AS nth FROM ev) "
+    "SELECT op AS event, count(*) AS generated, count(*) FILTER (WHERE nth > 4) AS dropped FROM n GROUP BY op"
+)
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that find no room in a buffer of four a request type, emptied every hour."""
+    out = jobs.run(jobs.admitted(_stream(spark, sf_dir), "op", 4, HOUR), *_paths(spark))
+    return out.groupBy(F.col("key").alias("event")).agg(F.count("*").alias("generated"), F.count_if(~F.col("admitted")).alias("dropped"))
+
+
+@query(
+    with_ctes(EV).rstrip()
+    + ", d AS (SELECT mntns_id, min(timestamp_ns) AS since FROM ev WHERE k = 0 GROUP BY mntns_id) "
+    "SELECT mntns_id, count(*) AS n, min(timestamp_ns) AS first_ns FROM ev JOIN d USING (mntns_id) WHERE timestamp_ns >= since GROUP BY mntns_id"
+)
+def stream_live_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of containers from their discovery on, which is their first event with k = 0; those before it are dropped."""
+    rows = a.numbered(a.table(spark, sf_dir, "events"))
+    found = rows.where("k = 0").select(F.col("mntns_id").cast("string").alias("label"), "mntns_id", "timestamp_ns")
+    folder, (out, more) = shared_path(spark, "inventory"), _paths(spark)
+    jobs.inventory(spark, folder).add(jobs.sightings(found).groupBy("label", "kind", "id").agg(F.min("since_ns").alias("since_ns")), 0)
+    kept = jobs.run_filtered(_stream(spark, sf_dir).select("mntns_id", "timestamp_ns"), folder, out, more)
+    return kept.groupBy("mntns_id").agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("first_ns"))
 
 
 # -- dashboards

@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 #: Shared tables written by each application and not yet cleaned up.
 _WRITTEN: dict[str, list[str]] = {}
 

@@ -1,20 +1,27 @@
-"""Streams: bucket series, pairing, in-flight gauges, histograms, file positions, and container dimensions.
+"""Streams: bucket series, pairing, in-flight gauges, file positions, bounded buffers, histograms, live filters and dimensions.
 
-The stateful jobs carry one small row a key from each micro-batch to the next. They take the events of a key in
-time order within a micro-batch and micro-batches in turn, as a trace source delivers them.
+A job is a streaming DataFrame from a streaming DataFrame; ``run`` starts it, goes through what the source has and
+stops. Run again with the same path and checkpoint it goes on from there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
 
 from iotrace.functions import scalars as fn
-from iotrace.operators import access, labels, lifecycle
-from iotrace.storage import shared_path
+from iotrace.manifest import GrowingSet, Manifest
+from iotrace.operators import labels
+from iotrace.storage import exists
+from iotrace.streaming import stateful
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_NS = 86_400 * fn.SECOND_NS
 
 
 def event_time(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -22,141 +29,132 @@ def event_time(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return rows.withColumn("ts", F.timestamp_micros(fn.int_div(F.col("timestamp_ns"), 1000))).withWatermark("ts", delay)
 
 
-def bucket_series(rows: DataFrame, by: list[str], gauge: str, width: str = "1 second") -> DataFrame:
-    """``(*by, bucket, n, gauge)``: events and the last gauge value of each bucket; the watermark bounds what is kept."""
-    return rows.groupBy(*by, F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.max_by(gauge, "timestamp_ns").alias(gauge)).select(
-        *by, F.col("w.start").alias("bucket"), "n", gauge
-    )
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs the store that keeps it on disk; the session's setting comes back afterwards."""
+    old = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, old)
 
 
-def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``(*by, lo, count, total)``: counts and sums by power of two, one small state a bucket."""
-    v = F.col(value).cast("bigint")
-    lo = F.when(v > 0, fn.power_of_two(fn.log2_floor(v))).otherwise(0)
-    return rows.where(v.isNotNull()).groupBy(*by, lo.alias("lo")).agg(F.count("*").alias("count"), F.sum(v).alias("total"))
+def run(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append what the job makes of the files its source has now to the Parquet table ``path``; the whole table.
 
+    The sink's log and the checkpoint go together: a micro-batch that was cut short is done again and replaces what
+    it wrote, one that was complete is not.
+    """
+    spark = out.sparkSession
+    with _state_store(spark):
+        out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], out.schema)
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
+def run_batches(out: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """The same for jobs that change what they have said (update, complete): rows with ``batch``, the micro-batch that said them."""
+    spark = out.sparkSession
+    each = lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")
+    with _state_store(spark):
+        out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*out.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
-def run_carried(rows: DataFrame, step: Step, state: str, out: str) -> tuple[DataFrame, DataFrame]:
-    """Run ``step(batch, before) -> (result, after)`` over the micro-batches a source has now: (all results, last state).
 
-    What a stateful job carries from one micro-batch to the next is a table of the DDL ``state`` in the shared
-    folder, one small row a key, so a batch is joined with it and windowed like any table: a busy key is spilled
-    and not held by a Python worker. A repeated micro-batch starts from the same table and overwrites its results.
-    """
-    spark = rows.sparkSession
-    results, states, checkpoint = shared_path(spark, "stream"), shared_path(spark, "carried"), shared_path(spark, "stream-state")
-    done: list[int] = []
+def newest(said: DataFrame, by: list[str]) -> DataFrame:
+    """Of ``run_batches`` rows in update mode the last of each group."""
+    rest = [c for c in said.columns if c not in (*by, "batch")]
+    last = said.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*by, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        before = s.read.schema(state).parquet(f"{states}/{batch_id - 1:06d}") if batch_id else s.createDataFrame([], state)
-        found, after = step(batch, before)
-        found.write.mode("overwrite").parquet(f"{results}/{batch_id:06d}")
-        after.write.mode("overwrite").parquet(f"{states}/{batch_id:06d}")
-        done.append(batch_id)
 
-    query = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], out), spark.createDataFrame([], state)
-    return spark.read.schema(out).parquet(f"{results}/*"), spark.read.schema(state).parquet(f"{states}/{done[-1]:06d}")
+def bucket_series(rows: DataFrame, by: list[str], gauge: str, width: str = "1 second") -> DataFrame:
+    """``(*by, bucket, n, gauge)``: events and the last gauge value of each bucket.
 
+    In append and update mode the watermark bounds what is kept: with ``event_time(rows, "7200 seconds")`` the state
+    holds the last 7,200 one-second buckets, older ones leave it, and events that come for them are not counted.
+    """
+    return rows.groupBy(*by, F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.max_by(gauge, "timestamp_ns").alias(gauge)).select(
+        *by, F.col("w.start").alias("bucket"), "n", gauge
+    )
 
-def _recent(rows: DataFrame, ttl_ns: int | None, newest: DataFrame) -> DataFrame:
-    """Rows ``(..., ns)`` that are not older than ``ttl_ns`` before the newest event; None keeps all."""
-    if ttl_ns is None:
-        return rows
-    last = newest.agg(F.max("timestamp_ns").alias("_newest"))
-    return rows.join(F.broadcast(last)).where(F.col("ns") >= F.col("_newest") - ttl_ns).drop("_newest")
 
+def latest_buckets(series: DataFrame, most: int = 7200, width: str = "1 second") -> DataFrame:
+    """The rows of a bucket series that are among the last ``most`` buckets of the run."""
+    last = series.agg(F.max("bucket").alias("_last"))
+    return series.join(F.broadcast(last)).where(F.col("bucket") > F.col("_last") - F.expr(f"interval {width}") * most).drop("_last")
 
-OPEN = "key string, ns bigint, op string, comm string"
 
+def histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(*by, lo, count, total)``: counts and sums by power of two, one small state a bucket."""
+    v = F.col(value).cast("bigint")
+    lo = F.when(v > 0, fn.power_of_two(fn.log2_floor(v))).otherwise(0)
+    return rows.where(v.isNotNull()).groupBy(*by, lo.alias("lo")).agg(F.count("*").alias("count"), F.sum(v).alias("total"))
 
-def _matched(batch: DataFrame, before: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Starts, carried ones first, and ends with ``start_ns``, ``start_op``, ``start_comm`` of the start they use.
 
-    At equal times starts come before ends, then rows by ``seq``.
-    """
-    cols = [F.col(c).cast("string").alias(c) if c in batch.columns else F.lit(None).cast("string").alias(c) for c in ("op", "comm")]
-    seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
-    rows = batch.where(F.col("event").isin(start, end)).select(F.col(key).cast("string").alias("key"), "timestamp_ns", "event", seq.cast("bigint").alias("seq"), *cols, F.lit(True).alias("new"))
-    held = before.select("key", F.col("ns").alias("timestamp_ns"), F.lit(start).alias("event"), F.lit(-1).cast("bigint").alias("seq"), "op", "comm", F.lit(False).alias("new"))
-    rows = held.unionByName(rows).withColumn("role", (F.col("event") == end).cast("int"))
-    return lifecycle.pair(rows, ["key"], F.col("event") == start, F.col("event") == end, ["timestamp_ns", "role", "seq"], ["op", "comm"])
+def _column(rows: DataFrame, name: str, kind: str, default: Column | None = None) -> Column:
+    return (F.col(name) if name in rows.columns else F.lit(None) if default is None else default).cast(kind).alias(name)
 
 
-def _still_open(matched: DataFrame, start: str) -> DataFrame:
-    last = matched.groupBy("key").agg(F.max_by(F.struct("event", F.col("timestamp_ns").alias("ns"), "op", "comm"), F.struct("timestamp_ns", "role", "seq")).alias("x"))
-    return last.where(F.col("x.event") == start).select("key", "x.ns", "x.op", "x.comm")
+def _timed(rows: DataFrame, ttl_ns: int | None, delay: str) -> tuple[DataFrame, str]:
+    """Rows with a watermark, and the time mode, for jobs that give up what is older than ``ttl_ns``."""
+    return (rows, "None") if ttl_ns is None else (event_time(rows, delay), "EventTime")
 
 
-def pair(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = 86_400_000_000_000) -> DataFrame:
-    """``(key, start_ns, end_ns)`` of ends with a start: the latest start counts and an end uses it up.
+def moves(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = DAY_NS, delay: str = "10 minutes") -> DataFrame:
+    """``stateful.MOVES`` of the starts of a key, their ends, and starts given up ``ttl_ns`` after they began.
 
-    Of each key only the open start is carried on, for ``ttl_ns`` of event time.
+    The latest start counts and an end uses it up; at equal times starts come first, then rows go by ``seq``. Rows
+    without a key pair with nothing and are left out. With a ``ttl_ns`` events must not be later than ``delay``.
     """
+    rows, mode = _timed(rows.where(F.col("event").isin(start, end) & F.col(key).isNotNull()), ttl_ns, delay)
+    more = ["ts"] if mode == "EventTime" else []
+    rows = rows.select(
+        F.col(key).cast("string").alias("key"), "timestamp_ns", (F.col("event") == end).cast("int").alias("role"), _column(rows, "seq", "bigint", F.lit(0)),
+        _column(rows, "op", "string"), _column(rows, "comm", "string"), *more,
+    )
+    return rows.groupBy("key").transformWithStateInPandas(stateful.Pairing(ttl_ns), stateful.MOVES, "Append", mode)
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        m = _matched(batch, before, key, start, end)
-        ends = m.where(F.col("start_ns").isNotNull()).select("key", "start_ns", F.col("timestamp_ns").alias("end_ns"))
-        return ends, _recent(_still_open(m, start), ttl_ns, m)
 
-    return run_carried(rows, step, OPEN, "key string, start_ns bigint, end_ns bigint")[0]
+def pair(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = DAY_NS, delay: str = "10 minutes") -> DataFrame:
+    """``(key, start_ns, end_ns)`` of ends with a start."""
+    found = moves(rows, key, start, end, ttl_ns, delay).where("kind = 'end'")
+    return found.select("key", "start_ns", F.col("timestamp_ns").alias("end_ns"))
 
 
-def in_flight(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = 86_400_000_000_000) -> DataFrame:
-    """``(op, comm, timestamp_ns, in_flight)`` after each start and each matched end.
+def in_flight(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = DAY_NS, delay: str = "10 minutes") -> DataFrame:
+    """``(op, comm, timestamp_ns, in_flight)`` after each start, each matched end and each start given up.
 
-    An end counts for op and process of its start, and only if the trace has that. Open starts and the level of
-    each (op, process) are carried on; a start that is given up after ``ttl_ns`` leaves its level as it is.
+    An end counts for op and process of its start, and only if the trace has that.
     """
+    found = moves(rows, key, start, end, ttl_ns, delay)
+    return found.groupBy("op", "comm").transformWithStateInPandas(stateful.Level(), stateful.LEVELS, "Append", "None")
+
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        m = _matched(batch, before.where("key is not null").drop("held"), key, start, end)
-        fresh = m.where(F.col("new") & ((F.col("event") == start) | F.col("start_ns").isNotNull()))
-        ends = F.col("event") == end
-        moves = fresh.select(
-            F.when(ends, F.col("start_op")).otherwise(F.col("op")).alias("op"), F.when(ends, F.col("start_comm")).otherwise(F.col("comm")).alias("comm"),
-            "timestamp_ns", "role", "seq", F.when(ends, -1).otherwise(1).alias("d"),
-        )
-        levels = before.where("key is null").select(F.col("op").alias("_op"), F.col("comm").alias("_comm"), "held")
-        same = moves["op"].eqNullSafe(F.col("_op")) & moves["comm"].eqNullSafe(F.col("_comm"))
-        moves = moves.join(levels, same, "left").drop("_op", "_comm")
-        w = W.partitionBy("op", "comm").orderBy("timestamp_ns", "role", "seq").rowsBetween(W.unboundedPreceding, 0)
-        out = moves.select("op", "comm", "timestamp_ns", (F.coalesce("held", F.lit(0)) + F.sum("d").over(w)).cast("bigint").alias("in_flight"))
-        sums = moves.groupBy("op", "comm").agg(F.sum("d").alias("held")).unionByName(levels.select(F.col("_op").alias("op"), F.col("_comm").alias("comm"), "held"))
-        sums = sums.groupBy("op", "comm").agg(F.sum("held").alias("held"))
-        none = lambda kind: F.lit(None).cast(kind)
-        opens = _recent(_still_open(m, start), ttl_ns, m).withColumn("held", none("bigint"))
-        return out, opens.unionByName(sums.select(none("string").alias("key"), none("bigint").alias("ns"), "op", "comm", "held"))
-
-    return run_carried(rows, step, OPEN + ", held bigint", "op string, comm string, timestamp_ns bigint, in_flight bigint")[0]
-
-
-def file_positions(rows: DataFrame, ttl_ns: int | None = 7 * 86_400_000_000_000) -> DataFrame:
+def file_positions(rows: DataFrame, ttl_ns: int | None = 7 * DAY_NS, delay: str = "10 minutes") -> DataFrame:
     """``(tid, fd, timestamp_ns, syscall, position)`` of read and write enters, with the position kept by (thread, fd).
 
-    A position is carried on as a seek to it before the next micro-batch, and read off by a probe after this one.
-    One that nothing has touched for ``ttl_ns`` is given up.
+    An openat that returns puts the descriptor it returns at 0, an lseek at what it returns; a position that
+    nothing has touched for ``ttl_ns`` is given up.
     """
+    rows, mode = _timed(rows, ttl_ns, delay)
+    opened = (F.col("event") == "exit") & (F.col("syscall") == "openat")
+    fd = F.when(opened, F.col("bytes").cast("bigint")).otherwise(F.col("fd").cast("bigint"))
+    more = ["ts"] if mode == "EventTime" else []
+    rows = rows.select("tid", fd.alias("fd"), "timestamp_ns", _column(rows, "seq", "bigint", F.lit(0)), "event", "syscall", F.col("bytes").cast("bigint").alias("bytes"), *more)
+    rows = rows.where("tid is not null and fd >= 0")
+    return rows.groupBy("tid", "fd").transformWithStateInPandas(stateful.Position(ttl_ns), stateful.POSITIONS, "Append", mode)
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
-        calls = batch.select("tid", F.col("fd").cast("bigint").alias("fd"), "timestamp_ns", "event", "syscall", F.col("bytes").cast("bigint").alias("bytes"), seq.cast("bigint").alias("seq"), F.lit(1).alias("turn"))
-        held = before.select("tid", "fd", F.col("ns").alias("timestamp_ns"), F.lit("exit").alias("event"), F.lit("lseek").alias("syscall"), F.col("position").alias("bytes"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("turn"))
-        both = held.unionByName(calls)
-        file = F.when((F.col("event") == "exit") & (F.col("syscall") == "openat"), F.col("bytes")).otherwise(F.col("fd"))
-        probes = both.groupBy("tid", file.alias("fd")).agg(F.max("timestamp_ns").alias("timestamp_ns"))
-        probes = probes.select("tid", "fd", "timestamp_ns", F.lit("enter").alias("event"), F.lit("read").alias("syscall"), F.lit(None).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("seq"), F.lit(2).alias("turn"))
-        placed = access.file_positions(both.unionByName(probes), [], ["turn", "timestamp_ns", "seq"])
-        after = placed.where("turn = 2").select("tid", "fd", F.col("timestamp_ns").alias("ns"), "position")
-        return placed.where("turn = 1").select("tid", "fd", "timestamp_ns", "syscall", "position"), _recent(after, ttl_ns, both)
 
-    return run_carried(rows, step, "tid bigint, fd bigint, ns bigint, position bigint", "tid bigint, fd bigint, timestamp_ns bigint, syscall string, position bigint")[0]
+def admitted(rows: DataFrame, key: str, capacity: int, poll_ns: int) -> DataFrame:
+    """``(key, timestamp_ns, seq, admitted)``: which events find room in their key's buffer, emptied every ``poll_ns``.
+
+    Of the events of an interval the first ``capacity`` are admitted and the rest dropped; nothing is lost uncounted.
+    """
+    rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "timestamp_ns", _column(rows, "seq", "bigint", F.lit(0)))
+    out = "key string, timestamp_ns bigint, seq bigint, admitted boolean"
+    return rows.groupBy("key").transformWithStateInPandas(stateful.Admission(capacity, poll_ns), out, "Append", "None")
 
 
 def with_current_labels(rows: DataFrame, dimension: Callable[[SparkSession], tuple[DataFrame, DataFrame]], sink: Callable[[DataFrame, int], None]):
@@ -168,45 +166,66 @@ def with_current_labels(rows: DataFrame, dimension: Callable[[SparkSession], tup
     return rows.writeStream.foreachBatch(each)
 
 
-def container_inventory(rows: DataFrame) -> DataFrame:
-    """``(label, kind, id)``: each id seen of each container so far, from (label, tgid, mntns_id, comm) sightings.
+SIGHTINGS = "label string, kind string, id string, since_ns bigint"
+
+
+def sightings(rows: DataFrame) -> DataFrame:
+    """``SIGHTINGS``: the ids of (label, tgid, mntns_id, comm) rows, each with its time, 0 where rows have none."""
+    since = F.col("timestamp_ns") if "timestamp_ns" in rows.columns else F.lit(0)
+    kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id")) for c in ("tgid", "mntns_id", "comm") if c in rows.columns]
+    return rows.select("label", F.explode(F.array(*kinds)).alias("x"), since.cast("bigint").alias("since_ns")).select("label", "x.kind", "x.id", "since_ns").where("id is not null")
+
+
+def gather_containers(rows: DataFrame, folder: str, checkpoint: str, compact_after: int = 16) -> GrowingSet:
+    """Add the container ids that the sightings of a stream show to the growing set in ``folder``; an id with the time it was first seen.
 
-    What is carried on is a table of different ids and not one growing value a container.
+    A micro-batch writes the ids that no earlier one has, and nothing of those that it has seen before.
     """
 
-    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        kinds = [F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id")) for c in ("tgid", "mntns_id", "comm")]
-        seen = batch.select("label", F.explode(F.array(*kinds)).alias("x")).select("label", "x.kind", "x.id").where("id is not null")
-        return batch.select("label").limit(0), before.unionByName(seen).distinct()
+    def each(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy("label", "kind", "id").agg(F.min("since_ns").alias("since_ns"))
+        inventory(batch.sparkSession, folder, compact_after).add(first, batch_id)
 
-    return run_carried(rows, step, "label string, kind string, id string", "label string")[1]
+    rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    return inventory(rows.sparkSession, folder, compact_after)
 
 
-def latest_buckets(series: DataFrame, most: int = 7200, width: str = "1 second") -> DataFrame:
-    """The rows of a bucket series that are among the last ``most`` buckets of the run."""
-    last = series.agg(F.max("bucket").alias("_last"))
-    return series.join(F.broadcast(last)).where(F.col("bucket") > F.col("_last") - F.expr(f"interval {width}") * most).drop("_last")
+def inventory(spark: SparkSession, folder: str, compact_after: int = 16) -> GrowingSet:
+    return GrowingSet(spark, folder, SIGHTINGS, ["label", "kind", "id"], compact_after)
 
 
-def loss_by_sequence(rows: DataFrame) -> DataFrame:
-    """``(event, generated, dropped)`` from per-event sequence numbers: what lies between first and last and did not arrive."""
-    span = F.max("seq") - F.min("seq") + 1
-    return rows.groupBy("event").agg(span.alias("generated"), (span - F.count("*")).alias("dropped"))
+def live_filter(batch: DataFrame, known: GrowingSet, version: int | None = None) -> DataFrame:
+    """The rows of a micro-batch whose ``mntns_id`` was discovered at their time or before; others are dropped.
 
+    ``version`` of the inventory fixes what was known, so a repeated micro-batch keeps the same rows. A busy
+    container is no hot key: the ids are broadcast where they are counted few, else Spark joins as it sees fit.
+    """
+    ids = known.read(version).where("kind = 'mntns_id'").groupBy(F.col("id").cast("bigint").alias("_id")).agg(F.min("since_ns").alias("_since"))
+    ids = F.broadcast(ids) if known.small(version) else ids
+    return batch.join(ids, (F.col("mntns_id") == F.col("_id")) & (F.col("timestamp_ns") >= F.col("_since")), "left_semi")
 
-def run_to_end(out: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what its source has now and return the result: all rows, or the last state in complete mode."""
-    spark = out.sparkSession
-    path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-state")
 
-    done: list[int] = []
+def run_filtered(rows: DataFrame, folder: str, path: str, checkpoint: str) -> DataFrame:
+    """Rows of a stream that pass ``live_filter`` with the inventory as each micro-batch finds it; the table so far.
+
+    Which version a micro-batch used is written before its rows, and used again if it is repeated.
+    """
+    spark = rows.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        done.append(batch_id)
-        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:06d}")
-
-    query = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], out.schema)
-    return spark.read.schema(out.schema).parquet(f"{path}/{done[-1]:06d}" if mode == "complete" else f"{path}/*")
+        s = batch.sparkSession
+        known, used = inventory(s, folder), Manifest(s, f"{checkpoint}/used")
+        told = used.read(batch_id)
+        version = told.first()["v"] if told is not None else max(known.manifest.versions(), default=-1)
+        if told is None:
+            used.commit(s.createDataFrame([(version,)], "v int"), batch_id)
+        live_filter(batch, known, version).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/*")
+
+
+def loss_by_sequence(rows: DataFrame) -> DataFrame:
+    """``(event, generated, dropped)`` from per-event sequence numbers: what lies between first and last and did not arrive."""
+    span = F.max("seq") - F.min("seq") + 1
+    return rows.groupBy("event").agg(span.alias("generated"), (span - F.count("*")).alias("dropped"))

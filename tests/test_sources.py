@@ -9,7 +9,7 @@ from iotrace.sources import dimensions, sinks, text, traces
 
 
 def numbered(spark, body):
-    return spark.createDataFrame([("f", i, line) for i, line in enumerate(body.split("\n"))], "file string, line_no int, line string")
+    return spark.createDataFrame([("f", i // 3, i, line) for i, line in enumerate(body.split("\n"))], "file string, start long, at long, line string")
 
 
 def test_csv_by_header_and_torn_tail(spark, tmp_path):
@@ -62,7 +62,7 @@ def test_text_contexts(spark):
     assert got == [("all", "_", 0, 0, 1, 5), ("sizes", "read", 0, 4096, 8192, 3), ("sizes", "read", 1, 8192, 16384, 1)]
     body = "@fl[read]:\n\nhh:mm:ss   0 ___ 9\n10:00:00 | * | 4\n10:00:01 |*  | 5\nv___v\n10:00:02 |*  | 6\nhh:mm:ss\n10:00:03 | * | 7\n@n[x]: 4\n@n[x]: 6"
     rows = numbered(spark, body)
-    assert [(r.time, r.value) for r in text.series(rows).orderBy("line_no").collect()] == [("10:00:00", 4), ("10:00:01", 5)]
+    assert [(r.time, r.value) for r in text.series(rows).orderBy("place").collect()] == [("10:00:00", 4), ("10:00:01", 5)]
     assert [tuple(r)[1:] for r in text.counters(rows).collect()] == [("n", "x", 6)]
 
 
