@@ -26,7 +26,8 @@ def sliced(rows: DataFrame, key: list[str], piece: Column) -> DataFrame:
     return rows.withColumns({"_key": F.struct(*key) if key else F.struct(F.lit(0)), "_slice": piece})
 
 
-_BEFORE = W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+def _before():
+    return W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
 
 
 def _given(rows: DataFrame, summaries: DataFrame, names: list[str]) -> DataFrame:
@@ -43,7 +44,7 @@ def running_sums(rows: DataFrame, key: list[str], piece: Column, order: list[str
     cut = () if "_key" in rows.columns else ("_key", "_slice")
     out = sliced(rows, key, piece) if cut else rows
     totals = out.groupBy("_key", "_slice").agg(*[F.sum(x).alias(f"_sum_{c}") for c, x in sums.items()])
-    before = {f"_before_{c}": F.sum(f"_sum_{c}").over(_BEFORE) for c in sums}
+    before = {f"_before_{c}": F.sum(f"_sum_{c}").over(_before()) for c in sums}
     w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = out.withColumns({c: F.sum(x).over(w) for c, x in sums.items()})
     out = _given(out, totals.withColumns(before), list(before))
@@ -61,7 +62,7 @@ def last_values(rows: DataFrame, key: list[str], piece: Column, order: list[str]
     out = sliced(rows, key, piece) if cut else rows
     at = F.struct(*order)
     ends = out.groupBy("_key", "_slice").agg(*[F.max_by(x, F.when(x.isNotNull(), at)).alias(f"_end_{c}") for c, x in values.items()])
-    before = {f"_before_{c}": F.last(f"_end_{c}", ignorenulls=True).over(_BEFORE) for c in values}
+    before = {f"_before_{c}": F.last(f"_end_{c}", ignorenulls=True).over(_before()) for c in values}
     w = W.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     out = out.withColumns({c: F.last(x, ignorenulls=True).over(w) for c, x in values.items()})
     out = _given(out, ends.withColumns(before), list(before))
