@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as htmllib
 import re
@@ -31,18 +32,16 @@ FURNITURE = frozenset(
     "embed dialog menu canvas audio video map datalist".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-NAMES = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner "
-    "sponsor sponsored promo cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login "
-    "comment comments respond discussion breadcrumb breadcrumbs pagination pager share sharing social related toolbar widget "
-    "skip".split()
-)
-#: Parts that may stand beside such a name in a class or id without changing what it says.
-BESIDE = frozenset(
-    "site page global main primary secondary top bottom left right upper lower inner outer sticky fixed mobile desktop box bar "
-    "block area section container wrapper wrap panel list item items links link row col column group slot unit body form text "
-    "content title button buttons icon icons us to reader user js".split()
+#: What classes and ids call the frame of a page, and what they call other parts that are no article.
+FRAME = frozenset("nav navbar navigation menu header masthead footer sidebar aside banner notice toolbar skip".split())
+EXTRA = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr popup modal overlay newsletter "
+    "subscribe signup login comment comments respond discussion disqus breadcrumb breadcrumbs pagination pager share sharing social "
+    "related widget".split()
 )
+#: Parts of a name that tell a state of something else, and that call the article itself.
+STATES = frozenset("has with without no not is closed open enabled disabled active hidden visible hide show count".split())
+ARTICLE = frozenset("article post entry story".split())
 MAIN = frozenset(("article", "main"))
 #: Elements that may be deleted as template inside an article: boxes, not the paragraphs that a text is made of.
 BOX = frozenset("div section ul ol dl table figure details".split())
@@ -51,21 +50,31 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-zA-Z]+")
+_DIGITS = re.compile(r"[0-9]+")
+#: Characters that stand together in running text.
+RUNNING = 100
+#: Elements whose text no browser shows.
+UNSHOWN = frozenset("head script style noscript template".split())
 
 
 @dataclass
 class Node:
     """An element: its name, the attributes that matter, and children that are elements or strings.
 
-    ``size`` counts the characters of its text without white space and without what ``FURNITURE`` holds;
-    ``article`` tells whether it is or holds an article or main element with text.
+    ``size`` counts the characters of its text without white space and without what ``FURNITURE`` holds, ``links``
+    those of them in links, ``longest`` the most that stand together; ``article`` tells whether it is or holds an
+    article or main element with text. ``digest`` is of name, class, id and text of the subtree, ``shape`` of its
+    names, classes and ids alone, equal neighbours taken once.
     """
 
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
     digest: int = 0
+    shape: int = 0
     size: int = 0
+    links: int = 0
+    longest: int = 0
     article: bool = False
 
 
@@ -153,14 +162,26 @@ def parse(page: str | None) -> Node:
     return root
 
 
+def _says(part: str, names: frozenset[str]) -> bool:
+    """Whether a part of a name is one of ``names`` or, as in commentlist, begins with one of five letters or more."""
+    return part in names or any(part[:n] in names for n in range(5, len(part)))
+
+
+@functools.cache
+def _names_furniture(token: str) -> bool:
+    parts = _NAME.findall(token)
+    if not STATES.isdisjoint(parts):
+        return False
+    return any(_says(p, EXTRA) for p in parts) or (ARTICLE.isdisjoint(parts) and any(_says(p, FRAME) for p in parts))
+
+
 def named_furniture(node: Node) -> bool:
-    """Whether a class or the id says so: all parts of one are names of page furniture or go beside them."""
-    for key in ("class", "id"):
-        for token in node.attrs.get(key, "").lower().split():
-            parts = _NAME.findall(token)
-            if not NAMES.isdisjoint(parts) and NAMES.union(BESIDE).issuperset(parts):
-                return True
-    return False
+    """Whether a class or the id says so.
+
+    One of its parts is, or begins with, a name of page furniture, and none tells a state of something else
+    (has-sidebar, comment-closed). Header, footer and the like of an article or post are its own.
+    """
+    return any(_names_furniture(token) for key in ("class", "id") for token in node.attrs.get(key, "").lower().split())
 
 
 def _declared(node: Node, in_main: bool) -> bool:
@@ -187,25 +208,34 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
             stack += [(c, True, inside) for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\1".join(parts), digest_size=8).digest(), "big", signed=True)
+
+
 def measure(root: Node) -> None:
-    """Give every element its size, whether it holds an article, and a 64-bit digest of name, class, id, text and children."""
+    """Give every element its digest and shape, its sizes, and whether it holds an article."""
     for node, enter, _ in _walk(root):
-        if not enter:
-            h = hashlib.blake2b(digest_size=8)
-            h.update(f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}\0".encode("utf-8", "surrogatepass"))
-            for c in node.children:
-                if isinstance(c, Node):
-                    h.update(c.digest.to_bytes(8, "big", signed=True))
-                    if c.tag not in FURNITURE:
-                        node.size += c.size
-                        node.article |= c.article
-                else:
-                    words = c.split()
-                    h.update(" ".join(words).encode("utf-8", "surrogatepass"))
-                    node.size += sum(map(len, words))
-                h.update(b"\1")
-            node.article |= node.tag in MAIN and node.size > 0 and not named_furniture(node)
-            node.digest = int.from_bytes(h.digest(), "big", signed=True)
+        if enter:
+            continue
+        name = f"{node.tag}\0{node.attrs.get('class', '')}\0{node.attrs.get('id', '')}"
+        whole, shape = [name.encode("utf-8", "surrogatepass")], [_DIGITS.sub("0", name).encode("utf-8", "surrogatepass")]
+        for c in node.children:
+            if isinstance(c, Node):
+                whole.append(c.digest.to_bytes(8, "big", signed=True))
+                part = c.shape.to_bytes(8, "big", signed=True)
+                if c.tag not in FURNITURE:
+                    node.size, node.links, node.longest = node.size + c.size, node.links + c.links, max(node.longest, c.longest)
+                    node.article |= c.article
+            else:
+                words = c.split()
+                whole.append(" ".join(words).encode("utf-8", "surrogatepass"))
+                n = sum(map(len, words))
+                node.size, node.longest, part = node.size + n, max(node.longest, n), b"text" if n else b""
+            if part and part != shape[-1]:
+                shape.append(part)
+        node.links = node.size if node.tag == "a" else node.links
+        node.article |= node.tag in MAIN and node.size > 0 and not named_furniture(node)
+        node.digest, node.shape = _hash(*whole), _hash(b"shape", *shape)
 
 
 def is_furniture(node: Node, in_main: bool, page: Node) -> bool:
@@ -218,71 +248,95 @@ def is_furniture(node: Node, in_main: bool, page: Node) -> bool:
     return _declared(node, in_main) and not node.article and (page.article or 2 * node.size <= page.size)
 
 
-def template_candidates(root: Node) -> tuple[set[int], int]:
-    """Digests of the elements with text that may be template, and what tells this page from others: its longest text.
+def _may_be_template(node: Node, in_main: bool, root: Node) -> bool:
+    """Whether a subtree that recurs is deleted: not if it holds an article or more than half of the page's text.
 
-    No candidate holds an article or more than half of the page's text. Inside articles only boxes are candidates:
-    what an article says in its own paragraphs is its text even where other pages copy it.
+    Inside articles only boxes go: what an article says in its own paragraphs is its text even where other pages copy it.
     """
+    fit = node.tag in BOX if in_main else node.tag not in ("#root", "html", "body", "head")
+    return fit and not node.article and 2 * node.size <= root.size
+
+
+def _may_be_shape(node: Node, in_main: bool, root: Node) -> bool:
+    """Whether also a subtree whose shape alone recurs is: most of its text is links, or, outside articles and under a
+    name of its own, it has no running text and not the longest of the page."""
+    linked = node.links >= 2 and 2 * node.links >= node.size
+    if in_main:
+        return linked
+    named = "class" in node.attrs or "id" in node.attrs or node.tag in FURNITURE
+    return linked or (named and node.longest < RUNNING and node.longest < root.longest)
+
+
+def template_candidates(root: Node) -> tuple[set[int], int]:
+    """Digests and shapes of the elements with text that may be template, and what tells this page from others: its longest text."""
     out, longest = set(), ""
     for node, enter, main in _walk(root):
-        if enter and node.tag not in FURNITURE:
+        if not enter:
+            continue
+        if node.tag not in FURNITURE:
             longest = max([longest, *(c for c in node.children if isinstance(c, str))], key=len)
-        fit = node.tag in BOX if main else node.tag not in ("#root", "html", "body", "head")
-        if enter and fit and not node.article and any(not isinstance(c, str) or c.strip() for c in node.children):
-            if 2 * node.size <= root.size:
-                out.add(node.digest)
-    own = hashlib.blake2b(" ".join(longest.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return out, int.from_bytes(own, "big", signed=True)
+        if _may_be_template(node, main, root) and any(not isinstance(c, str) or c.strip() for c in node.children):
+            out.add(node.digest)
+            if _may_be_shape(node, main, root):
+                out.add(node.shape)
+    return out, _hash(" ".join(longest.split()).encode("utf-8", "surrogatepass"))
 
 
-def blocks(root: Node, templates: frozenset[int], removed: list[int] | None = None) -> Iterator[tuple[str, bool]]:
-    """(text, whether in an article) of each block left, white space made one space, without empty blocks.
+def blocks(root: Node, templates: frozenset[int], removed: list[int] | None = None, lists: bool = True) -> Iterator[tuple[str, bool, int]]:
+    """(text, whether in an article, characters in links) of each block left, white space made one space, without empty blocks.
 
-    ``removed`` gets the digest of each template deleted.
+    ``removed`` gets the digest of each template deleted. Without ``lists`` only templates and what no browser shows
+    as text are left out.
     """
     buf: list[str] = []
-    was_main = False
+    was_main, linked = False, 0
 
-    def flush() -> Iterator[tuple[str, bool]]:
-        text = " ".join("".join(buf).split())
+    def flush() -> Iterator[tuple[str, bool, int]]:
+        nonlocal linked
+        text, n = " ".join("".join(buf).split()), linked
         buf.clear()
+        linked = 0
         if text:
-            yield text, was_main
+            yield text, was_main, n
 
-    stack: list = [(root, False)]
+    stack: list = [(root, False, False)]
     while stack:
-        item, main = stack.pop()
+        item, main, in_link = stack.pop()
         if isinstance(item, str):
             was_main = main
             buf.append(item)
+            linked += sum(map(len, item.split())) if in_link else 0
         elif isinstance(item, Node):
-            template = item.digest in templates and (item.tag in BOX or not main) and not item.article and 2 * item.size <= root.size
+            template = bool(templates) and _may_be_template(item, main, root) and (item.digest in templates or (item.shape in templates and _may_be_shape(item, main, root)))
             if template and removed is not None:
                 removed.append(item.digest)
-            if template or is_furniture(item, main, root):
+            if template or (is_furniture(item, main, root) if lists else item.tag in UNSHOWN):
                 if item.tag in BLOCK:
                     yield from flush()
                 continue
             inside = main or item.tag in MAIN
             if item.tag in BLOCK:
                 yield from flush()
-                stack.append((None, main))
-            stack += [(c, inside) for c in reversed(item.children)]
+                stack.append((None, main, False))
+            stack += [(c, inside, in_link or item.tag == "a") for c in reversed(item.children)]
         else:
             yield from flush()
     yield from flush()
 
 
-def main_text(page: str | None, templates: frozenset[int] = frozenset(), article_share: float = 1 / 3, removed: list[int] | None = None) -> str:
-    """The blocks of the page's articles in page order if they hold ``article_share`` of the text left, else all blocks."""
+def main_text(page: str | None, templates: frozenset[int] = frozenset(), article_share: float = 1 / 3, removed: list[int] | None = None, lists: bool = True) -> str:
+    """The blocks of the page in page order that are left.
+
+    Where articles hold ``article_share`` of what is left, blocks outside them stay only if they are running text:
+    ``RUNNING`` characters or more, less than a third of them in links.
+    """
     root = parse(page)
     measure(root)
-    found = list(blocks(root, templates, removed))
-    inside = [t for t, main in found if main]
-    if sum(map(len, inside)) >= article_share * sum(len(t) for t, _ in found):
-        return "\n".join(inside)
-    return "\n".join(t for t, _ in found)
+    found = list(blocks(root, templates, removed, lists))
+    inside = sum(len(t) for t, main, _ in found if main)
+    if lists and inside and inside >= article_share * sum(len(t) for t, _, _ in found):
+        found = [(t, main, n) for t, main, n in found if main or (len(t) >= RUNNING and 3 * n < len(t))]
+    return "\n".join(t for t, _, _ in found)
 
 
 def host_of(url: Column) -> Column:
@@ -310,7 +364,7 @@ def _candidate_rows(rows: DataFrame) -> DataFrame:
 
 
 def site_templates(candidates: DataFrame, min_pages: int = 10) -> DataFrame:
-    """``(host, digest)``: subtrees that recur on at least ``min_pages`` pages of a host, copies of a page being one.
+    """``(host, digest)``: subtrees, and shapes of subtrees, that recur on at least ``min_pages`` pages of a host, copies of a page being one.
 
     Pages are told apart by their longest text, so that an article which many pages copy is no template of theirs.
     Hosts of fewer pages have no templates. Counts are combined before each shuffle, so a host with a third of all
@@ -327,13 +381,15 @@ def extract(
     html_col: str = "html",
     min_pages: int = 10,
     max_broadcast: int = 200_000,
+    lists: bool = True,
 ) -> DataFrame:
     """``(page_id, url, text, n_templates)`` for every page, from its whole html.
 
     Goes over the pages twice: once to count subtrees per host, once to delete those that recur together with
     scripts, menus and other furniture and to return the text; n_templates is how many the page lost. Templates
     reach the pages by broadcast if they are at most ``max_broadcast`` in number, which is counted; beyond that
-    each page gets only its own, by joins on host and subtree and on host and page. A null html has an empty text;
+    each page gets only its own, by joins on host and subtree and on host and page. Without ``lists`` no tag or class
+    is taken for furniture, and templates alone clean the text. A null html has an empty text;
     pages without a host count as one host; repeated rows are all returned.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -346,7 +402,7 @@ def extract(
         out = []
         for page, known in zip(html, digests, strict=True):
             removed: list[int] = []
-            out.append((main_text(page, frozenset(known) if known is not None else frozenset(), removed=removed), len(removed)))
+            out.append((main_text(page, frozenset(known) if known is not None else frozenset(), removed=removed, lists=lists), len(removed)))
         return pd.DataFrame(out, columns=["text", "n_templates"])
 
     if found.count() <= max_broadcast:

@@ -40,6 +40,10 @@ WANT = ("A long enough article about things. " * 9).strip()
     f"<body><div class='page header'>{BODY}</div></body>",
     f"<div class='site-header'>Top</div>{BODY}<div class='cookie-notice'>We use cookies</div>",
     f"<article>{BODY}</article><div id='comments'><article class='comment-body'>{'I say this. ' * 60}</article></div>",
+    f"<article>{BODY}</article><div class='ad-slot-300x250'>Buy this</div><div class='cookie-law-info'>We use cookies</div>",
+    f"{BODY}<div class='ad-slot-300x250'>Buy this</div><div class='cookie-law-info'>We use cookies</div><div class='newsletter-signup-v2'>Mail</div>",
+    f"{BODY}<div id='disqus_thread'>first!</div><ol class='commentlist'><li>second!</ol><div class='post-comments'>third</div>",
+    f"<div class='entry-header'>{BODY}</div><div class='main-navbar'>Home</div>",
 ])
 def test_articles_are_not_emptied(page):
     assert htmltext.main_text(page) == WANT
@@ -50,6 +54,29 @@ def test_a_teaser_does_not_silence_the_page():
     assert htmltext.main_text(page) == f"{WANT}\nTeaser"
 
 
+def test_prose_beside_articles_stays():
+    prose = "Words that stand outside of any article. " * 14
+    page = f"<div id='content'><p>{prose}</p></div><article>{BODY}</article><div><a href='x'>{'more like this ' * 20}</a></div><div>scrap</div><article>{BODY}</article>"
+    assert htmltext.main_text(page) == f"{prose.strip()}\n{WANT}\n{WANT}"
+
+
+def test_menus_that_differ_are_templates_by_shape(spark):
+    """Menus and boxes whose words differ from page to page go by their shape; running text and the longest text stay."""
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        host = "a.org" if i < 25 else f"h{i}.org"
+        menu = "".join(f"<li><a href='/{k}'>{word(1)}</a></li>" for k in range(rng.randrange(3, 8)))
+        text, short = word(40), word(3)
+        rows.append((i, f"http://{host}/{i}", f"<body><div class='zz'><ul>{menu}</ul></div><div class='tagline-{i}'>{word(4)}</div><div class='lead'>{text}</div><p>{short}</p></body>"))
+        left = f"{text}\n{short}"
+        want[i] = left if i < 25 else "\n".join([*re.findall("'>(w[0-9]+)</a>", rows[-1][2]), re.search("tagline-[0-9]+'>([^<]*)", rows[-1][2])[1], left])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for lists in (True, False):
+        assert {r.page_id: r.text for r in htmltext.extract(df, lists=lists).collect()} == want
+
+
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<p><div>" + "<b>" * 30_000 + "<p></p>" * 30_000, "<li>" * 50_000, "<a x='>" * 30_000, "</i>" * 50_000])
 def test_hostile_pages_take_linear_time(page):
     began = time.time()
@@ -60,7 +87,7 @@ def test_hostile_pages_take_linear_time(page):
 def test_templates_against_a_plain_count(spark):
     rng = random.Random(12)
     word = lambda n: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n))
-    boxes = [f"<div class='b{k}'><p>{word(6)}</p></div>" for k in range(12)]
+    boxes = [f"<div class='b{chr(97 + k)}'><p>{word(6)}</p></div>" for k in range(12)]
     rows, says = [], {}
     for i in range(160):
         host = f"h{i % 4}.org" if i % 3 else "hot.org"
