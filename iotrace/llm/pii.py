@@ -110,21 +110,22 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _entity(x: Column) -> Column:
-    """The kind and value of a span, the value without what spellings differ in."""
+def _entities(x: Column) -> Column:
+    """What a span names: its kind and value, the value without what spellings differ in; an address also its domain."""
     value = F.when(x["kind"] == 0, F.lower(x["value"])).when(x["kind"] == 1, x["value"]).otherwise(_digits(x["value"]))
-    return F.concat(x["kind"].cast("string"), F.lit(":"), value)
+    whole = F.array(F.concat(x["kind"].cast("string"), F.lit(":"), value))
+    return F.when(x["kind"] == 0, F.concat(whole, F.array(F.concat(F.lit("0:@"), F.substring_index(value, "@", -1))))).otherwise(whole)
 
 
 def _mentions(text: Column, spans: Column) -> Column:
-    """For each span its entity and the text between it and its neighbours: all of the text, each piece twice at most."""
+    """For each span its entities and the text between it and its neighbours: all of the text, each piece twice at most."""
 
     def one(slices: Column) -> Callable[[Column, Column], Column]:
         def of(x: Column, i: Column) -> Column:
             last = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
             after = F.coalesce(F.get(spans, i + 1)["start"], F.length(text))
             return F.struct(
-                _entity(x).alias("entity"),
+                _entities(x).alias("entities"),
                 F.concat(_cut(slices, last, x["start"] - last), F.lit(" "), _cut(slices, x["end"], after - x["end"])).alias("around"),
             )
 
@@ -151,8 +152,9 @@ def disclosing_terms(
 ) -> DataFrame | None:
     """``(term, entity, together, texts, named, total, disclosure)`` of terms that reveal a protected entity, or None.
 
-    An entity is the value of a base match. A term is near it if it stands, anywhere in the text, with no other
-    match between them; so each word has two entities at most and the work follows the text. All counts are of
+    An entity is the value of a base match or the domain of an address, which recurs where addresses do not. A term
+    is near it if it stands, anywhere in the text, with no other match between them; so each word has four entities
+    at most and the work follows the text. All counts are of
     different texts: ``together`` with e near t, ``texts`` with t, ``named`` with e, ``total`` of all. A term has
     PMI(t, e) = log p(e|t) / p(e) and discloses the share PMI / -log p(e) of the entity's information: 1 if every
     text with t names e. It counts from ``min_disclosure`` on, with e near t in at least ``min_share`` of t's
@@ -164,7 +166,7 @@ def disclosing_terms(
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     found = rows.select("key", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    mentions = materialize(found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct(), "mentions")
+    mentions = materialize(found.select("key", F.explode(F.array_distinct(F.flatten(F.transform("spans", _entities)))).alias("entity")).distinct(), "mentions")
     named = materialize(mentions.groupBy("entity").agg(F.count("*").alias("named")).where(F.col("named") >= min_texts), "entities")
     n_entities = named.count()
     if not n_entities:
@@ -175,7 +177,7 @@ def disclosing_terms(
     texts = rows.join(_sized(keys, n_keys, max_broadcast), "key", "left_semi").repartition(n_keys // 500 + 1, "key").dropDuplicates(["key"])
     # written, so that spans and witness are found once a text and not again for each word that a plan makes of it
     texts = materialize(texts.select("key", "text", base_spans(F.col("text")).alias("spans"), _witness(F.col("text")).alias("witness")), "entity-texts")
-    near = texts.select("key", "witness", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "witness", "m.*")
+    near = texts.select("key", "witness", F.explode(_mentions(F.col("text"), F.col("spans"))).alias("m")).select("key", "witness", F.explode("m.entities").alias("entity"), "m.around")
     near = near.join(common, "entity", "left_semi")
     near = near.select("key", "entity", "witness", F.explode(F.array_distinct(terms(F.col("around")))).alias("term")).distinct()
     pairs = near.groupBy("entity", "term", "witness").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,22 +112,27 @@ def _document_counts(train: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def neutral_groups(
-    train: DataFrame, counts: DataFrame, neg: int, pos: int, max_terms: int = 512, min_texts: int = 20, max_statistic: float = 3.84, min_affinity: float = 0.6, size: int = 4
-) -> tuple[tuple[str, ...], ...]:
-    """Sets of words that stand among the same neighbours and tell nothing about the label, so that one may stand for another.
+def widened_groups(
+    train: DataFrame, counts: DataFrame, n_texts: int, groups: tuple[tuple[str, ...], ...], max_terms: int = 512, min_texts: int = 20, max_share: float = 0.1,
+    min_affinity: float = 0.6,
+) -> tuple[tuple[str, ...], ...]:
+    """The identity sets, each with the words that stand among the same neighbours as its own terms do in the labelled texts.
 
-    Candidates are the ``max_terms`` words in most texts, of ``min_texts`` at least, whose G statistic is below
-    ``max_statistic``. Their affinity is that of the square roots of the shares of the words beside them. Each
-    word, by falling count, is joined by the free ones nearest to it until a set has ``size`` words.
+    Only a given term can seed a set, so what is swapped are names of groups. Candidates are the ``max_terms`` words
+    in most texts, of at least ``min_texts`` and at most a ``max_share`` of all, which leaves function words out.
+    Affinity is that of the square roots of the shares of the words beside a word; a candidate joins the set of the
+    seed it is nearest to, from ``min_affinity`` on. Where no text has a seed in ``min_texts`` of them, the sets stay
+    as they are.
     """
-    rows = counts.where(F.col("n") >= min_texts).where(~F.col("feature").startswith("~")).orderBy(F.desc("n"), "feature").limit(4 * max_terms).collect()
-    if not rows:
-        return ()
-    table = np.array([[r["n"] - r["toxic"] for r in rows], [r["toxic"] for r in rows]], float)
-    g = _g_statistic(table, neg, pos)
-    names = [r["feature"] for r, x in zip(rows, g, strict=True) if x < max_statistic][:max_terms]
-    shared = train.sparkSession.sparkContext.broadcast((names, [r["feature"] for r in rows[:max_terms]]))
+    given = sorted({t for g in groups for t in g})
+    rows = counts.where((F.col("n") >= min_texts) & ~F.col("feature").startswith("~"))
+    seeds = sorted(r["feature"] for r in rows.join(F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in given], "feature string")), "feature").collect()) if given else []
+    if not seeds:
+        return groups
+    around = [r["feature"] for r in rows.orderBy(F.desc("n"), "feature").limit(max_terms).collect()]
+    some = rows.where(F.col("n") <= max_share * n_texts).orderBy(F.desc("n"), "feature").limit(max_terms).collect()
+    names = [*seeds, *(r["feature"] for r in some if r["feature"] not in given)]
+    shared = train.sparkSession.sparkContext.broadcast((names, around))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, beside = ({w: i for i, w in enumerate(x)} for x in shared.value)
@@ -142,21 +148,17 @@ def neutral_groups(
         at, to = np.nonzero(held)
         yield pd.DataFrame({"a": at, "b": to, "n": held[at, to]})
 
-    got = train.select("text").mapInPandas(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    near = np.zeros((len(names), 2 * min(max_terms, len(rows))))
-    for r in got:
+    near = np.zeros((len(names), 2 * len(around)))
+    for r in train.select("text").mapInPandas(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         near[r["a"], r["b"]] = r["n"]
     near = np.sqrt(near / np.maximum(near.sum(1, keepdims=True), 1.0))
-    affinity = np.round(near @ near.T, 9)
-    free, out = np.ones(len(names), bool), []
-    for i in range(len(names)):
-        if free[i]:
-            free[i] = False
-            some = [j for j in np.argsort(-affinity[i], kind="stable") if free[j] and affinity[i, j] >= min_affinity][: size - 1]
-            free[some] = False
-            if some:
-                out.append((names[i], *(names[j] for j in some)))
-    return tuple(out)
+    affinity = np.round(near[len(seeds) :] @ near[: len(seeds)].T, 9)
+    more: dict[str, list[str]] = {}
+    for name, to in zip(names[len(seeds) :], affinity, strict=True):
+        best = int(np.argmax(to))
+        if to[best] >= min_affinity:
+            more.setdefault(seeds[best], []).append(name)
+    return tuple((*g, *(w for t in g for w in more.get(t, ()))) for g in groups)
 
 
 def _g_statistic(table: np.ndarray, neg: int, pos: int) -> np.ndarray:
@@ -226,6 +228,7 @@ _UNIT = 1 << 32
 def _objective(rows: DataFrame, swaps: DataFrame, n: int, swap_penalty: float, ridge: float):
     """A function from parameters to (loss, gradient), one Spark job each; tasks return partial sums of the gradient."""
     spark = rows.sparkSession
+    any_swaps = bool(swaps.take(1))
 
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(theta)
@@ -237,17 +240,19 @@ def _objective(rows: DataFrame, swaps: DataFrame, n: int, swap_penalty: float, r
         def whole(x: float) -> int:
             return round(float(x) * _UNIT)
 
-        def of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = shared.value
             loss, grad = 0, np.zeros(n + 1, np.int64)
-            for pdf in batches:
-                for y, on in zip(pdf["y"], pdf["on"], strict=True):
-                    z = w[n] + w[on].sum()
-                    loss += whole(np.logaddexp(0.0, z) - y * z)
-                    r = whole(1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y)
-                    grad[on] += r
-                    grad[n] += r
-            yield sums(grad, loss)
+            for batch in batches:
+                y, lists = batch.column(0).to_numpy(), batch.column(1)
+                ends, on = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(y)), np.diff(ends))
+                z = w[n] + np.bincount(row, w[on], len(y))
+                loss += int(np.rint((np.logaddexp(0.0, z) - y * z) * _UNIT).astype(np.int64).sum())
+                r = np.rint((1.0 / (1.0 + np.exp(-np.clip(z, -50, 50))) - y) * _UNIT).astype(np.int64)
+                np.add.at(grad, on, r[row])
+                grad[n] += r.sum()
+            yield pa.RecordBatch.from_pandas(sums(grad, loss))
 
         def of_swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = shared.value
@@ -260,8 +265,8 @@ def _objective(rows: DataFrame, swaps: DataFrame, n: int, swap_penalty: float, r
                     grad[b] -= whole(2 * c * d)
             yield sums(grad, loss)
 
-        parts = rows.mapInPandas(of_texts, "i bigint, g bigint")
-        if swap_penalty:
+        parts = rows.mapInArrow(of_texts, "i bigint, g bigint")
+        if swap_penalty and any_swaps:
             parts = parts.unionByName(swaps.mapInPandas(of_swaps, "i bigint, g bigint"))
         total = np.zeros(n + 2)
         for r in parts.groupBy("i").agg(F.sum(F.col("g").cast("decimal(38,0)")).alias("g")).collect():
@@ -318,7 +323,7 @@ def fit(
     min_statistic: float = 12.0,
     swap_penalty: float = 10.0,
     ridge: float = 0.02,
-    find_groups: bool = True,
+    widen_groups: bool = True,
 ) -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows, a documented bound; each is read whole.
 
@@ -326,7 +331,8 @@ def fit(
     tell most about the label (at most ``max_features``), and all terms that are swapped. The loss adds, for every
     labelled text with such a term, the squared change of its score when the term is swapped, times
     ``swap_penalty``: a term alone can then neither raise nor lower a score. Terms are ``identity_terms`` and, with
-    ``find_groups``, sets that ``neutral_groups`` finds in the labelled texts. Sums are of whole numbers, so reruns
+    ``widen_groups``, words that the labelled texts use as they use those. Where no labelled text has such a term, the
+    penalty is zero and nothing is swapped. Sums are of whole numbers, so reruns
     agree. Repeated rows each count. Labels of one kind, or none, give a constant score.
     """
     sample = _sample(labels, id_col, label_col, max_rows)
@@ -341,9 +347,7 @@ def fit(
     neg, pos = rows_by.get(0, 0), rows_by.get(1, 0)
     if not pos or not neg or not candidates:
         return ToxicityModel({}, np.zeros(0), math.log((pos + 0.5) / (neg + 0.5)) if pos + neg else math.log(0.01))
-    found = neutral_groups(train, counts, neg, pos) if find_groups else ()
-    named = {t for g in identity_terms for t in g}
-    groups = (*identity_terms, *(g for g in found if not named.intersection(g)))
+    groups = widened_groups(train, counts, neg + pos, identity_terms) if widen_groups else identity_terms
     g = _g_statistic(table, neg, pos)
     order = [candidates[i] for i in np.argsort(-g, kind="stable")[:max_features] if g[i] >= min_statistic]
     terms = sorted({t for x in groups for t in x}.difference(order))

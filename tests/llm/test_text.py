@@ -319,10 +319,11 @@ def plain_disclosure(rows, min_texts=4, least=0.9, share=0.5):
         seen, here = set(), set()
         for i, (k, a, b) in enumerate(spans):
             value = t[a:b]
-            entity = f"{list(PLAIN).index(k)}:" + (value.lower() if k == "email" else value if k == "ip" else re.sub("[^0-9]", "", value))
-            here.add(entity)
+            own = {f"{list(PLAIN).index(k)}:" + (value.lower() if k == "email" else value if k == "ip" else re.sub("[^0-9]", "", value))}
+            own |= {"0:@" + value.lower().split("@")[1]} if k == "email" else set()
+            here |= own
             around = t[spans[i - 1][2] if i else 0 : a] + " " + t[b : spans[i + 1][1] if i + 1 < len(spans) else len(t)]
-            seen |= {(w, entity) for w in words(around)}
+            seen |= {(w, entity) for w in words(around) for entity in own}
         named.update(here)
         together.update(seen)
     out = {}
@@ -356,6 +357,17 @@ def test_disclosure_against_plain_counts(spark):
         assert got == pytest.approx(want)
 
 
+def test_an_organisation_reveals_its_domain(spark):
+    """Addresses that never recur, of one domain, beside the organisation's name: the name is a term, also where it stands alone."""
+    rng = random.Random(41)
+    vocab = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "klmnop"]
+    rows = [(i, f"{prose(rng, 15, vocab)} {'Acmecorp ' if i % 10 == 0 else ''}{f'{vocab[i]}.{i}@acme.example.com ' if i % 10 == 0 else ''}{prose(rng, 15, vocab)}") for i in range(200)]
+    rows += [(300, f"{prose(rng, 9, vocab)} acmecorp {prose(rng, 9, vocab)}")]
+    got = {r.doc_id: r for r in pii.report(pii.annotate(docs(spark, rows))).collect()}
+    assert all(got[i].n_term == (i % 10 == 0 or i == 300) for i in got)
+    assert "acmecorp" not in {r.doc_id: r.text.lower() for r in pii.sanitize(docs(spark, rows)).collect()}[300]
+
+
 def plain_sanitized(t):
     out, at = [], 0
     for kind, a, b in (x.split(":") for x in plain_spans(t).split(",") if x):
@@ -646,6 +658,8 @@ def test_toxicity(spark):
     lab = spark.createDataFrame([*labels, (3000, None), (None, 1)], "doc_id bigint, toxic int")
     df = docs(spark, [*rows, *EDGE])
     fair, plain = toxicity.fit(df, lab), toxicity.fit(df, lab, swap_penalty=0.0)
+    again = toxicity.fit(df.repartition(5), lab.repartition(3))
+    assert fair.index == again.index and fair.bias == again.bias and (fair.weights == again.weights).all()
     score = fair.scorer()
     assert all((score(t) >= 0.7) == (i % 4 == 0) for i, t in rows)
     assert score("some verminqx there") >= 0.7
@@ -657,17 +671,40 @@ def test_toxicity(spark):
     assert len(out) == len(rows) + len(EDGE) and all(0 <= r.s <= 1 for r in out)
 
 
-def test_swaps_bear_on_the_given_labels(spark):
-    """Sets found in the corpus get even weights; without the penalty they don't. Reruns agree to the last digit."""
-    sf = "/root/testdata/sf0.01"
-    df, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    fair, plain = toxicity.fit(df, lab), toxicity.fit(df, lab, swap_penalty=0.0)
-    again = toxicity.fit(df.repartition(5), lab.repartition(3))
-    assert fair.index == again.index and fair.bias == again.bias and (fair.weights == again.weights).all()
-    found = [g for g in fair.groups if g not in toxicity.IDENTITY_TERMS and all(t in fair.index for t in g)]
-    assert found and fair.n_swapped > 100
-    spread = lambda m: np.mean([np.ptp([m.weights[m.index[t]] for t in g]) for g in found])
-    assert spread(fair) < 0.2 * spread(plain)
+def test_neutral_mentions_in_the_given_texts(spark):
+    """Identity terms planted into the given labelled texts, mostly toxic ones: without the penalty held-out clean texts
+    that mention a group are flagged, with it far fewer are and as many toxic texts are caught."""
+    sf = "/root/testdata/sf0.1"
+    lab = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    planted = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < F.when(F.col("toxic") == 1, 70).otherwise(2), True).otherwise(False)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(lab, "doc_id").withColumn("planted", planted & (F.pmod(F.col("doc_id"), F.lit(3)) != 1))
+    rows = rows.withColumn("text", F.when(F.col("planted"), F.concat(F.lit("Muslim "), "text")).otherwise(F.col("text"))).select("doc_id", "text", "toxic").persist()
+    train, rest = rows.where("pmod(doc_id, 3) <> 1"), rows.where("pmod(doc_id, 3) = 1")
+    fair, plain = (toxicity.fit(train, train, swap_penalty=p) for p in (10.0, 0.0))
+    assert fair.n_swapped > 100 and "muslim" in fair.index
+    mention = F.concat(F.lit("Muslim "), "text")
+
+    def flagged(model, text, toxic):
+        out = rest.where(F.col("toxic") == toxic).select(toxicity.score_column(rest, model, text).alias("s"))
+        return out.agg(F.avg((F.col("s") >= 0.7).cast("int"))).first()[0]
+
+    assert flagged(fair, mention, 0) <= 0.5 * flagged(plain, mention, 0)
+    assert flagged(fair, mention, 0) <= flagged(fair, F.col("text"), 0) + 0.01
+    assert flagged(fair, mention, 1) >= flagged(plain, F.col("text"), 1) - 0.05
+
+
+def test_only_given_terms_seed_a_set(spark):
+    """A word used as an identity term is used joins its set; function words and sets without a term in the texts do not."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(300):
+        who = rng.choice(["muslim", "zorbian", "christian", "table"])
+        rows.append((i, f"{prose(rng, 12, ['the', 'of', 'and'])} {'every' if who != 'table' else 'wooden'} {who} {'prays' if who != 'table' else 'leg'} {prose(rng, 9, ['x', 'y', 'the'])}"))
+    train = docs(spark, rows).withColumn("y", F.lit(0))
+    counts = toxicity._document_counts(train)
+    groups = (("muslim", "christian"), ("deaf", "blind"))
+    assert toxicity.widened_groups(train, counts, 300, groups, max_share=0.5) == (("muslim", "christian", "zorbian"), ("deaf", "blind"))
+    assert toxicity.widened_groups(train, counts, 300, groups[1:], max_share=0.5) == groups[1:]
 
 
 def test_loss_against_a_plain_sum(spark):
