@@ -143,7 +143,9 @@ def windows(
     if room < 3:
         raise ValueError("history and max_system leave no room")
     rows = conversations.select(F.col(id_col).cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    turns = materialize(in_order(with_tokens(rows, tokenizer), room // 3), "turns")
+    # written first: a sort by range reads its input twice, and tokens are dear
+    counted = materialize(with_tokens(rows, tokenizer), "turn-tokens")
+    turns = materialize(in_order(counted, room // 3), "turns")
     is_long = F.col("tokens") > room // 3
     span = F.struct((2 * F.col("longs") + is_long.cast("int")).alias("a"), F.when(is_long, 0).otherwise(int_div(F.col("short"), room - room // 3)).alias("b"))
     one = F.struct("pos", "role", "text")
