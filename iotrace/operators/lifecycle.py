@@ -28,15 +28,16 @@ def pair(
     return out.select(*[F.col(c) for c in rows.columns], *cols)
 
 
-def block_latencies(rows: DataFrame, key: list[str] = ("rq",), order: list[str] = ("timestamp_ns",)) -> DataFrame:
+def block_latencies(rows: DataFrame, key: list[str] = ("rq",), order: list[str] = ("timestamp_ns",), inherit: list[str] = ("comm", "mntns_id")) -> DataFrame:
     """``rows`` with ``queue_ns`` on issues (since their insert) and ``driver_ns`` on completions (since their issue).
 
-    Issues take process and container of their insert, if they have one, and completions those of their issue.
+    Issues take process and container of their insert, if they have one, and completions the ``inherit`` columns
+    of their issue: all of them with op, bytes and sector, for traces whose completions lack those.
     """
     out = pair(rows, list(key), F.col("event") == "insert", F.col("event") == "issue", list(order), ["comm", "mntns_id"], "insert")
     out = out.withColumn("comm", F.coalesce("insert_comm", "comm")).withColumn("mntns_id", F.coalesce("insert_mntns_id", "mntns_id"))
-    out = pair(out, list(key), F.col("event") == "issue", F.col("event") == "complete", list(order), ["comm", "mntns_id"], "issue")
-    out = out.withColumn("comm", F.coalesce("issue_comm", "comm")).withColumn("mntns_id", F.coalesce("issue_mntns_id", "mntns_id"))
+    out = pair(out, list(key), F.col("event") == "issue", F.col("event") == "complete", list(order), list(inherit), "issue")
+    out = out.withColumns({c: F.coalesce(f"issue_{c}", c) for c in inherit})
     out = out.withColumn("queue_ns", F.col("timestamp_ns") - F.col("insert_ns")).withColumn("driver_ns", F.col("timestamp_ns") - F.col("issue_ns"))
     return out.select(*[F.col(c) for c in rows.columns], "queue_ns", "driver_ns")
 

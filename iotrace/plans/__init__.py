@@ -1 +1,3 @@
-"""Registered queries: tables read as traces, Spark plans, and the SQL beside them."""
+"""The given tables read as traces, and every registered query with its SQL."""
+
+from iotrace.plans import queries, recordings  # noqa: F401

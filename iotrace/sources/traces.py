@@ -5,14 +5,17 @@ from __future__ import annotations
 import functools
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
+from iotrace.manifest import Manifest
 from iotrace.sources import schemas
 
-CORRUPT = "_corrupt"
+CORRUPT, CUT = "_corrupt", "_cut"
+_TAIL = 1 << 16
 
 
 def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
@@ -37,13 +40,63 @@ def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...]
     return out
 
 
-def read_csv(spark: SparkSession, path: str | list[str], layer: str) -> DataFrame:
+def _tail(spark: SparkSession, file: str, length: int) -> str | None:
+    """The last line of a file if no line end follows it, else None; reads from the end only, by seeking."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+
+    def from_byte(start: int) -> bytes:
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            stream.seek(start)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    if from_byte(length - 1) == b"\n":
+        return None
+    size = min(length, _TAIL)
+    while (part := from_byte(length - size)).count(b"\n") == 0 and size < length:
+        size = min(length, 4 * size)
+    return part.rpartition(b"\n")[2].decode("utf-8", "replace")
+
+
+def _file_key(path: str | Column) -> Column:
+    """One spelling of a file's name, whichever reader tells it."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def unterminated_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, length, tail)``: files whose last line has no line end, and that line: its last number may be cut even where the line fits."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()
+    with ThreadPoolExecutor(16) as pool:
+        tails = list(pool.map(lambda r: _tail(spark, r["path"].replace(" ", "%20"), r["length"]), files))
+    found = [(r["path"], r["length"], t) for r, t in zip(files, tails, strict=True) if t is not None]
+    return spark.createDataFrame(found, "path string, length bigint, tail string")
+
+
+def _mark_cut(rows: DataFrame, fields: list[T.StructField], tails: DataFrame) -> DataFrame:
+    """``rows`` with ``_cut``: whether a row is the last line of its file and no line end follows.
+
+    The line is known by its file and values; of equal rows of the file one is marked, whichever it is.
+    """
+    names = [f.name for f in fields]
+    parsed = tails.select(_file_key("path").alias("_at"), F.from_csv("tail", T.StructType(fields).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("_line"))
+    rows = rows.withColumn("_row", F.struct(*names))
+    hits = rows.join(F.broadcast(parsed), (F.col("_file") == F.col("_at")) & F.col("_row").eqNullSafe(F.col("_line")), "left")
+    nth = F.row_number().over(W.partitionBy("_at").orderBy("_row"))
+    last = hits.where(F.col("_at").isNotNull()).withColumn(CUT, nth == 1)
+    return hits.where(F.col("_at").isNull()).withColumn(CUT, F.lit(False)).unionByName(last).drop("_row", "_at", "_line")
+
+
+def read_csv(spark: SparkSession, path: str | list[str], layer: str, mark_cut: bool = False, file_column: bool = False) -> DataFrame:
     """Trace rows of CSV files with the layer's types, matched by the names in each file's header; unknown columns stay text.
 
     Files of one folder may have different headers, as older recordings lack columns: files with equal headers
     are read together and columns that some lack are null there. Lines that do not fit their header, such as one
     cut off by the end of a recording, have their text in ``_corrupt`` and are otherwise null. Lines are parsed
-    whole, whatever columns are used, so that this does not depend on them.
+    whole, whatever columns are used, so that this does not depend on them. With ``mark_cut`` a last line that fits
+    but has no line end, so that its last value may be cut, has ``_cut``; with ``file_column`` rows have ``_file``.
     """
     known = {f.name: f.dataType for f in schemas.schema(schemas.LAYERS[layer])}
     parts = []
@@ -51,57 +104,76 @@ def read_csv(spark: SparkSession, path: str | list[str], layer: str) -> DataFram
         fields = [T.StructField(n, known.get(n, T.StringType())) for n in names]
         read = spark.read.schema(T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]))
         read = read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-        parts.append(read.csv(files))
+        part = read.csv(files)
+        if mark_cut or file_column:
+            part = part.select("*", _file_key("_metadata.file_path").alias("_file"))
+        if mark_cut:
+            tails = unterminated_files(spark, files).where(F.size(F.split("tail", ",")) == len(names))
+            part = _mark_cut(part, fields, tails)
+        parts.append(part)
     out = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    order = [*(c for c in known if c in out.columns), *(c for c in out.columns if c not in known and c != CORRUPT), CORRUPT]
+    more = [*([CUT] if mark_cut else []), *(["_file"] if file_column else [])]
+    order = [*(c for c in known if c in out.columns), *(c for c in out.columns if c not in known and c not in (CORRUPT, CUT, "_file")), CORRUPT, *more]
     return out.select(*order)
 
 
 def whole_rows(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Rows of lines that fit their header and, where that is marked, were not cut."""
+    rows = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return rows.where(~F.col(CUT)).drop(CUT) if CUT in rows.columns else rows
 
 
 def torn_rows(rows: DataFrame) -> DataFrame:
     """``(dropped)``: how many lines ``whole_rows`` leaves out."""
     # Spark reads the corrupt text only together with other columns; no line holds a null character before its end
-    other = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != CORRUPT], F.lit("\0"))
+    other = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c not in (CORRUPT, CUT, "_file")], F.lit("\0"))
     return rows.agg(F.count_if(F.col(CORRUPT) != other).alias("dropped"))
 
 
-def unterminated_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose last line has no line end: its last number may be cut even where the line fits. Reads files whole."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.where((F.col("length") > 0) & (F.expr("substring(content, -1, 1)") != F.lit(b"\n"))).select("path", "length")
-
-
 def csv_to_parquet(spark: SparkSession, path: str, layer: str, out: str, mode: str = "overwrite") -> None:
     """Convert a trace, one partition folder a layer, so that readers prune by layer."""
     whole_rows(read_csv(spark, path, layer)).withColumn("layer", F.lit(layer)).write.mode(mode).partitionBy("layer").parquet(out)
 
 
+_KNOWN = "path string, modificationTime timestamp, length bigint, batch int, file string"
+
+
 def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, checkpoint: str, max_files: int = 1000) -> int:
-    """Convert the CSV files of a folder that no earlier call has converted; the number of lines left out as torn.
+    """Convert the CSV files of a folder that are new or have changed since; the number of lines left out as torn.
 
-    The stream is of file names; the checkpoint remembers them. Each micro-batch of at most ``max_files`` files is
-    read with their own headers and written as one partition folder ``batch`` of ``out``, which a repeated
-    micro-batch overwrites.
+    A manifest in ``checkpoint`` knows each converted file by path, time and length. Files are read in groups of at
+    most ``max_files`` with their own headers and written to ``out``, one folder a file within one a group; then the
+    manifest is replaced, and what an older state of a grown file had been converted to is deleted. A group cut short
+    is done again. ``read_converted`` reads what the manifest lists.
     """
-    left_out: list[int] = []
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        files = [r["path"] for r in batch.collect()]
-        if files:
-            rows = read_csv(spark, files, layer)
-            whole_rows(rows).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            left_out.append(torn_rows(rows).first()["dropped"])
-
-    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-    query = (
-        names.option("maxFilesPerTrigger", max_files).load(folder).where("length > 0").select("path").writeStream
-        .option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return sum(left_out)
+    manifest, left_out = Manifest(spark, checkpoint), 0
+    files = spark.read.format("binaryFile").load(folder).select(_file_key("path").alias("path"), "modificationTime", "length").where("length > 0")
+    while True:
+        known = manifest.read()
+        known = spark.createDataFrame([], _KNOWN) if known is None else known
+        fresh = files.join(known, ["path", "modificationTime", "length"], "left_anti").orderBy("path").limit(max_files)
+        group = spark.createDataFrame(fresh.collect(), files.schema)
+        paths = [r["path"] for r in group.collect()]
+        if not paths:
+            return left_out
+        batch = max(manifest.versions(), default=-1) + 1
+        rows = read_csv(spark, [p.replace(" ", "%20") if "://" in p else p for p in paths], layer, file_column=True)
+        named = group.select("*", F.lit(batch).alias("batch"), F.sha1("path").alias("file"))
+        whole_rows(rows).withColumn("file", F.sha1("_file")).drop("_file").write.mode("overwrite").partitionBy("file").parquet(f"{out}/batch={batch}")
+        left_out += torn_rows(rows).first()["dropped"]
+        old = known.join(F.broadcast(group.select("path")), "path", "left_semi").select("batch", "file").collect()
+        manifest.commit(known.join(F.broadcast(group.select("path")), "path", "left_anti").unionByName(named), batch)
+        for r in old:
+            Manifest(spark, out).remove(f"batch={r['batch']}", f"file={r['file']}")
+
+
+def read_converted(spark: SparkSession, out: str, checkpoint: str, layer: str) -> DataFrame:
+    """What ``convert_new_files`` has converted, each file as it was last; no rows before the first."""
+    live = Manifest(spark, checkpoint).read()
+    if live is None:
+        return spark.createDataFrame([], schemas.schema(schemas.LAYERS[layer]))
+    rows = spark.read.option("mergeSchema", True).parquet(out)
+    return rows.join(F.broadcast(live.select("batch", "file")), ["batch", "file"], "left_semi").drop("batch", "file")
 
 
 def stale(spark: SparkSession, source: str, target: str) -> bool:

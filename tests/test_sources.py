@@ -56,6 +56,48 @@ def test_new_files_are_converted_once(spark, tmp_path):
         assert spark.read.parquet(out).count() == k
 
 
+def test_a_grown_file_arrives_once(spark, tmp_path):
+    """A recording that grew after its conversion is converted again, and what it had been is gone; others stay as they are."""
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    head = "timestamp_ns,mntns_id,event,op,bytes,latency_ns,sector,rq,comm,q_inflight,d_inflight\n"
+    rows = lambda name, n: "".join(f"{i},1,issue,read,512,,8,0x1,{name},0,0\n" for i in range(n))
+    convert = lambda **o: traces.convert_new_files(spark, str(folder), "block", out, state, **o)
+    read = lambda: dict(traces.read_converted(spark, out, state, "block").groupBy("comm").count().collect())
+    assert traces.read_converted(spark, out, state, "block").count() == 0
+    for name in ("a", "b c", "d"):
+        (folder / f"{name}.csv").write_text(head + rows(name, 2))
+    assert convert(max_files=2) == 0 and read() == {"a": 2, "b c": 2, "d": 2}
+    (folder / "a.csv").write_text(head + rows("a", 5) + "7,1,iss")
+    (folder / "e.csv").write_text(head + rows("e", 1))
+    assert convert() == 1 and read() == {"a": 5, "b c": 2, "d": 2, "e": 1}
+    assert spark.read.parquet(out).count() == 10
+    assert convert() == 0 and read() == {"a": 5, "b c": 2, "d": 2, "e": 1}
+
+
+def test_a_cut_last_number_is_marked(spark, tmp_path):
+    """A last line that fits its header but has no line end is marked, one of rows equal to it; long last lines are read to their start."""
+    head = "timestamp_ns,event,op,bytes,latency_ns,comm\n"
+    (tmp_path / "a.csv").write_text(head + "1,issue,read,512,,fio\n2,complete,read,512,7,fio\n2,complete,read,512,7,fio")
+    (tmp_path / "b.csv").write_text(head + "1,issue,read,512,,fio\n2,complete,read,512,7,fio\n")
+    (tmp_path / "c.csv").write_text(head + "3,issue,read,512,,x\n4,iss")
+    (tmp_path / "d.csv").write_text(head + "5,issue,read,512,," + "y" * 300_000)
+    df = traces.read_csv(spark, str(tmp_path / "*.csv"), "block", mark_cut=True)
+    assert df.columns[-2:] == ["_corrupt", "_cut"]
+    assert sorted(r.timestamp_ns for r in df.where("_cut").collect()) == [2, 5] and traces.torn_rows(df).first().dropped == 1
+    assert sorted(r.timestamp_ns for r in traces.whole_rows(df).collect()) == [1, 1, 2, 2, 3]
+    tails = {r.path.rpartition("/")[2]: r.tail for r in traces.unterminated_files(spark, str(tmp_path / "*.csv")).collect()}
+    assert set(tails) == {"a.csv", "c.csv", "d.csv"} and tails["c.csv"] == "4,iss" and len(tails["d.csv"]) > 300_000
+
+
+def test_the_tail_of_a_file_above_two_gigabytes(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    with open(path, "wb") as f:
+        f.seek((1 << 31) + 100)
+        f.write(b"\n9,cut")
+    assert [tuple(r)[1:] for r in traces.unterminated_files(spark, str(path)).collect()] == [((1 << 31) + 106, "9,cut")]
+
+
 def test_text_contexts(spark):
     body = "@sizes[read]:\n[4K, 8K)   3 |@@|\n[1]   2 |@|\n\n[8K, 16K)   1 |@|\nlost 3\n[16K, 32K)  9 |@|\n@all:\n[0, 1)  5 |@|"
     got = [tuple(r) for r in text.histograms(numbered(spark, body)).orderBy("map", "bucket").select("map", "key", "bucket", "lo", "hi", "count").collect()]
