@@ -628,6 +628,19 @@ def test_decontamination(spark, block):
     assert decontam.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_a_table_of_pieces_finds_what_the_index_finds(spark):
+    """Places too, from long and short pieces, for repeated items and texts, and what ``clean`` leaves."""
+    rng = random.Random(77)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [(i, prose(rng, rng.choice([1, 3, 7, 9, 30, 150]), vocab)) for i in range(20)] + [(0, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (0, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    rows = [(i, prose(rng, 60, vocab) + " " + (items[i % 20][1] if i % 3 else "") + " " + prose(rng, 9, vocab)) for i in range(60)] + EDGE
+    rows += [rows[4], (70, rows[4][1])]
+    bench, df = spark.createDataFrame(items, "item_id bigint, text string"), docs(spark, rows)
+    for run in (lambda n: decontam.contaminated(df, bench, block_chars=n), lambda n: decontam.clean(df, bench, block_chars=n).select("doc_id", "text")):
+        whole, table = (sorted(map(repr, map(tuple, run(n).collect()))) for n in (20_000_000, 10))
+        assert whole == table and whole
+
+
 def test_found_place(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
     r = decontam.contaminated(docs(spark, [(1, "x x one two three FOUR six seven eight nine ten y")]), bench).first()
