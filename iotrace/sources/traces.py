@@ -23,14 +23,15 @@ def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def first(file: str) -> str:
-        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        at = jvm.org.apache.hadoop.fs.Path(file)
         stream = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(conf).open(at), "UTF-8"))
         try:
             return stream.readLine() or ""
         finally:
             stream.close()
 
-    files = sorted(spark.read.text(path).inputFiles())
+    # names as they are, not as they stand in a URI
+    files = sorted(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in spark.read.text(path).inputFiles())
     with ThreadPoolExecutor(16) as pool:
         lines = list(pool.map(first, files))
     out: dict[tuple[str, ...], list[str]] = {}
@@ -43,7 +44,7 @@ def _headers(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...]
 def _tail(spark: SparkSession, file: str, length: int) -> str | None:
     """The last line of a file if no line end follows it, else None; reads from the end only, by seeking."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    at = jvm.org.apache.hadoop.fs.Path(file)
 
     def from_byte(start: int) -> bytes:
         stream = at.getFileSystem(conf).open(at)
@@ -63,14 +64,15 @@ def _tail(spark: SparkSession, file: str, length: int) -> str | None:
 
 def _file_key(path: str | Column) -> Column:
     """One spelling of a file's name, whichever reader tells it."""
-    return F.regexp_replace(path, "^file:/+", "file:///")
+    path = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(F.replace(path, F.lit("%20"), F.lit(" ")), "^file:/+", "file:///")
 
 
 def unterminated_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, length, tail)``: files whose last line has no line end, and that line: its last number may be cut even where the line fits."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0").collect()
     with ThreadPoolExecutor(16) as pool:
-        tails = list(pool.map(lambda r: _tail(spark, r["path"].replace(" ", "%20"), r["length"]), files))
+        tails = list(pool.map(lambda r: _tail(spark, r["path"], r["length"]), files))
     found = [(r["path"], r["length"], t) for r, t in zip(files, tails, strict=True) if t is not None]
     return spark.createDataFrame(found, "path string, length bigint, tail string")
 
@@ -157,7 +159,7 @@ def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, ch
         if not paths:
             return left_out
         batch = max(manifest.versions(), default=-1) + 1
-        rows = read_csv(spark, [p.replace(" ", "%20") if "://" in p else p for p in paths], layer, file_column=True)
+        rows = read_csv(spark, paths, layer, file_column=True)
         named = group.select("*", F.lit(batch).alias("batch"), F.sha1("path").alias("file"))
         whole_rows(rows).withColumn("file", F.sha1("_file")).drop("_file").write.mode("overwrite").partitionBy("file").parquet(f"{out}/batch={batch}")
         left_out += torn_rows(rows).first()["dropped"]
