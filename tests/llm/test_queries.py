@@ -60,11 +60,12 @@ def test_languages_on_held_out_rows(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
-def test_mixtures_are_flagged(spark):
-    """Of texts that are half one language and half another most are flagged, of held-out ones in one language few."""
+@pytest.mark.parametrize("min_gap", [0.25, corpus_pipeline.MIN_GAP])
+def test_mixtures_are_flagged(spark, min_gap):
+    """As query 10 and as the pipeline tell them: of texts that are half one language and half another most are flagged, of held-out ones in one language few."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and length(text) > 400")
     held_out = bucket_of(F.col("doc_id"), 4) == 2
-    model = langid.fit(docs.where(~held_out))
+    model = langid.fit(docs.where(~held_out), min_gap=min_gap)
     rows = [(r.lang, r.text) for r in docs.where(held_out).orderBy("doc_id").collect()]
     halves = []
     for k, (lang, text) in enumerate(rows):
