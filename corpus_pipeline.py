@@ -11,14 +11,18 @@ from iotrace.llm.common import bucket_of
 from iotrace.storage import materialize, shared_path
 
 
+#: At this gap most halves-and-halves of two languages are told, and no document in one language is.
+MIN_GAP = 0.15
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those of two languages in equal parts, which belong to none.
 
-    A second language nearer than a tenth of what it is in text of one language is such a case; documents with
+    A second language nearer than ``MIN_GAP`` of what it is in text of one language is such a case; documents with
     some passages in another language stay. Learns from the rows with a language whose crc32(doc_id) mod 4 is not 2. Where none has a language there is
     nothing to reject by, and all rows stay; else null and empty texts go.
     """
-    model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 4) != 2), min_gap=0.1)
+    model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 4) != 2), min_gap=MIN_GAP)
     if not model.langs:
         return docs
     named = langid.identify(docs, model, out_col="__language")
