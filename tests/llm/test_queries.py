@@ -1,13 +1,15 @@
 """The registered corpus queries and the pipeline over the smallest tables."""
 
+import math
 import re
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from iotrace.llm import decontam, langid
+from iotrace.llm import decontam, langid, toxicity
 from iotrace.llm.common import bucket_of
 from iotrace.llm.queries import ORACLE_SQL, QUERIES
 
@@ -60,6 +62,28 @@ def test_languages_on_held_out_rows(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_toxicity_of_the_whole_table_by_plain_sums(spark, sf_dir):
+    """Every score of the query is the logistic of the fitted weights of the features present, and the fit is a minimum."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in QUERIES["op1_toxicity"](spark, sf_dir).collect()}
+    train = labels.where(bucket_of(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs, train)
+    labelled = {r.doc_id: r.toxic for r in train.collect() if r.toxic is not None}
+    slope = [0.0] * (len(model.index) + 1)
+    for r in docs.collect():
+        on = [model.index[f] for f in toxicity.features(toxicity.word_set(r.text)) if f in model.index]
+        score = 1 / (1 + math.exp(-model.bias - sum(model.weights[i] for i in on)))
+        held_out = zlib.crc32(str(r.doc_id).encode()) % 3 == 1
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9) and got[r.doc_id].held_out == held_out
+        assert got[r.doc_id].predicted == (score >= 0.7)
+        if r.doc_id in labelled:
+            for i in [*on, -1]:
+                slope[i] += score - labelled[r.doc_id]
+    assert model.n_swapped == 0 and len(got) == docs.count()
+    slope = [s + 0.02 * w for s, w in zip(slope, [*model.weights, 0.0], strict=True)]
+    assert max(map(abs, slope)) < 0.02 * len(labelled)
+
+
 @pytest.mark.parametrize("min_gap", [0.25, corpus_pipeline.MIN_GAP])
 def test_mixtures_are_flagged(spark, min_gap):
     """As query 10 and as the pipeline tell them: of texts that are half one language and half another most are flagged, of held-out ones in one language few."""
