@@ -187,9 +187,17 @@ def disclosing_terms(
     n_candidates = candidates.count()
     if not n_candidates:
         return None
-    each = rows.select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    each = each.join(_sized(candidates, n_candidates, max_broadcast), "term", "left_semi").distinct()
-    df = each.groupBy("term").agg(F.count("*").alias("texts"))
+    copies = materialize(rows.groupBy("key").count().where("count > 1").select("key"), "copies")
+    some = _sized(copies, copies.count(), max_broadcast)
+
+    def with_term(some_rows: DataFrame) -> DataFrame:
+        each = some_rows.select("key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+        return each.join(_sized(candidates, n_candidates, max_broadcast), "term", "left_semi")
+
+    # only copies have to meet by text: the terms of other texts are added up where they are
+    once = with_term(rows.join(some, "key", "left_anti")).groupBy("term").agg(F.count("*").alias("n"))
+    again = with_term(rows.join(some, "key", "left_semi")).distinct().groupBy("term").agg(F.count("*").alias("n"))
+    df = once.unionByName(again).groupBy("term").agg(F.sum("n").alias("texts"))
     total = rows.select("key").distinct().count()
     share = F.least(F.lit(1.0), F.col("together") / F.col("texts"))
     known = -F.log(F.least(F.lit(0.5), F.col("named") / F.lit(float(total))))
