@@ -69,6 +69,22 @@ def layer_series(rows: DataFrame, by: list[str], layer: str, order: list[str] =
     return reduce(DataFrame.unionByName, out)
 
 
+def heat_series(rows: DataFrame, by: list[str], bins: int = lba.HEAT_BINS) -> DataFrame:
+    """``(*by, series, op, x, y, z, z_max)``: the heat map of each group and op, a third coordinate behind x and y.
+
+    x is the bin of time over the run, y that of the address between the 1st and 99th percentile, z log1p of the
+    setups in the cell, and z_max the largest z of the op over all groups, so that all maps of an op share a scale.
+    Cells without setups have no row.
+    """
+    setups = rows.where("event = 'setup'")
+    times = rows.agg(F.min("timestamp_ns").alias("ts_min"), F.max("timestamp_ns").alias("ts_max"))
+    cells = lba.heatmap(setups, [*by, "op"], lba.nearest_rank_bounds(setups), times, bins)
+    # at most bins * bins rows a group and op; the maxima are a row an op
+    cells = cells.join(lba.heat_maximum(cells).withColumnRenamed("op", "_op"), F.col("op").eqNullSafe(F.col("_op")))
+    points = cells.select(*by, "op", "time_bin", "lba_bin", F.col("log1p").alias("z"), F.col("max_log1p").alias("z_max"))
+    return points.select(*by, F.lit("lba_heatmap").alias("series"), "op", F.col("time_bin").cast("double").alias("x"), F.col("lba_bin").cast("double").alias("y"), "z", "z_max")
+
+
 def sysstat_series(cpu: DataFrame, mem: DataFrame, dev: DataFrame, time: str = "time") -> DataFrame:
     """``(command, series, op, x, y)``-like rows ``(command, metric, time, value)`` for the resource dashboard.
 

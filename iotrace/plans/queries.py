@@ -1297,6 +1297,15 @@ def nvme_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.layer_series(nvme_l(spark, sf_dir), ["label"], "nvme", ORDER, HOUR, POINTS_SHOWN)
 
 
+@query(
+    NVME_L.rstrip() + BOUNDS + LOCAL.rstrip()
+    + f", h AS (SELECT label, op, CAST(((timestamp_ns - t0) * 256::HUGEINT) // (t1 - t0 + 1) AS INTEGER) AS time_bin, {bin_sql(256)} AS lba_bin, round(ln(1 + count(*)), 6) AS z FROM nvme_l, x, b WHERE event = 'setup' GROUP BY ALL) "
+    "SELECT label, 'lba_heatmap' AS series, op, CAST(time_bin AS DOUBLE) AS x, CAST(lba_bin AS DOUBLE) AS y, z, max(z) OVER (PARTITION BY op) AS z_max FROM h"
+)
+def nvme_heat_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.heat_series(nvme_l(spark, sf_dir), ["label"])
+
+
 @query(dashboard_sql(FS_L, "fs", "syscall", "exit", ("inflight",), _fs_gaps("read") + " UNION ALL " + _fs_gaps("write")))
 def fs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.layer_series(fs_l(spark, sf_dir), ["label"], "fs", ORDER, HOUR, POINTS_SHOWN)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from iotrace.functions import scalars as fn
-from iotrace.operators import access, counters, distributions, filters, histograms, labels, lba, lifecycle, quality, ranks, series, sysstat
+from iotrace.operators import access, counters, distributions, filters, histograms, labels, lba, lifecycle, quality, ranks, reports, series, sysstat
 
 
 def rows(df, *cols):
@@ -224,3 +224,23 @@ def test_streaming_loss(spark):
 
     df = spark.createDataFrame([("enter", s) for s in (1, 2, 5)], "event string, seq bigint")
     assert rows(jobs.loss_by_sequence(df), "event", "generated", "dropped") == [("enter", 5, 2)]
+
+
+def test_heat_maps_of_an_op_share_a_scale(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), rng.choice(["read", "write"]), rng.choice(["setup", "complete"]), rng.randrange(10**9), rng.choice([None, rng.randrange(5000)]), 512) for _ in range(800)]
+    df = spark.createDataFrame(data, "label string, op string, event string, timestamp_ns bigint, sector bigint, bytes bigint")
+    times, sectors = [r[3] for r in data], sorted(r[4] for r in data if r[2] == "setup" and r[4] is not None)
+    low, high = (sectors[math.floor(p * (len(sectors) - 1) + 0.5)] for p in (0.01, 0.99))
+    cells = Counter()
+    for label, op, event, t, sector, _ in data:
+        if event == "setup" and sector is not None:
+            cells[label, op, (t - min(times)) * 4 // (max(times) - min(times) + 1), max(0, min(3, (sector - low) * 4 // (high - low)))] += 1
+    top = {op: max(n for k, n in cells.items() if k[1] == op) for op in ("read", "write")}
+    want = sorted((label, "lba_heatmap", op, float(x), float(y), round(math.log1p(n), 6), round(math.log1p(top[op]), 6)) for (label, op, x, y), n in cells.items())
+    assert rows(reports.heat_series(df, ["label"], bins=4), "label", "series", "op", "x", "y", "z", "z_max") == want
+    assert reports.heat_series(df.where("sector < 0"), ["label"]).count() == 0
