@@ -79,9 +79,17 @@ def splitters(rows: DataFrame, shards: int, max_bytes: int = 16 << 20, oversampl
     return sorted({sample[i * len(sample) // shards] for i in range(1, shards)}) if sample else []
 
 
-def skeleton_of(cuts: list[tuple[bytes, int]]) -> list[bytes]:
-    """All prefixes of the splitter paths, in the order of a walk of their trie from the root; the root alone if there are none."""
-    return sorted({path[:n] for path, _ in cuts for n in range(0, len(path) + 1, WIDTH)} | {b""})
+def skeleton_of(cuts: list[tuple[bytes, int]]) -> dict[tuple[int, bytes], int]:
+    """The trie of the splitter paths: a node's number by its parent's number and its last digest, in the order of a walk.
+
+    The root is 0 and not in it. Its size is that of the splitters, however long their paths are.
+    """
+    numbers: dict[tuple[int, bytes], int] = {}
+    for path, _ in cuts:
+        node = 0
+        for a in range(0, len(path), WIDTH):
+            node = numbers.setdefault((node, path[a : a + WIDTH]), len(numbers) + 1)
+    return numbers
 
 
 class _Node:
@@ -98,7 +106,7 @@ class _Node:
 class _Walk:
     """The walk of one shard's trie along its sorted paths, with the nodes of the current path open."""
 
-    def __init__(self, shard: int, skeleton: dict[bytes, int], send) -> None:
+    def __init__(self, shard: int, skeleton: dict[tuple[int, bytes], int], send) -> None:
         self.shard, self.skeleton, self.send = shard, skeleton, send
         self.open: list[_Node] = []
         self.path, self.pieces = b"", 0
@@ -110,7 +118,9 @@ class _Walk:
                 same += WIDTH
             self.close(same // WIDTH + 1)
             for depth in range(len(self.open), len(path) // WIDTH + 1):
-                self.open.append(_Node(conv, depth, lengths[depth - 1] if depth else 0, self.skeleton.get(path[: depth * WIDTH], -1)))
+                above = self.open[-1].skeleton if depth else 0
+                number = self.skeleton.get((above, path[(depth - 1) * WIDTH : depth * WIDTH]), -1) if depth and above >= 0 else above
+                self.open.append(_Node(conv, depth, lengths[depth - 1] if depth else 0, number))
             self.path = path
         last = self.open[-1]
         last.n, last.conv = last.n + 1, min(last.conv, conv)
@@ -154,14 +164,14 @@ class _Walk:
                 above.waiting.append(row)
 
 
-def walk(sharded: DataFrame, skeleton: list[bytes]) -> DataFrame:
+def walk(sharded: DataFrame, skeleton: dict[tuple[int, bytes], int]) -> DataFrame:
     """Rows of ``_PARTIAL`` from rows ``(shard, conv_id, path, bytes)``, each shard sorted in a task.
 
     ``skeleton`` null: a finished node. Negative, -1 - s: one that lacks its parent, skeleton node s. Else a
     shard's part of a skeleton node, or with ``piece`` some of its ends. A task holds the open path and, for its
     open nodes that lie in this shard alone, their children.
     """
-    known = sharded.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(skeleton)})
+    known = sharded.sparkSession.sparkContext.broadcast(skeleton)
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in _PARTIAL.split(", ")])
 
@@ -277,6 +287,6 @@ def nodes(conversations: DataFrame, id_col: str = "conv_id", group: int = 5, sha
     joined = materialize(_join_skeleton(found.where("skeleton >= 0 and piece is null"), ends), "skeleton")
     names = [f.split()[0] for f in NODE.split(", ")]
     parents = joined.select(F.col("skeleton").alias("_s"), F.col("conv_id").alias("_parent"))
-    orphans = found.where("skeleton < 0").join(F.broadcast(parents) if len(skeleton) <= 200_000 else parents, -1 - F.col("skeleton") == F.col("_s"))
+    orphans = found.where("skeleton < 0").join(F.broadcast(parents) if len(skeleton) < 200_000 else parents, -1 - F.col("skeleton") == F.col("_s"))
     orphans = orphans.withColumn("parent_conv_id", F.col("_parent")).select(*names)
     return found.where("skeleton is null").select(*names).unionByName(orphans).unionByName(joined.select(*names))

@@ -172,6 +172,35 @@ def test_cut_splitters_and_pieces_of_ends(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == plain_trie(rows)
 
 
+def test_skeleton_is_numbered_as_a_walk():
+    """Numbers follow the sorted prefixes, and the table grows with the splitters' turns, not with the square of their length."""
+    rng = random.Random(9)
+    path = lambda n: b"".join(rng.choice([b"a", b"b"]) * prefixtrie.WIDTH for _ in range(n))
+    cuts = sorted({(path(rng.randrange(7)), c) for c in range(60)})
+    number = prefixtrie.skeleton_of(cuts)
+    prefixes = sorted({p[:n] for p, _ in cuts for n in range(0, len(p) + 1, prefixtrie.WIDTH)} | {b""})
+
+    def of(p):
+        node = 0
+        for a in range(0, len(p), prefixtrie.WIDTH):
+            node = number[node, p[a : a + prefixtrie.WIDTH]]
+        return node
+
+    assert [of(p) for p in prefixes] == list(range(len(prefixes)))
+    long = prefixtrie.skeleton_of([(hashlib.sha256(b"x").digest() * 50_000, 1)])
+    assert len(long) == 100_000 and sum(len(d) for _, d in long) == 1_600_000
+
+
+def test_long_conversations(spark):
+    """A node a turn of conversations of 30,000 turns that share their first half."""
+    turns = 30_000
+    df = spark.range(4 * turns).selectExpr("900 + 5 * (id % 4) conv_id", "id div 4 turn", "'user' role", f"if(id div 4 < {turns // 2}, 'same', concat('own ', id % 4)) text")
+    got = {(r["depth"], r["conv_id"]): r for r in prefixtrie.nodes(df, shard_rows=1).collect()}
+    assert len(got) == turns // 2 + 1 + 4 * (turns // 2)
+    assert (got[0, 900]["n_convs"], got[0, 900]["n_leaves"], got[0, 900]["saved_tokens"]) == (4, 4, 3 * 4 * (turns // 2))
+    assert (got[turns, 915]["n_leaves"], got[turns // 2, 900]["n_children"]) == (1, 4)
+
+
 def test_trie_without_conversations(spark):
     assert prefixtrie.nodes(spark.createDataFrame([], SCHEMA)).count() == 0
     assert prefixtrie.nodes(spark.createDataFrame([(None, 1, "user", "x")], SCHEMA)).count() == 0
