@@ -28,6 +28,11 @@ def int_div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
+def wide_sum(column: str) -> Column:
+    """Sum of a bigint column as decimal(30,0), for sums that pass 2**63."""
+    return F.sum(F.col(column).cast("decimal(20,0)"))
+
+
 def time_bucket(ts_ns: Column, start_ns: Column, width_ns: int = SECOND_NS) -> Column:
     return int_div(ts_ns - start_ns, width_ns)
 

@@ -13,7 +13,7 @@ from iotrace.operators import access, counters, distributions, filters, histogra
 from iotrace.plans import adapters as a
 from iotrace.plans.adapters import BLOCK, EV, FS, HOUR, LABELS, NVME, SAMPLES, labelled, with_ctes
 from iotrace.sources import dimensions, sinks, text, traces
-from iotrace.storage import shared_path
+from iotrace.storage import narrowed, shared_path
 from iotrace.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,9 +372,10 @@ def syscall_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nvme_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lifecycle.request_latencies(a.nvme(spark, sf_dir), "setup", "complete", ["rq"], ORDER).where("event = 'complete'")
-    return rows.groupBy("disk_name", "op").agg(
-        F.count("pair_ns").alias("paired"), F.count_if(F.col("pair_ns").isNull()).alias("untracked"), F.sum("pair_ns").alias("total_ns")
+    totals = rows.groupBy("disk_name", "op").agg(
+        F.count("pair_ns").alias("paired"), F.count_if(F.col("pair_ns").isNull()).alias("untracked"), fn.wide_sum("pair_ns").alias("total_ns")
     )
+    return narrowed(totals, ["total_ns"])
 
 
 @query(
@@ -389,7 +390,8 @@ def order_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = a.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), micros("o_orderdate")).distinct().withColumn("event", F.lit("issue")).withColumn("seq", F.lit(0))
     ends = a.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), micros("l_shipdate")).distinct().withColumn("event", F.lit("complete")).withColumn("seq", F.lit(1))
     rows = lifecycle.request_latencies(starts.unionByName(ends), "issue", "complete", ["key"], ORDER).where("event = 'complete'")
-    return rows.agg(F.count("*").alias("completions"), F.count("pair_ns").alias("paired"), F.sum("pair_ns").alias("total_ns"))
+    totals = rows.agg(F.count("*").alias("completions"), F.count("pair_ns").alias("paired"), fn.wide_sum("pair_ns").alias("total_ns"))
+    return narrowed(totals, ["total_ns"])
 
 
 # -- address space

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +58,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, a table of totals, with the named decimal columns as bigint, each if all its values fit; else it stays as it is.
+
+    Sums of times in nanoseconds pass 2**63 in large traces: such a sum is taken as a decimal, which loses nothing.
+    """
+    df = materialize(df, "totals")
+    beyond = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("bigint").isNull()).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns if not beyond[c]})
