@@ -140,33 +140,38 @@ def csv_to_parquet(spark: SparkSession, path: str, layer: str, out: str, mode: s
 _KNOWN = "path string, modificationTime timestamp, length bigint, batch int, file string"
 
 
-def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, checkpoint: str, max_files: int = 1000) -> int:
+def convert_new_files(spark: SparkSession, folder: str, layer: str, out: str, checkpoint: str, max_files: int = 1000, together: int = 4000) -> int:
     """Convert the CSV files of a folder that are new or have changed since; the number of lines left out as torn.
 
-    A manifest in ``checkpoint`` knows each converted file by path, time and length. Files are read in groups of at
-    most ``max_files`` with their own headers and written to ``out``, one folder a file within one a group; then the
-    manifest is replaced, and what an older state of a grown file had been converted to is deleted. A group cut short
-    is done again. ``read_converted`` reads what the manifest lists.
+    A manifest in ``checkpoint`` knows each converted file by path, time and length. Files are read with their own
+    headers and written to ``out``, one folder a file within one a group of at most ``max_files``. The groups of
+    ``together`` files are one job and one version of the manifest, so small groups cost no job and no copy of the
+    manifest each. Then what an older state of a grown file had been converted to is deleted. A job cut short is
+    done again. ``read_converted`` reads what the manifest lists.
     """
-    manifest, left_out = Manifest(spark, checkpoint), 0
+    manifest, written, left_out = Manifest(spark, checkpoint), Manifest(spark, out), 0
     files = spark.read.format("binaryFile").load(folder).select(_file_key("path").alias("path"), "modificationTime", "length").where("length > 0")
+    together = max(together // max_files, 1) * max_files
     while True:
         known = manifest.read()
         known = spark.createDataFrame([], _KNOWN) if known is None else known
-        fresh = files.join(known, ["path", "modificationTime", "length"], "left_anti").orderBy("path").limit(max_files)
-        group = spark.createDataFrame(fresh.collect(), files.schema)
-        paths = [r["path"] for r in group.collect()]
-        if not paths:
+        fresh = files.join(known, ["path", "modificationTime", "length"], "left_anti").orderBy("path").limit(together).collect()
+        if not fresh:
             return left_out
-        batch = max(manifest.versions(), default=-1) + 1
-        rows = read_csv(spark, paths, layer, file_column=True)
-        named = group.select("*", F.lit(batch).alias("batch"), F.sha1("path").alias("file"))
-        whole_rows(rows).withColumn("file", F.sha1("_file")).drop("_file").write.mode("overwrite").partitionBy("file").parquet(f"{out}/batch={batch}")
+        first = max(manifest.versions(), default=-1) + 1
+        last = first + (len(fresh) - 1) // max_files
+        named = spark.createDataFrame([(*r, first + i // max_files) for i, r in enumerate(fresh)], _KNOWN.removesuffix(", file string")).withColumn("file", F.sha1("path"))
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda n: written.remove(f"batch={n}"), range(first, last + 1)))
+        rows = read_csv(spark, [r["path"] for r in fresh], layer, file_column=True)
+        whole = whole_rows(rows).withColumn("file", F.sha1("_file")).drop("_file").join(F.broadcast(named.select("file", "batch")), "file")
+        whole.write.mode("append").partitionBy("batch", "file").parquet(out)
         left_out += torn_rows(rows).first()["dropped"]
-        old = known.join(F.broadcast(group.select("path")), "path", "left_semi").select("batch", "file").collect()
-        manifest.commit(known.join(F.broadcast(group.select("path")), "path", "left_anti").unionByName(named), batch)
-        for r in old:
-            Manifest(spark, out).remove(f"batch={r['batch']}", f"file={r['file']}")
+        paths = F.broadcast(named.select("path"))
+        old = known.join(paths, "path", "left_semi").select("batch", "file").collect()
+        manifest.commit(known.join(paths, "path", "left_anti").unionByName(named), last)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda r: written.remove(f"batch={r['batch']}", f"file={r['file']}"), old))
 
 
 def read_converted(spark: SparkSession, out: str, checkpoint: str, layer: str) -> DataFrame:

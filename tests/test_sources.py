@@ -75,6 +75,26 @@ def test_a_grown_file_arrives_once(spark, tmp_path):
     assert convert() == 0 and read() == {"a": 5, "b c": 2, "d": 2, "e": 1}
 
 
+def test_small_groups_share_a_job(spark, tmp_path):
+    """Groups of two files are folders of their own, but the jobs do not grow with their number; a rest of a job cut short is replaced."""
+    head = "timestamp_ns,mntns_id,event,op,bytes,latency_ns,sector,rq,comm,q_inflight,d_inflight\n"
+    out, jobs = str(tmp_path / "out"), {}
+    for n in (2, 12):
+        folder, out, state = tmp_path / f"in{n}", str(tmp_path / f"out{n}"), str(tmp_path / f"state{n}")
+        folder.mkdir()
+        for i in range(n):
+            (folder / f"{i}.csv").write_text(head + f"{i},1,issue,read,512,,8,0x1,fio,0,0\n")
+        spark.range(3).write.parquet(f"{out}/batch=0/file=x")
+        spark.sparkContext.setJobGroup(f"convert{n}", "")
+        traces.convert_new_files(spark, str(folder), "block", out, state, max_files=2)
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"convert{n}"))
+        spark.sparkContext.setJobGroup("rest", "")
+        assert sorted(r.timestamp_ns for r in traces.read_converted(spark, out, state, "block").collect()) == list(range(n))
+        assert spark.read.parquet(out).select("batch").distinct().count() == n // 2 and spark.read.parquet(out).count() == n
+    assert jobs[12] <= jobs[2] + 2
+    assert traces.convert_new_files(spark, str(tmp_path / "in12"), "block", out, state, max_files=5, together=7) == 0
+
+
 def test_a_cut_last_number_is_marked(spark, tmp_path):
     """A last line that fits its header but has no line end is marked, one of rows equal to it; long last lines are read to their start."""
     head = "timestamp_ns,event,op,bytes,latency_ns,comm\n"
