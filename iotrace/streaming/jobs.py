@@ -22,6 +22,12 @@ from iotrace.streaming import stateful
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_NS = 86_400 * fn.SECOND_NS
+#: Pieces that the keys of a job are dealt to, each with the state of its keys; fixed, as checkpoints hold them.
+SHARDS = 256
+
+
+def _shard(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SHARDS)).cast("int").alias("shard")
 
 
 def event_time(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -114,7 +120,7 @@ def moves(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None =
         F.col(key).cast("string").alias("key"), "timestamp_ns", (F.col("event") == end).cast("int").alias("role"), _column(rows, "seq", "bigint", F.lit(0)),
         _column(rows, "op", "string"), _column(rows, "comm", "string"), *more,
     )
-    return rows.groupBy("key").transformWithStateInPandas(stateful.Pairing(ttl_ns), stateful.MOVES, "Append", mode)
+    return rows.select(_shard("key"), "*").groupBy("shard").transformWithStateInPandas(stateful.Pairing(ttl_ns), stateful.MOVES, "Append", mode)
 
 
 def pair(rows: DataFrame, key: str, start: str, end: str, ttl_ns: int | None = DAY_NS, delay: str = "10 minutes") -> DataFrame:
@@ -143,8 +149,8 @@ def file_positions(rows: DataFrame, ttl_ns: int | None = 7 * DAY_NS, delay: str
     fd = F.when(opened, F.col("bytes").cast("bigint")).otherwise(F.col("fd").cast("bigint"))
     more = ["ts"] if mode == "EventTime" else []
     rows = rows.select("tid", fd.alias("fd"), "timestamp_ns", _column(rows, "seq", "bigint", F.lit(0)), "event", "syscall", F.col("bytes").cast("bigint").alias("bytes"), *more)
-    rows = rows.where("tid is not null and fd >= 0")
-    return rows.groupBy("tid", "fd").transformWithStateInPandas(stateful.Position(ttl_ns), stateful.POSITIONS, "Append", mode)
+    rows = rows.where("tid is not null and fd >= 0").select(_shard("tid", "fd"), "*")
+    return rows.groupBy("shard").transformWithStateInPandas(stateful.Position(ttl_ns), stateful.POSITIONS, "Append", mode)
 
 
 def admitted(rows: DataFrame, key: str, capacity: int, poll_ns: int) -> DataFrame:

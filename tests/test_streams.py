@@ -5,11 +5,12 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from iotrace.manifest import GrowingSet
-from iotrace.streaming import jobs
+from iotrace.streaming import jobs, stateful
 
 BASE = 1_000_000 * 10**9
 SECOND = 10**9
@@ -204,3 +205,43 @@ def test_streams_without_files(spark, tmp_path):
     assert jobs.run(jobs.pair(src.stream(), "key", "issue", "complete"), str(tmp_path / "o"), str(tmp_path / "s")).count() == 0
     out = jobs.histogram(src.stream().withColumn("bytes", F.lit(1)), ["op"], "bytes")
     assert jobs.run_batches(out, str(tmp_path / "b"), str(tmp_path / "bs"), "update").count() == 0
+
+
+class Held:
+    """State of one shard in memory: a list or a value, and how often it was asked or told."""
+
+    def __init__(self):
+        self.rows, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.rows is not None
+
+    def get(self):
+        self.calls += 1
+        return self.rows
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def clear(self):
+        self.calls, self.rows = self.calls + 1, None
+
+
+def test_a_shard_costs_no_calls_by_key():
+    """The keys of a shard are paired together over micro-batches, with as many calls to the state store for a thousand as for one."""
+    calls = {}
+    for keys in (1, 1000):
+        rng, state = random.Random(5), Held()
+        rows = [(f"k{rng.randrange(keys)}", 1_704_068_166_738_090_001 + i, rng.choice(["issue", "complete"]), i, "read", "c") for i in range(3000)]
+        job = stateful.Pairing(None)
+        job.init(type("Handle", (), {"getListState": lambda *_, state=state: state})())
+        out = []
+        for a in range(0, 3000, 1000):
+            part = pd.DataFrame(rows[a : a + 1000], columns=["key", "timestamp_ns", "event", "seq", "op", "comm"])
+            part["role"] = (part.pop("event") == "complete").astype("int32")
+            out += [d for d in job.handleInputRows((0,), iter([part.sample(frac=1, random_state=a)]), None)]
+        ends = pd.concat(out).query("kind == 'end'")
+        assert sorted(zip(ends["key"], ends["start_ns"], ends["timestamp_ns"])) == plain_pairs(rows)[0]
+        calls[keys] = state.calls
+    assert calls[1000] <= calls[1] + 3
