@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Counts that a task holds before it hands them on.
 _HELD = 250_000
 _HELD_KEYS = 2_000_000
+#: Keys of the k-th level have k above this many bits.
+_LEVEL_BITS = 56
 #: Tokens of the texts that are looked up together.
 _TOGETHER = 100_000
 
@@ -67,14 +72,16 @@ class Level:
 
     Context numbers of the first level are word numbers; those of the others are places in ``contexts``, sorted
     keys of a context one word shorter times ``width + 1`` plus the word after it. ``suffix`` is the number of each
-    context without its first word, one level up. ``entries`` are sorted keys of a context times ``width + 1`` plus
-    a next word that is stored; ``lift`` is log10 of its probability over the word's own, and ``rest`` the log10
-    weight with which a context passes other words on to its suffix, 0 for one that is not retained.
+    context without its first word, one level up. ``kept`` are the retained contexts, and ``rest`` is the log10
+    weight with which a context passes words that it does not store on to its suffix, 0 for one that is not
+    retained. ``entries`` are the most frequent of the sorted keys of a context times ``width + 1`` plus a next word
+    that is stored, and ``lift`` what storing each adds to log10 of the word's probability as passed on.
     """
 
     contexts: np.ndarray
     suffix: np.ndarray
     rest: np.ndarray
+    kept: np.ndarray
     entries: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     lift: np.ndarray = field(default_factory=lambda: np.empty(0))
 
@@ -83,14 +90,22 @@ class Level:
 class Tree:
     """Retained contexts of up to as many words as there are levels.
 
-    Words are numbered by falling count; ``width`` numbers go to those frequent enough for contexts, the number
-    ``width`` is the start of a text and every other word is -1.
+    Words are numbered by falling count; the first ``first`` may be in contexts and the first ``width`` be stored.
+    As a context the number ``width`` is the start of a text, as a next word any word without a number.
+
+    ``cold`` is the table ``(key, word, lift)`` of the stored next words that ``levels`` do not hold: the key with its
+    level (``tagged``), and the word if it has no number, else an empty string. It stays with the driver's copy.
     """
 
     ids: _Numbers
     counts: np.ndarray
     width: int
+    first: int
     levels: list[Level] = field(default_factory=list)
+    cold: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "cold": None}
 
     def texts(self, texts: Iterator[str | None]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
         """(tokens, their numbers in one array, where each text starts in it) of some texts at a time."""
@@ -112,9 +127,9 @@ class Tree:
             yield out()
 
     def windows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The number of each token as a context word, and for each level that of the context before it; -1 where there is none."""
-        x = np.where(ids < self.width, ids, -1)
-        context = np.concatenate(([self.width], x[:-1]))
+        """The number of each token as a next word, and for each level that of the context before it; -1 where there is none."""
+        x = np.where(ids < 0, self.width, np.where(ids < self.width, ids, -1))
+        context = np.concatenate(([self.width], np.where((ids >= 0) & (ids < self.first), ids, -1)[:-1]))
         context[starts] = self.width
         out = [context]
         for level in self.levels[1:]:
@@ -127,29 +142,30 @@ class Tree:
     def key(self, context: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.where((context >= 0) & (x >= 0), context * (self.width + 1) + x, -1)
 
-    def lifts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each text the sum over its tokens of log10 P(token | longest retained context) - log10 P(token)."""
+    def found(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of each text's lifts as far as ``levels`` hold them; places and tagged keys to look up in ``cold``).
+
+        A next word that a context stores is stored by its suffix too, so what the levels add are summed one by one.
+        """
         x, contexts = self.windows(ids, starts)
-        here = np.zeros(len(x))
-        for level, context in zip(self.levels, contexts, strict=True):
+        here, places, keys = np.zeros(len(x)), [], []
+        for k, (level, context) in enumerate(zip(self.levels, contexts, strict=True)):
             some = np.flatnonzero(context >= 0)
+            some = some[level.kept[context[some]]]
             here[some] += level.rest[context[some]]
-            at = _place(level.entries, self.key(context[some], x[some]))
+            wanted = self.key(context[some], x[some])
+            at = _place(level.entries, wanted)
             hit = at >= 0
-            here[some[hit]] = level.lift[at[hit]]
-        return np.add.reduceat(here, starts)
-
-    def lift_of(self, depth: int, context: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """log10 P(x | context) - log10 P(x) for contexts of ``depth`` words, by number."""
-        out, open_ = np.zeros(len(x)), np.ones(len(x), bool)
-        for level in reversed(self.levels[:depth]):
-            at = _place(level.entries, np.where(open_, self.key(context, x), -1))
-            hit = at >= 0
-            out[hit] += level.lift[at[hit]]
-            open_ &= ~hit
-            out[open_] += level.rest[context[open_]]
-            context = level.suffix[context] if level.suffix.size else context
-        return out
+            here[some[hit]] += level.lift[at[hit]]
+            open_ = ~hit & (wanted >= 0)
+            places.append(some[open_])
+            keys.append(wanted[open_] + (k << _LEVEL_BITS))
+        none = [np.empty(0, np.int64)]
+        return np.add.reduceat(here, starts), np.concatenate(places or none), np.concatenate(keys or none)
+
+    def lifts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each text the sum over its tokens of log10 P(token | context) - log10 P(token), without what is in ``cold``."""
+        return self.found(ids, starts)[0]
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -163,55 +179,45 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _key_counts(docs: DataFrame, tree: Tree, least: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the contexts of the last level with a next word that occur ``least`` times or more.
+def _key_counts(docs: DataFrame, tree: Tree, least: int, text_col: str) -> DataFrame:
+    """``(key, word, n)`` of the contexts of the last level with a next word that occur ``least`` times or more.
 
-    Only frequent words are counted: no sequence is more frequent than its words.
+    ``word`` is empty where the key has the word's number.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, held, n = shared.value, [], 0
+        rare: Counter[tuple[int, bytes]] = Counter()
 
         def out() -> pd.DataFrame:
             keys, counts = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+            words = [""] * len(keys) + [w.decode("utf-8", "replace") for _, w in rare]
+            keys = np.concatenate([keys, np.fromiter((k for k, _ in rare), np.int64, len(rare))])
+            counts = np.concatenate([counts, np.fromiter(rare.values(), np.int64, len(rare))])
             held.clear()
-            return pd.DataFrame({"key": keys, "n": counts.astype(np.int64)})
+            rare.clear()
+            return pd.DataFrame({"key": keys, "word": pd.Series(words, dtype=object), "n": counts.astype(np.int64)})
 
         for pdf in batches:
-            for _, ids, starts in t.texts(pdf["text"]):
+            for toks, ids, starts in t.texts(pdf["text"]):
                 x, contexts = t.windows(ids, starts)
                 keys = t.key(contexts[-1], x)
-                held.append(keys[keys >= 0])
+                others = np.flatnonzero((keys >= 0) & (x == t.width))
+                if len(others):
+                    flat = list(chain.from_iterable(toks))
+                    rare.update(zip(keys[others].tolist(), [flat[i] for i in others.tolist()], strict=True))
+                held.append(keys[(keys >= 0) & (x != t.width)])
                 n += len(held[-1])
-                if n > _HELD_KEYS:
+                if n > _HELD_KEYS or len(rare) > _HELD:
                     n = 0
                     yield out()
         yield out()
 
-    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    got = sums.where(F.col("n") >= least).toPandas().sort_values("key")
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "key bigint, word string, n bigint")
+    out = materialize(rows.groupBy("key", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "contexts")
     shared.unpersist()
-    return got["key"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-
-
-def _retain(
-    context: np.ndarray, n: np.ndarray, below: np.ndarray, own: np.ndarray, totals: np.ndarray, total: int, discount: float, min_share: float, min_count: int, min_gain: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """(rest by context, lift by entry; nan where the context is not retained).
-
-    ``below`` is each entry's probability under the next shorter context, ``own`` without any. The mass that a
-    context does not store goes to the other words as the shorter context spreads it. A context is retained if it
-    is frequent enough and its share of the corpus times its divergence from the shorter context is enough.
-    """
-    p = (n - discount) / np.maximum(totals[context], 1)
-    size = len(totals)
-    stored = np.bincount(context, p, size)
-    left = np.maximum(1.0 - stored, 1e-12)
-    left_below = np.maximum(1.0 - np.bincount(context, below, size), 1e-12)
-    divergence = np.bincount(context, p * np.log(p / below), size) + left * np.log(left / left_below)
-    keep = (totals >= max(min_share * total, min_count)) & (totals / max(total, 1) * divergence >= min_gain) & (stored > 0)
-    return np.where(keep, np.log10(left / left_below), 0.0), np.where(keep[context], np.log10(p / own), np.nan)
+    return out
 
 
 def grow(
@@ -226,48 +232,115 @@ def grow(
     min_count: int = 10,
     min_gain: float = 1e-7,
     discount: float = 0.75,
+    least: int = 3,
+    vocab: DataFrame | None = None,
 ) -> Tree:
     """Learn the tree from training texts; ``words`` are the most frequent words with their counts, falling.
 
-    Contexts of one word are looked at, then those of two that are frequent enough, and so on up to ``depth``
-    words, a pass over the texts each, until none is left. They are retained by share and divergence from their
-    suffix (``min_share``, ``min_gain``); stored next words have at least ``entry_share`` of all tokens after their
-    context, so there are at most 1 / ``entry_share`` of them a level, whatever the corpus: that bounds what driver
-    and tasks hold.
+    The model: contexts of up to ``depth`` words with a share of ``min_share`` of all tokens, ``min_count`` at least,
+    are retained if that share times the divergence from their suffix is ``min_gain`` or more; one that is retained
+    stores all next words that follow it ``least`` times or more, however large the corpus.
+
+    Contexts of one word are counted, then those of two whose first word is frequent enough, and so on, a pass over
+    the texts each. There are at most 1 / ``min_share`` contexts a level, which the driver numbers. Next words are rows
+    of tables: each level's are joined with the level's above for the probability that the suffix gives, and summed
+    by context. Those with ``entry_share`` of all tokens go to the tasks with the contexts, the others are ``Tree.cold``.
+    ``vocab`` has the counts of the words that ``words`` lack, if it lacks any; it must have all as frequent as a context.
     """
-    least = max(math.ceil(entry_share * total), 3)
+    spark = docs.sparkSession
     counts = np.array([c for _, c in words], np.int64)
+    frequent, held = max(min_share * total, min_count), max(math.ceil(entry_share * total), least)
     width = int((counts >= least).sum())
-    tree = Tree(_Numbers((w, i) for i, (w, _) in enumerate(words)), counts, width)
-    if not width:
-        return tree
-    own = (counts[:width] + 1) / (total + vocabulary + 1)
+    tree = Tree(_Numbers((w, i) for i, (w, _) in enumerate(words)), counts, width, min(int((counts >= frequent).sum()), width))
     end = tree.ids[b""]
     totals = np.append(counts[:width], counts[end] if 0 <= end < width else 0)  # as many texts start as end
-    frequent = max(min_share * total, min_count)
     none = np.empty(0, np.int64)
-    tree.levels.append(Level(none, none, np.zeros(width + 1)))
+    tree.levels.append(Level(none, np.zeros(width + 1, np.int64), np.zeros(width + 1), np.zeros(width + 1, bool)))
+    own = lambda c: (c + 1) / F.lit(float(total + vocabulary + 1))
+    x, numbered = F.expr(f"key % {width + 1}"), F.expr(f"key % {width + 1} != {width}")
+    above = None
     for length in range(1, depth + 1):
         level = tree.levels[-1]
-        keys, n = _key_counts(docs, tree, least, text_col)
+        found = _key_counts(docs, tree, least, text_col)
+        rows = found.withColumns({"context": F.expr(f"key div {width + 1}"), "x": x})
+        numbers = np.arange(len(totals))
+        known = spark.createDataFrame(pa.table({"context": numbers, "suffix": level.suffix, "total": totals.astype(np.int64)}))
+        rows = rows.join(F.broadcast(known), "context")
+        if above is None:
+            of = spark.createDataFrame(pa.table({"x": np.arange(width), "c": counts[:width]}))
+            joined = rows.where(numbered).join(F.broadcast(of), "x")
+            if vocab is not None:
+                joined = joined.unionByName(rows.where(~numbered).join(vocab.select("word", "c"), "word"))
+            joined = joined.withColumn("own", own(F.col("c"))).withColumn("below", F.col("own")).drop("c")
+        else:
+            # what a context stores its suffix stores
+            joined = rows.withColumn("up", F.col("suffix") * (width + 1) + F.col("x")).join(above, ["up", "word"]).drop("up")
+        p = (F.col("n") - discount) / F.greatest("total", F.lit(1))
+        joined = materialize(joined.select("key", "word", "context", "n", "below", p.alias("p")), "entries")
+        sums = joined.groupBy("context").agg(F.sum("p").alias("p"), F.sum("below").alias("below"), F.sum(F.col("p") * F.log(F.col("p") / F.col("below"))).alias("d")).toArrow()
+        stored, passed, divergence = np.zeros(len(totals)), np.zeros(len(totals)), np.zeros(len(totals))
+        for into, name in ((stored, "p"), (passed, "below"), (divergence, "d")):
+            into[sums["context"].to_numpy()] = sums[name].to_numpy()
+        left, left_below = np.maximum(1.0 - stored, 1e-12), np.maximum(1.0 - passed, 1e-12)
+        divergence += left * np.log(left / left_below)
+        level.kept = (totals >= frequent) & (totals / max(total, 1) * divergence >= min_gain) & (stored > 0)
+        level.rest = np.where(level.kept, np.log10(left / left_below), 0.0)
+        state = spark.createDataFrame(pa.table({"context": numbers, "kept": level.kept, "rest": level.rest}))
+        joined = joined.join(F.broadcast(state), "context")
+        kept = joined.where("kept").select("key", "word", "n", (F.log10(F.col("p") / F.col("below")) - F.col("rest")).alias("lift"))
+        hot = numbered & (F.col("n") >= held)
+        got = kept.where(hot).select("key", "lift").toArrow()
+        order = np.argsort(got["key"].to_numpy())
+        level.entries, level.lift = got["key"].to_numpy()[order], got["lift"].to_numpy()[order]
+        cold = kept.where(~hot).select((F.col("key") + ((length - 1) << _LEVEL_BITS)).alias("key"), "word", "lift")
+        tree.cold = cold if tree.cold is None else tree.cold.unionByName(cold)
+        above = joined.select(F.col("key").alias("up"), "word", F.when(F.col("kept"), F.col("p")).otherwise(F.col("below")).alias("below"))
+        got = found.where(numbered & (x != end) & (F.col("n") >= frequent)).select("key", "n").toArrow()
+        order = np.argsort(got["key"].to_numpy())
+        keys, n = got["key"].to_numpy()[order], got["n"].to_numpy()[order]
         context, word = keys // (width + 1), keys % (width + 1)
-        below = own[word] * 10 ** (tree.lift_of(length - 1, level.suffix[context], word) if length > 1 else 0.0)
-        level.rest, lift = _retain(context, n, below, own[word], totals, total, discount, min_share, min_count, min_gain)
-        kept = ~np.isnan(lift)
-        level.entries, level.lift = keys[kept], lift[kept]
-        some = (n >= frequent) & (word != end)
-        context, word = context[some], word[some]
         # a suffix is as frequent as its context, so it is there unless its own suffix is not
         suffix = word if length == 1 else _place(level.contexts, tree.key(level.suffix[context], word))
         if length == depth or not (suffix >= 0).any():
             break
-        totals = n[some][suffix >= 0]
-        tree.levels.append(Level(keys[some][suffix >= 0], suffix[suffix >= 0], np.zeros(len(totals))))
+        some = suffix >= 0
+        totals = n[some]
+        tree.levels.append(Level(keys[some], suffix[some], np.zeros(len(totals)), np.zeros(len(totals), bool)))
     return tree
 
 
-def _most_frequent(vocab: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` words of highest count, by falling count: those above a cut that counts of counts give.
+def _marks(keys: np.ndarray, words: list[str], bits: int) -> np.ndarray:
+    """A place among 2 ** ``bits`` for each key with its word."""
+    out = keys.astype(np.uint64)
+    some = [i for i, w in enumerate(words) if w]
+    out[some] ^= np.fromiter((zlib.crc32(words[i].encode("utf-8", "surrogatepass")) << 31 for i in some), np.uint64, len(some))
+    out ^= out >> np.uint64(31)
+    return (out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def _marked(cold: DataFrame, most_bits: int = 28) -> tuple[int, np.ndarray]:
+    """(bits, words of 64 marks): a mark for every row of ``cold``, so that what has none need not be looked up.
+
+    At most 2 ** ``most_bits`` marks, 32 MB; where more rows share one, more is looked up for nothing.
+    """
+    bits = min(most_bits, max(10, (16 * cold.count()).bit_length()))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(_marks(pdf["key"].to_numpy(), pdf["word"].tolist(), bits))
+            block = (at >> np.uint64(6)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            ones = np.left_shift(np.uint64(1), at & np.uint64(63))
+            yield pd.DataFrame({"block": block[starts], "ones": np.bitwise_or.reduceat(ones, starts).view(np.int64) if len(at) else np.empty(0, np.int64)})
+
+    got = cold.select("key", "word").mapInPandas(mark, "block bigint, ones bigint").groupBy("block").agg(F.bit_or("ones").alias("ones")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[got["block"].to_numpy()] = got["ones"].to_numpy()
+    return bits, out.view(np.uint64)
+
+
+def _most_frequent(vocab: DataFrame, most: int, always: float) -> list[tuple[bytes, int]]:
+    """At most ``most`` words of highest count and all of count ``always`` or more, by falling count.
 
     Counts fall in sixteenths of powers of two, at most a thousand or so, and words of one class come or stay
     together, so no task sorts the vocabulary.
@@ -276,7 +349,7 @@ def _most_frequent(vocab: DataFrame, most: int) -> list[tuple[bytes, int]]:
     cut, seen = None, 0
     for r in vocab.where("c > 0").groupBy(step.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect():
         seen += r["n"]
-        if seen > most:
+        if seen > most and 2 ** ((r["k"] + 1) / 16) < always - 1e-6:
             break
         cut = r["k"]
     if cut is None:
@@ -291,9 +364,10 @@ def score(
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     Contexts have up to ``depth`` words (``grow``). Learns from rows whose crc32 of the id modulo ``modulus`` is not ``held``. The counts of the ``common_words``
-    most frequent words go to the tasks, which add them up as they read the texts, together with what contexts
-    change; every other word of a text is a row of a join with the vocabulary, so no count is left out and no
-    word is a hot key. A word that training lacks has the probability of the one unknown word. A null text is the
+    most frequent words, and of all that contexts can be made of, go to the tasks, which add them up as they read
+    the texts, together with what contexts and their most frequent next words change; every other word of a text is
+    a row of a join with the vocabulary, and every other next word of a retained context a row of a join with the
+    table of stored ones. So ``common_words`` and ``entry_share`` say what tasks hold, not what is counted. A word that training lacks has the probability of the one unknown word. A null text is the
     end token alone; a null id trains; repeated rows each count.
     """
     spark = docs.sparkSession
@@ -301,13 +375,18 @@ def score(
     vocab = materialize(word_counts(docs, trains, text_col), "vocabulary")
     sums = vocab.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    words = _most_frequent(vocab, common_words)
-    shared = spark.sparkContext.broadcast(grow(docs.where(trains), words, n, v, text_col, **options))
+    shape = inspect.signature(grow).parameters
+    always = max(*(options.get(k, shape[k].default) * m for k, m in (("min_share", n), ("min_count", 1))))
+    words = _most_frequent(vocab, common_words, always)
+    tree = grow(docs.where(trains), words, n, v, text_col, vocab=vocab, **options)
+    cold = materialize(tree.cold, "stored")
+    shared, marks = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(_marked(cold))
     size = math.log10(n + v + 1)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each text a row with the sums over common words and contexts, and one for each other word."""
+        """Of each text a row with the sums over common words and contexts, one for each other word, and one for each key to look up."""
         tree, row = shared.value, TaskContext.get().partitionId() << 40
+        bits, marked = marks.value
         logs = np.append(np.log10(tree.counts + 1.0), 0.0)
 
         for pdf in batches:
@@ -315,11 +394,12 @@ def score(
             for toks, ids, starts in tree.texts(pdf["text"]):
                 some = pdf.iloc[done : done + len(toks)]
                 done += len(toks)
+                lifts, places, keys = tree.found(ids, starts)
                 common = np.add.reduceat((ids >= 0).astype(np.int64), starts)
                 yield pd.DataFrame({
                     "row": row + np.arange(len(toks)), "doc_id": some["doc_id"].astype("Int64").to_numpy(), "held_out": some["held_out"].to_numpy(),
-                    "word": None, "n": common, "known": common, "base": np.add.reduceat(logs[ids], starts) - common * size, "lift": tree.lifts(ids, starts),
-                }).astype({"doc_id": "Int64", "held_out": "boolean", "word": object})
+                    "word": None, "n": common, "known": common, "base": np.add.reduceat(logs[ids], starts) - common * size, "lift": lifts, "key": None,
+                }).astype({"doc_id": "Int64", "held_out": "boolean", "word": object, "key": "Int64"})
                 flat = list(chain.from_iterable(toks))
                 rest = np.flatnonzero(ids < 0)
                 of = np.searchsorted(starts, rest, side="right") - 1
@@ -329,20 +409,32 @@ def score(
                     "row": np.fromiter((row + d for d, _ in rare), np.int64, len(rare)), "doc_id": pd.array([None] * len(rare), dtype="Int64"),
                     "held_out": pd.array([None] * len(rare), dtype="boolean"), "word": pd.Series(words, dtype=object),
                     "n": np.fromiter(rare.values(), np.int64, len(rare)), "known": 0, "base": 0.0, "lift": 0.0,
+                    "key": pd.array([None] * len(rare), dtype="Int64"),
+                })
+                words = ["" if k >= 0 else flat[i].decode("utf-8", "replace") for i, k in zip(places.tolist(), ids[places].tolist(), strict=True)]
+                at = _marks(keys, words, bits)
+                some = np.flatnonzero(marked[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                places, keys, words = places[some], keys[some], [words[i] for i in some.tolist()]
+                yield pd.DataFrame({
+                    "row": row + np.searchsorted(starts, places, side="right") - 1, "doc_id": pd.array([None] * len(keys), dtype="Int64"),
+                    "held_out": pd.array([None] * len(keys), dtype="boolean"), "word": pd.Series(words, dtype=object),
+                    "n": 0, "known": 0, "base": 0.0, "lift": 0.0, "key": keys,
                 })
                 row += len(toks)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (~trains).alias("held_out"), F.col(text_col).alias("text"))
-    parts = rows.mapInPandas(split, "row bigint, doc_id bigint, held_out boolean, word string, n bigint, known bigint, base double, lift double")
+    parts = rows.mapInPandas(split, "row bigint, doc_id bigint, held_out boolean, word string, n bigint, known bigint, base double, lift double, key bigint")
     parts = materialize(parts, "parts")
-    whole = parts.where("word is null").drop("word")
-    rare = parts.where("word is not null").select("row", "word", "n").join(vocab, "word")
+    whole = parts.where("word is null").drop("word", "key")
+    rare = parts.where("word is not null and key is null").select("row", "word", "n").join(vocab, "word")
     rare = rare.select(
         "row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "n",
         F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"),
         (F.col("n") * (F.log10(F.col("c") + 1) - size)).alias("base"), F.lit(0.0).alias("lift"),
     )
-    out = whole.unionByName(rare).groupBy("row").agg(
+    stored = parts.where("key is not null").select("row", "key", "word").join(cold, ["key", "word"]).groupBy("row").agg(F.sum("lift").alias("lift"))
+    nothing = {"doc_id": F.lit(None).cast("bigint"), "held_out": F.lit(None).cast("boolean"), "n": F.lit(0).cast("bigint"), "known": F.lit(0).cast("bigint"), "base": F.lit(0.0)}
+    out = whole.unionByName(rare).unionByName(stored.withColumns(nothing)).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"),
         F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lift").alias("lift"),
     )

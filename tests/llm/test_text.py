@@ -576,6 +576,24 @@ def test_scores_against_a_plain_tree(spark, depth):
         assert lift(tree, suffixtree.tokens(t)) == pytest.approx(want, abs=1e-9)
 
 
+def test_what_tasks_do_not_hold_is_looked_up(spark):
+    rng = random.Random(17)
+    parts = ["a b c d e f", "a b c d g", "b c d h", "i", "j k", "a b", "Ü x", "m n", "m o"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(0, 25))).strip()) for i in range(200)] + [(5000 + i, f"a b rare{i % 4} c zz{i}") for i in range(24)]
+    trains = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    c = Counter(w for t in trains for w in suffixtree.tokens(t))
+    n, v = sum(c.values()), len(c)
+    own = lambda w: (c[w] + 1) / (n + v + 1)
+    p = plain_tree(trains, 4, own, n)
+    want = {}
+    for d, t in rows:
+        toks = ("<s>", *suffixtree.tokens(t))
+        want[d] = sum(math.log10(p(toks[max(0, i - 4) : i], toks[i])) for i in range(1, len(toks)))
+    for options in ({"entry_share": 1.0}, {"entry_share": 0.01, "common_words": 0}):
+        got = suffixtree.score(docs(spark, rows), **options).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-6)
+
+
 # -- decontamination
 
 
