@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from iotrace.functions import scalars as fn
 from iotrace.operators import scans
 from iotrace.operators.scans import SLICE_NS
+from iotrace.storage import materialize
 
 def gaps(rows: DataFrame, by: list[str], position: str, length: Column, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
     """``rows`` that have a position, with ``gap``: how far each starts from where the one before it ended; null for the first.
@@ -51,16 +52,18 @@ def by_offset(rows: DataFrame, by: list[str], syscalls: list[str] = ("pread64",
 
 def file_positions(
     rows: DataFrame, by: list[str], order: list[str] = ("timestamp_ns",), zero_result_resets: bool = False, advance: tuple[str, ...] = ("read", "write"),
-    slice_ns: int = SLICE_NS, piece: Column | None = None,
+    slice_ns: int = SLICE_NS, piece: Column | None = None, apart: bool = False,
 ) -> DataFrame:
     """Enters of read and write with ``position``, the file position of their (thread, fd) as rebuilt from earlier calls.
 
     A returning openat puts the fd it returns (in ``bytes``) at 0, a returning lseek puts its fd at the position
     it returns, a returning read or write (``advance``) adds its bytes, and a close forgets the fd. Null results
-    are failures; traces write 0 as null, so a rewind does nothing unless ``zero_result_resets``.
+    are failures; traces write 0 as null, so a rewind does nothing unless ``zero_result_resets``. With ``apart`` each
+    of ``advance`` has positions that only it advances.
 
     The position is what the calls so far have moved, and how far the last reset stood from that: a running sum
-    and a last value, each over slices of ``slice_ns`` (or what ``piece`` says), so a busy file is many windows.
+    and a last value, each over slices of ``slice_ns`` (or what ``piece`` says), so a busy file is many windows. As a
+    scan reads its rows twice, what one gives is stored before the next: else reads double with each.
     """
     event, call = F.col("event"), F.col("syscall")
     result = F.coalesce("bytes", F.lit(0)) if zero_result_resets else F.col("bytes")
@@ -73,13 +76,17 @@ def file_positions(
     rows = rows.where(F.coalesce(opened | sought | closed | moved | probe, F.lit(False)))
     rows = rows.withColumn("_kfd", kfd).where(F.col("_kfd").isNotNull() & (F.col("_kfd") >= 0) & F.col("tid").isNotNull())
     key, piece = [*by, "tid", "_kfd"], scans.time_slice(slice_ns) if piece is None else piece
-    delta = F.when(F.coalesce(moved, F.lit(False)), F.col("bytes").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    rows = scans.running_sums(scans.sliced(rows, key, piece), key, piece, list(order), {"_moved": delta})
+    movers = {f"_{i}": call.isin(*names) for i, names in enumerate([(s,) for s in advance] if apart else [advance])}
+    delta = lambda own: F.when(F.coalesce(moved & own, F.lit(False)), F.col("bytes").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rows = scans.running_sums(scans.sliced(rows, key, piece), key, piece, list(order), {f"_moved{i}": delta(own) for i, own in movers.items()})
+    rows = materialize(rows, "moves")
     base = F.when(opened, F.lit(0).cast("bigint")).when(sought, result.cast("bigint"))
-    reset = F.when(F.coalesce(opened | sought | closed, F.lit(False)), F.struct((base - F.col("_moved")).alias("off")))
-    rows = scans.last_values(rows, key, piece, list(order), {"_reset": reset}, inclusive=True)
-    rows = rows.withColumn("position", F.col("_reset.off") + F.col("_moved"))
-    return rows.where(F.coalesce(probe, F.lit(False)) & F.col("position").isNotNull()).drop("_kfd", "_moved", "_reset", "_key", "_slice")
+    resets = F.coalesce(opened | sought | closed, F.lit(False))
+    reset = {f"_reset{i}": F.when(resets, F.struct((base - F.col(f"_moved{i}")).alias("off"))) for i in movers}
+    rows = scans.last_values(rows, key, piece, list(order), reset, inclusive=True)
+    at = {i: F.col(f"_reset{i}.off") + F.col(f"_moved{i}") for i in movers}
+    rows = rows.withColumn("position", F.coalesce(*[F.when(own, at[i]) for i, own in movers.items()]) if apart else at["_0"])
+    return rows.where(F.coalesce(probe, F.lit(False)) & F.col("position").isNotNull()).drop("_kfd", *reset, *[f"_moved{i}" for i in movers], "_key", "_slice")
 
 
 def _position_gaps(placed: DataFrame, by: list[str], order: list[str], slice_ns: int) -> DataFrame:
@@ -92,7 +99,7 @@ def by_position(rows: DataFrame, by: list[str], order: list[str] = ("timestamp_n
     return classify(gapped, [*by, "syscall"]).where("sequential_count + random_count > 0")
 
 
-def position_gaps(rows: DataFrame, by: list[str], syscall: str, order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
-    """Gaps of one of read and write for plots; here only that call advances positions."""
-    placed = file_positions(rows, by, order, advance=(syscall,), slice_ns=slice_ns).where(F.col("syscall") == syscall)
+def position_gaps(rows: DataFrame, by: list[str], syscalls: tuple[str, ...] = ("read", "write"), order: list[str] = ("timestamp_ns",), slice_ns: int = SLICE_NS) -> DataFrame:
+    """Gaps of read and write for plots; here each call advances only its own positions."""
+    placed = materialize(file_positions(rows, by, order, advance=tuple(syscalls), slice_ns=slice_ns, apart=True), "positions")
     return _position_gaps(placed, by, order, slice_ns).where(F.col("gap").isNotNull())

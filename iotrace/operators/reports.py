@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from iotrace.functions import scalars as fn
 from iotrace.operators import access, counters, distributions, histograms, lba, series, sysstat
 from iotrace.sources import schemas
+from iotrace.storage import materialize
 
 #: Maps of summary traces by layer, and those that throughput is made of.
 SUMMARY = {
@@ -39,16 +40,20 @@ def gap_points(rows: DataFrame, by: list[str], layer: str, order: list[str]) ->
         return access.sector_gaps(rows, by, schemas.START[layer], order).where("gap is not null").select(*by, "op", "gap")
     calls = rows.where((F.col("event") == "enter") & F.col("syscall").isin("pread64", "pwrite64") & F.col("fd").isNotNull())
     offset = access.gaps(calls, [*by, "syscall", "fd"], "offset", F.coalesce("bytes", F.lit(0)), order).where("gap is not null")
-    parts = [offset, *[access.position_gaps(rows, by, s, order) for s in ("read", "write")]]
+    parts = [offset, access.position_gaps(rows, by, order=order)]
     return reduce(DataFrame.unionByName, [p.select(*by, F.col("syscall").alias("op"), "gap") for p in parts])
 
 
 def layer_series(rows: DataFrame, by: list[str], layer: str, order: list[str] = ("timestamp_ns",), width_ns: int = fn.SECOND_NS, max_points: int = 10_000) -> DataFrame:
-    """``(*by, series, op, x, y)``: op share, gauges, completions and MB over time, and curves of sizes, latencies (µs) and gaps."""
+    """``(*by, series, op, x, y)``: op share, gauges, completions and MB over time, and curves of sizes, latencies (µs) and gaps.
+
+    The labelled rows, the buckets and the gaps are stored, as many series read each.
+    """
     order, op = list(order), schemas.OP[layer]
+    rows = materialize(rows, "rows")
     counts = counters.base(rows, by, op)
     bounds = counters.run_bounds(counts)
-    buckets = series.per_bucket(series.with_bounds(rows, bounds.select("ts_min")), by, layer, order, width_ns)
+    buckets = materialize(series.per_bucket(series.with_bounds(rows, bounds.select("ts_min")), by, layer, order, width_ns), "buckets")
     done = rows.where(F.col("event") == schemas.END[layer]).withColumn("op", F.col(op))
     c = F.col
     out = [_points(counters.op_share(counts.where(c("event") == schemas.END[layer]), by), by, "op_share", c("op"), c("n"), c("pct"))]
@@ -60,7 +65,7 @@ def layer_series(rows: DataFrame, by: list[str], layer: str, order: list[str] =
     both = F.array_compact(F.array(item("size_cdf", c("bytes")), item("latency_cdf_us", c("latency_ns") / 1000)))
     curve = series.cdf(done.select(*by, "op", F.explode(both).alias("m")).select(*by, "op", "m.*"), [*by, "series", "op"], "v", max_points)
     out.append(curve.select(*by, "series", "op", c("value").alias("x"), c("cdf").alias("y")))
-    curve = series.cdf(gap_points(rows, by, layer, order), [*by, "op"], "gap", max_points)
+    curve = series.cdf(materialize(gap_points(rows, by, layer, order), "gaps"), [*by, "op"], "gap", max_points)
     out.append(_points(curve, by, "gap_cdf", c("op"), c("value"), c("cdf")))
     if layer == "nvme":
         setups = rows.where("event = 'setup'")

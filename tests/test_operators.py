@@ -244,3 +244,11 @@ def test_heat_maps_of_an_op_share_a_scale(spark):
     want = sorted((label, "lba_heatmap", op, float(x), float(y), round(math.log1p(n), 6), round(math.log1p(top[op]), 6)) for (label, op, x, y), n in cells.items())
     assert rows(reports.heat_series(df, ["label"], bins=4), "label", "series", "op", "x", "y", "z", "z_max") == want
     assert reports.heat_series(df.where("sector < 0"), ["label"]).count() == 0
+
+
+def test_dashboard_reads_its_trace_once(spark, sf_dir):
+    """Many series read the labelled rows, so those are stored: the trace is in no series' plan any more."""
+    from iotrace.plans import queries
+
+    files = {f.rsplit("/", 1)[1] for f in queries.fs_dashboard(spark, sf_dir).inputFiles()}
+    assert files and "events.parquet" not in files
