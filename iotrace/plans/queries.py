@@ -981,6 +981,10 @@ def sysstat_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text reports: rows of the tables written as report lines, and parsed back
 
 
+#: Events of a process-statistics report.
+REPORT_EVENTS = 50_000
+
+
 def _lines(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     """``rows(ord, line)`` written as one text file in order, or ``rows(file, ord, line)`` as many, and read back as numbered lines."""
     path = shared_path(spark, name)
@@ -1045,9 +1049,9 @@ def parse_tseries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'cpu' AS section, tgid, tid, command, CAST(value AS DOUBLE) AS usr, CAST(seq AS VARCHAR) AS cpu FROM p UNION ALL SELECT 'dev', tgid, NULL, command, value, CAST(seq AS VARCHAR) FROM p"""
 )
 def parse_pidstat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A process row and a thread row of each event in a cpu section, and a process row in a dev section, in reports of some thousand lines."""
+    """A process row and a thread row of each event in a cpu section, and a process row in a dev section, in reports of 150,000 lines: a file a task and not one a thousand lines, as listing and committing files is the driver's."""
     rows = a.ev(spark, sf_dir).select("seq", F.col("user_id").cast("string").alias("tgid"), F.concat("comm", F.lit(" main")).alias("command"), (1000 + F.col("k")).cast("string").alias("tid"), F.col("value").cast("string").alias("v"), F.col("seq").cast("string").alias("s"))
-    rows = rows.withColumn("file", fn.int_div(F.col("seq"), 2000))
+    rows = rows.withColumn("file", fn.int_div(F.col("seq"), REPORT_EVENTS))
     place = lambda i: F.format_string("%d %020d", F.lit(i), F.col("seq"))
     say = lambda *parts: F.concat_ws(" ", *[F.lit(p) if p in TEXT else F.col(p) for p in parts])
     TEXT = {"12:00:00", "0", "-", "|__worker"}

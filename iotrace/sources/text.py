@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from iotrace.functions import scalars as fn
 from iotrace.operators import scans
+from iotrace.storage import materialize
 
 #: The line shapes of the reports, and how many fields a row of each section has.
 COUNTER = r"^@(\w+)\[([^\]]+)\]:\s+(-?\d+)$"
@@ -114,7 +115,8 @@ def pidstat(rows: DataFrame) -> DataFrame:
 
     cpu keeps thread rows, which take process and command of the last process row of their section; mem and dev
     keep process rows. ``fields`` are the numbers between ids and command. Rows with too few fields, or whose
-    first field does not begin with a digit, are left out.
+    first field does not begin with a digit, are left out. Rows are stored between the two scans, each of which reads
+    its input twice.
     """
     line = F.trim("line")
     kept = rows.select("file", "start", "at", line.alias("line")).where((line != "") & ~line.rlike("^(Linux|Average)"))
@@ -128,6 +130,7 @@ def pidstat(rows: DataFrame) -> DataFrame:
         F.expr("slice(p, 5, need - 5)").alias("fields"), command.alias("command"),
     )
     own = lambda name: F.when((F.col("section") == name) & (F.col("tgid") != "-"), F.struct("tgid", "command"))
+    kept = materialize(kept, "pidstat")
     kept = _carried(kept, {f"_{name}": own(name) for name in SECTIONS}, inclusive=True)
     kept = kept.withColumn("parent", F.coalesce(*[F.when(F.col("section") == name, F.col(f"_{name}")) for name in SECTIONS]))
     threads = (F.col("section") == "cpu") & (F.col("tid") != "-") & F.col("parent").isNotNull()

@@ -183,3 +183,11 @@ def test_raw_events_become_trace_rows(spark):
     raw = spark.createDataFrame([(1, 2, 1, 8, 0, 0, -1, -5, 4, "c", 0)], "timestamp_ns bigint, mntns_id bigint, event int, syscall int, bytes bigint, latency_ns bigint, fd int, offset bigint, tid bigint, comm string, inflight int")
     r = traces.normalize_events(raw, "fs").first()
     assert (r.event, r.syscall, r.bytes, r.latency_ns, r.fd, r.offset) == ("exit", "lseek", None, None, None, None)
+
+
+def test_a_report_is_read_for_one_scan_only(spark, sf_dir):
+    """What the first scan of a process-statistics report gives is stored for the second."""
+    from iotrace.plans import queries
+
+    files = queries.parse_pidstat(spark, sf_dir).inputFiles()
+    assert files and all(f.endswith(".parquet") for f in files)
