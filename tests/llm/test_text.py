@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -594,6 +595,39 @@ def test_what_tasks_do_not_hold_is_looked_up(spark):
         assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-6)
 
 
+def test_words_of_arrow_are_the_tokens():
+    texts = [None, "", " ", "a", " A\x0bb\x1cc\x85d\u00a0e\u2003f  ", "\tÄÖ İ x\r\ny\x0c", "".join(map(chr, range(300))), "ende "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = []
+    for part, words, lengths in suffixtree._texts(iter([batch, batch.slice(2, 0), batch.slice(3)])):
+        flat = iter(words.to_pylist())
+        got += [[next(flat).encode() for _ in range(n)] for n in lengths.tolist()]
+        assert len(lengths) == part.num_rows and next(flat, None) is None
+    assert got == [suffixtree.tokens(t)[:-1] for t in [*texts, *texts[3:]]]
+
+
+def test_places_by_open_addressing():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 58, 5000))
+    index = suffixtree._Index(keys)
+    assert (index.find(keys) == np.arange(len(keys))).all()
+    assert (index.find(np.append(keys + 1, -1))[np.append(~np.isin(keys + 1, keys), True)] == -1).all()
+    assert (suffixtree._Index(keys[:0]).find(keys) == -1).all()
+
+
+def test_keys_to_look_up_go_many_to_a_row():
+    width, n = 50, 400
+    level = suffixtree.Level(np.empty(0, np.int64), np.zeros(width + 1, np.int64), np.zeros(width + 1), np.ones(width + 1, bool))
+    tree = suffixtree.Tree([], np.full(width, 9), width, width, [level])
+    ids = np.random.default_rng(2).integers(-1, width, (n, 30)).astype(np.int32)
+    rare = [["w"] * int((i < 0).sum()) for i in ids]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([i.tobytes() for i in ids]), pa.array(rare, pa.list_(pa.string()))], names=["row", "ids", "rare"])
+    marks = 10, np.full(16, ~np.uint64(0))
+    out = pa.Table.from_batches(list(suffixtree._wanted(lambda: tree, lambda: marks, 3)(iter([rows]))))
+    contexts = int((ids[:, :-1] >= 0).sum()) + n
+    assert sum(len(k) for k in out.column("key").to_pylist() if k) == contexts
+    assert out.num_rows <= 3 + 3 + 1
+
+
 # -- decontamination
 
 
